@@ -1,8 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Inside a source, documents stand in a shuffled order (by a seeded hash). A document's virtual finish time is the source's
-words up to and with it, divided by the source's target; repeats are further passes over the same order. All documents are
-then ordered by finish time and the mix is cut where its words reach the total budget.
+words up to it, divided by the source's target; repeats are further passes over the same order. All documents are
+then ordered by finish time and the mix is cut where its words reach the total budget. A document's own words count by half
+in its finish time, so that a source ends at most about half a document above or below its target, not a whole one below.
 
 Neither a source nor the mix is ever ordered in one task. A source has cells of about `cell_rows` documents by its shuffle
 hash; running sums go over cells first, then inside a cell. The cut is found over `slices` of virtual time first, then inside
@@ -40,7 +41,7 @@ def targets(sources: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
     s = s.withColumn("_rest", F.sum("_w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     level = (F.sum("source_size").over(everything) - F.col("_capped")) / F.col("_rest")
     s = s.withColumn("_level", level).withColumn("_open", F.col("_level") <= F.col("_ratio"))
-    s = s.withColumn("_level", F.min(F.when(F.col("_open"), F.col("_level"))).over(everything))
+    s = s.withColumn("_level", F.max(F.when(F.col("_open"), F.col("_level"))).over(everything))
     target = F.when(F.col("_ratio") <= F.col("_level"), F.col("_cap")).otherwise(F.col("_level") * F.col("_w"))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("source", "_cell").orderBy("_key", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("_run", F.sum("size").over(inside)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    run = cut(run.select("_id", "source", "size", "source_size", "target", "_key", (F.col("_base") + F.col("_run")).alias("_end")))
+    run = cut(run.select("_id", "source", "size", "source_size", "target", "_key", (F.col("_base") + F.col("_run") - F.col("size") / 2).alias("_end")))
     passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")
     ends = run.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", passes)
     ends = ends.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_end")) / F.col("target"))

@@ -47,7 +47,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
     other, each row once. An empty table gives an empty result. Other columns are not read.
     """
     # about 2.5 bytes a token in these vocabularies; the estimate only sets the group size
-    groups = max(1, -(-text_bytes(docs) // int(2.5 * group_tokens)))
+    groups = max(1, -(-text_bytes(docs, text_col) // int(2.5 * group_tokens)))
     id_type = dict(docs.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

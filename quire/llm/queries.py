@@ -52,6 +52,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs plus _score; learned from labelled rows whose crc32 of the id as text is not 2 modulo 4."""
+    from quire.llm.quality import fit, score
+
+    learn = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    return score(docs, fit(docs, learn), out="_score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = quality_scores(docs, _table(spark, sf_dir, "labels"))
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return got.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_groups
 
@@ -59,5 +74,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import archive
+
+    _, got = archive(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.embedding_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.winnowing import as_text, compare_edits
+
+    got = compare_edits(_table(spark, sf_dir, "documents"))
+    texts = [F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited_fingerprint")).alias("edited_fingerprint")]
+    return got.select("doc_id", "n_chars", *texts, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
+
+
+def oracle_sql() -> dict[str, str]:
+    from quire.llm.sql import ORACLES
+
+    return dict(ORACLES)

@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window % 2 == 0:
         raise ValueError("window must be odd")
     block, id_type = (window + 1) // 2, dict(docs.dtypes)[id_col]
-    total = text_bytes(docs)
+    total = text_bytes(docs, text_col)
     n_chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     chunk = range_of(F.col("_id"), id_bounds(d, "_id", n_chunks))
