@@ -44,9 +44,12 @@ class _Units(dict):
 
 
 class Encoder:
-    """ids(text) gives the same ids as tokenizer.encode(text, add_special_tokens=False), as bytes of type `kind`."""
+    """ids(text) gives the same ids as tokenizer.encode(text, add_special_tokens=False), as bytes of type `kind`.
 
-    def __init__(self, path: str, most: int = 300_000):
+    most: units kept, at about 200 bytes each, in a Python worker.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -68,11 +71,16 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
 
     def _word(self, unit: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut(self.tokenizer.normalizer.normalize_str(unit))))
+        low = unit.lower() if unit.isascii() else self.tokenizer.normalizer.normalize_str(unit)
+        if low.isalpha():  # one piece; it is kept under one spelling only
+            return self._piece(low) if low == unit else self.units[low]
+        return b"".join([self.units[p] if p.isalpha() else self.pieces[p] for p in self.cut(low)])
 
     def _unit(self, unit: str) -> bytes:
+        if unit.isalpha():
+            return self._piece(" " + unit)
         text = unit[1:] if unit[:1] == "\x02" else "\n" if unit == "\x01" else " " + unit
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+        return b"".join([self.units[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.pieces[p] for p in self.cut(text)])
 
     def ids(self, text: str) -> bytes:
         if not text:
