@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHAPES, WORDS, EXTRA = 128, 128, 8
+LEAST_STEPS = 600
 WIDTH = SHAPES + WORDS + EXTRA
 _runs = re.compile(r"(.)\1+")
 
@@ -122,6 +123,7 @@ class Model:
 
 def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16, rounds: int = 16, batch: int = 64, seed: int = 7) -> Model:
     """Adam on the log loss. The same rows in the same order give the same model. Without rows every score is 0.5."""
+    rounds = max(rounds, -(-LEAST_STEPS * batch // max(1, len(y))))  # few rows are seen more often
     r = np.random.default_rng(seed)
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     zero = lambda n: np.zeros(n, np.float32)
