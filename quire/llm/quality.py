@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHAPES, WORDS, EXTRA = 128, 128, 8
-LEAST_STEPS = 600
+LEAST_STEPS, DROP = 600, 0.3
 WIDTH = SHAPES + WORDS + EXTRA
 _runs = re.compile(r"(.)\1+")
 
@@ -139,7 +139,9 @@ def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 32, ga
             pick = order[j : j + batch]
             rows = np.concatenate([np.arange(start[q], start[q] + counts[q]) for q in pick])
             k += 1
-            for w, g, a, b in zip(weights, model.gradients(x[rows], counts[pick], y[pick]), m, v, strict=True):
+            # inputs are left out at random (kept at their mean), so that no single word decides
+            seen = np.where(r.random((len(rows), x.shape[1])) < DROP, mean, x[rows])
+            for w, g, a, b in zip(weights, model.gradients(seen, counts[pick], y[pick]), m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 w -= (rate * (a / (1 - 0.9**k) / (np.sqrt(b / (1 - 0.999**k)) + 1e-8) + 1e-4 * w)).astype(np.float32)
