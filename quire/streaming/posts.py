@@ -1,4 +1,7 @@
-"""Streams of posts, visits and saves. Each result equals the batch operator's on the same rows."""
+"""Streams of posts, visits and saves. Each result equals the batch operator's on the same rows.
+
+Rows that are late by the watermark are dropped; a stream's first watermark is 1970-01-01, so rows at or before that are late.
+"""
 
 from __future__ import annotations
 

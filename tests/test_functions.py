@@ -134,7 +134,7 @@ def test_zip_members_and_images(spark, tmp_path):
 def test_streams_equal_batch(spark, tmp_path):
     from quire.streaming import posts as st
 
-    rows = [("m", v % 2, 1000 * i, i) for i, v in enumerate(range(40))]
+    rows = [("m", v % 2, 1_700_000_000 + 1000 * i, i) for i, v in enumerate(range(40))]
     df = spark.createDataFrame(rows, "form string, visitor long, s long, event_id long").select("form", "visitor", F.timestamp_seconds("s").alias("ts"), "event_id").coalesce(1)
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
