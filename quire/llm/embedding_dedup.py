@@ -27,6 +27,7 @@ from quire.llm.common import cut
 from quire.llm.graph import connected_components
 
 PROJECTIONS, GRID, MOST_AXES = 32, 1.5, 24
+QUERIES = 64  # counted together
 LOSS_COUNT, LOSS_GRID = 5e-4, 1e-3
 
 
@@ -80,7 +81,8 @@ def _cells(unit: np.ndarray, axes: int, tables: int) -> np.ndarray:
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    v = np.array(column.to_pylist(), np.float64)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
@@ -90,29 +92,37 @@ def _work(t: pa.Table, cosine: float, width: float, least: int) -> tuple[dict[in
     rep, n = np.array(t.column("rep").to_pylist()), np.array(t.column("n").to_pylist())
     table = t.column("table")[0].as_py()
     query, point = np.array(t.column("query").to_pylist(), bool), np.array(t.column("point").to_pylist(), bool)
-    points = np.flatnonzero(point)
-    lines = _lines(unit.shape[1], PROJECTIONS, 5)
-    value = (unit @ lines).T
-    order = [points[np.argsort(v[points], kind="stable")] for v in value]
-    ranked = [v[o] for v, o in zip(value, order, strict=True)]
-    asks = np.flatnonzero(query)
-    low = np.array([np.searchsorted(s, v[asks] - width, "left") for v, s in zip(value, ranked, strict=True)])
-    high = np.array([np.searchsorted(s, v[asks] + width, "right") for v, s in zip(value, ranked, strict=True)])
+    points, asks = np.flatnonzero(point), np.flatnonzero(query)
+    value = (unit @ _lines(unit.shape[1], PROJECTIONS, 5)).T
+    # a window of a sorted list is a run of ranks; ranks and bounds are small numbers, so a list is counted for many queries at once
+    kind = np.uint16 if len(points) < 1 << 16 else np.uint32
+    rank, low, size = np.empty((PROJECTIONS, len(points)), kind), np.empty((PROJECTIONS, len(asks)), kind), np.empty((PROJECTIONS, len(asks)), kind)
+    for p, v in enumerate(value):
+        order = np.argsort(v[points], kind="stable")
+        ranked = v[points][order]
+        rank[p, order] = np.arange(len(points), dtype=kind)
+        low[p] = start = np.searchsorted(ranked, v[asks] - width, "left")
+        size[p] = np.searchsorted(ranked, v[asks] + width, "right") - start
     links: dict[int, int] = {}
     forest, group = [], np.arange(len(rep))
-    for i, q in enumerate(asks):
-        count = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(order, low[:, i], high[:, i], strict=True)]), minlength=len(rep))
-        found = np.flatnonzero(count >= least)
-        found = found[(found != q) & (unit[found] @ unit[q] >= cosine)]
-        if table and len(found):
-            found = found[~(cells[found, :table] == cells[q, :table]).any(1)]
-        if len(found):
-            links[int(rep[q])] = links.get(int(rep[q]), 0) + int(n[found].sum())
-            others = found[group[found] != group[q]]
-            for g, j in dict(zip(group[others].tolist(), others.tolist(), strict=True)).items():
-                if g != group[q]:
-                    forest.append((int(rep[q]), int(rep[j])))
-                    group[group == g] = group[q]
+    for s in range(0, len(asks), QUERIES):
+        count = np.zeros((len(asks[s : s + QUERIES]), len(points)), np.uint8)
+        for p in range(PROJECTIONS):
+            count += rank[p] - low[p, s : s + QUERIES, None] < size[p, s : s + QUERIES, None]
+        at, hit = np.nonzero(count >= least)
+        for q, hits in zip(asks[s : s + QUERIES], np.split(hit, np.searchsorted(at, np.arange(1, len(count)))), strict=True):
+            found = points[hits]
+            found = found[found != q]
+            found = found[unit[found] @ unit[q] >= cosine] if len(found) else found
+            if table and len(found):
+                found = found[~(cells[found, :table] == cells[q, :table]).any(1)]
+            if len(found):
+                links[int(rep[q])] = links.get(int(rep[q]), 0) + int(n[found].sum())
+                others = found[group[found] != group[q]]
+                for g, j in dict(zip(group[others].tolist(), others.tolist(), strict=True)).items():
+                    if g != group[q]:
+                        forest.append((int(rep[q]), int(rep[j])))
+                        group[group == g] = group[q]
     return links, forest
 
 
