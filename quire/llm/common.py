@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -16,6 +17,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+_held: list[dict] = []
+
+
+def release() -> None:
+    """Give freed memory of this process back to the system, as the other processes of an executor share its limit."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def only(*memos: dict) -> None:
+    """Empty the memos that other operators left in this Python worker, which Spark uses again for later stages."""
+    gone = [m for m in _held if not any(m is x for x in memos)]
+    _held[:] = memos
+    for m in gone:
+        m.clear()
+    if gone:
+        release()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir), also set as checkpoint folder.
 

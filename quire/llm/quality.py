@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import only
+
 SHAPES, WORDS, EXTRA = 128, 128, 8
 LEAST_STEPS, DROP = 600, 0.3
 WIDTH = SHAPES + WORDS + EXTRA
@@ -50,6 +52,7 @@ _looks = _Looks()
 
 def encode(texts: list[bytes], passage: int) -> tuple[np.ndarray, np.ndarray]:
     """(features of each passage, number of passages of each text); a text without words has one passage of zeros."""
+    only(_looks)
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     counts = np.maximum(1, -(-n // passage))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, only
 from quire.llm.graph import connected_components
 
 SEED = 42
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (id_col, fp): fp is the fingerprint as a signed long."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             got = np.array([fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)

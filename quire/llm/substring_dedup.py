@@ -17,14 +17,13 @@ The documents are shuffled once, by chunk; the three passes reread that exchange
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_bounds, range_of, text_bytes
+from quire.llm.common import id_bounds, only, range_of, release, text_bytes
 
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _ASK = "bucket int, chunk int, kind int, blob binary"
@@ -78,17 +77,22 @@ def _any_of(flags: np.ndarray, k: int, n: int) -> np.ndarray:
 
 
 class _Chunk:
-    """The documents of a chunk in ascending id, their words and block windows."""
+    """The documents of a chunk in ascending id, their word hashes and block windows."""
 
     def __init__(self, table: pa.Table, window: int, block: int, buckets: int):
+        only(_hash)
+        release()  # of the chunk before
         ids, texts = table.column("_id").to_pylist(), table.column("_text").cast(pa.binary()).to_pylist()
         self.window, self.block, self.buckets = window, block, buckets
         self.table = table
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-        self.order, self.words = order, [(texts[i] or b"").split() for i in order]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        # word objects outweigh the text many times, so they are held for one document at a time
+        self.order, self.texts = order, [texts[i] or b"" for i in order]
+        hashes = [np.fromiter(map(_hash.__getitem__, t.split()), np.uint64) for t in self.texts]
+        self.lengths = np.array([len(x) for x in hashes], np.int64)
         total = int(self.lengths.sum())
-        h = np.fromiter(map(_hash.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        del hashes
         doc = np.repeat(np.arange(len(order)), self.lengths)
         ends = np.cumsum(self.lengths)
         left = ends[doc] - np.arange(total) if total else np.zeros(0, np.int64)
@@ -255,7 +259,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = c.removed(replies)
         ids = table.column("_id").to_pylist()
         out, i = {"_id": [], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}, 0
-        for k, words in zip(c.order, c.words, strict=True):
+        for k, text in zip(c.order, c.texts, strict=True):
+            words = text.split()
             g = gone[i : i + len(words)]
             i += len(words)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from quire.llm.common import only
+
 #: White space other than space and newline, control separators, and the two marks that the cutting uses.
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01\x02"
 _ODD = _ODD_ASCII + "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -98,4 +100,5 @@ def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _open:
         _open[path] = Encoder(path)
+    only(_open[path].units, _open[path].pieces)
     return _open[path]
