@@ -7,6 +7,9 @@ piece once, and the ids are joined. Texts with white space for which that cut is
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
 
 from quire.llm.common import only
@@ -14,6 +17,7 @@ from quire.llm.common import only
 #: White space other than space and newline, control separators, and the two marks that the cutting uses.
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01\x02"
 _ODD = _ODD_ASCII + "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+_MARKS = ",.;:!?"
 _BREAKS = ("  ", "\n\n", " \n", "\n ")
 
 #: The pre-token patterns of the two tokenizer files.
@@ -23,12 +27,19 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _open: dict[str, Encoder] = {}
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level BPE files use for each byte: itself if printable Latin-1, else 256 and up."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
-    at = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return [at[b] for b in range(256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _packer(kind: np.dtype):
+    """Function from a short list of ids to their bytes of type `kind`; an array of the machine's own order is faster."""
+    code = "H" if kind.itemsize == 2 else "I"
+    if sys.byteorder == "little" and array(code).itemsize == kind.itemsize:
+        return lambda ids: array(code, ids).tobytes()
+    return lambda ids: np.array(ids, kind).tobytes()
 
 
 class _Units(dict):
@@ -59,18 +70,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.pack = _packer(self.kind)
         self.words = self.tokenizer.normalizer is not None  # white space is dropped
         self.cut = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.letters = _byte_letters()
+        self.gap = self.letters[0x20]
         self.pieces = _Units(self._piece, most)
         self.units = _Units(self._word if self.words else self._unit, most)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _tokens(self, shown: str) -> bytes:
+        return self.pack([t.id for t in self.model.tokenize(shown)])
+
     def _piece(self, piece: str) -> bytes:
-        shown = "".join([self.letters[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        return self._tokens(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a word of letters after a space; ASCII letters stand for themselves."""
+        return self._tokens(self.gap + word if word.isascii() else self.gap + word.encode().decode("latin-1").translate(self.letters))
 
     def _word(self, unit: str) -> bytes:
         low = unit.lower() if unit.isascii() else self.tokenizer.normalizer.normalize_str(unit)
@@ -80,7 +99,9 @@ class Encoder:
 
     def _unit(self, unit: str) -> bytes:
         if unit.isalpha():
-            return self._piece(" " + unit)
+            return self._spaced(unit)
+        if (word := unit[:-1]).isalpha() and unit[-1] in _MARKS:  # a word, then one piece
+            return self.units[word] + self.pieces[unit[-1]]
         text = unit[1:] if unit[:1] == "\x02" else "\n" if unit == "\x01" else " " + unit
         return b"".join([self.units[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.pieces[p] for p in self.cut(text)])
 
