@@ -307,6 +307,41 @@ def test_simhash_links_of_long_postings(spark, longest):
     assert {i: got.get(i, i) for i in ids.values()} == want
 
 
+@pytest.mark.parametrize("longest", [0, 3, 16])
+def test_jaccard_groups(spark, longest):
+    """Planted copies with every few words changed, a crowd of near copies of one text, a shared passage, equal and empty texts."""
+    from quire.llm.jaccard import near_groups, shingles, similarity
+
+    r = random.Random(8)
+    say = lambda n: [f"v{r.randint(0, 5000)}" for _ in range(n)]
+    changed = lambda w, n: [f"z{r.random()}" if i in at else x for at in [set(r.sample(range(len(w)), n))] for i, x in enumerate(w)]
+    texts, passage = [None, "", " ", "one two", "One  two", "x"], say(40)
+    for _ in range(60):
+        w = say(r.randint(40, 300))
+        texts += [" ".join(w), " ".join(changed(w, r.randint(1, max(1, len(w) // 25)))).upper()]
+    w = say(150)
+    texts += [" ".join(changed(w, r.randint(0, 4))) for _ in range(60)] + [" ".join(passage + say(r.randint(5, 60))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingles((t or "").encode()) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similarity(sets[a], sets[b]) >= 0.8]
+    assert sum(similarity(sets[a], sets[b]) < 0.9 for a, b in linked) > 20
+    got = {x.doc_id: x.component_id for x in near_groups(docs, "doc_id", longest=longest).collect()}
+    assert got == components(range(len(texts)), linked)
+    assert near_groups(docs.limit(0), "doc_id").count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    base = [f"v{r.randint(0, 3000)}" for _ in range(200)]
+    near = ["q" if i in (20, 60, 100, 140) else w for i, w in enumerate(base)]  # 20 of 196 shingles differ
+    far = ["q" if i % 10 == 0 else w for i, w in enumerate(base)]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in ((7, near), (3, base), (5, far))]
+    got = cp.neardup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(x.doc_id for x in got.collect()) == [3, 5]
+
+
 def test_warc_round_trip(spark):
     from quire.llm.warc import archive
 
