@@ -2,7 +2,8 @@
 
 A byte-level BPE never joins across the start of a white-space run, and a word BPE never across white space. So a text is
 cut there, each distinct unit is cut by the tokenizer's own pre-token pattern, the library's model encodes each distinct
-piece once, and the ids are joined. Texts with white space for which that cut is not exact go to the library whole.
+piece once, and the ids are joined. Texts with white space for which that cut is not exact, or with the content of an added
+token, which the library matches before it cuts, go to the library whole.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched in the text as it is
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.pack = _packer(self.kind)
@@ -108,7 +109,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
+        if any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)) or any(a in text for a in self.added):
             return self.whole(text)
         if self.words:
             return b"".join(map(self.units.__getitem__, text.split()))

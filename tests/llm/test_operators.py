@@ -119,6 +119,21 @@ def test_encoder_equals_the_library():
             assert e.ids(t) == e.whole(t), repr(t)
 
 
+def test_encoder_matches_added_tokens():
+    from tokenizers import Tokenizer
+
+    from quire.llm.tokens import encoder
+
+    r = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "one", " ", "\n", "é", "W", " two", ".", "  "]
+    for name, want in (("byte_bpe_50k.json", [505, 220, 50256, 734]), ("word_bpe_49k.json", [637, 49407, 1237])):
+        e, library = encoder(path(name)), Tokenizer.from_file(path(name))
+        assert np.frombuffer(e.ids("one <|endoftext|> two"), e.kind).tolist() == want
+        for _ in range(2000):
+            t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+            assert np.frombuffer(e.ids(t), e.kind).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_best_fit_decreasing():
     from quire.llm.sharding import best_fit_decreasing
 
