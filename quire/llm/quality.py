@@ -2,7 +2,8 @@
 
 A document is a bag of passages of `passage` words, all of them, the last one shorter. Each passage is encoded from what its words look like
 (shape, hashed identity, repeats, lengths) by a learned layer; gated attention weighs the passages; the weighted sum is
-scored. Only documents have labels. Labels, language, source and ids are no inputs of a score.
+scored. Only documents have labels. Labels, language, source and ids are no inputs of a score. A word of over `PIECE`
+characters, as in texts without ASCII white space, counts as its pieces of that length, so all of it enters the passages.
 
 Fitting takes at most `most` labelled documents, in the order of a hash of their id, and at most `most_passages` evenly spaced passages of
 each. That bounds the driver's part at any input size; scoring reads every passage of every document.
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import only
 
 SHAPES, WORDS, EXTRA = 128, 128, 8
-LEAST_STEPS, DROP = 600, 0.3
+LEAST_STEPS, DROP, PIECE = 600, 0.3, 200
 WIDTH = SHAPES + WORDS + EXTRA
 _runs = re.compile(r"(.)\1+")
 
 
 def _shape(word: str) -> str:
     """Letters as a or A, digits as 9, other characters as they are; runs once."""
-    return _runs.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:200]))
+    return _runs.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 class _Looks(dict):
@@ -42,18 +43,29 @@ class _Looks(dict):
         if len(self) >= 300_000:
             self.clear()
         text = word.decode()
-        letters = sum(map(str.isalpha, text[:200]))
-        got = self[word] = (xxhash.xxh32_intdigest(_shape(text).encode()) % SHAPES) | (xxhash.xxh32_intdigest(word.lower()) % WORDS) << 8 | min(len(text), 255) << 16 | round(100 * letters / min(len(text), 200)) << 24
+        letters = sum(map(str.isalpha, text))
+        got = self[word] = (xxhash.xxh32_intdigest(_shape(text).encode()) % SHAPES) | (xxhash.xxh32_intdigest(word.lower()) % WORDS) << 8 | min(len(text), 255) << 16 | round(100 * letters / len(text)) << 24
         return got
 
 
 _looks = _Looks()
 
 
+def _words(text: bytes) -> list[bytes]:
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        t = w.decode() if len(w) > PIECE else ""
+        out += [t[i : i + PIECE].encode() for i in range(0, len(t), PIECE)] or [w]
+    return out
+
+
 def encode(texts: list[bytes], passage: int) -> tuple[np.ndarray, np.ndarray]:
     """(features of each passage, number of passages of each text); a text without words has one passage of zeros."""
     only(_looks)
-    words = [t.split() for t in texts]
+    words = [_words(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     counts = np.maximum(1, -(-n // passage))
     total = int(n.sum())

@@ -252,6 +252,24 @@ def test_quality(spark):
     assert score(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_reads_long_words_to_their_end():
+    from quire.llm.quality import encode, train
+
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("日本語の文章を読みます川石緑") for _ in range(n))
+    junk = lambda n: "".join(r.choice("日本@#9$%0") for _ in range(n))
+    texts, y = [], []
+    for i in range(200):
+        start, end = say(200), [junk, say][i % 2]
+        texts.append((start + end(r.randint(300, 4000))).encode())
+        y.append(float(i % 2))
+    x, counts = encode(texts, 64)
+    at = int(counts[:120].sum())
+    model = train(x[:at], counts[:120], np.array(y[:120], np.float32))
+    assert np.mean((model.scores(x[at:], counts[120:]) >= 0.5) == np.array(y[120:])) >= 0.95
+    assert encode([("é" * 200 * 65).encode()], 64)[1].tolist() == [2]
+
+
 def test_attention_gradients():
     from quire.llm.quality import WIDTH, train
 
