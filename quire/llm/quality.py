@@ -5,8 +5,9 @@ A document is a bag of passages of `passage` words, all of them, the last one sh
 scored. Only documents have labels. Labels, language, source and ids are no inputs of a score. A word of over `PIECE`
 characters, as in texts without ASCII white space, counts as its pieces of that length, so all of it enters the passages.
 
-Fitting takes at most `most` labelled documents, in the order of a hash of their id, and at most `most_passages` evenly spaced passages of
-each. That bounds the driver's part at any input size; scoring reads every passage of every document.
+Fitting takes at most `most` labelled documents, in the order of a hash of their id, each with all its passages, as far as
+`most_passages` hold: a document that no longer fits is not learned from. That bounds the driver's part at any input size;
+scoring reads every passage of every document.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import only
+from quire.llm.common import cut, only
 
 SHAPES, WORDS, EXTRA = 128, 128, 8
 LEAST_STEPS, DROP, PIECE = 600, 0.3, 200
@@ -163,7 +164,7 @@ def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 32, ga
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, most_passages: int = 24, passage: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, most_passages: int = 100_000, passage: int = 64) -> Model:
     """A model from labelled documents. Rows without id or label are not used. most, most_passages: see above."""
     pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("float").alias("_y"))
     pick = pick.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
@@ -171,20 +172,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, counts = encode([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], passage)
-            start = np.cumsum(counts) - counts
-            rows = []
-            for s, n in zip(start, counts, strict=True):
-                part = x[s : s + n]
-                if n > most_passages:
-                    part = part[np.linspace(0, n - 1, most_passages).astype(int)]
-                rows.append(part.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["_id", "_y", "x"])
+            ends = np.cumsum(counts)
+            rows = [x[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], names=["_id", "_y", "n", "x"])
 
     text = docs.select(F.col(id_col).alias("_d"), text_col)
     joined = text.join(F.broadcast(pick), F.col("_d") == F.col("_id")).select("_id", "_y", text_col)  # at most `most` rows of two numbers
     kind = dict(pick.dtypes)["_id"]
     # an id with several texts is taken once
-    rows = joined.mapInArrow(features, f"_id {kind}, _y float, x binary").groupBy("_id").agg(F.min(F.struct("x", "_y")).alias("r")).select("_id", "r.*").collect()
+    bags = cut(joined.mapInArrow(features, f"_id {kind}, _y float, n bigint, x binary").groupBy("_id").agg(F.min(F.struct("x", "_y", "n")).alias("r")).select("_id", "r.*"))
+    total, over = 0, []
+    for r in bags.select("_id", "n", F.xxhash64("_id").alias("h")).orderBy("h", "_id").collect():  # at most `most` rows of three numbers
+        if total + r["n"] > most_passages:
+            over.append(r["_id"])
+        else:
+            total += r["n"]
+    rows = (bags.where(~F.col("_id").isin(over)) if over else bags).select("_id", "x", "_y").collect()
     rows.sort(key=lambda r: str(r["_id"]))
     x = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
     counts = np.array([len(p) for p in x], np.int64)

@@ -252,6 +252,20 @@ def test_quality(spark):
     assert score(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_learns_from_all_passages(spark, monkeypatch):
+    from quire.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, counts, y: seen.append((x, counts, y)))
+    data = [(i, "w " * 64 * n) for i, n in enumerate([1, 60, 3, 30, 0, 500])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, most_passages=100)
+    assert seen[0][1].tolist() == [1, 60, 3, 30, 1, 500] and len(seen[0][0]) == 595
+    assert sorted(seen[1][1].tolist()) == [1, 1, 3, 30, 60]  # whole documents only
+
+
 def test_quality_reads_long_words_to_their_end():
     from quire.llm.quality import encode, train
 
