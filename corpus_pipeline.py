@@ -22,6 +22,11 @@ from quire.llm.substring_dedup import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, as ids may be null or repeat; numbers are fixed by a checkpoint."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score of 0.7 or more."""
     scored = quality_scores(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,27 +34,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each group; documents without id stay."""
-    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    """Keeps the document of smallest id in each group, whole rows even where ids are null (last) or repeat."""
+    rows = _rows(docs)
     groups = near_groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("_first")).where("_n > 1")
-    gone = groups.join(first, "component_id").where("_row <> _first._row and doc_id is not null").select("_row")
+    gone = groups.join(first, "component_id").where("_row <> _first._row").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated words. Texts without repeats stay as they are; documents of which nothing is left go."""
-    found = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce(F.col("kept_text"), F.col("text"))
-    out = joined.where(F.col("kept_text").isNull() | (F.col("kept_text") != "")).withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    found = remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
+    less = F.col("n_removed") > 0
+    out = found.where(~less | (F.col("kept_text") != "")).withColumn("text", F.when(less, F.col("kept_text")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(less, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents without words are in no mix."""
-    times = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = _rows(docs)
+    times = mix(rows, row_col="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    joined = rows.join(times, "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 

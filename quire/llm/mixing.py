@@ -46,15 +46,17 @@ def targets(sources: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 20_000, slices: int = 2048) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 20_000, slices: int = 2048, row_col: str | None = None) -> DataFrame:
     """Rows (id_col, source, size, source_size, target, taken), one a document; taken = words the mix takes, repeats counted.
 
     Weights are 1, 2, 3, repeating, over sources by code point, null last. A document is taken 0 to `most` times. Null or empty text: size
     0, taken 0. Rows of equal id and text are ordered by the same hash; which of them is taken first makes no difference to the
-    result. Null ids are mixed like any other. An empty table gives an empty result. Other columns are not read.
+    result. Null ids are mixed like any other. An empty table gives an empty result. row_col: a column
+    that tells rows apart where ids do not; it follows in the result. Other columns are not read.
     """
+    own = [F.col(row_col).alias("_own")] if row_col else []
     key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key")
-    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key))
+    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key, *own))
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()))
     weighed = counts.withColumn("_weight", (rank - 1) % 3 + 1)
@@ -67,9 +69,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = dealt.groupBy("source", "_cell").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_cell").orderBy("_key", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_cell").orderBy("_key", F.col("_id").asc_nulls_first(), "size", *(["_own"] if row_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("_run", F.sum("size").over(inside)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    run = cut(run.select("_id", "source", "size", "source_size", "target", "_key", (F.col("_base") + F.col("_run") - F.col("size") / 2).alias("_end")))
+    run = cut(run.select(*(["_own"] if row_col else []), "_id", "source", "size", "source_size", "target", "_key", (F.col("_base") + F.col("_run") - F.col("size") / 2).alias("_end")))
     passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")
     ends = run.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", passes)
     ends = ends.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_end")) / F.col("target"))
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # taken: all passes that finish by the last document that the budget holds whole
     n = sum((F.when(x, 1).otherwise(0) for x in _passes(most, slices, at, last)), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), n * F.col("size")).otherwise(0).cast("long")
-    return run.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    return run.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), *([F.col("_own").alias(row_col)] if row_col else []))
 
 
 def _passes(most: int, slices: int, at: int, last: float | None) -> list[Column]:

@@ -223,14 +223,15 @@ def _answer(table):
     return _rows(out, _TOLD)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that lie in a window of `window` words which also starts in a document of smaller id.
 
     Result, one row a document: id_col, n_words long, n_removed long, spans array<struct<start int, end int>> (maximal
     repeats, in words), kept_text string (kept words joined by one space). window must be odd.
 
     Null text: no words. Null id: the row stays whole and is no reference. Rows of equal id are no reference for each
-    other. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Other columns are not read.
+    other. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Columns named in carry follow
+    in the result, each row's own also where ids repeat; others are not read.
     chunk_bytes bounds the text that a task holds; raise it with the square root of the input, so that a chunk's entry
     for a bucket stays worth its header.
     """
@@ -239,7 +240,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block, id_type = (window + 1) // 2, dict(docs.dtypes)[id_col]
     total = text_bytes(docs, text_col)
     n_chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    from_docs = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
+    more = [F.col(c).alias(x) for c, x in from_docs.items() if x != "_text"]
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
     chunk = range_of(F.col("_id"), id_bounds(d, "_id", n_chunks))
     spread = F.pmod(F.xxhash64("_text"), F.lit(n_chunks)).cast("int")  # rows without id are no reference: any chunk serves
     keyed = d.withColumn("chunk", F.when(F.col("_id").isNull(), spread).otherwise(chunk)).repartition(n_chunks, "chunk")
@@ -268,12 +271,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for name, v in zip(out, (ids[k], len(words), int(g.sum()), [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)], kept.decode()), strict=True):
                 out[name].append(v)
         kinds = {"_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "kept_text": pa.string()}
-        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
+        carried = {f"_out{i}": table.column(x).take(pa.array(c.order, pa.int64())) for i, x in enumerate(from_docs.values())}
+        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()} | carried)
 
     asked = keyed.groupBy("chunk").applyInArrow(first, _ASK)
     told = asked.groupBy("bucket").applyInArrow(_answer, _TOLD)
     asked = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(second, _ASK)
     both = told.unionByName(asked.groupBy("bucket").applyInArrow(_answer, _TOLD))
-    schema = "_id long, n_words long, n_removed long, spans array<struct<start int, end int>>, kept_text string"
+    schema = "_id long, n_words long, n_removed long, spans array<struct<start int, end int>>, kept_text string" + "".join(f", _out{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(carry))
     out = keyed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(third, schema)
-    return out.select(F.col("_id").cast(id_type).alias(id_col), "n_words", "n_removed", "spans", "kept_text")
+    return out.select(F.col("_id").cast(id_type).alias(id_col), "n_words", "n_removed", "spans", "kept_text", *[F.col(f"_out{i}").alias(x) for i, x in enumerate(carry)])

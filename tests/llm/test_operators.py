@@ -493,3 +493,24 @@ def test_pipeline(spark, tmp_path):
     copies = kept["mix"].groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert copies <= 3
     assert {x.doc_id for x in kept["pack"].select("doc_id").distinct().collect()} == {x.doc_id for x in kept["mix"].select("doc_id").distinct().collect()}
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    import corpus_pipeline as cp
+
+    r = random.Random(10)
+    say = lambda n: " ".join(f"v{r.randint(0, 3000)}" for _ in range(n))
+    same, lone, passage = say(50), say(40), say(20)
+    texts = [(7, same), (7, same), (7, same), (None, same), (None, lone), (None, lone), (None, lone), (None, say(30)), (9, say(30)), (9, say(60)), (1, passage), (9, say(10) + " " + passage), (9, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = cp.neardup(spark, docs, "").collect()
+    assert Counter((x.doc_id, x.text) for x in near) == Counter({k for k in texts if k not in ((None, same), (9, passage))})
+    lines = [(i, t) for i, t in texts if t not in (same, lone)]
+    kept = cp.repeats(spark, docs.where(~F.col("text").isin(same, lone)), "").collect()
+    want = [(i, " ".join(t.split()[:10]) if t.endswith(passage) and i == 9 else t) for i, t in lines if (i, t) != (9, passage)]
+    assert Counter((x.doc_id, x.text, x.n_chars) for x in kept) == Counter((i, t, len(t)) for i, t in want)
+    mixed = Counter((x.doc_id, x.text) for x in cp.mixed(spark, docs, "").collect())
+    assert max(mixed[k] / n for k, n in Counter(texts).items()) <= 3
+    assert abs(sum(len(t.split()) * n for (_, t), n in mixed.items()) - sum(len(t.split()) for _, t in texts)) <= 60
