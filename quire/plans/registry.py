@@ -132,7 +132,7 @@ cols("fn_page_title", "documents", "doc_id", lambda: {"title": fn.page_title(F.w
 cols("fn_facts", "books", "uid", lambda: {"facts": F.array_join(F.transform(fn.facts(("language", F.col("language")), ("chapters", F.col("ord")), ("size", fn.file_size(F.col("epub_size")))), lambda x: F.concat(x["label"], F.lit("="), x["value"])), ";")}, {"facts": "'language=' || language || CASE WHEN ord = 0 THEN '' ELSE ';chapters=' || ord END || ';size=' || CASE WHEN epub_size < 1048576 THEN greatest(1, (epub_size * 2 + 1024) // 2048) || ' KB' ELSE ((epub_size * 20 + 1048576) // 2097152) // 10 || '.' || ((epub_size * 20 + 1048576) // 2097152) % 10 || ' MB' END"})
 on("blocks", "fn_contents_line", f", {NO_BLOCKS} SELECT doc_id, headings || ' headings, ' || paragraphs || ' paragraphs' AS line FROM counts", lambda b: bl.counts(b).select("doc_id", F.concat(F.col("headings").cast("string"), F.lit(" headings, "), F.col("paragraphs").cast("string"), F.lit(" paragraphs")).alias("line")))
 cols("fn_has_pdf", "pages", "page_id", lambda: {"has_pdf": F.col("url") != ""}, {"has_pdf": "url <> ''"})
-on("documents", "fn_slug", None, lambda d: d.select("doc_id", fn.slug(F.substring("text", 1, 60)).alias("slug")))
+on("documents", "fn_slug", None, lambda d: d.select("doc_id", fn.slug(F.col("text")).alias("slug")))
 RUNS = r"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS run, piece AS text, italic, bold FROM (
  SELECT page_id, n, piece, coalesce(last_value(CASE WHEN n % 2 = 1 AND piece IN ('i>', '/i>') THEN piece = 'i>' END IGNORE NULLS) OVER w, false) AS italic,
   coalesce(last_value(CASE WHEN n % 2 = 1 AND piece IN ('b>', '/b>') THEN piece = 'b>' END IGNORE NULLS) OVER w, false) AS bold, n % 2 = 1 AND regexp_matches(piece, '^/?[ib]>$') AS tag

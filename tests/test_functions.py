@@ -145,3 +145,10 @@ def test_streams_equal_batch(spark, tmp_path):
     q = st.hourly_totals(stream, 1).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.accepted for r in spark.table("totals").collect()) == sum(r.accepted for r in pr.hourly_totals(df, 1).collect())
+
+
+def test_slug_query_reads_whole_texts(spark, tmp_path):
+    from quire.plans import registry
+
+    spark.createDataFrame([(1, "word " * 40 + "Ａ end!")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.QUERIES["fn_slug"](spark, str(tmp_path)).first().slug == "word-" * 40 + "a-end.epub"
