@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Inside a source, documents stand in a shuffled order (by a seeded hash). A document's virtual finish time is the source's
-words up to it, divided by the source's target; repeats are further passes over the same order. All documents are
-then ordered by finish time and the mix is cut where its words reach the total budget. A document's own words count by half
-in its finish time, so that a source ends at most about half a document above or below its target, not a whole one below.
+words up to it, divided by the source's target; repeats are further passes over the same order. All passes are range-sorted by
+(finish time, source) and the sequence is cut before the first document that exceeds the total budget. A document's own words
+count by half in its finish time, so that a source ends at most about half a document above or below its target, not a whole one below.
 
 Neither a source nor the mix is ever ordered in one task. A source has cells of about `cell_rows` documents by its shuffle
-hash; running sums go over cells first, then inside a cell. The cut is found over `slices` of virtual time first, then inside
-the one slice that holds it.
+hash; running sums go over cells first, then inside a cell. The sequence lies in ranges of about `range_rows` passes; the cut is found
+by the ranges' sums (one row a range), then inside the one range that holds it.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ def targets(sources: DataFrame, weight: Column, most: float = 3.0) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 20_000, slices: int = 2048, row_col: str | None = None) -> DataFrame:
-    """Rows (id_col, source, size, source_size, target, taken), one a document; taken = words the mix takes, repeats counted.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 5_000, range_rows: int = 1_000_000, row_col: str | None = None) -> DataFrame:
+    """Rows (id_col, source, size, source_size, target, taken, finish), one a document; taken = words the mix takes, repeats counted.
+    finish: virtual time of its first pass (null without words); pass p follows p * source_size / target later.
 
     Weights are 1, 2, 3, repeating, over sources by code point, null last. A document is taken 0 to `most` times. Null or empty text: size
     0, taken 0. Rows of equal id and text are ordered by the same hash; which of them is taken first makes no difference to the
@@ -59,11 +60,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key, *own))
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()))
-    weighed = counts.withColumn("_weight", (rank - 1) % 3 + 1)
+    weighed = counts.withColumn("_rank", rank).withColumn("_weight", (F.col("_rank") - 1) % 3 + 1)
     goal = targets(weighed, F.col("_weight"), float(most)).withColumnRenamed("source", "_s").withColumnRenamed("source_size", "_size")
-    stats = counts.join(goal, counts.source.eqNullSafe(F.col("_s"))).select("source", "source_size", "target", F.ceil(F.col("_rows") / cell_rows).alias("_cells"))
+    stats = weighed.join(goal, weighed.source.eqNullSafe(F.col("_s"))).select("source", "source_size", "target", "_rank", F.ceil(F.col("_rows") / cell_rows).alias("_cells"))
     stats = cut(stats)  # one row a source
-    name = stats.select(F.col("source").alias("_s"), "source_size", "target", "_cells")
+    name = stats.select(F.col("source").alias("_s"), "source_size", "target", "_rank", "_cells")
     u = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     dealt = rows.join(name, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_cell", F.floor(u * F.col("_cells")))
     cells = dealt.groupBy("source", "_cell").agg(F.sum("size").alias("_sum"))
@@ -71,33 +72,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.select(F.col("source").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("source", "_cell").orderBy("_key", F.col("_id").asc_nulls_first(), "size", *(["_own"] if row_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("_run", F.sum("size").over(inside)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    run = cut(run.select(*(["_own"] if row_col else []), "_id", "source", "size", "source_size", "target", "_key", (F.col("_base") + F.col("_run") - F.col("size") / 2).alias("_end")))
-    passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")
-    ends = run.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", passes)
-    ends = ends.withColumn("_finish", (F.col("_pass") * F.col("source_size") + F.col("_end")) / F.col("target"))
-    ends = ends.withColumn("_slice", F.floor(F.col("_finish") * slices)).where(F.col("_slice") <= 2 * slices)
-    by_slice = ends.groupBy("_slice").agg(F.sum("size").alias("_sum"))  # at most 2 * slices + 1 rows
-    budget = rows.agg(F.sum("size")).first()[0] or 0
-    reached = by_slice.withColumn("_to", F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_slice")))
-    full = reached.where(F.col("_to") <= budget).agg(F.max("_slice"), F.max("_to")).first()
-    at, used = (full[0] if full[0] is not None else -1), full[1] or 0
-    part = reached.where(F.col("_to") > budget).agg(F.min("_slice")).first()[0]
-    order = Window.partitionBy(F.lit(0)).orderBy("_finish", F.col("source").asc_nulls_last(), "_key", F.col("_id").asc_nulls_first())
-    last = None
-    if part is not None:
-        edge = ends.where(F.col("_slice") == part).withColumn("_to", F.sum("size").over(order) + used)
-        last = edge.where(F.col("_to") <= budget).agg(F.max("_finish")).first()[0]
-    # taken: all passes that finish by the last document that the budget holds whole
-    n = sum((F.when(x, 1).otherwise(0) for x in _passes(most, slices, at, last)), F.lit(0))
-    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), n * F.col("size")).otherwise(0).cast("long")
-    return run.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), *([F.col("_own").alias(row_col)] if row_col else []))
-
-
-def _passes(most: int, slices: int, at: int, last: float | None) -> list[Column]:
-    """For each pass: is the row's finish time before the cut."""
-    out = []
-    for p in range(most):
-        finish = (p * F.col("source_size") + F.col("_end")) / F.col("target")
-        whole = F.floor(finish * slices) <= at
-        out.append(whole if last is None else whole | (finish <= last))
-    return out
+    own = ["_own"] if row_col else []
+    run = cut(run.select(*own, "_id", "source", "size", "source_size", "target", "_rank", (F.col("_base") + F.col("_run") - F.col("size") / 2).alias("_end")))
+    live = (F.col("size") > 0) & (F.col("target") > 0)
+    finish = [(p * F.col("source_size") + F.col("_end")) / F.col("target") for p in range(most)]
+    passes = run.where(live).select("size", "_rank", F.explode(F.array(*finish)).alias("_finish"))
+    budget, n = run.agg(F.sum("size"), F.count("*")).first()
+    last = _last_whole(passes, budget or 0, max(1, -(-n * most // range_rows)))
+    # taken: all passes up to the last that the budget holds whole; (finish, source) is never the same for two of them
+    before = [F.lit(False) if last is None else (f < last[0]) | ((f == last[0]) & (F.col("_rank") <= last[1])) for f in finish]
+    taken = F.when(live, sum((b.cast("int") for b in before), F.lit(0)) * F.col("size")).otherwise(0).cast("long")
+    return run.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), F.when(live, finish[0]).alias("finish"), *([F.col("_own").alias(row_col)] if row_col else []))
+
+
+def _last_whole(passes: DataFrame, budget: int, ranges: int) -> tuple[float, int] | None:
+    """(finish, source rank) of the last pass that ends within the budget when all stand in order; None: not even the first."""
+    ranges = max(ranges, int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(passes.repartitionByRange(ranges, "_finish", "_rank").withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum("size").alias("_sum"))  # one row a range
+    sums = sums.withColumn("_to", F.sum("_sum").over(Window.orderBy("_range")))
+    edge = sums.where(F.col("_to") > budget).agg(F.min("_range")).first()[0]
+    if edge is None:
+        return dealt.agg(F.max(F.struct("_finish", "_rank"))).first()[0]
+    used = sums.where(F.col("_range") < edge).agg(F.max("_to")).first()[0] or 0
+    inside = dealt.where(F.col("_range") == edge).withColumn("_to", F.sum("size").over(Window.partitionBy("_range").orderBy("_finish", "_rank")) + used)
+    got = inside.where(F.col("_to") <= budget).agg(F.max(F.struct("_finish", "_rank"))).first()[0]
+    return got or (dealt.where(F.col("_range") < edge).agg(F.max(F.struct("_finish", "_rank"))).first()[0] if edge else None)
