@@ -1,21 +1,21 @@
 """SimHash near-dedup by an inverted index over byte positions, with count filtering.
 
-A 64-bit fingerprint has 8 positional bytes. Two fingerprints that differ in at most d <= 2 bits share at least 8 - d of
-them. The index's postings are keyed by two of the four 16-bit pairs of positions (6 keys a fingerprint): of
-at least 6 shared bytes, two whole pairs agree, so no link is lost, and a posting is short where single bytes would
-hold a 256th of all rows. For each pair in a posting the shared positional bytes are tallied; pairs with at least 8 - d are
-kept, then verified by their differing bits. Equal fingerprints are one row beforehand.
-
-Postings longer than `longest` are not paired. Their members link exactly through points of the Hamming space: two
-fingerprints are within 2 bits just if some point is within 1 bit of both, so each member visits its 65 points, and
-members that meet in a point form a star. Rows there grow with the members, not with their square.
+A 64-bit fingerprint has 8 positional bytes. Two fingerprints that differ in at most d bits share at least 8 - d of
+them, the guaranteed minimum. The index has a posting for each position and byte. A pair with at least 8 - d shared positions
+has its first one among positions 0 to d, so each fingerprint enters d + 1 postings and no link is lost. In a posting the shared
+positional bytes of each pair are tallied; pairs that reach the minimum are kept, then verified by their differing bits.
+Equal fingerprints are one row beforehand.
+
+A posting of more than `longest` members (a byte that is common, or many documents) is split by the next shared position:
+if k positions are shared so far, the next is among the positions after them up to k + d, by the same count. A pair then meets
+in the posting of its first k shared positions, whatever k is; at 8 - d positions a posting holds at most 256^d
+fingerprints, so its size has a bound without any cap. Every split goes through the same tally and the same verification.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-from itertools import combinations
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,43 +48,95 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            got = np.array([fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=[id_col, "fp"])
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                b = whole.slice(i, 256)
+                got = np.array([fingerprint(t.as_py() or b"", size) for t in b.column(1).cast(pa.binary())], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=[id_col, "fp"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, fp bigint")
 
 
-def _byte(col: str, i: int):
-    return F.shiftrightunsigned(F.col(col), 8 * i).bitwiseAND(F.lit(255))
-
+def tally(fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint i of a posting with links: (i, the linked j > i), by shared positional bytes, then by differing bits."""
+    n, least = len(fps), 8 - bits
+    at = np.ascontiguousarray(fps.view(np.uint8).reshape(n, 8).T)
+    step = max(1, (1 << 22) // n)
+    for s in range(0, n, step):
+        shared = np.zeros((min(step, n - s), n - s), np.uint8)
+        for column in at:
+            shared += column[s : s + step, None] == column[None, s:]
+        q, j = np.nonzero(shared >= least)
+        near = (j > q) & (np.bitwise_count(fps[s + q] ^ fps[s + j]) <= bits)
+        q, j = q[near] + s, j[near] + s
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        yield from zip(q[first].tolist(), np.split(j, first[1:]), strict=True) if len(q) else ()
+
+
+def _forest(fps: np.ndarray, reps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Edges that join what is linked in a posting; no more than its members."""
+    out, group = [], np.arange(len(fps))
+    for i, linked in tally(fps, bits):
+        for g, j in dict(zip(group[linked].tolist(), linked.tolist(), strict=True)).items():
+            if g != group[i]:
+                out.append((int(reps[i]), int(reps[j])))
+                group[group == g] = group[i]
+    return out
+
+
+def links(classes: DataFrame, bits: int = 2, longest: int = 2048) -> DataFrame:
+    """Edges (a, b) of representatives; classes: fp, rep, distinct fp. Same components as all pairs within `bits` (0 to 7) bits.
+
+    Only edges that join what was apart in a posting leave it, not each link.
+    """
+    least = 8 - bits
+
+    def deeper(rows: DataFrame, shared: int) -> DataFrame:
+        """Postings by one more position after `last`, up to the highest that a pair of the minimum can need."""
+        child = rows.select("fp", "rep", "places", "bytes", F.explode(F.sequence(F.col("last") + 1, F.lit(shared + bits))).alias("last"))
+        return child.select("fp", "rep", "last", F.expr("places | shiftleft(1, last)").alias("places"), F.expr("bytes | (fp & shiftleft(255L, 8 * last))").alias("bytes"))
+
+    key = ["places", "bytes"]
+    posts, ready = deeper(classes.select("fp", "rep", F.lit(0).alias("places"), F.lit(0).cast("long").alias("bytes"), F.lit(-1).alias("last")), 0), []
+    for shared in range(1, least + 1):
+        posts = cut(posts)
+        if shared == least:
+            ready.append(posts)
+            break
+        long = cut(posts.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > longest).select(*key))  # few: a row for over `longest` rows
+        if long.isEmpty():
+            ready.append(posts)
+            break
+        ready.append(posts.join(long, key, "left_anti"))
+        posts = deeper(posts.join(long, key, "left_semi"), shared)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        open_key, fps, reps = None, [], []
 
-def links(classes: DataFrame, bits: int = 2, longest: int = 16) -> DataFrame:
-    """Edges (a, b) of representatives whose fingerprints differ in at most `bits` <= 2 bits; classes: fp, rep, distinct fp.
+        def closed() -> Iterator[pa.RecordBatch]:
+            found = _forest(np.concatenate(fps).view(np.uint64), np.concatenate(reps), bits) if sum(map(len, fps)) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    Edges from long postings are stars with the same components as the links, not each link.
-    """
-    masks = [sum(0xFFFF << (16 * p) for p in pair) for pair in combinations(range(4), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    posts = classes.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.*")
-    lengths = posts.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(posts.join(lengths, ["table", "key"]))
-    short = shared.where(F.col("n") <= longest)
-    pairs = short.alias("x").join(short.alias("y"), ["table", "key"]).where("x.fp < y.fp").select(F.col("x.fp").alias("p"), F.col("y.fp").alias("q"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    tally = sum((_byte("p", i) == _byte("q", i)).cast("int") for i in range(8))
-    near = pairs.where(tally >= 8 - bits).where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= bits).select("a", "b")
-    one = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(m) for m in one])
-    if bits < 2:
-        raise ValueError("long postings need bits = 2")
-    members = shared.where(F.col("n") > longest).select("fp", "rep").distinct()
-    at = members.select("rep", F.explode(points).alias("point"))
-    centre = at.groupBy("point").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = at.join(centre, "point").where("rep <> a").select("a", F.col("rep").alias("b"))
-    return near.unionByName(stars).distinct()
+        for b in batches:
+            places, bytes_, fp, rep = (b.column(c).to_numpy() for c in ("places", "bytes", "fp", "rep"))
+            new = np.flatnonzero((np.diff(places, prepend=-1) != 0) | (np.diff(bytes_, prepend=0) != 0))
+            ends = [*new[new > 0].tolist(), len(fp)]
+            start = 0
+            for end in ends:
+                if (now := (places[start], bytes_[start])) != open_key:
+                    yield from closed()
+                    open_key, fps, reps = now, [], []
+                fps.append(fp[start:end])
+                reps.append(rep[start:end])
+                start = end
+        yield from closed()
+
+    dealt = reduce(DataFrame.unionByName, [r.select(*key, "fp", "rep") for r in ready])
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(join, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bits: int = 2) -> DataFrame:

@@ -134,6 +134,24 @@ def test_encoder_matches_added_tokens():
             assert np.frombuffer(e.ids(t), e.kind).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_characters():
+    """Every character that the encoder cuts itself, in several places, and random mixes with any others."""
+    from tokenizers import Tokenizer
+
+    from quire.llm.tokens import PLAIN, encoder
+
+    plain = [chr(x) for a, b in PLAIN for x in range(a, b + 1)]
+    r = random.Random(13)
+    texts = [f.format(c) for c in [*map(chr, range(128)), *plain] for f in ("a{0}b {0}{0} 1{0},{0} x{0}", "{0}")]
+    pick = lambda: r.choice(plain) if r.random() < 0.4 else r.choice(" aB1,.'\n  s") if r.random() < 0.97 else chr(r.randint(1, 0xD7FF))
+    texts += ["".join(pick() for _ in range(r.randint(0, 30))) for _ in range(10_000)]
+    texts += ["a\u0558b", "\u088f x", "1\u0c5c", "\u208f", "x\U0001f6ff\U00030000"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, library = encoder(path(name)), Tokenizer.from_file(path(name))
+        bad = [t for t in texts if np.frombuffer(e.ids(t), e.kind).tolist() != library.encode(t, add_special_tokens=False).ids]
+        assert not bad
+
+
 def test_best_fit_decreasing():
     from quire.llm.sharding import best_fit_decreasing
 
@@ -197,6 +215,44 @@ def test_mix(spark, docs, data, empty):
     assert mix(with_null_id(spark, data)).count() == len(data) + 2
 
 
+def queue(rows, most=3):
+    """Taken words of each row (id, source, size) by a plain queue in one list."""
+    import hashlib
+
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    by = {s: [r for r in rows if r[1] == s] for s in names}
+    size = {s: sum(r[2] for r in by[s]) for s in names}
+    level = lambda capped: (sum(size.values()) - sum(most * size[s] for s in capped)) / max(1, sum(k % 3 + 1 for k, s in enumerate(names) if s not in capped))
+    capped: set = set()
+    while more := {s for k, s in enumerate(names) if s not in capped and level(capped) * (k % 3 + 1) > most * size[s]}:
+        capped |= more
+    line = []
+    for k, s in enumerate(names):
+        target, run = float(most * size[s]) if s in capped else level(capped) * (k % 3 + 1), 0
+        for i, _, n in sorted(by[s], key=lambda r: (hashlib.md5(f"mix-1{r[0]}".encode()).hexdigest(), r[0])):
+            run += n
+            line += [((p * size[s] + run - n / 2) / target, k, i, n) for p in range(most) if n]
+    taken, total = dict.fromkeys((r[0] for r in rows), 0), 0
+    for _, _, i, n in sorted(line):
+        total += n
+        if total > sum(size.values()):
+            break
+        taken[i] += n
+    return taken
+
+
+@pytest.mark.parametrize(("sources", "per", "words"), [(8, 7, 1), (13, 8, 1), (5, 40, 9), (1, 3, 4), (3, 1, 50)])
+def test_mix_equals_a_plain_queue(spark, sources, per, words):
+    from quire.llm.mixing import mix
+
+    r = random.Random(sources)
+    rows = [(i, f"s{i % sources}" if i % sources else None, 1 if words == 1 else r.randint(0, words)) for i in range(sources * per)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, s, n in rows], "doc_id long, text string, source string")
+    got = mix(docs, cell_rows=5, range_rows=10).collect()
+    assert {x.doc_id: x.taken for x in got} == queue(rows)
+    assert sum(x.taken for x in got) <= sum(n for *_, n in rows)
+
+
 def test_first_fit():
     from quire.llm.packing import first_fit
 
@@ -337,20 +393,21 @@ def test_simhash(spark, docs, data, empty):
     assert near_groups(with_null_id(spark, data)).count() == len(data) + 2
 
 
-@pytest.mark.parametrize("longest", [0, 1, 3, 1000])
-def test_simhash_links_of_long_postings(spark, longest):
+@pytest.mark.parametrize(("longest", "bits"), [(0, 2), (3, 2), (5000, 2), (0, 0), (5, 1), (20, 3), (0, 7)])
+def test_simhash_links(spark, longest, bits):
+    """Groups of close fingerprints, and fingerprints that all share their first bytes, as a skewed index has them."""
     from quire.llm.graph import connected_components
     from quire.llm.simhash import links
 
     r = random.Random(6)
     centres, fps = [r.getrandbits(64) for _ in range(4)], set()
     for c in centres:
-        for _ in range(25):
-            fps.add(c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))))
+        fps |= {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(25)}
+    fps |= {c & (1 << 64) - (1 << 40) ^ r.getrandbits(11) for c in centres[:2] for _ in range(30)}
     ids = {f: i for i, f in enumerate(sorted(fps))}
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in ids.items()], "fp long, rep long")
-    got = {r.node: r.component for r in connected_components(links(df, longest=longest), "a", "b").collect()}
-    want = components(ids.values(), [(ids[a], ids[b]) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2])
+    got = {r.node: r.component for r in connected_components(links(df, bits, longest), "a", "b").collect()}
+    want = components(ids.values(), [(ids[a], ids[b]) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= bits])
     assert {i: got.get(i, i) for i in ids.values()} == want
 
 
