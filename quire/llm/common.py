@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in the word pattern [^\x20\x09-\x0D]+ (Java and RE2 syntax).
@@ -118,35 +118,52 @@ def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:
 
 
 def range_of(col: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are <= col, by two levels of short array searches; null ids go to range 0."""
+    """Number of bounds that are <= col, by two levels of short array searches; null ids go to range 0.
+
+    The bounds enter the plan as one folded constant, 8 bytes each; callers limit their number.
+    """
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
-    parts = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
-    row = F.size(F.filter(heads, lambda b: b <= col))
-    inner = F.size(F.filter(F.get(parts, row - 1), lambda b: b <= col))
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    row = F.size(F.filter(numbers(bounds[::step]), lambda b: b <= col))
+    inner = F.size(F.filter(F.slice(numbers(bounds), (row - 1) * step + 1, F.lit(step)), lambda b: b <= col))
     return F.when(col.isNull() | (row == 0), 0).otherwise((row - 1) * step + inner).cast("int")
 
 
-def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, n_ranges: int, out: str = "start") -> DataFrame:
+def n_ranges(spark: SparkSession, rows: int, each: int) -> int:
+    """Ranges of about `each` rows, and no fewer than the session's shuffle partitions."""
+    return max(-(-rows // each), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, ranges: int, out: str = "start") -> DataFrame:
     """sizes plus the running sum of size_col over all rows before it by ascending id_col (nulls first).
 
-    Two levels: sums by id range (one number a range on the driver), then a window inside each range.
-    Rows of equal id are ordered by all their other columns, so reruns agree.
+    Two levels: rows are range-sorted once and held, sums of ranges (one row each) are added up, then rows inside a range.
+    Rows of equal id are ordered by size and then all other columns, and may lie in several ranges, so no id is one task.
+    """
+    order = [F.col(id_col).asc_nulls_first(), F.col(size_col), *[F.col(c) for c in sizes.columns if c not in (id_col, size_col)]]
+    dealt = cut(sizes.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(F.col("_range").alias("_r")).agg(F.sum(size_col).alias("_sum"))  # one row a range
+    sums = sums.select("_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = dealt.withColumn(out, F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
+    return run.join(sums, F.col("_range") == F.col("_r")).withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_range", "_r", "_base")
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, most_hot: int = 10_000) -> DataFrame:
+    """left join of `rows` rows with a table of one row a key (string or binary), whose column `copies` says how often left has the key.
+
+    Keys with over rows / most_hot copies are at most most_hot: they are broadcast, and their rows are dealt evenly, so
+    that no key, however frequent, is one task. All others are shuffled. `copies` is not in the result.
     """
-    from pyspark.sql import Window
-
-    bounds = id_bounds(sizes, id_col, n_ranges)
-    keyed = sizes.withColumn("_range", range_of(F.col(id_col), bounds))
-    sums = {r["_range"]: r["s"] or 0 for r in keyed.groupBy("_range").agg(F.sum(size_col).alias("s")).collect()}
-    before, base = 0, []
-    for i in range(len(bounds) + 1):
-        base.append(before)
-        before += sums.get(i, 0)
-    rest = [c for c in sizes.columns if c not in (id_col, size_col)]
-    w = Window.partitionBy("_range").orderBy(F.col(id_col).asc_nulls_first(), size_col, *rest)
-    inside = F.coalesce(F.sum(size_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("_range") + 1)
-    return keyed.withColumn(out, (inside + offset).cast("long")).drop("_range")
+    names = [c for c in right.columns if c not in (key, copies)]
+    least = max(1000, rows // most_hot)
+    hot = right.where(F.col(copies) > least).select(F.col(key).alias("_hot"), F.struct(*names).alias("_hit"))
+    rest = right.where(F.col(copies) <= least).select(F.col(key).alias("_key"), F.struct(*names).alias("_met"))
+    j = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    spread = F.concat(F.lit("\u0001"), F.pmod(F.monotonically_increasing_id(), F.lit(65_536)).cast("string"))  # equals no digest
+    j = j.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread.cast(dict(left.dtypes)[key])))
+    j = j.join(rest, F.col("_at") == F.col("_key"), "left")
+    return j.select(*left.columns, *[F.coalesce(f"_hit.{n}", f"_met.{n}").alias(n) for n in names])

@@ -2,16 +2,17 @@
 
 Blocks of `block` words, at word positions 0, block, 2 * block ... of a document, are the reference index. Every rolling
 window of `block` words probes it. A repeat of `window` = 2 * block - 1 words holds one whole reference block, whatever its
-offset, so no repeat is missed. Hits are extended: the windows around a hit are compared over their full length, and
-overlapping ones grow together into maximal exact repeats.
-
-Documents are dealt into chunks by ascending doc_id. Only bits have to travel back: "this block stands in an earlier chunk"
-settles the question for a whole chunk, and inside a chunk the documents are at hand. A chunk sends each distinct hash
-once, so a passage that a third of all documents share costs one entry a chunk and no pairs are ever made. Hashes go to
-buckets by their high bits, 4 bytes each as sorted differences; collisions only cost extra comparisons, as a repeat
+offset, so no repeat is missed. A hit is extended word by word: every window of full length that holds the hit block is compared by
+a 64-bit hash of all its words, and repeated windows that overlap grow together into one span. A span is maximal: the words
+before and after it are in no repeated window. It may join repeats of several earlier documents.
+
+Documents are range-sorted by id, numbered into chunks of about chunk_bytes of text, and staged. Only bits have to travel back: "this
+block stands in an earlier chunk" settles the question for a whole chunk, and inside a chunk the documents are at hand. A chunk sends
+each distinct hash once, so a passage that a third of all documents share costs one entry a chunk and no pairs are ever made. Hashes
+go to buckets by their high bits, 4 bytes each as sorted differences; collisions of these only cost extra comparisons, as a repeat
 counts only after its full 64-bit window hash agrees.
 
-The documents are shuffled once, by chunk; the three passes reread that exchange.
+The staged documents are shuffled once, by chunk; the three passes reread that exchange.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_bounds, only, range_of, release, text_bytes
+from quire.llm.common import new_folder, only, release, text_bytes
 
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_ASK = "bucket int, chunk int, kind int, blob binary"
-_TOLD = "chunk int, kind int, bucket int, blob binary"
+_ASK = "bucket int, chunk long, kind int, blob binary"
+_TOLD = "chunk long, kind int, bucket int, blob binary"
 _LAST = np.iinfo(np.int64).max
 
 
@@ -161,20 +163,22 @@ class _Chunk:
         first[self.window_of[a]] = rank[a]
         self.repeated = near & (first[self.window_of] < rank)
         self.sent = np.flatnonzero(self.asks | self.refs)
-        self.bucket_of = (self.windows[self.sent] >> np.uint64(7)) % np.uint64(self.buckets)
+        bucket = (self.windows[self.sent] >> np.uint64(7)) % np.uint64(self.buckets)
+        order = np.argsort(bucket, kind="stable")  # in a bucket, values stay ascending
+        self.sent, bucket = self.sent[order], bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(self.buckets)))
+        self.sent_to = {int(bucket[i]): self.sent[i:j] for i, j in zip(first, [*first[1:], len(bucket)], strict=False)}
 
     def ask_windows(self, chunk: int) -> Iterator[tuple]:
-        for b in range(self.buckets):
-            i = self.sent[self.bucket_of == b]
-            if len(i):
-                yield b, chunk, 1, len(i).to_bytes(4, "little") + np.packbits(self.asks[i]).tobytes() + np.packbits(self.refs[i]).tobytes() + _pack(self.windows[i])
+        for b, i in self.sent_to.items():
+            yield b, chunk, 1, len(i).to_bytes(4, "little") + np.packbits(self.asks[i]).tobytes() + np.packbits(self.refs[i]).tobytes() + _pack(self.windows[i])
 
     def removed(self, told: list[dict]) -> np.ndarray:
         """For each word: is it covered by a repeated window."""
         seen = np.zeros(len(self.windows), bool)
         for r in told:
             if r["kind"] == 1:
-                i = self.sent[self.bucket_of == r["bucket"]]
+                i = self.sent_to[r["bucket"]]
                 seen[i] = np.unpackbits(np.frombuffer(r["blob"], np.uint8))[: len(i)]
         # a window of this chunk's own first document counts as repeated only by an earlier chunk
         at = self.where[self.repeated | seen[self.window_of]]
@@ -186,7 +190,7 @@ class _Chunk:
 
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.table({n: pa.array([r[k] for r in rows], kinds[schema.split(", ")[k].split()[1]]) for k, n in enumerate(names)})
 
 
@@ -223,29 +227,58 @@ def _answer(table):
     return _rows(out, _TOLD)
 
 
+def _chunks(d: DataFrame, n: int, chunk_bytes: int) -> DataFrame:
+    """d (_id, _text, ...) plus chunk: ascending with the id, about chunk_bytes of text each, equal ids together; dealt by chunk.
+
+    n id ranges come from Spark's own sample; a range is cut where its texts reach chunk_bytes, as their lengths may differ.
+    Rows without id are no reference, so they stand last and are spread by their text.
+    """
+    names, kept = d.columns, d.schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held, last = TaskContext.get().partitionId() << 24, 0, None
+        for b in batches:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_pylist()
+            out = []
+            for i, size in zip(b.column(0).to_pylist(), sizes, strict=True):
+                if held + size > chunk_bytes and held and (i is None or i != last):
+                    chunk, held = chunk + 1, 0
+                held, last = held + size, i
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*names, "chunk"])
+
+    from pyspark.sql.types import LongType, StructType
+
+    order = [F.col("_id").isNull(), F.col("_id"), F.when(F.col("_id").isNull(), F.xxhash64("_text"))]
+    folder = new_folder(d.sparkSession, "chunks")
+    ranged = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged.mapInArrow(number, StructType([*kept.fields]).add("chunk", LongType())).write.option("compression", "zstd").parquet(folder)
+    return d.sparkSession.read.parquet(folder).repartition(n, "chunk")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that lie in a window of `window` words which also starts in a document of smaller id.
 
     Result, one row a document: id_col, n_words long, n_removed long, spans array<struct<start int, end int>> (maximal
-    repeats, in words), kept_text string (kept words joined by one space). window must be odd.
+    runs of removed words), kept_text string (kept words joined by one space). window must be odd.
 
     Null text: no words. Null id: the row stays whole and is no reference. Rows of equal id are no reference for each
-    other. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Columns named in carry follow
-    in the result, each row's own also where ids repeat; others are not read.
-    chunk_bytes bounds the text that a task holds; raise it with the square root of the input, so that a chunk's entry
-    for a bucket stays worth its header.
+    other, and stay in one chunk. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Columns named in
+    carry follow in the result, each row's own also where ids repeat; others are not read.
+    chunk_bytes bounds the text that a task holds beside one document (about 23 bytes of memory for each); raise it and bucket_bytes with the
+    square root of the input, so that a chunk's entry for a bucket stays worth its header.
     """
     if window % 2 == 0:
         raise ValueError("window must be odd")
     block, id_type = (window + 1) // 2, dict(docs.dtypes)[id_col]
     total = text_bytes(docs, text_col)
-    n_chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
+    buckets = max(1, -(-total // bucket_bytes))
     from_docs = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
     more = [F.col(c).alias(x) for c, x in from_docs.items() if x != "_text"]
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
-    chunk = range_of(F.col("_id"), id_bounds(d, "_id", n_chunks))
-    spread = F.pmod(F.xxhash64("_text"), F.lit(n_chunks)).cast("int")  # rows without id are no reference: any chunk serves
-    keyed = d.withColumn("chunk", F.when(F.col("_id").isNull(), spread).otherwise(chunk)).repartition(n_chunks, "chunk")
+    keyed = _chunks(d, max(1, -(-total // chunk_bytes)), chunk_bytes)
 
     def first(key, table):
         c = key[0].as_py()
