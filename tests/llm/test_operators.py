@@ -490,24 +490,35 @@ def test_embeddings(spark, cell, block):
     assert near_groups(df.limit(0)).count() == 0
 
 
-def test_winnowing(spark, docs, data, empty):
+@pytest.mark.parametrize("size", [3000, 8 << 20])
+def test_winnowing(spark, docs, data, empty, size):
     from quire.llm.winnowing import compare_edits, hashes, positions
 
-    got = {r.doc_id: r for r in compare_edits(docs).withColumn("h", hashes(F.col("fingerprint"))).withColumn("p", positions(F.col("fingerprint"))).collect()}
+    got = {r.doc_id: r for r in compare_edits(docs, range_bytes=size).withColumn("h", hashes(F.col("fingerprint"))).withColumn("p", positions(F.col("fingerprint"))).collect()}
     order = sorted(data, key=lambda x: x[0])
     text = {i: t or "" for i, t, *_ in data}
     words = {i: re.split(r"[\x20\x09-\x0D]+", t.strip(" \t\n\x0b\x0c\r")) for i, t in text.items()}
-    grams = {i: [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] for i, w in words.items()}
-    every = sorted({g for x in grams.values() for g in x})
-    hashed = {r.g: r.h >> 25 & (1 << 39) - 1 for r in spark.createDataFrame([(g,) for g in every], "g string").select("g", F.xxhash64(F.split("g", " ")).alias("h")).collect()}
+    turn = lambda x, n: (x << n | x >> 64 - n) & (1 << 64) - 1
+    xx = lambda b: xxhash.xxh64_intdigest(b, 42)
+
+    def grams(w):
+        h = [xx(x.encode()) for x in w]
+        if len(h) < 5:
+            return None
+        return [xx((turn(h[k], 4) ^ turn(h[k + 1], 3) ^ turn(h[k + 2], 2) ^ turn(h[k + 3], 1) ^ h[k + 4]).to_bytes(8, "little")) >> 30 for k in range(len(h) - 4)]
+
+    def kept(h):
+        signed = [x - (1 << 34) if x >> 33 else x for x in h]
+        windows = [signed[k : k + 8] for k in range(max(1, len(h) - 7))]
+        return {max(k + j for j, x in enumerate(w) if x == min(w)) for k, w in enumerate(windows)}
+
     marks = {}
-    for i, g in grams.items():
-        h = [hashed[x] for x in g]
-        kept = set()
-        for k in range(max(1, len(h) - 7)):
-            w = h[k : k + 8]
-            kept.add(max(k + j for j, x in enumerate(w) if x == min(w)))
-        marks[i] = (sorted(kept), {h[k] for k in kept})
+    for i, w in words.items():
+        h = grams(w)
+        marks[i] = (sorted(kept(h)), {h[k] for k in kept(h)}) if h else ([0], set(got[i].h))
+        assert len(got[i].h) == len(marks[i][1])
+    short = {i: (got[i].h[0], tuple(w)) for i, w in words.items() if len(w) < 5}
+    assert len(set(short.values())) == len({h for h, _ in short.values()}) == len({w for _, w in short.values()})
     for k, (i, *_) in enumerate(order):
         n = len(text[i])
         follow = order[(k + 1) % len(order)][0]
@@ -515,6 +526,11 @@ def test_winnowing(spark, docs, data, empty):
         assert (sorted(got[i].p), set(got[i].h)) == marks[i]
         a, b = marks[i][1], marks[follow][1]
         assert abs(got[i].near_next - len(a & b) / len(a | b)) < 1e-12
+        e = grams(re.split(r"[\x20\x09-\x0D]+", got[i].edited.strip(" \t\n\x0b\x0c\r")))
+        if e:
+            assert [(x >> 30 & (1 << 34) - 1, (1 << 30) - 1 - (x & (1 << 30) - 1)) for x in got[i].edited_fingerprint] == [(e[k], k) for k in sorted(kept(e))]
+            e = {e[k] for k in kept(e)}
+            assert abs(got[i].near_edited - len(a & e) / len(a | e)) < 1e-12
     same = {}
     assert all(same.setdefault(text[i], r.fingerprint) == r.fingerprint for i, r in got.items())
     assert compare_edits(empty).count() == 0
