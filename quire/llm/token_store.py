@@ -4,11 +4,13 @@ Each document's id stream is cut into chunks where a rolling hash of the last 16
 equal chunks wherever they stand. A chunk's address is its 128-bit digest. Folder layout:
 
   packs/<name>.ids    unique chunks, back to back, as little-endian ids (2 bytes below 65,536 ids, else 4)
-  recipes/            Parquet in ascending doc_id: doc_id, start, n_tokens, root, parts (pack, offset, n, digest)
-  manifest/           Parquet: for each recipe range its ids, tokens and Merkle root
+  recipes/            Parquet, files and rows in ascending doc_id: doc_id, start, n_tokens, root, parts (pack, offset, n, digest), range
+  manifest/           Parquet: for each recipe range its ids, rows, tokens and Merkle root
+  top                 number of ranges and the Merkle root of their roots
 
-A document's root is the Merkle root of its chunk digests, a range's that of its documents' roots. read() checks both each
-chunk and each document, so a lost or changed byte is an error, not another id.
+A document's root is the Merkle root of its chunk digests, a range's that of its documents' places and roots. read() first checks
+the recipes against the manifest and that against the top (thin columns only), then each chunk and document as it is
+rebuilt: a lost or changed file or byte is an error, not another id.
 
 Writing: encoding and cutting happen once and are staged in the shared folder; owners of chunks are chosen from the
 digests alone (no ids are shuffled); each staged file then becomes one pack with the chunks it owns, so every
@@ -18,6 +20,7 @@ distinct chunk is stored once. Reading is sequential in a document's own pack.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_folder, id_bounds, new_folder, open_fs, prefix_starts, put_file, range_of
+from quire.llm.common import drop_folder, join_by_key, n_ranges, new_folder, open_fs, prefix_starts, put_file
 from quire.llm.substring_dedup import _rolling
 from quire.llm.tokens import encoder
 
@@ -64,18 +67,20 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         end = np.array([end_id], e.kind).tobytes()
-        for b in batches:
-            out = {"doc_id": b.column(0), "n_tokens": [], "ids": [], "root": [], "chunks": []}
-            for t in b.column(1).to_pylist():
-                data = e.ids(t or "") + end
-                ids, last, chunks = np.frombuffer(data, e.kind), 0, []
-                for c in cuts(ids):
-                    chunks.append({"digest": digest(data[last * e.kind.itemsize : c * e.kind.itemsize]), "at": last, "n": c - last})
-                    last = c
-                for k, v in (("n_tokens", len(ids)), ("ids", data), ("root", merkle([c["digest"] for c in chunks])), ("chunks", chunks)):
-                    out[k].append(v)
-            kinds = (b.column(0).type, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip(list(out.values())[1:], kinds[1:], strict=True))], names=list(out))
+        kinds = {"n_tokens": pa.int64(), "ids": pa.binary(), "root": pa.binary(), "chunks": pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("n", pa.int64())]))}
+        for whole in batches:
+            for i in range(0, len(whole), 128):  # texts may be long
+                b = whole.slice(i, 128)
+                out: dict = {k: [] for k in kinds}
+                for t in b.column(1):
+                    data = e.ids(t.as_py() or "") + end
+                    ids, last, chunks = np.frombuffer(data, e.kind), 0, []
+                    for c in cuts(ids):
+                        chunks.append({"digest": digest(data[last * e.kind.itemsize : c * e.kind.itemsize]), "at": last, "n": c - last})
+                        last = c
+                    for k, v in zip(out, (len(ids), data, merkle([c["digest"] for c in chunks]), chunks), strict=True):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
     schema = "doc_id long, n_tokens long, ids binary, root binary, chunks array<struct<digest binary, at long, n long>>"
     staged = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(encode, schema)
@@ -93,7 +98,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     staged = spark.read.parquet(stage)
     rows = staged.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "n_tokens", "root", "chunks")
     parts = rows.select("file", "row", F.posexplode("chunks").alias("k", "c")).select("file", "row", "k", "c.*")
-    owners = parts.groupBy("digest").agg(F.min(F.struct("file", "row", "k", "at", "n")).alias("o")).select("digest", "o.*")
+    owners = parts.groupBy("digest").agg(F.min(F.struct("file", "row", "k", "at", "n")).alias("o"), F.count("*").alias("copies")).select("digest", "copies", "o.*")
 
     def pack(key, table):
         file = key[0].as_py()
@@ -115,31 +120,61 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
                     i += 1
                 first += len(b)
         put_file(f"{folder}/packs/{name}.ids", bytes(out))
-        return pa.table({"digest": table.column("digest"), "pack": pa.array([name] * len(row)), "offset": pa.array(offset, pa.int64())})
+        return pa.table({"digest": table.column("digest"), "copies": table.column("copies"), "pack": pa.array([name] * len(row)), "offset": pa.array(offset, pa.int64())})
 
-    owned = owners.groupBy("file").applyInArrow(pack, "digest binary, pack string, offset long")
+    owned = owners.groupBy("file").applyInArrow(pack, "digest binary, copies long, pack string, offset long")
     # the packs are written once, by this action; a task that is run again writes the same bytes
     places = f"{folder}/places"
     owned.write.parquet(places)
-    drop = ["file", "row"]
-    recipe = parts.join(spark.read.parquet(places), "digest").groupBy(*drop).agg(F.sort_array(F.collect_list(F.struct("k", "pack", "offset", "n", "digest"))).alias("parts"))
-    n_ranges = max(1, -(-staged.count() // range_rows))
-    sizes = prefix_starts(rows.select("doc_id", "n_tokens", "file", "row", "root"), "doc_id", "n_tokens", n_ranges)
-    bounds = id_bounds(staged, "doc_id", n_ranges)
-    out = sizes.join(recipe, drop).drop(*drop).withColumn("range", range_of(F.col("doc_id"), bounds))
-    out.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-
-    def roots(key, table):
-        t = table.sort_by("start")
-        ids = [x for x in t.column("doc_id").to_pylist() if x is not None]
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "first_id": pa.array([min(ids, default=None)], pa.int64()), "last_id": pa.array([max(ids, default=None)], pa.int64()), "rows": pa.array([len(t)], pa.int64()), "n_tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
-
-    manifest = spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root").groupBy("range")
-    manifest.applyInArrow(roots, "range int, first_id long, last_id long, rows long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
+    found = spark.read.parquet(places)
+    n_docs, n_parts = rows.count(), found.agg(F.sum("copies")).first()[0] or 0
+    where = join_by_key(parts.select("file", "row", "k", "digest", "n"), found, "digest", "copies", n_parts)
+    recipe = where.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("k", "pack", "offset", "n", "digest"))).alias("parts"))
+    ranges = n_ranges(spark, n_docs, range_rows)
+    sizes = prefix_starts(rows.select("doc_id", "n_tokens", "root", "file", "row"), "doc_id", "n_tokens", ranges)
+    out = sizes.join(recipe, ["file", "row"]).drop("file", "row").repartitionByRange(ranges, "start").sortWithinPartitions("start")
+    out.withColumn("range", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    _roots(spark, folder).write.parquet(f"{folder}/manifest")
+    put_file(f"{folder}/top", json.dumps(_top(spark, folder)).encode())
     drop_folder(stage)
     drop_folder(places)
 
 
+_RANGE = "range int, first_id long, last_id long, rows long, n_tokens long, root binary"
+
+
+def _roots(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a range of recipes, from the recipes without their parts. Ranges hold range_rows documents or a few more."""
+
+    def root(key, table):
+        t = table.sort_by("start")
+        columns = {k: t.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "root")}
+        leaves = [f"{d} {s} {n} ".encode() + r for d, s, n, r in zip(*columns.values(), strict=True)]
+        ids = [x for x in columns["doc_id"] if x is not None]
+        row = {"range": key[0].as_py(), "first_id": min(ids, default=None), "last_id": max(ids, default=None), "rows": len(t), "n_tokens": sum(columns["n_tokens"]), "root": merkle(leaves)}
+        return pa.Table.from_pylist([row], pa.schema([("range", pa.int32()), *((k, pa.int64()) for k in ("first_id", "last_id", "rows", "n_tokens")), ("root", pa.binary())]))
+
+    return spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root").groupBy("range").applyInArrow(root, _RANGE)
+
+
+def _top(spark: SparkSession, folder: str) -> dict:
+    rows = spark.read.parquet(f"{folder}/manifest").select("range", "root").orderBy("range").collect()  # two values a range
+    return {"ranges": len(rows), "root": merkle([str(r["range"]).encode() + r["root"] for r in rows]).hex()}
+
+
+def verify(spark: SparkSession, folder: str) -> None:
+    """ValueError if the recipes do not match the manifest, or that not the top. Chunks are checked by read()."""
+    fs, path = open_fs(f"{folder}/top")
+    with fs.open_input_stream(path) as f:
+        top = json.loads(f.read())
+    if _top(spark, folder) != top:
+        raise ValueError(f"{folder}: the manifest does not match its root")
+    names = [x.split()[0] for x in _RANGE.split(", ")]
+    key = lambda df: df.select(F.struct(*names).alias("r"))
+    if top["ranges"] and not key(spark.read.parquet(f"{folder}/manifest")).exceptAll(key(_roots(spark, folder))).isEmpty():
+        raise ValueError(f"{folder}: recipes are lost or changed")
+
+
 def _fetch(folder: str, wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
     """The bytes of chunks (pack, offset, length); neighbours are read in one go."""
     got: dict[tuple[str, int], bytes] = {}
@@ -164,12 +199,16 @@ def _fetch(folder: str, wanted: list[tuple[str, int, int]]) -> dict[tuple[str, i
 
 
 def read(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, root, ids): ids as little-endian unsigned 32-bit numbers, checked against the digests."""
+    """Rows (doc_id, start, n_tokens, root, ids): ids as little-endian unsigned 32-bit numbers, checked against the digests.
+
+    verify() runs at once, chunks are checked as they are read.
+    """
+    verify(spark, folder)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 500):
-                b = whole.slice(i, 500)
+            for i in range(0, len(whole), 256):
+                b = whole.slice(i, 256)
                 recipes = b.column("parts").to_pylist()
                 got = _fetch(folder, [(p["pack"], p["offset"], p["n"] * id_bytes) for r in recipes for p in r])
                 out = []
@@ -190,5 +229,3 @@ def store_of(docs: DataFrame, tokenizer: str, **options) -> tuple[str, DataFrame
     write(docs, folder, tokenizer, **options)
     wide = 2 if encoder(tokenizer).kind.itemsize == 2 else 4
     return folder, read(docs.sparkSession, folder, wide)
-
-
