@@ -4,7 +4,8 @@ Rows that must stay together (equal texts) are one group. Groups sorted by falli
 capacity is tightest, found in a balanced search tree. Any number of groups is packed with bounded work in one
 place: a group larger than 1/(16 * `grain`) of a shard's capacity is an item of its own (there can be no more than
 16 * grain * shards of them), and the smaller ones are summed into shards * grain bundles by their hash. Items and bundles, not
-rows, reach the driver; a bundle is a fraction 1/grain of a shard, which bounds the difference between shards.
+rows, reach the driver; a bundle is a fraction 1/grain of a shard, which bounds the difference between shards. With very
+many shards the grain is less, so that the bundles stay at `most_bundles`.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from quire.llm.common import cut
 
 
 class _Tree:
-    """Balanced order of (remaining, bin): sorted runs of at most 512, so that a step costs their logarithm and one short move."""
+    """B-tree of (remaining, bin) of two levels: leaves of 1 to 512 sorted items under one root, split in half when full.
+
+    All leaves have the same depth; a search costs two bisections, a change moves at most one leaf and, at a split, the root's list.
+    """
 
     def __init__(self, items: list[tuple[int, int]]):
         items = sorted(items)
@@ -68,44 +72,48 @@ def best_fit_decreasing(sizes: list[int], capacity: int, n_bins: int | None = No
     return out
 
 
-def shards(docs: DataFrame, n_shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grain: int = 128, salts: int = 16) -> DataFrame:
+def shards(docs: DataFrame, n_shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grain: int = 128, cell_rows: int = 100_000, most_bundles: int = 1 << 20) -> DataFrame:
     """Rows (id_col, size, text_crc32, shard, slot): size = UTF-8 bytes + 1; equal texts share a shard.
 
     Give n_shards for shards of near equal bytes, or n_shards=None and a capacity for as few shards of that capacity as
     best fit needs. slot: gapless from 0 in each shard. Null text: size 1, crc32 of no bytes, one group with empty
     text. Null ids and repeated rows are placed like any other. A group larger than a fair share fills its shard beyond
     the others: it may not be split. An empty table gives an empty result. Other columns are not read.
+
+    The rows of an item are numbered in cells of about cell_rows, dealt by row, so a group of many copies is no single task.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_hash"))
+    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     rows = cut(rows)
-    total, top = rows.agg(F.sum("size"), F.max("size")).first()
+    total, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
     if not total:
         return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     expected = n_shards or -(-total // capacity)
     room = capacity or -(-total // n_shards)
+    grain = max(1, min(grain, most_bundles // expected))
     bundles, large = expected * grain, max(1, room // (16 * grain))
-    groups = rows.groupBy("_hash", "text_crc32", "size").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    big = groups.where(F.col("bytes") >= large)  # at most 16 * grain * expected rows
-    own = big.select("_hash", "text_crc32", "size", F.concat(F.lit("g"), F.hex("_hash"), F.lit("_"), F.hex("text_crc32"), F.lit("_"), F.col("size").cast("string")).alias("_own"))
+    group = ["_hash", "text_crc32", "size"]
+    groups = rows.groupBy(*group).agg(F.sum("size").alias("bytes"))
+    name = F.concat(F.lit("g"), F.hex("_hash"), F.lit("_"), F.hex("text_crc32"), F.lit("_"), F.col("size").cast("string"))
+    big = groups.where(F.col("bytes") >= large).select(*group, name.alias("_own"))
+    big = _small(big, 16 * grain * expected)
     pooled = F.concat(F.lit("b"), F.pmod("_hash", F.lit(bundles)).cast("string"))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt")
-    keyed = rows.join(own, ["_hash", "text_crc32", "size"], "left").withColumn("_item", F.coalesce("_own", pooled)).withColumn("_salt", salt)
-    cells = keyed.groupBy("_item", "_salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    cells.sort(key=lambda r: (r["_item"], r["_salt"]))
-    sizes: dict[str, int] = {}
-    for r in cells:
-        sizes[r["_item"]] = sizes.get(r["_item"], 0) + r["bytes"]
-    names = list(sizes)
-    shard_of = dict(zip(names, best_fit_decreasing([sizes[k] for k in names], room, n_shards), strict=True))
-    filled: dict[int, int] = {}
-    placed = []
-    for r in cells:
-        s = shard_of[r["_item"]]
-        placed.append((r["_item"], r["_salt"], s, filled.get(s, 0)))
-        filled[s] = filled.get(s, 0) + r["n"]
-    table = spark.createDataFrame(placed, "_item string, _salt int, shard int, _base long")
-    w = Window.partitionBy("_item", "_salt").orderBy(F.col("_id").asc_nulls_first(), "_hash", "text_crc32", "size")
-    numbered = keyed.withColumn("_k", F.row_number().over(w) - 1).join(table, ["_item", "_salt"])
+    keyed = rows.join(big, group, "left").withColumn("_item", F.coalesce("_own", pooled)).drop("_own")
+    items = sorted(keyed.groupBy("_item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
+    shard_of = best_fit_decreasing([r["bytes"] for r in items], room, n_shards)
+    placed = [(r["_item"], s, -(-r["n"] // cell_rows)) for r, s in zip(items, shard_of, strict=True)]
+    table = _small(spark.createDataFrame(placed, "_item string, shard int, _cells long"), len(placed))
+    keyed = keyed.join(table, "_item").withColumn("_cell", F.pmod(F.xxhash64("_row"), F.col("_cells")))
+    cell = ["shard", "_item", "_cell"]
+    before = Window.partitionBy("shard").orderBy("_item", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
+    cells = _small(cells.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), len(placed) + n_rows // cell_rows)
+    inside = Window.partitionBy(*cell).orderBy(F.col("_id").asc_nulls_first(), *group, "_row")
+    numbered = keyed.withColumn("_k", F.row_number().over(inside) - 1).join(cells, cell)
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_base") + F.col("_k")).cast("long").alias("slot"))
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """A side of a join that has at most `most` rows: broadcast if that is no more than 200,000 (about 20 MB), else left to the planner."""
+    return F.broadcast(rows) if most <= 200_000 else rows
