@@ -1,7 +1,7 @@
 """Packing token sequences by first-fit decreasing, with a tournament tree of bin capacities, in randomised groups.
 
 A document's ids are cut at multiples of the sequence length; what is left over is one short piece. Pieces are dealt into
-groups by a hash of their document and place, groups of about group_tokens ids. In a group, pieces sorted by falling length enter the first
+groups by a hash of their row and place, groups of about group_tokens ids. In a group, pieces sorted by falling length enter the first
 sequence with room, found from the root of a tree that holds at each node the largest room below it.
 """
 
@@ -62,7 +62,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
                     n = len(data) // wide
                     rows += [(i, a, min(length, n - a), n, data[a * wide : (a + length) * wide]) for a in range(0, n, length)]
                 at, start, size, n, data = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["_id", "start", "length", "doc_tokens", "ids"])
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["_id", "_row", "start", "length", "doc_tokens", "ids"])
 
     def place(key, table):
         g = key[0].as_py()
@@ -79,7 +80,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
             out = out.append_column(k, pa.array(v, t))
         return out
 
-    pieces = docs.select(F.col(id_col).alias("_id"), text_col).mapInArrow(encode, f"_id {id_type}, start long, length long, doc_tokens long, ids binary")
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("_id", "start", "doc_tokens"), F.lit(groups)))
+    # the row's number in the input deals repeated rows and null ids apart as well
+    pieces = docs.select(F.col(id_col).alias("_id"), text_col, F.monotonically_increasing_id().alias("_row")).mapInArrow(encode, f"_id {id_type}, _row long, start long, length long, doc_tokens long, ids binary")
+    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("_row", "start"), F.lit(groups))).drop("_row")
     out = grouped.groupBy("group").applyInArrow(place, f"_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out.withColumnRenamed("_id", id_col)
