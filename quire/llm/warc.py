@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_folder, open_fs, put_file
+from quire.llm.common import cut, join_by_key, new_folder, open_fs, put_file
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -109,14 +109,15 @@ def frames(f, size: int) -> list[tuple[int, int, int]]:
 def decide(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", least: int = 0) -> DataFrame:
     """pages plus _type and _refers_to: of equal payloads of at least `least` bytes, the largest id is the response.
 
-    Only digests that occur twice or more are joined back; their table has one row a digest. Null payload: empty. Null ids
-    refer to the largest id; a group of null ids only has no revisits. Rows of equal id and payload are all responses.
+    Only digests that occur twice or more are joined back; their table has one row a digest, and the payload of a frequent one
+    is not gathered in one task. Null payload: empty. Null ids refer to the largest id; a group of null ids only has no
+    revisits. Rows of equal id and payload are all responses.
     """
     data = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.withColumn("_sha", F.sha1(data)).withColumn("_n", F.octet_length(data))
     groups = rows.where(F.col("_n") >= least).groupBy("_sha").agg(F.max(id_col).alias("_top"), F.count("*").alias("_copies"))
-    many = groups.where("_copies > 1 and _top is not null").select("_sha", "_top")
-    out = rows.join(many, "_sha", "left")
+    many = cut(groups.where("_copies > 1 and _top is not null"))
+    out = join_by_key(rows, many.select("_sha", "_copies", "_top"), "_sha", "_copies", pages.count())
     again = F.col("_top").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_top"))
     return out.withColumn("_type", F.when(again, "revisit").otherwise("response")).withColumn("_refers_to", F.when(again, F.col("_top")))
 

@@ -103,6 +103,20 @@ def test_token_store_round_trip(spark, docs, data, empty):
 
     with pytest.raises(Exception, match="do not match"):
         read(spark, folder).collect()
+    with open_fs(f"{folder}/top")[0].open_output_stream(open_fs(f"{folder}/top")[1]) as f:
+        f.write(b"{}")
+    with pytest.raises(ValueError, match="does not match its root"):
+        read(spark, folder)
+    folder, again = store_of(docs, name, range_rows=20)
+    assert [x.doc_id for x in again.select("doc_id", "start").orderBy("start").collect()] == sorted(i for i, *_ in data)
+    files = sorted(f.path for f in fs.get_file_info(FileSelector(open_fs(f"{folder}/recipes")[1])) if f.path.endswith(".parquet") and "/part-" in f.path)
+    import pyarrow.parquet as pq
+
+    ids = [pq.read_table(f, columns=["doc_id"]).column(0).to_pylist() for f in files]
+    assert sum(ids, []) == sorted(i for i, *_ in data) and len([x for x in ids if x]) > 1
+    fs.delete_file(files[ids.index(max(ids, key=len))])
+    with pytest.raises(ValueError, match="lost or changed"):
+        read(spark, folder)
     assert store_of(empty, name)[1].count() == 0
     assert store_of(with_null_id(spark, data), name)[1].orderBy("start").first().doc_id is None
 
@@ -169,7 +183,7 @@ def test_best_fit_decreasing():
     assert got == want
 
 
-def test_shards(docs, data, empty):
+def test_shards(spark, docs, data, empty):
     from quire.llm.sharding import shards
 
     got = shards(docs, 4).collect()
@@ -182,6 +196,43 @@ def test_shards(docs, data, empty):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert shards(empty, 4).count() == 0
+    # null ids, repeated rows, cells of one row
+    many = spark.createDataFrame([(None, "same" if i % 3 else None) for i in range(60)] + [(5, "x" * i) for i in range(1, 40)] * 2, "doc_id long, text string")
+    got = shards(many, 3, cell_rows=1).collect()
+    assert len(got) == 138 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(3) for k in range(sum(r.shard == s for r in got))]
+
+
+def test_shards_are_even_and_tight(spark):
+    """With every group an item of its own, shards equal best fit decreasing by brute force; near equal bytes, or few shards of a capacity."""
+    from quire.llm.sharding import shards
+
+    r = random.Random(21)
+    texts = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 300))) for _ in range(300)]
+    texts += [t for t in texts[:40] for _ in range(r.randint(1, 5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group: dict = {}
+    for t in texts:
+        group[t] = group.get(t, 0) + len(t.encode()) + 1
+    total = sum(group.values())
+    for n, capacity in ((5, None), (None, 3000)):
+        got = {x.doc_id: x.shard for x in shards(docs, n, capacity, grain=10_000).collect()}
+        room, load = capacity or -(-total // n), [0] * (n or 0)
+        for size in sorted(group.values(), reverse=True):
+            fit = [(room - x, b) for b, x in enumerate(load) if x + size <= room]
+            if fit:
+                load[min(fit)[1]] += size
+            elif n:
+                load[load.index(min(load))] += size
+            else:
+                load.append(size)
+        mine: dict = {}
+        for t, s in {(t, got[i]) for i, t in enumerate(texts)}:
+            mine[s] = mine.get(s, 0) + group[t]
+        assert sum(mine.values()) == total and sorted(mine.values()) == sorted(load)
+        assert capacity is None or max(mine.values()) <= capacity
+    got = {x.doc_id: x.shard for x in shards(docs, 4).collect()}
+    load = [sum(len(texts[i].encode()) + 1 for i in got if got[i] == s) for s in range(4)]
+    assert max(load) - min(load) < 0.02 * total
 
 
 def test_mix(spark, docs, data, empty):
@@ -290,6 +341,8 @@ def test_pack(spark, docs, data, empty):
     assert max(at.values()) <= 256
     assert pack(empty, name, 2).count() == 0
     assert pack(with_null_id(spark, data), name, 2).where("start = 0").count() == len(data) + 2
+    same = pack(spark.createDataFrame([(None, "w " * 50)] * 60, "doc_id long, text string"), name, 2, length=256, group_tokens=100).collect()
+    assert len({x.sequence_id >> 32 for x in same}) > 10 and sum(x.length for x in same) == 60 * same[0].doc_tokens
 
 
 def test_quality(spark):
