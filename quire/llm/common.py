@@ -7,8 +7,10 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ _held: list[dict] = []
 
 def release() -> None:
     """Give freed memory of this process back to the system, as the other processes of an executor share its limit."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -117,6 +117,29 @@ def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:
     return sorted(set(got or []))
 
 
+def byte_bounds(df: DataFrame, id_col: str, size_col: str, each: int) -> list[int]:
+    """Ascending cut points of id ranges that hold about `each` bytes by size_col, or one id, which stays whole; null ids are in none.
+
+    Only ids and sizes are range-sorted, many ranges a task. The driver gets one number a range.
+    """
+    thin = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_n"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = each, None  # the first id of a task starts a range
+        for b in batches:
+            out = []
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held + n > each and held and i != last:
+                    out.append(i)
+                    held = 0
+                held, last = held + n, i
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_id"])
+
+    tasks = max(1, (thin.agg(F.sum("_n")).first()[0] or 0) // each // 8)
+    ranged = thin.repartitionByRange(tasks, "_id").sortWithinPartitions("_id")
+    return sorted(r[0] for r in ranged.mapInArrow(starts, "_id long").collect())[1:]
+
+
 def range_of(col: Column, bounds: list[int]) -> Column:
     """Number of bounds that are <= col, by two levels of short array searches; null ids go to range 0.
 

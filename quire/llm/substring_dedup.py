@@ -6,13 +6,13 @@ offset, so no repeat is missed. A hit is extended word by word: every window of
 a 64-bit hash of all its words, and repeated windows that overlap grow together into one span. A span is maximal: the words
 before and after it are in no repeated window. It may join repeats of several earlier documents.
 
-Documents are range-sorted by id, numbered into chunks of about chunk_bytes of text, and staged. Only bits have to travel back: "this
+Documents are dealt into chunks of about chunk_bytes of text by ascending doc_id. Only bits have to travel back: "this
 block stands in an earlier chunk" settles the question for a whole chunk, and inside a chunk the documents are at hand. A chunk sends
 each distinct hash once, so a passage that a third of all documents share costs one entry a chunk and no pairs are ever made. Hashes
 go to buckets by their high bits, 4 bytes each as sorted differences; collisions of these only cost extra comparisons, as a repeat
 counts only after its full 64-bit window hash agrees.
 
-The staged documents are shuffled once, by chunk; the three passes reread that exchange.
+The documents are shuffled once, by chunk; the three passes reread that exchange.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_folder, only, release, text_bytes
+from quire.llm.common import byte_bounds, only, range_of, release, text_bytes
 
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _ASK = "bucket int, chunk long, kind int, blob binary"
 _TOLD = "chunk long, kind int, bucket int, blob binary"
 _LAST = np.iinfo(np.int64).max
+MOST_CHUNKS = 400_000  # their bounds, 8 bytes each, are in the plan
 
 
 class _WordHash(dict):
@@ -227,37 +227,6 @@ def _answer(table):
     return _rows(out, _TOLD)
 
 
-def _chunks(d: DataFrame, n: int, chunk_bytes: int) -> DataFrame:
-    """d (_id, _text, ...) plus chunk: ascending with the id, about chunk_bytes of text each, equal ids together; dealt by chunk.
-
-    n id ranges come from Spark's own sample; a range is cut where its texts reach chunk_bytes, as their lengths may differ.
-    Rows without id are no reference, so they stand last and are spread by their text.
-    """
-    names, kept = d.columns, d.schema
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk, held, last = TaskContext.get().partitionId() << 24, 0, None
-        for b in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_pylist()
-            out = []
-            for i, size in zip(b.column(0).to_pylist(), sizes, strict=True):
-                if held + size > chunk_bytes and held and (i is None or i != last):
-                    chunk, held = chunk + 1, 0
-                held, last = held + size, i
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*names, "chunk"])
-
-    from pyspark.sql.types import LongType, StructType
-
-    order = [F.col("_id").isNull(), F.col("_id"), F.when(F.col("_id").isNull(), F.xxhash64("_text"))]
-    folder = new_folder(d.sparkSession, "chunks")
-    ranged = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(number, StructType([*kept.fields]).add("chunk", LongType())).write.option("compression", "zstd").parquet(folder)
-    return d.sparkSession.read.parquet(folder).repartition(n, "chunk")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that lie in a window of `window` words which also starts in a document of smaller id.
 
@@ -267,8 +236,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text: no words. Null id: the row stays whole and is no reference. Rows of equal id are no reference for each
     other, and stay in one chunk. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Columns named in
     carry follow in the result, each row's own also where ids repeat; others are not read.
-    chunk_bytes bounds the text that a task holds beside one document (about 23 bytes of memory for each); raise it and bucket_bytes with the
-    square root of the input, so that a chunk's entry for a bucket stays worth its header.
+    chunk_bytes bounds the text that a task holds (about 23 bytes of memory for each byte), but for one long document; raise it and bucket_bytes
+    with the square root of the input, so that a chunk's entry for a bucket stays worth its header. There are at most MOST_CHUNKS.
     """
     if window % 2 == 0:
         raise ValueError("window must be odd")
@@ -278,7 +247,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from_docs = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
     more = [F.col(c).alias(x) for c, x in from_docs.items() if x != "_text"]
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
-    keyed = _chunks(d, max(1, -(-total // chunk_bytes)), chunk_bytes)
+    chunk_bytes = max(chunk_bytes, total // MOST_CHUNKS)
+    bounds = byte_bounds(docs.select(id_col, F.octet_length(text_col).alias("_size")), id_col, "_size", chunk_bytes)
+    n_chunks = max(len(bounds) + 1, -(-total // chunk_bytes))
+    spread = F.pmod(F.xxhash64("_text"), F.lit(n_chunks)).cast("long")  # rows without id are no reference: any chunk serves
+    chunk = F.when(F.col("_id").isNull(), spread).otherwise(range_of(F.col("_id"), bounds)).cast("long")
+    keyed = d.withColumn("chunk", chunk).repartition(n_chunks, "chunk")
 
     def first(key, table):
         c = key[0].as_py()
