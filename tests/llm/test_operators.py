@@ -464,11 +464,13 @@ def test_simhash_links(spark, longest, bits):
     assert {i: got.get(i, i) for i in ids.values()} == want
 
 
-@pytest.mark.parametrize("longest", [0, 3, 16])
-def test_jaccard_groups(spark, longest):
+@pytest.mark.parametrize("block", [8192, 5])
+def test_jaccard_groups(spark, monkeypatch, block):
     """Planted copies with every few words changed, a crowd of near copies of one text, a shared passage, equal and empty texts."""
+    from quire.llm import jaccard
     from quire.llm.jaccard import near_groups, shingles, similarity
 
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(8)
     say = lambda n: [f"v{r.randint(0, 5000)}" for _ in range(n)]
     changed = lambda w, n: [f"z{r.random()}" if i in at else x for at in [set(r.sample(range(len(w)), n))] for i, x in enumerate(w)]
@@ -482,11 +484,31 @@ def test_jaccard_groups(spark, longest):
     sets = [shingles((t or "").encode()) for t in texts]
     linked = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similarity(sets[a], sets[b]) >= 0.8]
     assert sum(similarity(sets[a], sets[b]) < 0.9 for a, b in linked) > 20
-    got = {x.doc_id: x.component_id for x in near_groups(docs, "doc_id", longest=longest).collect()}
+    got = {x.doc_id: x.component_id for x in near_groups(docs, "doc_id").collect()}
     assert got == components(range(len(texts)), linked)
     assert near_groups(docs.limit(0), "doc_id").count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 3])
+def test_jaccard_links_beside_the_head(spark, monkeypatch, block):
+    """Postings whose head is near none of their other members, which are near each other."""
+    from quire.llm import jaccard
+    from quire.llm.jaccard import near_groups, shingles, similarity
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(14)
+    say = lambda n: [f"v{r.randint(0, 9000)}" for _ in range(n)]
+    shared, texts = say(300), []
+    texts += [" ".join(shared + say(150)) for _ in range(12)]
+    for _ in range(4):
+        w = shared + say(120)
+        texts += [" ".join([f"z{r.random()}" if i in at else x for i, x in enumerate(w)]) for at in [set(r.sample(range(len(w)), k)) for k in (0, 1, 2, 3, 4, 5)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingles(t.encode()) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similarity(sets[a], sets[b]) >= 0.8]
+    assert {x.doc_id: x.component_id for x in near_groups(docs, "doc_id").collect()} == components(range(len(texts)), linked)
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline as cp
 
