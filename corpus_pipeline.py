@@ -1,7 +1,7 @@
 """A training corpus from the documents table, in five stages; each works on all that its predecessor kept.
 
 quality    documents that the classifier rejects go
-neardup    of each group of near-duplicates (Jaccard similarity of 5-word shingles, 0.8 or more) the document of smallest id stays
+neardup    of each group of near-duplicates (5-word shingles; exact similarity of 0.8 or more) the document of smallest id stays
 repeats    words that repeat an earlier document for 13 words or more go
 mix        each source is taken to its target weight: a document stands 0 to 3 times
 pack       token sequences of at most 4096
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut
-from quire.llm.jaccard import near_groups
 from quire.llm.mixing import mix
 from quire.llm.packing import pack
 from quire.llm.queries import _tokenizer, quality_scores
+from quire.llm.simhash import similar_groups
 from quire.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id in each group, whole rows even where ids are null (last) or repeat."""
     rows = _rows(docs)
-    groups = near_groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
+    groups = similar_groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("_first")).where("_n > 1")
     gone = groups.join(first, "component_id").where("_row <> _first._row").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
