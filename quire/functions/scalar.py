@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MEDIA_TYPES = {"xhtml": "application/xhtml+xml", "html": "text/html", "css": "text/css", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "ttf": "font/ttf", "xml": "application/xml", "opf": "application/oebps-package+xml", "ncx": "application/x-dtbncx+xml"}
+#: The types of the members that an e-book has.
+MEDIA_TYPES = {"xhtml": "application/xhtml+xml", "css": "text/css", "ttf": "font/ttf", "jpg": "image/jpeg", "ncx": "application/x-dtbncx+xml", "opf": "application/oebps-package+xml"}
+#: White space that a browser trims: Unicode separators, line ends and the byte order mark, not U+0085.
+TRIMMED = r"[\t\n\x0B\f\r\p{Zs}\x{2028}\x{2029}\x{FEFF}]"
+#: Fixed value: a link in a legal text, [label](target).
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]{0,61}[A-Za-z]$"
 
 
@@ -19,6 +24,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def trim(c: Column) -> Column:
+    """As a browser trims a string; null stays null."""
+    return F.regexp_replace(c, f"^{TRIMMED}+|{TRIMMED}+$", "")
+
+
 def file_size(size: Column) -> Column:
     """Bytes as "n KB" (at least 1) or "n.d MB", in exact integer arithmetic with halves up."""
     kb = F.greatest(F.lit(1), F.floor((size * 2 + 1024) / 2048))
@@ -66,7 +76,8 @@ def label_or_code(code: Column, labels: dict[str, str]) -> Column:
 
 
 def media_type(name: Column) -> Column:
-    suffix = F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
+    """By the suffix as it is written; a leading dot of a name is no suffix."""
+    suffix = F.regexp_extract(name, r"[^/]\.([^./]+)$", 1)
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), suffix), F.lit("application/octet-stream"))
 
 
@@ -82,8 +93,13 @@ def percent(share: Column) -> Column:
     return F.floor(share * 100 + 0.5)
 
 
-def clamp_width(width: Column, page_w: Column, page_h: Column, most: int = 8_000_000) -> Column:
-    return F.least(width, F.greatest(F.lit(1), F.floor(F.sqrt(F.lit(float(most)) * page_w / page_h))))
+def clamp_width(width: Column, page_w: Column, page_h: Column, most: int = 8_000_000, number: Column | None = None, pages: Column | None = None) -> Column:
+    """Narrower where the page would have over `most` pixels; as asked where its size is not positive, or number is no page of the book."""
+    known = (page_w > 0) & (page_h > 0)
+    if number is not None:
+        known = known & number.between(F.lit(1), pages)
+    page_h = F.when(page_h > 0, page_h)  # no division by zero
+    return F.when(~F.coalesce(known, F.lit(False)), width).otherwise(F.least(width, F.greatest(F.lit(1), F.floor(F.sqrt(F.lit(float(most)) * page_w / page_h)))))
 
 
 def width_ok(value: Column) -> Column:
@@ -140,7 +156,7 @@ def rows_for(text: Column) -> Column:
 
 def text_links(text: Column) -> Column:
     """Plain text and [label](target) links in turn: array of (text, label, target, internal)."""
-    pattern = r"\[([^\]]+)\]\(([^)]+)\)"
+    pattern = LINK
     parts = F.split(text, pattern)
     labels, goals = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     zipped = F.arrays_zip(parts.alias("text"), labels.alias("label"), goals.alias("target"))
@@ -151,6 +167,34 @@ def version_label(version: Column) -> Column:
     return F.substring_index(version, "+", 1)
 
 
+def code_link(commit: Column, site: str) -> Column:
+    """Address of the code at a commit, or of the code where the commit is empty or null."""
+    return F.when(filled(commit).isNotNull(), F.concat(F.lit(f"{site}/tree/"), commit)).otherwise(site)
+
+
+def commit_label(commit: Column) -> Column:
+    return F.substring(F.coalesce(commit, F.lit("")), 1, 7)
+
+
+def conversion_name(kind: str, key: Column, status: Column) -> Column:
+    return F.concat(F.lit(f"{kind} "), key.cast("string"), F.lit(" ("), status, F.lit(")"))
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def has_file(name: Column) -> Column:
+    """Is a file stored: its name is neither empty nor null."""
+    return F.coalesce(name != "", F.lit(False))
+
+
+def contents_line(headings: Column, paragraphs: Column, notes: Column) -> Column:
+    """What goes into the e-book, or that there is no book data (null counts)."""
+    line = F.concat(headings.cast("string"), F.lit(" headings, "), paragraphs.cast("string"), F.lit(" paragraphs, "), notes.cast("string"), F.lit(" notes"))
+    return F.coalesce(line, F.lit("No book data: the EPUB is the uploaded file."))
+
+
 def page_title(title: Column, site: str) -> Column:
     return F.when(filled(title).isNotNull(), F.concat(title, F.lit(f" · {site}"))).otherwise(site)
 
@@ -162,13 +206,14 @@ def facts(*pairs: tuple[str, Column]) -> Column:
 
 def slug(c: Column) -> Column:
     """Unicode slug: NFKC, lower case, word characters and single hyphens; empty: book. A pandas UDF, as NFKC has no built-in."""
-    from pyspark.sql.functions import PandasUDFType
+    import pandas as pd
 
-    def run(s):
+    def run(s: pd.Series) -> pd.Series:
         import re
         import unicodedata
 
         tidy = s.fillna("").map(lambda x: re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKC", x).lower()))
         return tidy.map(lambda x: re.sub(r"[-\s]+", "-", x).strip("-_") or "book") + ".epub"
 
-    return F.pandas_udf(run, "string", PandasUDFType.SCALAR)(c)
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # as objects: names of this scope cannot be resolved later
+    return F.pandas_udf(run, "string")(c)

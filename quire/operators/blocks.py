@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,15 @@ def is_heading():
     return F.col("type") == "heading"
 
 
-def counts(blocks: DataFrame) -> DataFrame:
-    """Headings and paragraphs (text blocks, no pictures) among included blocks, one row a book."""
+def counts(blocks: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Headings and paragraphs (text blocks, no pictures) among included blocks, one row a book.
+
+    notes: (doc_id, notes array, include_notes), one row a book; adds `notes`, their number where they are included, else 0.
+    """
     shown = F.col("include")
+    if notes is not None:
+        n = notes.select("doc_id", F.when(F.col("include_notes"), F.size(F.coalesce("notes", F.array()))).otherwise(0).cast("long").alias("notes"))
+        return counts(blocks).join(n, "doc_id", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
     return blocks.groupBy("doc_id").agg(F.count_if(shown & is_heading()).alias("headings"), F.count_if(shown & (F.col("type") == "text")).alias("paragraphs"))
 
 
@@ -108,18 +114,56 @@ def range_pick(anchor, target):
 
 
 def styled_runs(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Runs of text with their italic and bold state; only <i> </i> <b> </b> count, empty runs go. (key, run, text, italic, bold)"""
-    mark = "\u0001"
-    marked = F.regexp_replace(F.col(text), r"<(/?)([ib])>", f"{mark}$1$2>{mark}")
-    parts = rows.select(key, F.posexplode(F.split(marked, mark)).alias("n", "piece"))
-    tag = F.col("piece").rlike(r"^/?[ib]>$") & (F.col("n") % 2 == 1)
+    """Runs of text with their italic and bold state; only <i> </i> <b> </b> count, empty runs go. (key, run, text, italic, bold)
+
+    Texts and tags alternate: what stands between tags, whatever its characters, and the tags themselves.
+    """
+    pattern = r"</?[ib]>"
+    texts, tags = F.split(F.col(text), pattern), F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
+    zipped = F.flatten(F.transform(F.arrays_zip(texts.alias("t"), tags.alias("g")), lambda x: F.array(x["t"], F.substring(x["g"], 2, 3))))
+    parts = rows.select(key, F.posexplode(zipped).alias("n", "piece")).where(F.col("piece").isNotNull())
+    tag = F.col("n") % 2 == 1
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = lambda c: F.coalesce(F.last(F.when(tag & F.col("piece").isin(f"{c}>", f"/{c}>"), ~F.col("piece").startswith("/")), ignorenulls=True).over(w), F.lit(False))
     parts = parts.withColumn("italic", state("i")).withColumn("bold", state("b")).where(~tag & (F.col("piece") != ""))
     return parts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("n")) - 1).cast("long").alias("run"), F.col("piece").alias("text"), "italic", "bold")
 
 
-def problems(counts_: DataFrame) -> DataFrame:
-    """Reasons why a book cannot be written; an empty list means it can. The one reason that is known here: nothing is included."""
-    nothing = (F.col("headings") == 0) & (F.col("paragraphs") == 0)
-    return counts_.select("doc_id", F.array_compact(F.array(F.when(nothing, "nothing to write"))).alias("problems"))
+def chapters(summary: DataFrame, kept: Column) -> DataFrame:
+    """Adds chapters: the headings of books that are kept with their data, else null."""
+    return summary.withColumn("chapters", F.when(kept, F.col("headings")))
+
+
+def contents_count(blocks: DataFrame) -> DataFrame:
+    """Entries of the table of contents: all headings, included or not."""
+    return blocks.groupBy("doc_id").agg(F.count_if(is_heading()).alias("n"))
+
+
+def section_page(blocks: DataFrame, fallback: int) -> DataFrame:
+    """First known page of each section, else the fallback."""
+    return sections(blocks).select("doc_id", "section", F.coalesce("first_page", F.lit(fallback)).alias("page"))
+
+
+def included(blocks: DataFrame) -> DataFrame:
+    return blocks.where("include")
+
+
+def page_known(blocks: DataFrame) -> DataFrame:
+    return blocks.where("page > 0")
+
+
+def non_body(blocks: DataFrame) -> DataFrame:
+    return blocks.where("role <> 'body'")
+
+
+def problems(blocks: DataFrame) -> DataFrame:
+    """Reasons why a book cannot be written, in the order of its blocks; an empty list means it can. (doc_id, problems)
+
+    Known reasons: nothing is included; a picture (data in base64, width, height) is no JPEG image with its width and height.
+    """
+    jpeg = F.hex(F.substring(F.try_to_binary(F.coalesce("data", F.lit("")), F.lit("base64")), 1, 2)) == "FFD8"
+    sound = F.coalesce(jpeg & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    bad = F.when((F.col("type") == "picture") & ~sound, F.struct("pos", F.concat(F.lit("block '"), F.col("id"), F.lit("': a picture must be a JPEG image with its width and height")).alias("text")))
+    b = blocks.groupBy("doc_id").agg(F.count_if(F.col("include")).alias("n"), F.sort_array(F.collect_list(bad)).alias("bad"))
+    nothing = F.array_compact(F.array(F.when(F.col("n") == 0, "nothing to write")))
+    return b.select("doc_id", F.concat(nothing, F.transform("bad", lambda x: x["text"])).alias("problems"))

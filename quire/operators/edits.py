@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalar import filled, heading_text, notes_in
+from quire.functions.scalar import filled, heading_text, notes_in, trim
 from quire.sources.schemas import BLOCK
 
 EMPTY_NOTES = "cast(map() as map<string,string>)"
@@ -53,7 +53,7 @@ def include_role(blocks: Column, role: str, value: bool) -> Column:
 
 
 def to_heading(b: Column, level: Column | int) -> Column:
-    label = F.coalesce(filled(F.btrim(b["text"])), F.lit("…"))
+    label = F.coalesce(filled(trim(b["text"])), F.lit("…"))
     return block(type="heading", id=b["id"], page=b["page"], role=b["role"], include=b["include"], level=level, label=label)
 
 
@@ -82,18 +82,20 @@ def heading_above(blocks: Column, at: int, new_id: str) -> Column:
 def split(b: Column, offset: Column | int, new_id: str) -> Column:
     """Array of the two parts of a text block cut at a character offset (code points); null if a part is empty.
 
-    Prose is cut there and trimmed. Verse is cut before the line that holds the offset, and its text is its lines joined by spaces.
+    Prose, and verse without lines, is cut there and trimmed. Verse is cut before the line that holds the offset, and its text is its
+    lines joined by spaces.
     """
     o = offset if isinstance(offset, Column) else F.lit(offset)
-    verse, lines = F.coalesce(b["verse"], F.lit(False)), b["lines"]
+    lines = b["lines"]
+    verse = F.coalesce(b["verse"] & (F.size(lines) > 0), F.lit(False))
     ends = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y) + 1))
-    n = F.size(F.filter(ends, lambda e: e <= o))
-    one = F.when(verse, F.array_join(F.slice(lines, F.lit(1), n), " ")).otherwise(F.btrim(F.substring(b["text"], F.lit(1), o)))
-    two = F.when(verse, F.array_join(F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0))), " ")).otherwise(F.btrim(F.substring(b["text"], o + 1, F.length(b["text"]))))
-    none = F.expr("cast(array() as array<string>)")
-    part = lambda text, l, id_: _with(b, text=text, lines=F.when(verse, l).otherwise(none), notes=notes_in(b["notes"], text), id=id_)  # noqa: E731, E741
+    n = F.least(F.size(F.filter(ends, lambda e: e <= o)), F.size(lines) - 1)
+    one = F.when(verse, F.array_join(F.slice(lines, F.lit(1), n), " ")).otherwise(trim(F.substring(b["text"], F.lit(1), F.greatest(o, F.lit(0)))))
+    two = F.when(verse, F.array_join(F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0))), " ")).otherwise(trim(F.substring(b["text"], o + 1, F.length(b["text"]))))
+    part = lambda text, l, id_: _with(b, text=text, lines=F.when(verse, l).otherwise(lines), notes=notes_in(b["notes"], text), id=id_)  # noqa: E731, E741
     parts = F.array(part(one, F.slice(lines, F.lit(1), n), b["id"]), part(two, F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0))), F.lit(new_id)))
-    return F.when((b["type"] == "text") & (one != "") & (two != ""), parts)
+    whole = F.when(verse, (n > 0) & (n < F.size(lines))).otherwise((one != "") & (two != ""))
+    return F.when((b["type"] == "text") & whole, parts)
 
 
 def split_at(blocks: Column, at: int, offset: int, new_id: str) -> Column:
@@ -132,11 +134,11 @@ def strip_pictures(blocks: Column) -> Column:
 
 
 def restore_pictures(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Picture data of incoming books from the stored ones, by (doc_id, block id); none: empty, several: the last.
+    """Picture data of incoming books from the stored ones, by (doc_id, block id); none or a null id: empty, several: the last.
 
     Both: (doc_id, blocks). Stored pictures become a map of each book; only these, not all blocks, meet the incoming rows.
     """
-    pics = stored.select("doc_id", F.posexplode("blocks").alias("pos", "b")).where("b.type = 'picture'")
+    pics = stored.select("doc_id", F.posexplode("blocks").alias("pos", "b")).where("b.type = 'picture' and b.id is not null")
     pics = pics.groupBy("doc_id", F.col("b.id").alias("id")).agg(F.max_by("b.data", "pos").alias("data"))
     maps = pics.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "data"))).alias("_pics"))
     j = incoming.join(maps, "doc_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalar import filled, is_email, too_long
+from quire.functions.scalar import book_name, filled, is_email, label_or_code, too_long
 
 KINDS = ("message", "problem", "copyright")
 RIGHTS = ("public_domain", "permission", "unsure")
@@ -20,7 +20,7 @@ def chain(*rules: tuple[Column, str]) -> Column:
 
 
 def pdf_code(size: Column, head: Column, pages: Column, most_bytes: int = 100 << 20, most_pages: int = 2000) -> Column:
-    return chain((size > most_bytes, "too_big"), (~head.startswith("%PDF-"), "not_pdf"), (F.coalesce(pages, F.lit(0)) == 0, "unreadable"), (pages > most_pages, "too_many_pages"))
+    return chain((size > most_bytes, "too_big"), (F.coalesce(~head.startswith("%PDF-"), F.lit(True)), "not_pdf"), (F.coalesce(pages, F.lit(0)) == 0, "unreadable"), (pages > most_pages, "too_many_pages"))
 
 
 def upload_code(has_file: Column, size: Column, head: Column, pages: Column) -> Column:
@@ -46,21 +46,28 @@ def message_code(over_limit: Column, longest: int = 5000) -> Column:
     )
 
 
-def contact_code(over_limit: Column, longest: int = 5000) -> Column:
-    """Dispatch by kind: book goes to the suggestion chain (null here), an unknown kind is refused first."""
-    kind = F.coalesce(filled(F.col("kind")), F.lit("message"))
-    return F.when(kind == "book", "to_suggestion").when(~kind.isin(*KINDS), "bad_kind").otherwise(message_code(over_limit, longest))
+def contact_code(over_limit: Column, longest: int = 5000, book: Column | None = None) -> Column:
+    """Dispatch by kind: a book's code is that of the suggestion chain (given as `book`); no kind is a message, an unknown or empty one is refused first."""
+    kind = F.coalesce(F.col("kind"), F.lit("message"))
+    book = suggestion_code(over_limit) if book is None else book
+    return F.when(kind == "book", book).when(~kind.isin(*KINDS), "bad_kind").otherwise(message_code(over_limit, longest))
+
+
+def message_row(rows: DataFrame) -> DataFrame:
+    """What is stored of a message: one of kind message (or none) has no link."""
+    plain = F.coalesce(F.col("kind"), F.lit("message")) == "message"
+    return rows.withColumn("link", F.when(plain, "").otherwise(F.col("link")))
 
 
 def suggestion_code(over_limit: Column) -> Column:
     limits = {"title": 300, "author": 200, "note": 2000, "holder": 200, "email": 254}
     pdf = F.col("has_pdf")
-    return chain(
+    fields = chain(
         (F.col("website") != "", "trap"), (over_limit, "too_many"), (F.col("title") == "", "no_title"), (too_long(limits), "too_long"),
         ((F.col("email") != "") & ~is_email(F.col("email")), "bad_email"),
-        (pdf & (F.col("size") > 100 << 20), "too_big"), (pdf & ~F.col("head").startswith("%PDF-"), "not_pdf"), (pdf & (F.col("pages") == 0), "unreadable"), (pdf & (F.col("pages") > 2000), "too_many_pages"),
-        (pdf & ~F.col("rights").isin(*RIGHTS), "no_rights"), (pdf & (F.col("rights") == "permission") & (F.col("holder") == ""), "no_holder"),
     )
+    rights = chain((pdf & ~F.coalesce(F.col("rights").isin(*RIGHTS), F.lit(False)), "no_rights"), (pdf & (F.col("rights") == "permission") & (F.col("holder") == ""), "no_holder"))
+    return F.coalesce(fields, F.when(pdf, pdf_code(F.col("size"), F.col("head"), F.col("pages"))), rights)
 
 
 def suggestion_row(rows: DataFrame) -> DataFrame:
@@ -93,11 +100,16 @@ def book_code(parsed: Column, blocks: Column) -> Column:
     return F.when(parsed.isNull() | blocks.isNull(), "bad_book")
 
 
-def book_form(data: Column, data_ok: Column, has_epub: Column, title: Column, new_cover: Column) -> Column:
-    """Error of an admin's book form, and whether its EPUB is written anew."""
-    given = filled(data).isNotNull()
-    error = chain((given & ~data_ok, "data_file"), (~given & ~has_epub, "epub"), (F.coalesce(title, F.lit("")) == "", "title"))
-    return F.struct(error.alias("error"), (error.isNull() & (given | new_cover | ~has_epub)).alias("rewrite"))
+def book_form(upload: Column, upload_ok: Column, stored: Column, epub: Column, saved_epub: Column, new_cover: Column, title: Column, data_title: Column) -> Column:
+    """First error of an admin's book form, its title, and whether its EPUB is written anew.
+
+    upload, stored: is book data uploaded, or kept with the book; epub, saved_epub: has the form, or the saved book, an EPUB. An EPUB
+    is written only from data, after an upload or a change of the cover, or where there is none yet. An empty title is the data's.
+    """
+    data = upload | stored
+    title = F.coalesce(filled(title), F.when(data, filled(data_title)), F.lit(""))
+    error = chain((upload & ~upload_ok, "data_file"), (~data & ~epub, "epub"), (title == "", "title"))
+    return F.struct(error.alias("error"), title.alias("title"), (error.isNull() & data & (upload | new_cover | ~saved_epub)).alias("rewrite"))
 
 
 def library_add(status: Column, n_problems: Column) -> Column:
@@ -107,18 +119,33 @@ def library_add(status: Column, n_problems: Column) -> Column:
 def field_limits(fields: DataFrame, columns: DataFrame, overrides: dict[str, int]) -> DataFrame:
     """Limit of each form field: the call's, else its column's maximum. Both sides have one row a field name."""
     given = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv])
-    return fields.join(F.broadcast(columns), "field", "left").select("field", F.coalesce(F.element_at(given, F.col("field")), F.col("max_length")).alias("most"))
+    return fields.join(columns, "field", "left").select("field", F.coalesce(F.element_at(given, F.col("field")), F.col("max_length")).alias("most"))
+
+
+#: Subjects of the messages, and how a claim of rights reads.
+SUBJECTS = {"message": "Message from {sender}", "problem": "Problem reported by {sender}", "copyright": "Copyright concern from {sender}"}
+CLAIMS = {"public_domain": "Public domain", "permission": "Has the rights or permission", "unsure": "Not sure"}
 
 
-def message_body(text: Column, link: Column, name: Column, email: Column) -> Column:
-    about = F.when(filled(link).isNotNull(), F.concat(F.lit("About: "), link))
-    sender = filled(F.concat_ws(" ", filled(name), F.when(filled(email).isNotNull(), F.concat(F.lit("<"), email, F.lit(">")))))
-    return F.concat_ws("\n\n", about, filled(text), sender)
+def sender(name: Column, email: Column) -> Column:
+    return F.coalesce(filled(name), filled(email), F.lit("Someone"))
 
 
-def suggestion_body(title: Column, note: Column, has_pdf: Column, rights: Column, holder: Column, link: Column) -> Column:
-    claim = F.when(has_pdf, F.concat_ws(", ", filled(rights), filled(holder))).otherwise("no PDF")
-    return F.concat_ws("\n\n", filled(title), filled(note), filled(claim), link)
+def message_subject(kind: Column, name: Column, email: Column) -> Column:
+    """The subject by kind; null for a kind without one."""
+    subject = F.element_at(F.create_map(*[F.lit(x) for kv in SUBJECTS.items() for x in kv]), kind)
+    return F.replace(subject, F.lit("{sender}"), sender(name, email))
+
+
+def message_body(text: Column, link: Column, name: Column, email: Column, url: Column) -> Column:
+    about = F.when(filled(link).isNotNull(), F.concat(F.lit("About: "), link, F.lit("\n\n"))).otherwise("")
+    return F.concat(about, text, F.lit("\n\n— "), sender(name, email), F.lit(" "), F.coalesce(email, F.lit("")), F.lit("\n"), url)
+
+
+def suggestion_body(title: Column, author: Column, note: Column, has_pdf: Column, rights: Column, holder: Column, link: Column) -> Column:
+    claim = label_or_code(rights, CLAIMS)
+    pdf = F.concat(F.lit("PDF: "), claim, F.when(filled(holder).isNotNull(), F.concat(F.lit(" ("), holder, F.lit(")"))).otherwise(""))
+    return F.concat_ws("\n\n", filled(book_name(title, author)), filled(note), F.when(has_pdf, pdf).otherwise("No PDF"), link)
 
 
 def admin_url(site: str, app: str, model: str, key: Column) -> Column:
@@ -132,10 +159,34 @@ def outbox(rows: DataFrame, recipient: str, subject: Column, body: Column, reply
 
 
 def accepted_mail(rows: DataFrame, templates: DataFrame, fallback: str = "en") -> DataFrame:
-    """Subject and text by language, else the fallback's. templates: (lang, subject, text), one row a language."""
-    t = F.broadcast(templates)
-    base = t.where(F.col("lang") == fallback).select(F.col("subject").alias("_s"), F.col("text").alias("_t"))
-    return rows.join(t, "lang", "left").join(F.broadcast(base)).select(*rows.columns, F.coalesce("subject", "_s").alias("subject"), F.coalesce("text", "_t").alias("text"))
+    """Subject and text by language, else the fallback's, else null. templates: (lang, subject, text), one row a language."""
+    base = templates.where(F.col("lang") == fallback).agg(F.first("subject").alias("_s"), F.first("text").alias("_t"))  # always one row
+    return rows.join(templates, "lang", "left").crossJoin(F.broadcast(base)).select(*rows.columns, F.coalesce("subject", "_s").alias("subject"), F.coalesce("text", "_t").alias("text"))
+
+
+def unread(messages: DataFrame, read: Column) -> DataFrame:
+    return messages.where(~read)
+
+
+def new_suggestions(rows: DataFrame) -> DataFrame:
+    return rows.where("status = 'new'")
+
+
+def unpublished(books: DataFrame) -> DataFrame:
+    return books.where("not is_published")
+
+
+def with_email(rows: DataFrame) -> DataFrame:
+    return rows.where("email <> ''")
+
+
+def affected(rows: DataFrame) -> DataFrame:
+    """How many rows an action changes, and how many people it tells: one row (n, told)."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("email") != "").alias("told"))
+
+
+def total(rows: DataFrame, test: Column) -> DataFrame:
+    return rows.where(test).agg(F.count("*").alias("count"))
 
 
 def waiting(**sets: tuple[DataFrame, str]) -> DataFrame:

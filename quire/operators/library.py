@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.storage import hold
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = ["ord", "title", "uid"]
 
@@ -53,6 +55,24 @@ def library_order(books: DataFrame) -> DataFrame:
     return books.orderBy(*ORDER)
 
 
+def places(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds place, from 1, in an order of all rows (it should be total). No task holds more than a range of them.
+
+    Rows are range-sorted and held once; counts of ranges (one row each) give each range its first place.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hold(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("place", inside).join(counts, F.col("_range") == F.col("_r")).withColumn("place", (F.col("place") + F.col("_base")).cast("long")).drop("_range", "_r", "_base")
+
+
+def recent_order() -> list[Column]:
+    return [F.desc("ts"), F.desc("event_id")]
+
+
 def title_order(books: DataFrame, locale: bool = True) -> DataFrame:
     title = F.collate("title", "UNICODE") if locale else F.col("title")
     return books.orderBy(title, *ORDER)
@@ -68,14 +88,38 @@ def first(books: DataFrame, n: int = 4) -> DataFrame:
     return books.orderBy(*ORDER).limit(n)
 
 
+def without(rows: DataFrame, column: str, value) -> DataFrame:
+    """All rows but the one of this key."""
+    return rows.where(F.col(column) != value)
+
+
+def serialize(books: DataFrame) -> DataFrame:
+    """The nine fields of a published book, in their order. epub_size is null without an e-book, chapters without kept data."""
+    size = F.when(F.col("epub_url").isNotNull(), F.col("epub_size"))
+    return books.select("title", F.col("uid").cast("string").alias("id"), "author", "language", "description", "cover_url", "epub_url", size.alias("epub_size"), "chapters")
+
+
+def not_ready(status: Column, ready: str = "ready") -> Column:
+    """The code for a conversion that is not read yet, else null."""
+    return F.when(status != ready, "not_ready")
+
+
+def media_rule(path: Column) -> Column:
+    """serve, deny or attachment, by the first rule that holds: covers of conversions are served, their other files are not."""
+    return F.when(path.rlike("^/media/conversions/[^/]+/cover[.]jpg$"), "serve").when(path.startswith("/media/conversions/"), "deny").when(path.endswith(".pdf"), "attachment").otherwise("serve")
+
+
+def is_page(path: Column) -> Column:
+    """Does the path go to a page, not to the interface, the admin, or files."""
+    return ~path.rlike("^(api|admin|media|static)/")
+
+
 def others(books: DataFrame, uid, n: int = 4) -> DataFrame:
-    return first(books.where(F.col("uid") != uid), n)
+    return first(without(books, "uid", uid), n)
 
 
 def shelf(books: DataFrame, n: int = 4) -> DataFrame:
     """n slots with the first books that have a cover; empty slots at the end."""
-    from pyspark.sql import Window
-
     top = first(books.where(F.col("cover_url").isNotNull()), n).withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ORDER)) - 1)
     return books.sparkSession.range(n).select(F.col("id").alias("slot")).join(top, "slot", "left")
 
@@ -94,8 +138,6 @@ def languages(books: DataFrame) -> DataFrame:
 
     The first place of a language is the smallest (ord, title, uid) that has it, so no sort of all books is needed.
     """
-    from pyspark.sql import Window
-
     seen = books.where("language <> ''").groupBy("language").agg(F.min(F.struct(*ORDER)).alias("first"))
     w = Window.partitionBy(F.lit(0))  # one row a language
     ranked = seen.withColumn("rank", F.row_number().over(w.orderBy("first"))).withColumn("n", F.count("*").over(w))

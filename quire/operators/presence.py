@@ -24,15 +24,25 @@ def expired(keep: Column, seen: Column, status: Column, created: Column, now: Co
     return ~keep & old & ((status != "reading") | (created < now - F.expr(f"interval {HOUR}")))
 
 
-def rate_limit(posts: DataFrame, limit: int, order: str = "event_id") -> DataFrame:
-    """Adds nth and refused: posts of one form and visitor beyond `limit` in a clock hour; refused posts count."""
+def rate_limit(posts: DataFrame, limit: int, order: str = "event_id", trap: str | None = None) -> DataFrame:
+    """Adds nth and refused: posts of one form and visitor beyond `limit` in a clock hour; refused posts count.
+
+    trap: a field that only robots fill in; such posts are never refused and do not count (nth null).
+    """
     hour = F.floor(F.unix_timestamp("ts") / 3600)
-    w = Window.partitionBy("form", "visitor", "_hour").orderBy("ts", order)
-    return posts.withColumn("_hour", hour).withColumn("nth", F.row_number().over(w).cast("long")).withColumn("refused", F.col("nth") > limit).drop("_hour")
+    w = Window.partitionBy("form", "visitor", "_hour").orderBy("ts", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = untrapped(trap)
+    nth = F.when(counts, F.sum(counts.cast("long")).over(w))
+    return posts.withColumn("_hour", hour).withColumn("nth", nth).withColumn("refused", F.coalesce(F.col("nth") > limit, F.lit(False))).drop("_hour")
+
+
+def untrapped(trap: str | None) -> Column:
+    return F.coalesce(F.col(trap), F.lit("")) == "" if trap else F.lit(True)
 
 
-def hourly_totals(posts: DataFrame, limit: int) -> DataFrame:
-    """Accepted and refused posts a form, visitor and hour: counts only, so no rows are ordered."""
+def hourly_totals(posts: DataFrame, limit: int, trap: str | None = None) -> DataFrame:
+    """Accepted and refused posts a form, visitor and hour: counts only, so no rows are ordered. Trapped posts are neither."""
+    posts = posts.where(untrapped(trap))
     hour = F.floor(F.unix_timestamp("ts") / 3600).alias("hour")
     n = F.count("*")
     return posts.groupBy("form", "visitor", hour).agg(F.least(n, F.lit(limit)).alias("accepted"), F.greatest(n - limit, F.lit(0)).alias("refused"))
@@ -44,5 +54,40 @@ def debounce(saves: DataFrame, gap: str, key: str = "user_id", order: str = "eve
     return s.agg(F.max_by(order, F.struct("ts", order)).alias("saved"), F.count("*").alias("changes")).drop("w")
 
 
+def progress(events: DataFrame, steps: list[str], order: str = "event_id") -> DataFrame:
+    """Status of each conversion from its events (id, ts, kind, text): (id, status, step, error).
+
+    kind: one of `steps` (reading is there), ready, or failed with a text. ready stands at the last step; failed keeps the step that it had
+    reached and its text, or the plain sentence where it has none. Unknown kinds change nothing.
+    """
+    place = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(steps) for x in (s, i)]), F.col("kind"))
+    at = F.struct("ts", order)
+    ends = F.col("kind").isin("ready", "failed")
+    last = events.groupBy("id").agg(F.max_by("kind", F.when(ends, at)).alias("_end"), F.max_by("text", F.when(ends, at)).alias("_text"), F.max_by(place, F.when(place.isNotNull(), at)).alias("_step"))
+    status = F.coalesce("_end", F.lit("reading"))
+    step = F.when(status == "ready", len(steps) - 1).otherwise(F.coalesce("_step", F.lit(0)))
+    text = F.coalesce(F.nullif("_text", F.lit("")), F.lit("Something went wrong while reading the book."))
+    return last.select("id", status.alias("status"), step.cast("long").alias("step"), F.when(status == "failed", text).otherwise("").alias("error"))
+
+
+def throttle(calls: DataFrame, every: float, key: str = "user_id", order: str = "event_id") -> DataFrame:
+    """The calls (key, order, ts) that run: the first, then each that comes `every` seconds or more after the last that ran, for each key.
+
+    Each run depends on the one before, so a key's calls are read in order, one task a key (a process, in the use that this has).
+    """
+    import pandas as pd
+
+    def pick(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["ts", order])
+        keep, last = [], None
+        for x in t["ts"]:
+            keep.append(last is None or (x - last).total_seconds() >= every)
+            last = x if keep[-1] else last
+        return t[keep]
+
+    kinds = dict(calls.dtypes)
+    return calls.select(key, order, "ts").groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {order} {kinds[order]}, ts {kinds['ts']}")
+
+
 def latest(events: DataFrame, key: str, status: str, order: str = "event_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by(status, F.struct("ts", order)).alias("status"), F.count("*").alias("events"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         for n in z.namelist():
-                            kind = MEDIA_TYPES.get(n.rpartition(".")[2].lower(), "application/octet-stream")
+                            kind = MEDIA_TYPES.get(PurePosixPath(n).suffix[1:], "application/octet-stream")
                             yield pd.DataFrame([(p, n, kind, z.read(n), None)], columns=["path", "name", "type", "content", "error"])
                 except zipfile.BadZipFile:
                     yield pd.DataFrame([(p, None, None, None, "not_zip")], columns=["path", "name", "type", "content", "error"])
@@ -71,35 +72,66 @@ def images(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), code.alias("error"), F.when(code.isNull(), F.col("content")).alias("content"))
 
 
+def _fs(uri: str):
+    """(pyarrow file system, path) of an address or a local path."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return (LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith(("/", "file:///")) else FileSystem.from_uri(uri)
+
+
 def write_zips(books: DataFrame, folder: str) -> DataFrame:
-    """One zip a row of (name, problems, members map<string,string>) in folder; rows with problems are refused. (name, file, error)
+    """One zip a row of (name, problems, members map<string,string>) in folder, in storage that all executors share; rows with problems are
+    refused. (name, file, error)
 
-    The layout of a real e-book is not known here; members are written as given. Files appear by an atomic rename.
+    The layout of a real e-book is not known here; members are written as given. Names are percent-encoded where they could leave the folder.
+    Files appear by a move, so a task that runs again leaves whole files. The rows are written when the result is read, each time.
     """
     schema = "name string, file string, error string"
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
+        from urllib.parse import quote
 
+        fs, top = _fs(folder)
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
                 if len(r.problems):
                     out.append((r.name, None, "; ".join(r.problems)))
                     continue
-                side, file = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{r.name or 'book'}.epub"
-                os.makedirs(folder, exist_ok=True)
-                with zipfile.ZipFile(side, "w") as z:
+                side, file = f"{top}/.{uuid.uuid4().hex}", f"{quote(r.name or 'book', safe=' ')}.epub"
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
                     for k, v in sorted(dict(r.members).items()):
                         z.writestr(k, v)
-                os.replace(side, file)
-                out.append((r.name, file, None))
+                fs.create_dir(top, recursive=True)
+                with fs.open_output_stream(side) as f:
+                    f.write(data.getvalue())
+                fs.move(side, f"{top}/{file}")
+                out.append((r.name, f"{folder}/{file}", None))
             yield pd.DataFrame(out, columns=["name", "file", "error"])
 
     return books.select("name", "problems", "members").mapInPandas(write, schema)
 
 
+def delete_dirs(rows: DataFrame, column: str) -> DataFrame:
+    """Deletes the folder that each row names, in shared storage; (folder, deleted). A folder that is not there or cannot go is no error."""
+
+    def drop(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            done = []
+            for folder in part["folder"]:
+                try:
+                    fs, path = _fs(folder)
+                    fs.delete_dir(path)
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pd.DataFrame({"folder": part["folder"], "deleted": done})
+
+    return rows.where(F.col(column) != "").select(F.col(column).alias("folder")).distinct().mapInPandas(drop, "folder string, deleted boolean")
+
+
 def json_list(rows: DataFrame, *columns: str) -> DataFrame:
     """One JSON object a row, nulls kept."""
     return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -47,6 +47,15 @@ BOOKS = """books AS (SELECT d.doc_id AS uid, substring(text, 1, 60) AS title, so
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+def book_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of each book, and whether they are included: (doc_id, notes, include_notes)."""
+    id_ = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.slice(F.array(*map(F.lit, "abc")), F.lit(1), (id_ % 4).cast("int")).alias("notes"), (id_ % 3 != 0).alias("include_notes"))
+
+
+BOOK_NOTES = "book_notes AS (SELECT doc_id, doc_id % 4 AS n, doc_id % 3 <> 0 AS include_notes FROM documents)"
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event: conversion id, kind seen or left, time."""
     e = table(spark, sf_dir, "events")
@@ -58,10 +67,10 @@ VISITS = "visits AS (SELECT user_id AS id, event_id, ts, CASE WHEN event_type =
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("form"), (F.col("user_id") % 50).alias("visitor"), "ts", "event_id")
+    return e.select(F.col("event_type").alias("form"), (F.col("user_id") % 50).alias("visitor"), "ts", "event_id", F.when(F.col("event_id") % 11 == 0, "spam").otherwise("").alias("website"))
 
 
-POSTS = "posts AS (SELECT event_type AS form, user_id % 50 AS visitor, ts, event_id FROM events)"
+POSTS = "posts AS (SELECT event_type AS form, user_id % 50 AS visitor, ts, event_id, CASE WHEN event_id % 11 = 0 THEN 'spam' ELSE '' END AS website FROM events)"
 
 
 def contact_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +102,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (id_ % len(names) + 1).cast("int"))
     return d.select(
-        "doc_id", F.when(id_ % 11 == 0, "").otherwise(F.substring("text", 1, 30)).alias("title"), F.col("source").alias("author"), F.substring("text", 1, 3000).alias("note"),
+        "doc_id", F.when(id_ % 11 == 0, "").otherwise(F.substring("text", 1, 30)).alias("title"), F.col("source").alias("author"), F.col("text").alias("note"),
         (id_ % 3 != 0).alias("has_pdf"), (F.col("n_chars") * 4000).alias("size"), F.when(id_ % 9 == 0, "<html").otherwise("%PDF-").alias("head"), F.floor(F.col("n_chars") / 10).alias("pages"),
         pick("public_domain", "permission", "unsure", "other", "permission").alias("rights"), F.when(id_ % 2 == 0, "Holder").otherwise("").alias("holder"),
         F.when(id_ % 7 == 0, "not an address").when(id_ % 4 == 0, "").otherwise("r@example.org").alias("email"), pick("en", "ka", "fr").alias("lang"),
@@ -101,13 +110,13 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SUGGESTIONS = """suggestions AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE substring(text, 1, 30) END AS title, source AS author, substring(text, 1, 3000) AS note,
+SUGGESTIONS = """suggestions AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE substring(text, 1, 30) END AS title, source AS author, text AS note,
   doc_id % 3 <> 0 AS has_pdf, n_chars * 4000 AS size, CASE WHEN doc_id % 9 = 0 THEN '<html' ELSE '%PDF-' END AS head, n_chars // 10 AS pages,
   list_extract(['public_domain', 'permission', 'unsure', 'other', 'permission'], doc_id % 5 + 1) AS rights, CASE WHEN doc_id % 2 = 0 THEN 'Holder' ELSE '' END AS holder,
   CASE WHEN doc_id % 7 = 0 THEN 'not an address' WHEN doc_id % 4 = 0 THEN '' ELSE 'r@example.org' END AS email, list_extract(['en', 'ka', 'fr'], doc_id % 3 + 1) AS lang,
   CASE WHEN doc_id % 17 = 0 THEN 'spam' ELSE '' END AS website, list_extract(['new', 'accepted', 'declined'], doc_id % 3 + 1) AS status FROM documents)"""
 
-ALL = {"blocks": BLOCKS, "books": BOOKS, "visits": VISITS, "posts": POSTS, "contact_posts": CONTACT, "pdf_heads": PDFS, "suggestions": SUGGESTIONS}
+ALL = {"blocks": BLOCKS, "book_notes": BOOK_NOTES, "books": BOOKS, "visits": VISITS, "posts": POSTS, "contact_posts": CONTACT, "pdf_heads": PDFS, "suggestions": SUGGESTIONS}
 
 
 def sql(names: str, body: str) -> str:

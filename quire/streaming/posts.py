@@ -1,5 +1,7 @@
 """Streams of posts, visits and saves. Each result equals the batch operator's on the same rows.
 
+rate_limit() decides as posts come: that holds for it if no micro-batch brings a post that is earlier than one decided before.
+
 Rows that are late by the watermark are dropped; a stream's first watermark is 1970-01-01, so rows at or before that are late.
 """
 
@@ -12,15 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.operators.presence import untrapped
+
 
-def hourly_totals(posts: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
+def hourly_totals(posts: DataFrame, limit: int, late: str = "1 hour", trap: str | None = None) -> DataFrame:
     """Accepted and refused posts a form, visitor and hour, from event time with a watermark."""
     n = F.count("*")
-    return posts.withWatermark("ts", late).groupBy("form", "visitor", F.window("ts", "1 hour")).agg(F.least(n, F.lit(limit)).alias("accepted"), F.greatest(n - limit, F.lit(0)).alias("refused"))
+    return posts.where(untrapped(trap)).withWatermark("ts", late).groupBy("form", "visitor", F.window("ts", "1 hour")).agg(F.least(n, F.lit(limit)).alias("accepted"), F.greatest(n - limit, F.lit(0)).alias("refused"))
+
 
+def rate_limit(posts: DataFrame, limit: int, late: str = "1 hour", trap: str | None = None) -> DataFrame:
+    """A decision a post: (form, visitor, event_id, nth, refused). State: one counter a form, visitor and hour, dropped by event time.
 
-def rate_limit(posts: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
-    """A decision a post: (form, visitor, event_id, nth, refused). State: one counter a form, visitor and hour, dropped by event time."""
+    Trapped posts are not counted and not in the result.
+    """
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,7 +40,7 @@ def rate_limit(posts: DataFrame, limit: int, late: str = "1 hour") -> DataFrame:
         state.setTimeoutTimestamp(max(int(key[2] + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"form": key[0], "visitor": key[1], "event_id": rows["event_id"].to_numpy(), "nth": nth, "refused": [x > limit for x in nth]})
 
-    keyed = posts.withWatermark("ts", late).withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600))
+    keyed = posts.where(untrapped(trap)).withWatermark("ts", late).withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600))
     return keyed.groupBy("form", "visitor", "hour").applyInPandasWithState(decide, "form string, visitor long, event_id long, nth long, refused boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

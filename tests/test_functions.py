@@ -72,6 +72,100 @@ def test_split_and_join(spark):
     assert [(p.text, p.lines) for p in parts] == [("a", ["a"]), ("b c", ["b", "c"])]
 
 
+def test_browser_trim(spark):
+    odd = "\t\u00a0\u3000\ufeff x\u0085\u2028\n "
+    b = text_block(odd)
+    (h,) = one(spark, ed.to_heading(b, 2))
+    assert h.label == "x\u0085" and one(spark, fn.trim(F.lit(None).cast("string"))) == (None,)
+    assert one(spark, ed.split(text_block("a \t\u00a0"), 1, "new"))[0] is None
+    (parts,) = one(spark, ed.split(text_block("a\u00a0\tb", verse=True), 2, "new"))  # verse without lines is prose
+    assert [(p.text, p.lines) for p in parts] == [("a", []), ("b", [])]
+    verse = text_block("", verse=True, lines=F.array(F.lit(""), F.lit("b")))
+    assert [p.text for p in one(spark, ed.split(verse, 1, "new"))[0]] == ["", "b"]
+    assert one(spark, ed.split(verse, 0, "new")) == (None,)
+
+
+def test_pictures_without_id(spark):
+    pic = lambda i, d: ed.block(type="picture", id=F.lit(i).cast("string"), data=d)
+    books = lambda d: spark.range(1).select(F.lit(1).alias("doc_id"), F.array(pic(None, d), pic("p", d), pic("q", d)).alias("blocks"))
+    stored = spark.range(1).select(F.lit(1).alias("doc_id"), F.array(pic(None, "a"), pic("p", "b")).alias("blocks"))
+    assert [b.data for b in ed.restore_pictures(books("sent"), stored).first().blocks] == ["", "b", ""]
+
+
+def test_problems_of_pictures(spark):
+    rows = [(1, 0, "picture", "p1", True, "/9ggcGljdHVyZQ==", 30, 20), (1, 1, "picture", "p2", False, "", 30, 20), (1, 2, "picture", "p3", True, "/9ggcGljdHVyZQ==", 30, None), (2, 0, "text", "t", False, None, None, None), (3, 0, "picture", "p", True, "not base64!", 1, 1)]
+    got = {r.doc_id: r.problems for r in bl.problems(spark.createDataFrame(rows, "doc_id long, pos long, type string, id string, include boolean, data string, width int, height int")).collect()}
+    bad = "block '{}': a picture must be a JPEG image with its width and height"
+    assert got == {1: [bad.format("p2"), bad.format("p3")], 2: ["nothing to write"], 3: [bad.format("p")]}
+
+
+def test_notes_count_if_included(spark):
+    b = spark.createDataFrame([(i, 0, "heading", True) for i in range(4)], "doc_id long, pos long, type string, include boolean")
+    n = spark.createDataFrame([(0, ["a", "b"], True), (1, ["a"], False), (2, None, True)], "doc_id long, notes array<string>, include_notes boolean")
+    assert {r.doc_id: r.notes for r in bl.counts(b, n).collect()} == {0: 2, 1: 0, 2: 0, 3: 0}
+
+
+def test_contact_kinds(spark):
+    rows = [("", ""), (None, ""), ("x", ""), ("book", ""), ("problem", "spam")]
+    c = spark.createDataFrame([(k, "t", "n", "l", "", w, "T", "", "", "", "", False, 0, None, None) for k, w in rows], "kind string, text string, name string, link string, email string, website string, title string, author string, note string, rights string, holder string, has_pdf boolean, size long, head string, pages long")
+    assert [r.c for r in c.select(it.contact_code(F.lit(False)).alias("c")).collect()] == ["bad_kind", None, "bad_kind", None, "trap"]
+    assert [r.link for r in it.message_row(c).collect()] == ["l", "", "l", "l", "l"]
+    pdf = c.limit(1).withColumns({"has_pdf": F.lit(True), "rights": F.lit("unsure"), "head": F.lit(None).cast("string")})
+    assert pdf.select(it.suggestion_code(F.lit(False)).alias("c")).first().c == "not_pdf"
+    assert pdf.withColumn("head", F.lit("%PDF-")).select(it.suggestion_code(F.lit(False)).alias("c")).first().c == "unreadable"
+
+
+def test_notices(spark):
+    body = it.message_body(F.lit("hi"), F.lit(""), F.lit(""), F.lit("a@b.cd"), F.lit("u"))
+    assert one(spark, body, it.message_subject(F.lit("problem"), F.lit(""), F.lit(""))) == ("hi\n\n— a@b.cd a@b.cd\nu", "Problem reported by Someone")
+    assert one(spark, it.suggestion_body(*map(F.lit, ("T", "", "", True, "permission", "H", "u"))), it.suggestion_body(*map(F.lit, ("T", "A", "n", False, "", "", "u")))) == ("T\n\nPDF: Has the rights or permission (H)\n\nu", "T — A\n\nn\n\nNo PDF\n\nu")
+
+
+def test_mail_without_a_fallback_keeps_all_rows(spark):
+    rows = spark.createDataFrame([(1, "fr"), (2, "de"), (3, None)], "k int, lang string")
+    t = spark.createDataFrame([("fr", "Bonjour", "x")], "lang string, subject string, text string")
+    assert [(r.k, r.subject) for r in it.accepted_mail(rows, t).orderBy("k").collect()] == [(1, "Bonjour"), (2, None), (3, None)]
+
+
+def test_book_form(spark):
+    got = lambda *flags, title="", data="D": it.book_form(*map(F.lit, flags), F.lit(title), F.lit(data))
+    forms = [got(True, False, False, False, False, False), got(False, True, True, True, True, False), got(False, True, True, True, True, True), got(False, True, False, True, True, True, title="t"), got(False, True, False, False, False, False, title="t"), got(False, True, True, False, False, False, data="")]
+    assert [(r.error, r.title, r.rewrite) for r in one(spark, *forms)] == [("data_file", "D", False), (None, "D", False), (None, "D", True), (None, "t", False), ("epub", "t", False), ("title", "", False)]
+
+
+def test_media_types_and_widths(spark):
+    names = ("a/b.css", "A.CSS", "x.html", ".css", "a.b/c", "x.jpg")
+    assert one(spark, *[fn.media_type(F.lit(n)) for n in names]) == ("text/css", *["application/octet-stream"] * 4, "image/jpeg")
+    n = lambda w, h, k=1: fn.clamp_width(F.lit(700), F.lit(w), F.lit(h), number=F.lit(k), pages=F.lit(3))
+    assert one(spark, n(600, 0), n(0, 0), n(1, 10**7, 4), n(1, 10**7), n(600, 800)) == (700, 700, 700, 1, 700)
+
+
+def test_places_in_the_order_of_all_rows(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 11) for i in range(200)], "uid long, ord long").repartition(3)
+    want = {u: k + 1 for k, (_, u) in enumerate(sorted(((i * 37) % 11, i) for i in range(200)))}
+    assert {r.uid: r.place for r in li.places(rows, "ord", "uid").collect()} == want and li.places(rows.limit(0), "ord", "uid").count() == 0
+
+
+def test_shelf_and_first_value(spark):
+    b = spark.createDataFrame([(1, "a", 0, None), (2, "b", 0, "/c"), (3, "c", 0, "/d")], "uid long, title string, ord long, cover_url string")
+    assert [(r.slot, r.uid) for r in li.shelf(b).orderBy("slot").collect()] == [(0, 2), (1, 3), (2, None), (3, None)]
+    assert li.first_or(b.where("uid > 9"), "uid", "title", "none").first().title == "none" and li.first_or(b, "uid", "title", "none").first().title == "a"
+    assert li.random_pick(b, 3).first().uid in (1, 2, 3) and li.random_pick(b.limit(0), 3).count() == 0
+
+
+def test_styled_runs_of_any_character(spark):
+    df = spark.createDataFrame([(1, "a\u0001b<i>\u0001</i>i>"), (2, None), (3, "")], "k int, t string")
+    assert [tuple(r) for r in bl.styled_runs(df, "k", "t").orderBy("run").collect()] == [(1, 0, "a\u0001b", False, False), (1, 1, "\u0001", True, False), (1, 2, "i>", False, False)]
+
+
+def test_delete_dirs(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/f").write_text("1")
+    rows = spark.createDataFrame([(f"{tmp_path}/x",), (f"file://{tmp_path}/none",), ("",), (None,)], "folder string")
+    assert {(r.folder.rpartition("/")[2], r.deleted) for r in files.delete_dirs(rows, "folder").collect()} == {("x", True), ("none", False)}
+    assert not (tmp_path / "x").exists()
+
+
 def test_join_takes_notes_from_the_right(spark):
     a = text_block("a", notes=F.create_map(F.lit("1"), F.lit("old")))
     b = text_block("b", notes=F.create_map(F.lit("1"), F.lit("new")))
@@ -102,6 +196,12 @@ def test_rate_limit(spark):
     assert [r.refused for r in pr.rate_limit(p, 2).orderBy("event_id").collect()] == [False, False, True, False]
 
 
+def test_trapped_posts_do_not_count(spark):
+    p = spark.createDataFrame([("m", "a", i, i, "x" if i in (1, 2) else None) for i in range(1, 6)], "form string, visitor string, event_id long, s long, website string").withColumn("ts", F.timestamp_seconds("s"))
+    assert [(r.nth, r.refused) for r in pr.rate_limit(p, 2, trap="website").orderBy("event_id").collect()] == [(None, False), (None, False), (1, False), (2, False), (3, True)]
+    assert tuple(pr.hourly_totals(p, 2, trap="website").first())[-2:] == (2, 1)
+
+
 def test_update_and_delete_keep_rows_of_unknown_state(spark):
     d = spark.createDataFrame([(1, None), (2, True), (3, False)], "k int, t boolean")
     assert [r.k for r in tb.delete_where(d, F.col("t")).orderBy("k").collect()] == [1, 3]
@@ -123,8 +223,9 @@ def test_zip_members_and_images(spark, tmp_path):
     got = {(r.name, r.type, r.error) for r in files.zip_members(spark, str(tmp_path)).collect()}
     assert got == {("x.css", "text/css", None), (None, None, "not_zip")}
     out = tmp_path / "out"
-    books = spark.createDataFrame([("t", [], {"x": "1"}), ("u", ["nothing to write"], {})], "name string, problems array<string>, members map<string,string>")
-    assert {(r.name, r.error) for r in files.write_zips(books, str(out)).collect()} == {("t", None), ("u", "nothing to write")}
+    books = spark.createDataFrame([("t", [], {"x": "1"}), ("../é", [], {"x": "1"}), ("u", ["nothing to write"], {})], "name string, problems array<string>, members map<string,string>")
+    assert {(r.name, r.error) for r in files.write_zips(books, str(out)).collect()} == {("t", None), ("../é", None), ("u", "nothing to write")}
+    assert sorted(p.name for p in out.iterdir()) == ["..%2F%C3%A9.epub", "t.epub"]
     (tmp_path / "img").mkdir()
     (tmp_path / "img/a.jpg").write_bytes(b"\xff\xd8\xff\xe0abc")
     (tmp_path / "img/b.jpg").write_bytes(b"text")
