@@ -159,11 +159,12 @@ def n_ranges(spark: SparkSession, rows: int, each: int) -> int:
     return max(-(-rows // each), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, ranges: int, out: str = "start") -> DataFrame:
+def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, ranges: int, out: str = "start", keep: str | None = None) -> DataFrame:
     """sizes plus the running sum of size_col over all rows before it by ascending id_col (nulls first).
 
     Two levels: rows are range-sorted once and held, sums of ranges (one row each) are added up, then rows inside a range.
     Rows of equal id are ordered by size and then all other columns, and may lie in several ranges, so no id is one task.
+    keep: name of a column for the number of the row's range, from 0, ascending with the sum.
     """
     order = [F.col(id_col).asc_nulls_first(), F.col(size_col), *[F.col(c) for c in sizes.columns if c not in (id_col, size_col)]]
     dealt = cut(sizes.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
@@ -172,7 +173,8 @@ def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, ranges: int, out
     sums = sums.select("_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     run = dealt.withColumn(out, F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
-    return run.join(sums, F.col("_range") == F.col("_r")).withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_range", "_r", "_base")
+    run = run.join(sums, F.col("_range") == F.col("_r")).withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_r", "_base")
+    return run.withColumnRenamed("_range", keep) if keep else run.drop("_range")
 
 
 def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, most_hot: int = 10_000) -> DataFrame:

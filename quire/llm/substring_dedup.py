@@ -47,12 +47,24 @@ _hash = _WordHash()
 
 
 def _rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive entries of h; one for each start that has k."""
+    """Hash of each k consecutive entries of h; one for each start that has k. A polynomial: runs of a and b entries give those of a + b."""
     n = max(0, len(h) - k + 1)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= _MULTIPLY
-        out += h[j : j + n]
+    if not n:
+        return h[:0].copy()
+    power, reach, out, have = _MULTIPLY, 1, None, 0  # h holds the runs of `reach` entries, out those of `have`
+    while True:
+        if k & reach:
+            if out is None:
+                out = h.copy()
+            else:
+                m = min(len(out), len(h) - have)
+                out = out[:m] * power + h[have : have + m]
+            have += reach
+        if have == k:
+            break
+        h = h[: max(0, len(h) - reach)] * power + h[reach:]
+        power, reach = np.uint64(int(power) ** 2 % (1 << 64)), 2 * reach
+    out = out[:n]
     out ^= out >> np.uint64(29)
     out *= _MIX
     out ^= out >> np.uint64(32)

@@ -9,7 +9,7 @@ equal chunks wherever they stand. A chunk's address is its 128-bit digest. Folde
   top                 number of ranges and the Merkle root of their roots
 
 A document's root is the Merkle root of its chunk digests, a range's that of its documents' places and roots. read() first checks
-the recipes against the manifest and that against the top (thin columns only), then each chunk and document as it is
+the manifest against the top and that the recipes have its ranges and rows, then each chunk, document and range as it is
 rebuilt: a lost or changed file or byte is an error, not another id.
 
 Writing: encoding and cutting happen once and are staged in the shared folder; owners of chunks are chosen from the
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +48,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash has zeros, at least LEAST and at most MOST ids apart."""
-    n, out, last = len(ids), [], 0
+def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """For each of the documents that stand in ids one after another, the ends of its chunks.
+
+    A chunk ends where the rolling hash has zeros, at least LEAST and at most MOST ids after the one before, and with the document.
+    """
     h = _rolling((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), SPAN)
-    marks = (np.flatnonzero(h % np.uint64(MEAN) == 0) + SPAN).tolist()
-    for m in [*marks, n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or m == n:
-            if m > last:
-                out.append(m)
-            last = m
+    marks = np.flatnonzero(h & np.uint64(MEAN - 1) == 0) + SPAN
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    first, last = np.searchsorted(marks, starts + SPAN), np.searchsorted(marks, ends, "right")  # windows inside the document
+    out = []
+    for i, n in enumerate(sizes):
+        done, end = [], 0
+        for m in [*(marks[first[i] : last[i]] - starts[i]).tolist(), n]:
+            while m - end > MOST:
+                end += MOST
+                done.append(end)
+            if m - end >= LEAST or m == n:
+                if m > end:
+                    done.append(m)
+                end = m
+        out.append(done)
     return out
 
 
@@ -69,17 +79,17 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         end = np.array([end_id], e.kind).tobytes()
         kinds = {"n_tokens": pa.int64(), "ids": pa.binary(), "root": pa.binary(), "chunks": pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("n", pa.int64())]))}
         for whole in batches:
-            for i in range(0, len(whole), 128):  # texts may be long
-                b = whole.slice(i, 128)
-                out: dict = {k: [] for k in kinds}
-                for t in b.column(1):
-                    data = e.ids(t.as_py() or "") + end
-                    ids, last, chunks = np.frombuffer(data, e.kind), 0, []
-                    for c in cuts(ids):
-                        chunks.append({"digest": digest(data[last * e.kind.itemsize : c * e.kind.itemsize]), "at": last, "n": c - last})
-                        last = c
-                    for k, v in zip(out, (len(ids), data, merkle([c["digest"] for c in chunks]), chunks), strict=True):
-                        out[k].append(v)
+            for at, rows in _slices(pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist(), 1 << 20):  # texts may be long
+                b = whole.slice(at, rows)
+                streams = [e.ids(t or "") + end for t in b.column(1).to_pylist()]
+                wide = e.kind.itemsize
+                sizes = [len(x) // wide for x in streams]
+                chunks, roots = [], []
+                for data, found in zip(streams, cuts(np.frombuffer(b"".join(streams), e.kind), sizes), strict=True):
+                    digests = [digest(data[a * wide : z * wide]) for a, z in zip([0, *found], found, strict=False)]
+                    chunks.append([{"digest": d, "at": a, "n": z - a} for d, a, z in zip(digests, [0, *found], found, strict=False)])
+                    roots.append(merkle(digests))
+                out = {"n_tokens": sizes, "ids": streams, "root": roots, "chunks": chunks}
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
 
     schema = "doc_id long, n_tokens long, ids binary, root binary, chunks array<struct<digest binary, at long, n long>>"
@@ -96,16 +106,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     spark, stage = docs.sparkSession, f"{folder}/stage"
     _stage(docs, id_col, text_col, tokenizer, end_id, stage)
     staged = spark.read.parquet(stage)
-    rows = staged.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "n_tokens", "root", "chunks")
+    # part-<task>-<job>-<count>.<ending>: task and count tell the files of one write apart
+    sample = next(iter(staged.inputFiles()), "").rpartition("/")[2]
+    name = F.col("_metadata.file_name")
+    file = F.concat(F.substring_index(F.substring_index(name, "-", 2), "-", -1), F.lit("-"), F.substring_index(F.substring_index(name, "-", -1), ".", 1))
+    rows = staged.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "n_tokens", "root", "chunks")
     parts = rows.select("file", "row", F.posexplode("chunks").alias("k", "c")).select("file", "row", "k", "c.*")
     owners = parts.groupBy("digest").agg(F.min(F.struct("file", "row", "k", "at", "n")).alias("o"), F.count("*").alias("copies")).select("digest", "copies", "o.*")
 
     def pack(key, table):
-        file = key[0].as_py()
-        name = file.rpartition("/")[2].partition(".")[0]
         import pyarrow.parquet as pq
 
-        fs, path = open_fs(file)
+        name = key[0].as_py()
+        task, count = name.split("-")
+        job, ending = sample.split("-", 2)[2].rpartition("-")[0], sample.rpartition("-")[2].partition(".")[2]
+        fs, path = open_fs(f"{stage}/part-{task}-{job}-{count}.{ending}")
         table = table.sort_by([("row", "ascending"), ("k", "ascending")])
         row, at, n = (table.column(c).to_pylist() for c in ("row", "at", "n"))
         size, out, offset, i, first = 2, bytearray(), [], 0, 0
@@ -131,9 +146,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     where = join_by_key(parts.select("file", "row", "k", "digest", "n"), found, "digest", "copies", n_parts)
     recipe = where.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("k", "pack", "offset", "n", "digest"))).alias("parts"))
     ranges = n_ranges(spark, n_docs, range_rows)
-    sizes = prefix_starts(rows.select("doc_id", "n_tokens", "root", "file", "row"), "doc_id", "n_tokens", ranges)
-    out = sizes.join(recipe, ["file", "row"]).drop("file", "row").repartitionByRange(ranges, "start").sortWithinPartitions("start")
-    out.withColumn("range", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    # ranges of the running sum become the files, without another sample of the rows
+    sizes = prefix_starts(rows.select("doc_id", "n_tokens", "root", "file", "row"), "doc_id", "n_tokens", ranges, keep="range")
+    out = sizes.join(recipe, ["file", "row"]).drop("file", "row").repartitionById(ranges, F.col("range")).sortWithinPartitions("start")
+    out.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _roots(spark, folder).write.parquet(f"{folder}/manifest")
     put_file(f"{folder}/top", json.dumps(_top(spark, folder)).encode())
     drop_folder(stage)
@@ -144,17 +160,36 @@ _RANGE = "range int, first_id long, last_id long, rows long, n_tokens long, root
 
 
 def _roots(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a range of recipes, from the recipes without their parts. Ranges hold range_rows documents or a few more."""
+    """One row a range of recipes, from the recipes without their parts; a range is one file, whose rows are read in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("range", pa.int32()), *((k, pa.int64()) for k in ("first_id", "last_id", "rows", "n_tokens")), ("root", pa.binary())])
+        now = _Range()
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in ("range", "doc_id", "start", "n_tokens", "root")), strict=True):
+                if r[0] != now.range:
+                    yield pa.RecordBatch.from_pylist(now.rows(), kinds)
+                    now = _Range(r[0])
+                now.add(*r[1:])
+        yield pa.RecordBatch.from_pylist(now.rows(), kinds)
+
+    return spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root").mapInArrow(run, _RANGE)
+
+
+class _Range:
+    """The documents of a range so far."""
 
-    def root(key, table):
-        t = table.sort_by("start")
-        columns = {k: t.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "root")}
-        leaves = [f"{d} {s} {n} ".encode() + r for d, s, n, r in zip(*columns.values(), strict=True)]
-        ids = [x for x in columns["doc_id"] if x is not None]
-        row = {"range": key[0].as_py(), "first_id": min(ids, default=None), "last_id": max(ids, default=None), "rows": len(t), "n_tokens": sum(columns["n_tokens"]), "root": merkle(leaves)}
-        return pa.Table.from_pylist([row], pa.schema([("range", pa.int32()), *((k, pa.int64()) for k in ("first_id", "last_id", "rows", "n_tokens")), ("root", pa.binary())]))
+    def __init__(self, number: int | None = None):
+        self.range, self.leaves, self.tokens, self.first, self.last = number, [], 0, None, None
 
-    return spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root").groupBy("range").applyInArrow(root, _RANGE)
+    def add(self, doc_id: int | None, start: int, n_tokens: int, root: bytes) -> None:
+        self.leaves.append(f"{doc_id} {start} {n_tokens} ".encode() + root)
+        self.tokens += n_tokens
+        if doc_id is not None:  # ascending
+            self.first, self.last = doc_id if self.first is None else self.first, doc_id
+
+    def rows(self) -> list[dict]:
+        return [{"range": self.range, "first_id": self.first, "last_id": self.last, "rows": len(self.leaves), "n_tokens": self.tokens, "root": merkle(self.leaves)}] if self.leaves else []
 
 
 def _top(spark: SparkSession, folder: str) -> dict:
@@ -162,64 +197,98 @@ def _top(spark: SparkSession, folder: str) -> dict:
     return {"ranges": len(rows), "root": merkle([str(r["range"]).encode() + r["root"] for r in rows]).hex()}
 
 
-def verify(spark: SparkSession, folder: str) -> None:
-    """ValueError if the recipes do not match the manifest, or that not the top. Chunks are checked by read()."""
+def verify(spark: SparkSession, folder: str) -> dict[int, bytes]:
+    """Roots of the ranges. ValueError if the manifest does not match the top, or ranges of recipes or rows of them are missing."""
     fs, path = open_fs(f"{folder}/top")
     with fs.open_input_stream(path) as f:
         top = json.loads(f.read())
     if _top(spark, folder) != top:
         raise ValueError(f"{folder}: the manifest does not match its root")
-    names = [x.split()[0] for x in _RANGE.split(", ")]
-    key = lambda df: df.select(F.struct(*names).alias("r"))
-    if top["ranges"] and not key(spark.read.parquet(f"{folder}/manifest")).exceptAll(key(_roots(spark, folder))).isEmpty():
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    there = spark.read.parquet(f"{folder}/recipes").groupBy(F.col("range").alias("r")).agg(F.count("*").alias("n"))
+    if not manifest.join(there, F.col("range") == F.col("r"), "full").where(~F.col("rows").eqNullSafe(F.col("n"))).isEmpty():
         raise ValueError(f"{folder}: recipes are lost or changed")
-
-
-def _fetch(folder: str, wanted: list[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
-    """The bytes of chunks (pack, offset, length); neighbours are read in one go."""
-    got: dict[tuple[str, int], bytes] = {}
-    by: dict[str, list[tuple[int, int]]] = {}
-    for p, o, n in set(wanted):
-        by.setdefault(p, []).append((o, n))
-    for p, spans in by.items():
-        spans.sort()
-        fs, path = open_fs(f"{folder}/packs/{p}.ids")
-        with fs.open_input_file(path) as f:
-            i = 0
-            while i < len(spans):
-                j, end = i, spans[i][0]
-                while j < len(spans) and spans[j][0] <= end + 4096 and spans[j][0] - spans[i][0] < 4 << 20:
-                    end = max(end, spans[j][0] + spans[j][1])
-                    j += 1
-                data = f.read_at(end - spans[i][0], spans[i][0])
-                for o, n in spans[i:j]:
-                    got[p, o] = data[o - spans[i][0] : o - spans[i][0] + n]
-                i = j
-    return got
+    return {r["range"]: r["root"] for r in manifest.select("range", "root").collect()}
+
+
+class _Packs:
+    """Chunks by (pack, offset, length in bytes). Neighbours are read in one go; up to 64 files stay open for a task."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def _file(self, pack: str):
+        if pack not in self.files:
+            while len(self.files) >= 64:
+                self.files.pop(next(iter(self.files))).close()
+            fs, path = open_fs(f"{self.folder}/packs/{pack}.ids")
+            self.files[pack] = fs.open_input_file(path)
+        return self.files[pack]
+
+    def fetch(self, wanted: set[tuple[str, int, int]]) -> dict[tuple[str, int], bytes]:
+        got, spans = {}, sorted(wanted)
+        i = 0
+        while i < len(spans):
+            pack, first, _ = spans[i]
+            j, end = i, first
+            while j < len(spans) and spans[j][0] == pack and spans[j][1] <= end + 4096 and spans[j][1] - first < 4 << 20:
+                end = max(end, spans[j][1] + spans[j][2])
+                j += 1
+            data = self._file(pack).read_at(end - first, first)
+            for _, o, n in spans[i:j]:
+                got[pack, o] = data[o - first : o - first + n]
+            i = j
+        return got
+
+
+def _slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows whose lengths sum up to `most` or less, or of one row."""
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    yield start, len(lengths) - start
 
 
 def read(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
     """Rows (doc_id, start, n_tokens, root, ids): ids as little-endian unsigned 32-bit numbers, checked against the digests.
 
-    verify() runs at once, chunks are checked as they are read.
+    verify() runs at once; chunks, documents and ranges are checked as they are read.
     """
-    verify(spark, folder)
+    roots = spark.sparkContext.broadcast(verify(spark, folder))  # 16 bytes a range
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packs = _Range(), _Packs(folder)
+
+        def ended() -> None:
+            if now.leaves and merkle(now.leaves) != roots.value.get(now.range):
+                raise ValueError(f"range {now.range}: its recipes do not match the manifest")
+
         for whole in batches:
-            for i in range(0, len(whole), 256):
-                b = whole.slice(i, 256)
-                recipes = b.column("parts").to_pylist()
-                got = _fetch(folder, [(p["pack"], p["offset"], p["n"] * id_bytes) for r in recipes for p in r])
-                out = []
-                for doc, root, r in zip(b.column("doc_id").to_pylist(), b.column("root").to_pylist(), recipes, strict=True):
-                    pieces = [got[p["pack"], p["offset"]] for p in r]
-                    if any(digest(x) != p["digest"] for x, p in zip(pieces, r, strict=True)) or merkle([p["digest"] for p in r]) != root:
+            for r in zip(*(whole.column(k).to_pylist() for k in ("range", "doc_id", "start", "n_tokens", "root")), strict=True):
+                if r[0] != now.range:
+                    ended()
+                    now = _Range(r[0])
+                now.add(*r[1:])
+            for at, rows in _slices(whole.column("n_tokens").to_pylist()):
+                b = whole.slice(at, rows)
+                ends = np.cumsum(pa.compute.list_value_length(b.column("parts")).to_numpy()).tolist()
+                flat = b.column("parts").flatten()
+                names, places, n, digests = (flat.field(k).to_pylist() for k in ("pack", "offset", "n", "digest"))
+                got = packs.fetch(set(zip(names, places, [x * id_bytes for x in n], strict=True)))
+                out, i = [], 0
+                for doc, root, end in zip(b.column("doc_id").to_pylist(), b.column("root").to_pylist(), ends, strict=True):
+                    pieces = [got[names[k], places[k]] for k in range(i, end)]
+                    if any(digest(x) != digests[k] for k, x in enumerate(pieces, i)) or merkle(digests[i:end]) != root:
                         raise ValueError(f"document {doc}: its chunks do not match its recipe")
                     out.append(np.frombuffer(b"".join(pieces), f"<u{id_bytes}").astype("<u4").tobytes())
+                    i = end
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens", "root")), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "root", "ids"])
+        ended()
 
-    recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root", "parts")
+    recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root", "parts", "range")
     return recipes.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, root binary, ids binary")
 
 

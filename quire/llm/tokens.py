@@ -111,10 +111,14 @@ class Encoder:
         text = unit[1:] if unit[:1] == "\x02" else "\n" if unit == "\x01" else " " + unit
         return b"".join([self.units[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.pieces[p] for p in self.cut(text)])
 
+    def _uncut(self, text: str) -> bool:
+        odd = not text.replace("\n", "").isprintable() and any(c in text for c in _ODD)  # _ODD is not printable
+        return odd or any(a in text for a in self.added) or not text.isascii() and _other(text) is not None
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in _ODD) or any(a in text for a in self.added) or not text.isascii() and _other(text):
+        if self._uncut(text):
             return self.whole(text)
         if self.words:
             return b"".join(map(self.units.__getitem__, text.split()))
