@@ -62,7 +62,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows (id_col, digest, keys, signature): digest of the lower-cased words, keys of the bands, the low 8 bits of each minimum."""
+    """Rows (id_col, digest, keys, signature): digest of the lower-cased words, keys of the bands, the low 8 bits of each minimum and 32 of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,8 +74,9 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 for t in b.column(1).cast(pa.binary()):
                     words = (t.as_py() or b"").lower().split()
                     least = minima(hashed(words, size)) if words else None
-                    mark = b"" if least is None else least.astype(np.uint8).tobytes()  # low bits; the high ones of minima are all small
-                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)), [] if least is None else band_keys(least), mark))
+                    keys = np.zeros(0, np.int64) if least is None else band_keys(least)
+                    mark = b"" if least is None else least.astype(np.uint8).tobytes() + keys.astype("<u4").tobytes()  # low bits; the high ones of minima are all small
+                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)), keys, mark))
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, "digest", "keys", "signature"])
 
@@ -85,7 +86,8 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 def _close(marks: np.ndarray, band: int, apart) -> Iterator[tuple[int, np.ndarray]]:
     """(q, those j > q) of a posting with apart(q, j) that reach AGREE, each in the first band that both share."""
     n = len(marks)
-    step, columns = max(1, (1 << 22) // n), np.ascontiguousarray(marks.T)
+    keys = np.ascontiguousarray(marks[:, BANDS * ROWS :]).view("<u4")
+    step, columns = max(1, (1 << 22) // n), np.ascontiguousarray(marks[:, : BANDS * ROWS].T)
     for s in range(0, n, step):
         equal = np.zeros((min(step, n - s), n - s), np.uint8)
         for c in columns:
@@ -94,7 +96,7 @@ def _close(marks: np.ndarray, band: int, apart) -> Iterator[tuple[int, np.ndarra
             j = np.flatnonzero(equal[q - s] >= AGREE) + s
             j = j[j > q]
             j = j[apart(q, j)]
-            first = (marks[j].reshape(-1, BANDS, ROWS) == marks[q].reshape(BANDS, ROWS)).all(2).argmax(1)
+            first = (keys[j] == keys[q]).argmax(1)
             if len(j := j[first == band]):
                 yield int(q), j
 

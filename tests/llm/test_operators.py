@@ -519,6 +519,25 @@ def test_jaccard_links_beside_the_head(spark, monkeypatch, block):
     assert {x.doc_id: x.component_id for x in near_groups(docs, "doc_id").collect()} == components(range(len(texts)), linked)
 
 
+def test_each_close_pair_is_named_once():
+    from quire.llm import jaccard as J
+
+    r = random.Random(2)
+    base, marks = [f"v{r.random()}".encode() for _ in range(80)], []
+    for _ in range(60):
+        at = set(r.sample(range(80), 2))
+        least = J.minima(J.hashed([f"z{r.random()}".encode() if i in at else w for i, w in enumerate(base)]))
+        marks.append(np.frombuffer(least.astype(np.uint8).tobytes() + J.band_keys(least).astype("<u4").tobytes(), np.uint8))
+    marks, seen = np.array(marks), []
+    keys = marks[:, 128:].copy().view("<u4")
+    for band in range(J.BANDS):
+        for key in set(keys[:, band].tolist()):
+            at = np.flatnonzero(keys[:, band] == key)
+            seen += [(at[q], x) for q, j in J._close(marks[at], band, lambda q, j: np.ones(len(j), bool)) for x in at[j]]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (marks[i, :128] == marks[j, :128]).sum() >= J.AGREE and (keys[i] == keys[j]).any()}
+    assert len(seen) == len(set(seen)) and set(seen) == want and len(want) > 500
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline as cp
 
