@@ -177,18 +177,21 @@ def prefix_starts(sizes: DataFrame, id_col: str, size_col: str, ranges: int, out
     return run.withColumnRenamed("_range", keep) if keep else run.drop("_range")
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, most_hot: int = 10_000) -> DataFrame:
-    """left join of `rows` rows with a table of one row a key (string or binary), whose column `copies` says how often left has the key.
+def join_by_key(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, most_hot: int = 10_000, deal: Column | None = None) -> DataFrame:
+    """left join of `rows` rows with a table of one row a key (string, binary or long), whose column `copies` says how often left has the key.
 
     Keys with over rows / most_hot copies are at most most_hot: they are broadcast, and their rows are dealt evenly, so
-    that no key, however frequent, is one task. All others are shuffled. `copies` is not in the result.
+    that no key, however frequent, is one task. All others are shuffled. `copies` is not in the result. They are dealt by
+    deal, a hash that differs from row to row; without it by their place in left, which must then be read from a checkpoint or a file, so that
+    a repeated task reads it in the same order.
     """
     names = [c for c in right.columns if c not in (key, copies)]
     least = max(1000, rows // most_hot)
     hot = right.where(F.col(copies) > least).select(F.col(key).alias("_hot"), F.struct(*names).alias("_hit"))
     rest = right.where(F.col(copies) <= least).select(F.col(key).alias("_key"), F.struct(*names).alias("_met"))
     j = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    spread = F.concat(F.lit("\u0001"), F.pmod(F.monotonically_increasing_id(), F.lit(65_536)).cast("string"))  # equals no digest
-    j = j.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread.cast(dict(left.dtypes)[key])))
-    j = j.join(rest, F.col("_at") == F.col("_key"), "left")
-    return j.select(*left.columns, *[F.coalesce(f"_hit.{n}", f"_met.{n}").alias(n) for n in names])
+    kind, place = dict(left.dtypes)[key], F.pmod(F.monotonically_increasing_id() if deal is None else deal, F.lit(65_536))
+    spread = place if kind == "bigint" else F.concat(F.lit("\u0001"), place.cast("string")).cast(kind)
+    j = j.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    j = j.join(rest, F.col("_at") == F.col("_key"), "left")  # at most one row: what a spread key meets by chance is not taken
+    return j.select(*left.columns, *[F.when(F.col("_hot").isNull(), F.col(f"_met.{n}")).otherwise(F.col(f"_hit.{n}")).alias(n) for n in names])

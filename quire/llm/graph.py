@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, join_by_key
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(both.where("v > u"), least, "u", "n", 2 * rows, deal=F.xxhash64("u", "v")).where("v <> m")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(e, least, "u", "n", rows, deal=F.xxhash64("u", "v")).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """Rows (node, component): every node of an edge with the smallest node that it reaches.
 
     Edges with a null end and loops are left out. Each round is two stars, cut by a checkpoint in the shared folder;
-    rounds grow with the logarithm of the largest component. No node's edges are gathered in one row.
+    rounds grow with the logarithm of the largest component. No node's edges are gathered in one row or joined in one task.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if now == seen or now[0] == 0:
             break
         seen = now
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, now[0]), now[0]))
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

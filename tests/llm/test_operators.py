@@ -456,6 +456,24 @@ def test_simhash(spark, docs, data, empty):
     assert near_groups(with_null_id(spark, data)).count() == len(data) + 2
 
 
+def test_hubs_and_frequent_keys(spark):
+    """Nodes and keys with thousands of rows are dealt over tasks; the result is that of plain loops."""
+    from quire.llm.common import cut, join_by_key
+    from quire.llm.graph import connected_components
+
+    r = random.Random(8)
+    hub = [(5000, k) for k in range(3000)] + [(k, 9000 + k) for k in range(0, 3000, 7)] + [(20_000 + k, 20_001 + k) for k in range(40)] + [(30_000, None), (7, 7)]
+    r.shuffle(hub)
+    got = connected_components(spark.createDataFrame(hub, "x long, y long").repartition(5), "x", "y").collect()
+    edges = [(a, b) for a, b in hub if b is not None and a != b]
+    assert {x.node: x.component for x in got} == components({v for e in edges for v in e}, edges) and len(got) == len({x.node for x in got})
+    left = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(9000)] + [(None, -1)], "key long, row long")
+    right = left.groupBy("key").agg(F.count("*").alias("n"), F.max("row").alias("top")).where("key % 5 <> 3")
+    tops = {x.key: x.top for x in right.collect()}
+    met = join_by_key(cut(left), right, "key", "n", 9001).collect()
+    assert sorted((x.row, x.key, x.top) for x in met) == sorted(((x.row, x.key, tops.get(x.key)) for x in left.collect()), key=lambda x: x[0])
+
+
 @pytest.mark.parametrize(("longest", "bits"), [(0, 2), (3, 2), (5000, 2), (0, 0), (5, 1), (20, 3), (0, 7)])
 def test_simhash_links(spark, longest, bits):
     """Groups of close fingerprints, and fingerprints that all share their first bytes, as a skewed index has them."""
