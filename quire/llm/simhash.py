@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, only
+from quire.llm.common import cut, join_by_key, only
 from quire.llm.graph import connected_components
 
 SEED = 42
@@ -147,11 +147,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     change nothing. An empty table gives an empty result.
     """
     thin = cut(fingerprints(docs, id_col, text_col, size))
-    classes = thin.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("rep")).where("rep is not null")
+    classes = thin.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("rep"), F.count("*").alias("n")).where("rep is not null")
     # two classes may have one representative where an id has several texts: its groups are one then
     found = connected_components(links(classes, bits), "a", "b")
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return thin.join(named, "fp", "left").select(id_col, "fp", "component_id")
+    named = classes.join(found, classes.rep == found.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_by_key(thin, named, "fp", "n", thin.count()).select(id_col, "fp", "component_id")
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 5, bits: int = 2, similarity: float = 0.8) -> DataFrame:
@@ -163,7 +163,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", size: i
     from quire.llm import jaccard
 
     thin = cut(fingerprints(docs, id_col, text_col, size))
-    classes = thin.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("rep"))
-    same = thin.join(classes, "fp").where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_col).cast("long").alias("b"))
+    classes = thin.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("rep"), F.count("*").alias("n"))
+    same = join_by_key(thin, classes, "fp", "n", thin.count()).where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_col).cast("long").alias("b"))
     known = cut(same.unionByName(links(classes, bits)))
     return jaccard.near_groups(docs, id_col, text_col, size, similarity, known)
