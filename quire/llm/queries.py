@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline: each applies its operator, with production parameters, to its whole table."""
+"""The queries op1_ to op13_ and pipeline: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -95,6 +95,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", *texts, "near_edited", "near_next")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.word_table import decode, encode
+
+    tokenizer = _tokenizer("byte_bpe_50k.json")
+    got = decode(encode(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
