@@ -95,6 +95,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", *texts, "near_edited", "near_next")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lexical import search_all
+
+    return search_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine(vectors, anchors=F.col("vec_id") % 100 == 0, low=80, positives=5, negatives=5, scale=256)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.word_table import decode, encode
 
