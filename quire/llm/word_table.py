@@ -1,17 +1,16 @@
 """BPE ids by a table of distinct words, and texts back from ids by a table of pieces.
 
-Encoding: Spark splits every text into words where the tokenizer's own pre-token pattern is bound to end a piece; each distinct
-word is encoded once by the library; the table (word, n, ids) is joined back to the words by their places. The most frequent
-words, a bounded number, are a broadcast table that is looked up inside the tasks; all others meet the table in a shuffle
-join on the word, and their ids fill the gaps that they left in their texts' ids. Texts stay where they are read: only
-ids move, once, and rare words.
+Encoding: Spark splits every text into words where the tokenizer's own pre-token pattern is bound to end a piece. Each input
+partition gives its distinct words with their counts; a shuffle by word makes the table (word, n, partitions, ids), in which
+each distinct word is encoded once by the library. The table is joined back to the words by place, partition by partition: the most frequent
+words, a bounded number, are broadcast; all others go to the partitions that hold them, through one shuffle and files in the
+shared folder. Texts and their ids are never shuffled, only distinct words are.
 
 Decoding: the vocabulary as a table (id, bytes) is broadcast, its size being fixed by the tokenizer, and joined to the ids by index.
 
 The cuts hold whatever version of a Unicode table the tokenizer uses, as they look at ASCII characters and known white space:
-before a run of ASCII white space that follows a character which is no white space; between an ASCII letter and ASCII
-digit, mark or sign, in either order, but for the apostrophe. Texts with the content of an added token, which the library finds
-before it cuts, are cut at white space alone.
+before a run of ASCII white space that follows a character which is no white space, and between an ASCII letter and one of
+the marks , . ; : ! and ?. Texts with the content of an added token, which the library finds before it cuts, are cut at white space alone.
 """
 
 from __future__ import annotations
@@ -23,18 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_folder, only
+from quire.llm.common import new_folder, only, open_fs
 from quire.llm.tokens import _byte_letters
 
 #: White space and what some engine may take for it: no cut follows these.
 _BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-_SIGN = r"!-&(-@\[-`{-~"
-AT_SPACE = rf"(?<=[^{_BLANK}])(?=[ \t\n\x0b\f\r])"
-INSIDE = rf"(?<=[A-Za-z])(?=[{_SIGN}])|(?<=[{_SIGN}])(?=[A-Za-z])"
+_SPACE = r"[ \t\n\x0b\f\r]"
+AT_SPACE = rf"(?<=[^{_BLANK}])(?={_SPACE})"
+#: The first character after a cut; the look behind runs only where one stands, and tries ASCII first.
+FIRST = rf"{_SPACE}(?<=(?:[!-~]|[^{_BLANK}]){_SPACE})|[,.;:!?](?<=[A-Za-z][,.;:!?])"
+_MARK = "\x01"
 
 _tokenizers: dict = {}
 
@@ -66,29 +67,58 @@ def added_tokens(path: str) -> list[str]:
 
 def words(text: Column, added: list[str]) -> Column:
     """The text's words, which joined give the text; an empty text has one empty word."""
-    has = F.lit(False)
+    slow = text.contains(_MARK)
     for content in added:
-        has = has | text.contains(content)
-    return F.when(has, F.split(text, AT_SPACE, -1)).otherwise(F.split(text, f"{AT_SPACE}|{INSIDE}", -1))
+        slow = slow | text.contains(content)
+    return F.when(slow, F.split(text, AT_SPACE, -1)).otherwise(F.split(F.regexp_replace(text, FIRST, f"{_MARK}$0"), _MARK, -1))
+
+
+_TABLE = "word string, n long, level int, parts array<int>, ids binary"
 
 
 def word_table(docs: DataFrame, tokenizer: str, folder: str, text_col: str = "text") -> DataFrame:
-    """(word, n, level, ids) of each distinct word, encoded once and written to folder; ids: little-endian unsigned 32-bit; level: log of n."""
-    every = docs.select(F.explode(words(F.coalesce(text_col, F.lit("")), added_tokens(tokenizer))).alias("word"))
-    counted = every.groupBy("word").agg(F.count("*").alias("n"))
+    """Each distinct word, encoded once, written to folder: (word, n, level, parts, ids).
+
+    ids: little-endian unsigned 32-bit; level: the logarithm of n, see frequent_from; parts: numbers of the input partitions that hold the word.
+    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        part, held, rows = TaskContext.get().partitionId(), [], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def given(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.append_column("part", pa.array(np.full(len(t), part, np.int32)))
+            yield from t.select(["word", "n", "part"]).to_batches(100_000)
+
+        for b in batches:
+            counts = pc.value_counts(b.column(0).flatten())
+            held.append(pa.table([counts.field(0), counts.field(1)], names=["word", "n"]))
+            rows += len(counts)
+            if rows > 1_000_000:
+                held = [merged()]
+                rows = len(held[0])
+                if rows > 500_000:  # a large partition gives a word more than once
+                    yield from given(held[0])
+                    held, rows = [], 0
+        if held:
+            yield from given(merged())
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         t = _tokenizer(tokenizer)
         for b in batches:
             got = t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
             ids = pa.array([np.array(x.ids, "<u4").tobytes() for x in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=["word", "n", "level", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=["word", "n", "level", "parts", "ids"])
 
-    level = F.floor(F.log2("n") * 16).cast("int").alias("level")
-    table = counted.select("word", "n", level).mapInArrow(encode, "word string, n long, level int, ids binary")
+    split = docs.select(words(F.coalesce(text_col, F.lit("")), added_tokens(tokenizer)).alias("words"))
+    counted = split.mapInArrow(distinct, "word string, n long, part int").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    table = counted.select("word", "n", F.floor(F.log2("n") * 16).cast("int").alias("level"), "parts").mapInArrow(encoded, _TABLE)
     table.write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.schema("word string, n long, level int, ids binary").parquet(folder)
+    return docs.sparkSession.read.schema(_TABLE).parquet(folder)
 
 
 def frequent_from(table: DataFrame, most: int, most_bytes: int) -> int:
@@ -106,112 +136,71 @@ def frequent_from(table: DataFrame, most: int, most_bytes: int) -> int:
     return least
 
 
-class _Frequent:
-    """The frequent words and their ids, looked up for whole batches."""
+class _Known:
+    """Words and their ids, looked up for whole batches; the library encodes a word that is not among them."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, tokenizer: str):
         self.words = table.column("word").combine_chunks()
         ids = table.column("ids").combine_chunks()
-        self.sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 4
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+        self.tokenizer = tokenizer
+
+    def ids_of(self, lists: pa.ListArray) -> list[bytes]:
+        """The ids of each list of words, put together by place."""
+        flat = lists.flatten()
+        places = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, ids = self.sizes, self.ids
+        if len(new := np.flatnonzero(places < 0)):
+            more = flat.take(pa.array(new)).dictionary_encode()
+            got = [np.array(x.ids, "<u4") for x in _tokenizer(self.tokenizer).encode_batch_fast(more.dictionary.to_pylist(), add_special_tokens=False)]
+            places[new] = len(sizes) + more.indices.to_numpy(zero_copy_only=False)
+            sizes, ids = np.concatenate([sizes, [len(x) for x in got]]), np.concatenate([ids, *got])
+        starts = (np.cumsum(sizes) - sizes)[places]
+        n = sizes[places]
+        ends = np.cumsum(n)
+        out = ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n)].astype("<u4").tobytes()
+        upto = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])]
+        return [out[a:z] for a, z in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
-    def places(self, flat: pa.Array) -> np.ndarray:
-        """Row of each word in the table, -1 for a word that is not in it."""
-        return pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False)
 
-    def ids_of(self, places: np.ndarray) -> np.ndarray:
-        """The ids of these rows one after another."""
-        sizes = self.sizes[places]
-        ends = np.cumsum(sizes)
-        n = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(n) + np.repeat(self.starts[places] - (ends - sizes), sizes)]
+def _deal(table: DataFrame, folder: str) -> None:
+    """Write the words of each input partition, with their ids, to a folder of its own."""
+    rows = table.select("word", "ids", F.explode("parts").alias("part"))
+    rows.repartition("part").sortWithinPartitions("part").write.partitionBy("part").option("compression", "zstd").parquet(folder)
 
 
-def _gaps(b: pa.RecordBatch, frequent: _Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Of a batch of word lists: ends of the texts in the flat words, place of each word, where words are missing, the flat words."""
-    lists = b.column("words")
-    ends, flat = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)), lists.flatten()
-    places = frequent.places(flat)
-    return ends, places, np.flatnonzero(places < 0), flat
+def _dealt(folder: str, part: int) -> list[pa.Table]:
+    import pyarrow.dataset as ds
+
+    fs, path = open_fs(f"{folder}/part={part}")
+    if fs.get_file_info(path).type.name != "Directory":
+        return []  # all words of this partition are frequent
+    return [ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["word", "ids"])]
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 400_000, most_bytes: int = 32 << 20) -> DataFrame:
     """Rows (id_col, n_tokens long, ids binary), one a row of docs: what the library's encode gives without special tokens, as little-endian unsigned 32-bit.
 
-    most, most_bytes: bounds of the broadcast table of frequent words; they change no row. Null or empty text: no ids. Null and
-    repeated ids are rows like any other. An empty table gives an empty result. Other columns are not read.
+    most, most_bytes: bounds of the broadcast table of frequent words; they change no row. docs is read twice. Where its partitions differ the second
+    time, as may be after a shuffle whose partitions Spark chooses, the library encodes words that their partition lacks again. Null or
+    empty text: no ids. Null and repeated ids are rows like any other. An empty table gives an empty result. Other columns are not read.
     """
     spark, added = docs.sparkSession, added_tokens(tokenizer)
     table = word_table(docs, tokenizer, new_folder(spark, "words"), text_col)
-    least = frequent_from(table, most, most_bytes)
+    least, folder = frequent_from(table, most, most_bytes), new_folder(spark, "rare-words")
     held = spark.sparkContext.broadcast(table.where(F.col("level") >= least).select("word", "ids").toArrow())  # within the bounds
-    wide = "<u2" if _tokenizer(tokenizer).get_vocab_size() <= 65_536 else "<u4"
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # equal texts have the same gaps, so a text's hash is its key: it does not hang on the order in which rows are read
-    split = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("text"), F.xxhash64(F.col(id_col), text).cast("string").alias("own"), words(text, added).alias("words"))
+    _deal(table.where(F.col("level") < least), folder)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        frequent = _Frequent(held.value)
-        for b in batches:
-            ends, _, gaps, flat = _gaps(b, frequent)
-            doc = np.searchsorted(ends, gaps, "right")
-            yield pa.RecordBatch.from_arrays([b.column("text").take(pa.array(doc)), pa.array(_rank(doc), pa.int32()), flat.take(pa.array(gaps))], names=["text", "gap", "word"])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only()
-        frequent, z = _Frequent(held.value), zstandard.ZstdCompressor(1)
-        for b in batches:
-            ends, places, gaps, _ = _gaps(b, frequent)
-            sizes = np.where(places < 0, 0, frequent.sizes[places] if len(frequent.sizes) else 0)
-            upto = np.concatenate([[0], np.cumsum(sizes)])
-            ids = frequent.ids_of(places[places >= 0]).astype(wide)
-            to = upto[ends]
-            start = np.concatenate([[0], to[:-1]])
-            data = [z.compress(ids[a:e].tobytes()) for a, e in zip(start.tolist(), to.tolist(), strict=True)]
-            doc = np.searchsorted(ends, gaps, "right")
-            counts = np.bincount(doc, minlength=len(b))
-            at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(upto[gaps] - start[doc], pa.int32()))
-            key = pc.if_else(pa.array(counts > 0), b.column("text"), b.column("own"))  # texts without gaps match nothing and spread by their own hash
-            yield pa.RecordBatch.from_arrays([b.column("_id"), key, pa.array(data, pa.binary()), at], names=["_id", "text", "ids", "at"])
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        known = _Known(pa.concat_tables([held.value, *(t.cast(held.value.schema) for t in _dealt(folder, TaskContext.get().partitionId()))]), tokenizer)
         for b in batches:
-            out = []
-            for data, at, fill in zip(*(b.column(c).to_pylist() for c in ("ids", "at", "fill")), strict=True):
-                ids = np.frombuffer(z.decompress(data), wide).astype("<u4")
-                if at:
-                    if fill is None or len(fill) != len(at):
-                        raise ValueError("a word is missing in the table of distinct words")
-                    parts, last = [], 0
-                    for place, piece in zip(at, fill, strict=True):
-                        parts += [ids[last:place].tobytes(), piece["ids"]]
-                        last = place
-                    out.append(b"".join([*parts, ids[last:].tobytes()]))
-                else:
-                    out.append(ids.tobytes())
-            ids = pa.array(out, pa.binary())
+            ids = pa.array(known.ids_of(b.column("words")), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("_id"), pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), ids], names=["_id", "n_tokens", "ids"])
 
-    id_type = dict(docs.dtypes)[id_col]
-    missing = split.select("text", "words").mapInArrow(rare, "text string, gap int, word string")
-    # a word of the table's rest has fewer occurrences than each frequent one, so no key is hot; nor is a text, whose copies are occurrences of its words
-    rest = table.where(F.col("level") < least).select("word", "ids")
-    met = missing.join(rest.hint("shuffle_merge"), "word")
-    fills = met.groupBy("text").agg(F.sort_array(F.collect_set(F.struct("gap", "ids"))).alias("fill"))
-    texts = split.mapInArrow(known, f"_id {id_type}, text string, ids binary, at array<int>")
-    joined = texts.join(fills.hint("shuffle_merge"), "text", "left").select("_id", "ids", "at", "fill")
-    return joined.mapInArrow(filled, f"_id {id_type}, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
-
-
-def _rank(sorted_groups: np.ndarray) -> np.ndarray:
-    """Place of each entry among its equals, in a sorted array."""
-    if not len(sorted_groups):
-        return sorted_groups
-    first = np.flatnonzero(np.concatenate([[True], sorted_groups[1:] != sorted_groups[:-1]]))
-    return np.arange(len(sorted_groups)) - np.repeat(first, np.diff(np.append(first, len(sorted_groups))))
+    split = docs.select(F.col(id_col).alias("_id"), words(F.coalesce(text_col, F.lit("")), added).alias("words"))
+    return split.mapInArrow(run, f"_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def pieces(tokenizer: str) -> pa.Array:
