@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,9 +105,9 @@ def clamp_width(width: Column, page_w: Column, page_h: Column, most: int = 8_000
 
 
 def width_ok(value: Column) -> Column:
-    """The width asked for, 700 where none is given, null where it is no integer from 100 to 1600."""
-    n = F.coalesce(filled(value), F.lit("700")).try_cast("int")
-    return F.when(n.between(100, 1600), n)
+    """The width asked for, 700 where none is (null), null where it is no integer from 100 to 1600: an empty value is none."""
+    n = F.coalesce(value, F.lit("700")).try_cast("int")
+    return F.when(n.between(100, 1600) & ~F.coalesce(value, F.lit("")).contains("."), n)
 
 
 def cover_version(url: Column, updated: Column) -> Column:
@@ -142,12 +144,21 @@ def notes_in(notes: Column, text: Column) -> Column:
     return F.map_filter(notes, lambda k, v: F.contains(text, F.concat(F.lit("["), k, F.lit("]"))))
 
 
+def percent_decoded(text: Column) -> Column:
+    """Percent-encoded text as a browser's decodeURIComponent reads it: a plus stays a plus. Null where an escape is no byte of UTF-8."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def header_filename(header: Column, default: str) -> Column:
-    return F.coalesce(F.url_decode(filled(F.regexp_extract(header, r"filename\*=(?:UTF-8|utf-8)''([^;]+)", 1))), F.lit(default))
+    """The file name that a download's header gives, or the default; also for a name that cannot be decoded."""
+    name = F.regexp_extract(header, r"filename\*=UTF-8''([^;]+)", 1)
+    return F.coalesce(percent_decoded(filled(name)), F.lit(default))
 
 
 def cookie(header: Column, name: str) -> Column:
-    return F.url_decode(F.element_at(F.str_to_map(F.regexp_replace(header, r";\s+", ";"), F.lit(";"), F.lit("=")), name))
+    """The first cookie of this name, decoded; empty where there is none, it is empty, or it cannot be decoded."""
+    found = F.regexp_extract(header, rf"(?:^|;\s*){re.escape(name)}=([^;]+)", 1)
+    return F.coalesce(percent_decoded(found), F.lit(""))
 
 
 def rows_for(text: Column) -> Column:

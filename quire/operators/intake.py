@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalar import book_name, filled, is_email, label_or_code, too_long
+from quire.functions.scalar import book_name, filled, is_email, label_or_code, too_long, trim
 
 KINDS = ("message", "problem", "copyright")
 RIGHTS = ("public_domain", "permission", "unsure")
@@ -77,10 +77,11 @@ def suggestion_row(rows: DataFrame) -> DataFrame:
 
 
 def contact_client_code(book_title: Column, has_pdf: Column, rights: Column, holder: Column) -> Column:
-    book = F.col("kind") == "book"
+    """What the browser finds missing before it posts; texts of white space alone are missing too. rights is a choice and is taken as it is."""
+    book, blank = F.col("kind") == "book", lambda c: trim(F.coalesce(c, F.lit(""))) == ""
     return chain(
-        (book & (book_title == ""), "no_title"), (book & has_pdf & (rights == ""), "no_rights"), (book & has_pdf & (rights == "permission") & (holder == ""), "no_holder"),
-        (~book & (F.col("kind") == "copyright") & (F.col("link") == ""), "no_link"), (~book & (F.col("text") == ""), "no_text"), (~book & (F.col("kind") == "copyright") & (F.col("email") == ""), "no_email"),
+        (book & blank(book_title), "no_title"), (book & has_pdf & (rights == ""), "no_rights"), (book & has_pdf & (rights == "permission") & blank(holder), "no_holder"),
+        (~book & (F.col("kind") == "copyright") & blank(F.col("link")), "no_link"), (~book & blank(F.col("text")), "no_text"), (~book & (F.col("kind") == "copyright") & blank(F.col("email")), "no_email"),
     )
 
 

@@ -105,8 +105,8 @@ def not_ready(status: Column, ready: str = "ready") -> Column:
 
 
 def media_rule(path: Column) -> Column:
-    """serve, deny or attachment, by the first rule that holds: covers of conversions are served, their other files are not."""
-    return F.when(path.rlike("^/media/conversions/[^/]+/cover[.]jpg$"), "serve").when(path.startswith("/media/conversions/"), "deny").when(path.endswith(".pdf"), "attachment").otherwise("serve")
+    """serve, deny or attachment, by the first rule that holds: of a conversion's folder only its cover is served; PDFs elsewhere are downloads."""
+    return F.when(path.rlike(r"^/media/conversions/[^/]+/(?!cover\.jpg$)"), "deny").when(path.rlike(r"^/media/.*\.pdf$"), "attachment").otherwise("serve")
 
 
 def is_page(path: Column) -> Column:

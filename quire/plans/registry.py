@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import scalar as fn
@@ -14,38 +12,10 @@ from quire.operators import intake as it
 from quire.operators import library as li
 from quire.operators import presence as pr
 from quire.operators import tables as tb
+from quire.plans.base import ORACLES, QUERIES, cols, on, query
 from quire.sources import files, views
 from quire.sources.views import sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return put
-
-
-def on(view: str, name: str, body: str | None, make: Callable[[DataFrame], DataFrame], more: str = "") -> None:
-    """A query of one view (or table); body: its SQL after the view's definition."""
-    source = getattr(views, view, None) if view in views.ALL else None
-    run = lambda s, d: make(source(s, d) if source else table(s, d, view))
-    oracle = None if body is None else sql(f"{view} {more}".strip(), body) if source else body
-    query(name, oracle)(run)
-
-
-def cols(title: str, view: str, key: str, make: Callable[[], dict], sqls: dict[str, str]) -> None:
-    """A query of column functions on a view: its key plus each name with its column (made when the query runs) and SQL."""
-    keys = key.split()
-    body = f"SELECT {', '.join(keys)}, " + ", ".join(f"{s} AS {n}" for n, s in sqls.items()) + f" FROM {view}"
-    on(view, title, body, lambda df: df.select(*keys, *[c.alias(n) for n, c in make().items()]))
-
-
 # ---- minimum slice and sources ----
 
 NO_BLOCKS = "counts AS (SELECT doc_id, count(*) FILTER (include AND type = 'heading') AS headings, count(*) FILTER (include AND type = 'text') AS paragraphs FROM blocks GROUP BY doc_id)"
@@ -99,7 +69,7 @@ SUBJECT = f"CASE kind WHEN 'message' THEN 'Message from ' || {SENDER} WHEN 'prob
 on("contact_posts", "snk_email", f"SELECT 'team@example.org' AS recipient, {SUBJECT} AS subject, {NOTICE} AS body, email AS reply_to FROM contact_posts WHERE kind <> 'book'", lambda c: it.outbox(c.where("kind <> 'book'"), "team@example.org", it.message_subject(*map(F.col, ("kind", "name", "email"))), notice(), F.col("email")))
 on("contact_posts", "prj_message_row", "SELECT conv_id, turn, CASE WHEN kind = 'message' THEN '' ELSE link END AS link FROM contact_posts", lambda c: it.message_row(c).select("conv_id", "turn", "link"))
 cols("snk_admin_url", "documents", "doc_id", lambda: {"url": it.admin_url("https://s", "library", "book", F.col("doc_id"))}, {"url": "'https://s/admin/library/book/' || doc_id || '/change/'"})
-on("events", "snk_info", "SELECT '1.0' AS version, 'abcdef1' AS commit, count(*) AS converted FROM events WHERE event_type <> 'error'", lambda e: files.info("1.0", "abcdef1234", it.total(e, F.col("event_type") != "error")))
+on("events", "snk_info", "SELECT '1.0' AS engine, 'abcdef1234' AS commit, count(*) AS converted FROM events WHERE event_type <> 'error'", lambda e: files.info("1.0", "abcdef1234", it.total(e, F.col("event_type") != "error")))
 cols("snk_preview", "events", "event_id", lambda: {"stale": files.stale(F.when(F.col("user_id") % 4 != 0, F.expr("timestamp'2024-01-15 00:00:00'")), F.col("ts"))}, {"stale": "(user_id % 4 = 0 OR TIMESTAMP '2024-01-15 00:00:00' < ts)"})
 clamp = "CAST(least({w}, greatest(1, floor(sqrt(8000000.0 * {a} / {b})))) AS BIGINT)"
 cols("snk_page_png", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(1600), F.col("doc_id") + 1, F.col("n_chars")).cast("long")}, {"width": clamp.format(w=1600, a="(doc_id + 1)", b="n_chars")})
@@ -122,9 +92,9 @@ on("blocks", "flt_included", "SELECT doc_id, pos FROM blocks WHERE include", lam
 on("blocks", "flt_page_known", "SELECT doc_id, pos, page FROM blocks WHERE page > 0", lambda b: bl.page_known(b).select("doc_id", "pos", "page"))
 on("blocks", "flt_non_body", "SELECT doc_id, pos, role FROM blocks WHERE role <> 'body'", lambda b: bl.non_body(b).select("doc_id", "pos", "role"))
 on("books", "flt_has_cover", "SELECT uid, cover_url FROM books WHERE cover_url IS NOT NULL ORDER BY ord, title, uid LIMIT 4", lambda b: li.first(b.where("cover_url is not null")).select("uid", "cover_url"))
-media_path = lambda: F.concat(F.lit("/media/conversions/"), (F.col("doc_id") % 3).cast("string"), F.element_at(F.array(*map(F.lit, ("/cover.jpg", "/source.pdf", "/book.json"))), (F.col("doc_id") % 3 + 1).cast("int")))
-path = "'/media/conversions/' || (doc_id % 3) || list_extract(['/cover.jpg', '/source.pdf', '/book.json'], doc_id % 3 + 1)"
-cols("flt_media_deny", "documents", "doc_id", lambda: {"rule": li.media_rule(media_path())}, {"rule": f"CASE WHEN regexp_matches({path}, '^/media/conversions/[^/]+/cover[.]jpg$') THEN 'serve' WHEN starts_with({path}, '/media/conversions/') THEN 'deny' WHEN {path} LIKE '%.pdf' THEN 'attachment' ELSE 'serve' END"})
+media_path = lambda: F.concat(F.lit("/media/"), F.element_at(F.array(*map(F.lit, ("conversions/", "conversions/x/", "suggestions/", "conversions/x/y/"))), (F.col("doc_id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("cover.jpg", "source.pdf", "book.json"))), (F.col("n_chars") % 3 + 1).cast("int")))
+path = "('/media/' || list_extract(['conversions/', 'conversions/x/', 'suggestions/', 'conversions/x/y/'], doc_id % 4 + 1) || list_extract(['cover.jpg', 'source.pdf', 'book.json'], n_chars % 3 + 1))"
+cols("flt_media_deny", "documents", "doc_id", lambda: {"rule": li.media_rule(media_path())}, {"rule": f"CASE WHEN regexp_matches({path}, '^/media/conversions/[^/]+/') AND NOT regexp_matches({path}, '^/media/conversions/[^/]+/cover[.]jpg$') THEN 'deny' WHEN {path} LIKE '%.pdf' THEN 'attachment' ELSE 'serve' END"})
 route = lambda: F.element_at(F.array(*map(F.lit, ("api/x", "library", "admin/", "about/us", "static/a", "media/b", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
 route_sql = "list_extract(['api/x', 'library', 'admin/', 'about/us', 'static/a', 'media/b', ''], doc_id % 7 + 1)"
 cols("flt_route", "documents", "doc_id", lambda: {"page": li.is_page(route())}, {"page": f"NOT (starts_with({route_sql}, 'api/') OR starts_with({route_sql}, 'admin/') OR starts_with({route_sql}, 'media/') OR starts_with({route_sql}, 'static/'))"})
@@ -148,15 +118,18 @@ cols("fn_error_code", "events", "event_id", lambda: {"code": fn.error_code(F.col
 cols("fn_plural", "documents", "doc_id", lambda: {"text": fn.plural(F.col("doc_id") % 3, "one book", "{n} books")}, {"text": "CASE WHEN doc_id % 3 = 1 THEN 'one book' ELSE (doc_id % 3) || ' books' END"})
 cols("fn_percent", "lineitem", "l_orderkey l_linenumber l_partkey", lambda: {"percent": fn.percent(F.col("l_discount"))}, {"percent": "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)"})
 cols("fn_clamp_width", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(700), F.lit(600), F.col("n_chars")).cast("long")}, {"width": clamp.format(w=700, a="600", b="n_chars")})
-cols("fn_width_ok", "documents", "doc_id", lambda: {"width": fn.width_ok(F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "x1").otherwise(F.col("doc_id").cast("string")))}, {"width": "CASE WHEN doc_id % 4 = 0 THEN 700 WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id BETWEEN 100 AND 1600 THEN CAST(doc_id AS INTEGER) END"})
+WIDTHS = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x1' WHEN 3 THEN CAST(n_chars AS VARCHAR) END"
+cols("fn_width_ok", "documents", "doc_id", lambda: {"width": fn.width_ok(F.expr(WIDTHS.replace("VARCHAR", "STRING")))}, {"width": "CASE WHEN doc_id % 4 = 2 THEN 700 WHEN doc_id % 4 = 3 AND n_chars BETWEEN 100 AND 1600 THEN CAST(n_chars AS INTEGER) END"})
 cols("fn_cover_version", "events", "event_id", lambda: {"url": fn.cover_version(F.when(F.col("user_id") % 2 == 0, "/c.jpg"), F.col("ts"))}, {"url": "CASE WHEN user_id % 2 = 0 THEN '/c.jpg?v=' || CAST(floor(epoch(ts)) AS BIGINT) END"})
 cols("fn_is_email", "suggestions", "doc_id", lambda: {"ok": fn.is_email(F.col("email"))}, {"ok": "email = 'r@example.org'"})
 cols("fn_too_long", "suggestions", "doc_id", lambda: {"long": fn.too_long({"note": 2000, "title": 300})}, {"long": "(length(note) > 2000 OR length(title) > 300)"})
 cols("fn_base_href", "pages", "page_id", lambda: {"html": fn.base_href(F.col("html"), F.col("url"))}, {"html": r"""regexp_replace(html, '^(.*?<head(\s[^>]*)?>)', '\1<base href="' || regexp_extract(url, '^(.*/)', 1) || '">', 'is')"""})
 cols("fn_before_head_end", "pages", "page_id", lambda: {"html": fn.before_head_end(F.col("html"), "<style>p{}</style>")}, {"html": r"regexp_replace(html, '(</head>)', '<style>p{}</style>\1', 'i')"})
 cols("fn_notes_in", "documents", "doc_id", lambda: {"notes": F.array_join(F.sort_array(F.map_keys(fn.notes_in(F.create_map(F.lit("1"), F.lit("a"), F.lit("2"), F.lit("b"), F.col("lang"), F.lit("c")), F.concat(F.lit("see [1] and ["), F.col("lang"), F.lit("]"))))), ",")}, {"notes": "'1,' || lang"})
-cols("fn_filename_header", "documents", "doc_id", lambda: {"name": fn.header_filename(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("attachment; filename*=UTF-8''b%20"), F.col("lang"), F.lit(".epub; x=1"))).otherwise("attachment"), "book.epub")}, {"name": "CASE WHEN doc_id % 2 = 0 THEN 'b ' || lang || '.epub' ELSE 'book.epub' END"})
-cols("fn_cookie", "documents", "doc_id", lambda: {"token": fn.cookie(F.concat(F.lit("a=1; token=x%3D"), F.col("lang"), F.lit("; z=2")), "token")}, {"token": "'x=' || lang"})
+disposition = lambda: F.concat(F.lit("attachment; filename"), F.element_at(F.array(F.concat(F.lit("*=UTF-8''C++%20"), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))), F.lit("=plain.epub"), F.lit("*=UTF-8''%zz"), F.concat(F.lit("*=UTF-8''"), F.col("source"), F.lit(".epub; x=1"))), (F.col("doc_id") % 4 + 1).cast("int")))
+cols("fn_filename_header", "documents", "doc_id", lambda: {"name": fn.header_filename(disposition(), "book.epub")}, {"name": "CASE doc_id % 4 WHEN 0 THEN 'C++ ' || text WHEN 3 THEN source || '.epub' ELSE 'book.epub' END"})
+cookies = lambda: F.element_at(F.array(F.concat(F.lit("a=1;  token="), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+; z=2")), F.concat(F.lit("token="), F.col("lang"), F.lit("; token=second")), F.lit("mytoken=1; token2=2"), F.lit("token=%zz"), F.lit("a=1; token=")), (F.col("doc_id") % 5 + 1).cast("int"))
+cols("fn_cookie", "documents", "doc_id", lambda: {"token": fn.cookie(cookies(), "token")}, {"token": "CASE doc_id % 5 WHEN 0 THEN text || '+' WHEN 1 THEN lang ELSE '' END"})
 cols("fn_rows", "documents", "doc_id", lambda: {"rows": fn.rows_for(F.col("text")).cast("long")}, {"rows": "CAST(least(12, greatest(3, ceil(length(text) / 70.0))) AS BIGINT)"})
 cols("fn_thousands", "documents", "doc_id", lambda: {"text": fn.thousands(F.col("n_chars"))}, {"text": "format('{:,}', n_chars)"})
 cols("fn_text_links", "documents", "doc_id", lambda: {"links": F.array_join(F.transform(fn.text_links(F.concat(F.lit("go ["), F.col("lang"), F.lit("](/x) or [b](http://y)."))), lambda x: F.concat_ws("|", x["text"], x["label"], x["target"], x["internal"].cast("string"))), ";")}, {"links": "'go |' || lang || '|/x|true; or |b|http://y|false;.'"})
@@ -422,7 +395,8 @@ on("contact_posts", "chk_contact", f"SELECT conv_id, turn, CASE WHEN {KIND} = 'b
 SUGGEST = "CASE WHEN website <> '' THEN 'trap' WHEN doc_id % 50 = 49 THEN 'too_many' WHEN title = '' THEN 'no_title' WHEN length(note) > 2000 THEN 'too_long' WHEN email = 'not an address' THEN 'bad_email' WHEN NOT has_pdf THEN NULL WHEN size > 104857600 THEN 'too_big' WHEN head <> '%PDF-' THEN 'not_pdf' WHEN pages = 0 THEN 'unreadable' WHEN pages > 2000 THEN 'too_many_pages' WHEN rights = 'other' THEN 'no_rights' WHEN rights = 'permission' AND holder = '' THEN 'no_holder' END"
 cols("chk_suggestion", "suggestions", "doc_id", lambda: {"code": it.suggestion_code(F.col("doc_id") % 50 == 49)}, {"code": SUGGEST})
 on("suggestions", "prj_suggestion_row", "SELECT doc_id, CASE WHEN has_pdf THEN rights ELSE '' END AS rights, CASE WHEN has_pdf AND rights = 'permission' THEN holder ELSE '' END AS holder, CASE WHEN lang IN ('en', 'ka') THEN lang ELSE 'en' END AS lang FROM suggestions", lambda s: it.suggestion_row(s).select("doc_id", "rights", "holder", "lang"))
-cols("chk_contact_client", "contact_posts", "conv_id turn", lambda: {"code": it.contact_client_code(F.when(F.col("turn") % 2 == 0, "").otherwise("t"), F.col("turn") % 3 == 0, F.lit(""), F.lit(""))}, {"code": "CASE WHEN kind = 'book' AND turn % 2 = 0 THEN 'no_title' WHEN kind = 'book' AND turn % 3 = 0 THEN 'no_rights' WHEN kind = 'copyright' AND link = '' THEN 'no_link' WHEN kind <> 'book' AND text = '' THEN 'no_text' WHEN kind = 'copyright' AND email = '' THEN 'no_email' END"})
+on("contact_posts", "chk_contact_client", "SELECT conv_id, turn, CASE WHEN kind = 'book' AND turn % 3 <> 2 THEN 'no_title' WHEN kind = 'book' AND turn % 4 < 2 AND turn % 5 = 0 THEN 'no_rights' WHEN kind = 'book' AND turn % 4 < 2 AND turn % 5 <> 1 THEN 'no_holder' WHEN kind = 'copyright' AND link = '' THEN 'no_link' WHEN kind <> 'book' AND (text = '' OR conv_id % 3 = 0) THEN 'no_text' WHEN kind = 'copyright' AND email = '' THEN 'no_email' END AS code FROM contact_posts",
+    lambda c: c.withColumn("text", F.when(F.col("conv_id") % 3 == 0, "\t \ufeff\n").otherwise(F.col("text"))).withColumn("link", F.when(F.col("link") == "", " ").otherwise(F.col("link"))).select("conv_id", "turn", it.contact_client_code(F.expr("element_at(array('', '  ', 'title'), cast(turn % 3 + 1 as int))"), F.col("turn") % 4 < 2, F.expr("element_at(array('', 'unsure', 'permission', 'permission', 'permission'), cast(turn % 5 + 1 as int))"), F.lit("  ")).alias("code")))
 sent_fields = lambda: it.client_fields({"message": ["name", "email"], "problem": ["name", "link"], "copyright": ["name", "link", "email"], "book": ["name"]})
 cols("prj_contact_client", "contact_posts", "conv_id turn", lambda: {"sent": F.array_join(F.sort_array(F.map_keys(sent_fields())), ",")}, {"sent": "concat_ws(',', CASE WHEN kind IN ('message', 'copyright') AND email <> '' THEN 'email' END, CASE WHEN kind IN ('problem', 'copyright') AND link <> '' THEN 'link' END, 'name')"})
 cols("chk_cover", "pdf_heads", "doc_id", lambda: {"code": it.cover_code(F.col("doc_id") % 6 != 0, F.col("size"), F.col("head") != "%PDF-")}, {"code": "CASE WHEN doc_id % 6 = 0 THEN 'no_file' WHEN size > 10485760 THEN 'too_big' WHEN head = '%PDF-' THEN 'not_image' END"})

@@ -142,5 +142,6 @@ def stale(made: Column, updated: Column) -> Column:
     return made.isNull() | (made < updated)
 
 
-def info(version: str, commit: str, total: DataFrame) -> DataFrame:
-    return total.select(F.lit(version).alias("version"), F.lit(commit[:7]).alias("commit"), F.col("count").alias("converted"))
+def info(engine: str, commit: str, total: DataFrame) -> DataFrame:
+    """One record: the engine's version, the whole commit that runs (a page cuts it, see commit_label), the total."""
+    return total.select(F.lit(engine).alias("engine"), F.lit(commit).alias("commit"), F.col("count").alias("converted"))

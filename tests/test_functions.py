@@ -44,7 +44,31 @@ def test_styled_runs(spark):
 
 def test_email_and_limits(spark):
     assert one(spark, fn.is_email(F.lit("a.b@c.de")), fn.is_email(F.lit("a@b")), fn.is_email(F.lit("a b@c.de"))) == (True, False, False)
-    assert one(spark, fn.width_ok(F.lit("")), fn.width_ok(F.lit("99")), fn.width_ok(F.lit("1600")), fn.width_ok(F.lit("x"))) == (700, None, 1600, None)
+    assert one(spark, *[fn.width_ok(F.lit(w).cast("string")) for w in ("", None, "99", "1600", "1601", "x", "700.5")]) == (None, 700, None, 1600, None, None, None)
+
+
+def test_cookies_and_file_names_as_a_browser_reads_them(spark):
+    token = lambda header: fn.cookie(F.lit(header), "token")
+    got = one(spark, *map(token, ("token=a+b%20c; token=second", "mytoken=1;\ttoken=%C3%A9", "x=1", "token=", "token=%zz", "token=%C3")), fn.cookie(F.lit(None).cast("string"), "token"))
+    assert got == ("a+b c", "é", "", "", "", "", "")
+    name = lambda header: fn.header_filename(F.lit(header), "book.epub")
+    assert one(spark, *map(name, ("attachment; filename*=UTF-8''C++%20book.epub; x=1", "attachment; filename=a.epub", "filename*=UTF-8''%zz"))) == ("C++ book.epub", "book.epub", "book.epub")
+
+
+def test_blank_fields_are_missing(spark):
+    code = lambda kind, title="t", **more: one(spark.createDataFrame([({"kind": kind, "link": "l", "text": "t", "email": "e"} | more)]), it.contact_client_code(F.lit(title), F.lit(True), F.lit("permission"), F.lit("\u3000")))[0]
+    assert [code("book", "  "), code("book"), code("copyright", link=" \t"), code("message", text="\ufeff"), code("copyright", email=" "), code("message", email="")] == ["no_title", "no_holder", "no_link", "no_text", "no_email", None]
+
+
+def test_media_rules(spark):
+    rule = lambda p: li.media_rule(F.lit(p))
+    paths = ("conversions/x.pdf", "conversions/1/cover.jpg", "conversions/1/source.pdf", "conversions/1/", "conversions/1/a/cover.jpg", "conversions/cover.jpg", "suggestions/a.pdf", "covers/a.jpg")
+    assert one(spark, *[rule(f"/media/{p}") for p in paths]) == ("attachment", "serve", "deny", "deny", "deny", "serve", "attachment", "serve")
+
+
+def test_info_has_the_whole_commit(spark):
+    row = files.info("1.0", "0123456789abcdef", spark.createDataFrame([(3,)], "count long")).first()
+    assert row.asDict() == {"engine": "1.0", "commit": "0123456789abcdef", "converted": 3}
 
 
 def test_search_has_no_wildcards_and_spans_the_seam(spark):
