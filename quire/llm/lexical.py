@@ -15,6 +15,7 @@ A score is a sum of integers: w * ((10^9 tf) div (1000 tf + 20 m)), w = floor(10
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from quire.llm.common import cut, new_folder, only
+from quire.llm.common import cut, new_folder, only, release
 
 _INDEX = "shard long, term binary, df long, tokens long, with_terms long, postings binary, ids binary"
 
@@ -65,43 +66,53 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), first)
 
 
-def _shard_rows(number: int, docs: list[tuple[int | None, list[bytes]]]) -> pa.RecordBatch:
-    """The index rows of a shard."""
-    docs.sort(key=lambda d: (d[0] is None, d[0] or 0))
-    found, counts, sizes = [], [], []
-    for _, words in docs:
-        c = Counter(words)
-        found += c.keys()
-        counts += c.values()
-        sizes.append(len(c))
-    codes = pa.array(found, pa.binary()).dictionary_encode()
-    code, doc = codes.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(docs)), sizes)
-    order = np.argsort(code, kind="stable")  # documents stay in ascending order
-    code, doc, tf = code[order], doc[order], np.array(counts, np.int64)[order]
-    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    gap = np.diff(doc, prepend=0)
-    gap[start] = doc[start]
-    numbers = np.empty(2 * len(doc), np.int64)
-    numbers[::2], numbers[1::2] = gap, tf
-    data, ends = pack_numbers(numbers)
-    df = np.diff(np.append(start, len(code)))
-    bounds = np.concatenate([[0], ends[2 * (start + df) - 1]]).astype(np.int64)
-    lengths = [len(w) for _, w in docs]
-    n, flat = len(start), data.tobytes()
-    packed = [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    none = [None] * n
-    length_bytes = pack_numbers(np.array(lengths, np.int64))[0].tobytes()
-    ids = np.array([0 if i is None else i for i, _ in docs], "<i8").tobytes() + np.array([i is None for i, _ in docs], np.uint8).tobytes()
-    columns = [
-        pa.array([number] * (n + 1), pa.int64()),
-        pa.concat_arrays([codes.dictionary, pa.array([None], pa.binary())]),
-        pa.array([*df.tolist(), len(docs)], pa.int64()),
-        pa.array([*none, sum(lengths)], pa.int64()),
-        pa.array([*none, sum(x > 0 for x in lengths)], pa.int64()),
-        pa.array([*packed, length_bytes], pa.binary()),
-        pa.array([*none, ids], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "df", "tokens", "with_terms", "postings", "ids"])
+class _Shard:
+    """Documents of a shard as they come: for each its id, its length, and its terms as numbers with their counts."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.lengths, self.sizes, self.codes, self.counts, self.held = [], array("q"), array("q"), array("I"), array("I"), 0
+
+    def add(self, i: int | None, text: str) -> None:
+        words = terms(text)
+        c, numbers = Counter(words), self.numbers
+        self.codes.extend([numbers.setdefault(t, len(numbers)) for t in c])
+        self.counts.extend(c.values())
+        self.ids.append(i)
+        self.lengths.append(len(words))
+        self.sizes.append(len(c))
+        self.held += len(text) + 16
+
+    def rows(self, number: int) -> pa.RecordBatch:
+        """The index rows of the shard."""
+        docs = len(self.ids)
+        order = sorted(range(docs), key=lambda k: (self.ids[k] is None, self.ids[k] or 0))
+        place = np.empty(docs, np.int64)
+        place[order] = np.arange(docs)
+        code, doc, tf = np.array(self.codes, np.int64), np.repeat(place, np.array(self.sizes, np.int64)), np.array(self.counts, np.int64)
+        by = np.argsort(code * docs + doc)
+        code, doc, tf = code[by], doc[by], tf[by]
+        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        gap = np.diff(doc, prepend=0)
+        gap[start] = doc[start]
+        numbers = np.empty(2 * len(doc), np.int64)
+        numbers[::2], numbers[1::2] = gap, tf
+        data, ends = pack_numbers(numbers)
+        df, n, flat = np.diff(np.append(start, len(code))), len(start), data.tobytes()
+        bounds = np.concatenate([[0], ends[2 * (start + df) - 1]]).astype(np.int64)
+        packed = [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        none, lengths = [None] * n, np.array(self.lengths, np.int64)[order]
+        ids = np.array([self.ids[k] or 0 for k in order], "<i8").tobytes() + np.array([self.ids[k] is None for k in order], np.uint8).tobytes()
+        columns = [
+            pa.array([number] * (n + 1), pa.int64()),
+            pa.array([*self.numbers, None], pa.binary()),
+            pa.array([*df.tolist(), docs], pa.int64()),
+            pa.array([*none, int(lengths.sum())], pa.int64()),
+            pa.array([*none, int((lengths > 0).sum())], pa.int64()),
+            pa.array([*packed, pack_numbers(lengths)[0].tobytes()], pa.binary()),
+            pa.array([*none, ids], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "df", "tokens", "with_terms", "postings", "ids"])
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
@@ -112,18 +123,17 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
-        part, k, held, docs_held = TaskContext.get().partitionId(), 0, 0, []
+        part, k, shard = TaskContext.get().partitionId(), 0, _Shard()
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = t.as_py() or ""
-                size = len(text) + 16
-                if held and held + size > shard_bytes:
-                    yield _shard_rows((part << 32) + k, docs_held)
-                    k, held, docs_held = k + 1, 0, []
-                docs_held.append((i, terms(text)))
-                held += size
-        if docs_held:
-            yield _shard_rows((part << 32) + k, docs_held)
+                if shard.held and shard.held + len(text) > shard_bytes:
+                    yield shard.rows((part << 32) + k)
+                    k, shard = k + 1, _Shard()
+                shard.add(i, text)
+        if shard.held:
+            yield shard.rows((part << 32) + k)
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).mapInArrow(shards, _INDEX)
     rows.write.option("compression", "zstd").parquet(folder)
