@@ -102,6 +102,18 @@ def drop_folder(uri: str) -> None:
     fs.delete_dir(path)
 
 
+def slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows whose lengths sum up to `most` or less, or of one row; none of no rows."""
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if lengths:
+        yield start, len(lengths) - start
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 

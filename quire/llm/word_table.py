@@ -26,15 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_folder, only, open_fs
+from quire.llm.common import new_folder, only, open_fs, release, slices
 from quire.llm.tokens import _byte_letters
 
 #: White space and what some engine may take for it: no cut follows these.
 _BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _SPACE = r"[ \t\n\x0b\f\r]"
-AT_SPACE = rf"(?<=[^{_BLANK}])(?={_SPACE})"
 #: The first character after a cut; the look behind runs only where one stands, and tries ASCII first.
-FIRST = rf"{_SPACE}(?<=(?:[!-~]|[^{_BLANK}]){_SPACE})|[,.;:!?](?<=[A-Za-z][,.;:!?])"
+AT_SPACE = rf"{_SPACE}(?<=(?:[!-~]|[^{_BLANK}]){_SPACE})"
+FIRST = rf"{AT_SPACE}|[,.;:!?](?<=[A-Za-z][,.;:!?])"
 _MARK = "\x01"
 
 _tokenizers: dict = {}
@@ -65,12 +65,25 @@ def added_tokens(path: str) -> list[str]:
     return [t["content"] for t in spec["added_tokens"]]
 
 
-def words(text: Column, added: list[str]) -> Column:
-    """The text's words, which joined give the text; an empty text has one empty word."""
-    slow = text.contains(_MARK)
+def marked(text: Column, added: list[str]) -> list[Column]:
+    """The text with a mark (U+0001) before each word but the first, and whether it is one word, as it has such a character of its own."""
+    coarse = F.lit(False)
     for content in added:
-        slow = slow | text.contains(content)
-    return F.when(slow, F.split(text, AT_SPACE, -1)).otherwise(F.split(F.regexp_replace(text, FIRST, f"{_MARK}$0"), _MARK, -1))
+        coarse = coarse | text.contains(content)
+    whole = text.contains(_MARK)
+    cut = F.when(coarse, F.regexp_replace(text, AT_SPACE, f"{_MARK}$0")).otherwise(F.regexp_replace(text, FIRST, f"{_MARK}$0"))
+    return [F.when(whole, text).otherwise(cut).alias("marked"), whole.alias("whole")]
+
+
+def _word_lists(b: pa.RecordBatch, each: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, lists of words) of a batch, a few megabytes of text at a time; an empty text has one empty word."""
+    texts, whole = b.column("marked"), b.column("whole")
+    for at, rows in slices(pc.binary_length(texts).to_pylist(), each):
+        some = texts.slice(at, rows)
+        if pc.any(whole.slice(at, rows)).as_py():
+            yield at, pa.array([[t] if w else t.split(_MARK) for t, w in zip(some.to_pylist(), whole.slice(at, rows).to_pylist(), strict=True)], pa.list_(pa.string()))
+        else:
+            yield at, pc.split_pattern(some, _MARK)
 
 
 _TABLE = "word string, n long, level int, parts array<int>, ids binary"
@@ -91,33 +104,54 @@ def word_table(docs: DataFrame, tokenizer: str, folder: str, text_col: str = "te
 
         def given(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.append_column("part", pa.array(np.full(len(t), part, np.int32)))
-            yield from t.select(["word", "n", "part"]).to_batches(100_000)
+            yield from t.select(["word", "n", "part"]).to_batches(50_000)
 
         for b in batches:
-            counts = pc.value_counts(b.column(0).flatten())
-            held.append(pa.table([counts.field(0), counts.field(1)], names=["word", "n"]))
-            rows += len(counts)
-            if rows > 1_000_000:
-                held = [merged()]
-                rows = len(held[0])
-                if rows > 500_000:  # a large partition gives a word more than once
-                    yield from given(held[0])
-                    held, rows = [], 0
+            for _, lists in _word_lists(b):
+                counts = pc.value_counts(lists.flatten())
+                held.append(pa.table([counts.field(0), counts.field(1)], names=["word", "n"]))
+                rows += len(counts)
+                if rows > 600_000:
+                    held = [merged()]
+                    rows = len(held[0])
+                    if rows > 400_000:  # a large partition gives a word more than once
+                        yield from given(held[0])
+                        held, rows = [], 0
         if held:
             yield from given(merged())
+        release()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of equal words stand side by side; the last word of a batch waits for the next one."""
         only()
-        t = _tokenizer(tokenizer)
+        t, rest = _tokenizer(tokenizer), None
+
+        def rows(some: pa.Table) -> pa.RecordBatch:
+            word, n, part = (some.column(c).combine_chunks() for c in ("word", "n", "part"))
+            first = np.flatnonzero(np.concatenate([[True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]))
+            total = np.add.reduceat(n.to_numpy(), first)
+            parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)), pa.int32()), part)
+            names = word.take(pa.array(first))
+            ids = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(names.to_pylist(), add_special_tokens=False)]
+            level = np.floor(np.log2(total) * 16).astype(np.int32)
+            return pa.RecordBatch.from_arrays([names, pa.array(total), pa.array(level), parts, pa.array(ids, pa.binary())], names=["word", "n", "level", "parts", "ids"])
+
         for b in batches:
-            got = t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-            ids = pa.array([np.array(x.ids, "<u4").tobytes() for x in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=["word", "n", "level", "parts", "ids"])
-
-    split = docs.select(words(F.coalesce(text_col, F.lit("")), added_tokens(tokenizer)).alias("words"))
-    counted = split.mapInArrow(distinct, "word string, n long, part int").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
-    table = counted.select("word", "n", F.floor(F.log2("n") * 16).cast("int").alias("level"), "parts").mapInArrow(encoded, _TABLE)
-    table.write.option("compression", "zstd").parquet(folder)
+            now = pa.Table.from_batches([b])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            if not len(now):
+                continue
+            word = now.column("word").combine_chunks()
+            last = int(pc.sum(pc.equal(word, word[-1])).as_py())  # they are sorted
+            if last < len(now):
+                yield rows(now.slice(0, len(now) - last))
+            rest = now.slice(len(now) - last)
+        if rest is not None:
+            yield rows(rest)
+
+    split = docs.select(*marked(F.coalesce(text_col, F.lit("")), added_tokens(tokenizer)))
+    counted = split.mapInArrow(distinct, "word string, n long, part int").repartition("word").sortWithinPartitions("word")
+    counted.mapInArrow(encoded, _TABLE).write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(_TABLE).parquet(folder)
 
 
@@ -196,10 +230,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         only()
         known = _Known(pa.concat_tables([held.value, *(t.cast(held.value.schema) for t in _dealt(folder, TaskContext.get().partitionId()))]), tokenizer)
         for b in batches:
-            ids = pa.array(known.ids_of(b.column("words")), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), ids], names=["_id", "n_tokens", "ids"])
+            for at, lists in _word_lists(b):
+                ids = pa.array(known.ids_of(lists), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, len(ids)), pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), ids], names=["_id", "n_tokens", "ids"])
+        release()
 
-    split = docs.select(F.col(id_col).alias("_id"), words(F.coalesce(text_col, F.lit("")), added).alias("words"))
+    split = docs.select(F.col(id_col).alias("_id"), *marked(F.coalesce(text_col, F.lit("")), added))
     return split.mapInArrow(run, f"_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids binary").withColumnRenamed("_id", id_col)
 
 
@@ -228,19 +264,21 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out: str =
         size = pc.fill_null(pc.binary_length(table), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         data = np.frombuffer(b"".join(x or b"" for x in table.to_pylist()), np.uint8)
         first = np.cumsum(size) - size
-        for b in batches:
-            texts = []
-            for x in b.column(ids_col).to_pylist():
-                if x is None:
-                    texts.append(None)
-                    continue
-                ids = np.frombuffer(x, "<u4").astype(np.int64)
-                ids = ids[ids < len(size)]
-                n = size[ids]
-                ends = np.cumsum(n)
-                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[ids] - (ends - n), n)
-                texts.append(data[at].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, out])
+        for whole in batches:
+            for start, rows in slices(pc.fill_null(pc.binary_length(whole.column(ids_col)), 0).to_pylist(), 4 << 20):
+                b, texts = whole.slice(start, rows), []
+                for x in b.column(ids_col).to_pylist():
+                    if x is None:
+                        texts.append(None)
+                        continue
+                    ids = np.frombuffer(x, "<u4").astype(np.int64)
+                    ids = ids[ids < len(size)]
+                    n = size[ids]
+                    ends = np.cumsum(n)
+                    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[ids] - (ends - n), n)
+                    texts.append(data[at].tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, out])
+        release()
 
     kinds = dict(encoded.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
