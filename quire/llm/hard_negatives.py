@@ -47,12 +47,13 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Vectors of one task with their pivot distances, in runs of near vectors."""
+    """Vectors of one task with their pivot distances, by label and there in runs of near vectors."""
 
-    def __init__(self, x: np.ndarray, to_pivots: np.ndarray, square: float):
+    def __init__(self, x: np.ndarray, to_pivots: np.ndarray, square: float, labels: np.ndarray):
         self.square = square
         nearest = to_pivots.argmin(1)
-        self.order = np.lexsort((to_pivots[np.arange(len(x)), nearest], nearest))
+        self.order = np.lexsort((to_pivots[np.arange(len(x)), nearest], nearest, labels))
+        self.labels = labels[self.order]
         self.x, self.to = x[self.order], to_pivots[self.order]
         first = np.arange(0, len(x), RUN)
         self.low, self.high = np.minimum.reduceat(self.to, first), np.maximum.reduceat(self.to, first)
@@ -80,20 +81,21 @@ class Chunk:
         kind = self.exact if float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * len(q) < 2.0**53 else np.int64
         return (self.x[rows].astype(kind) @ q.astype(kind)).astype(np.int64)
 
-    def top(self, q: np.ndarray, to: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, row) of the k best allowed rows: runs by falling upper bound, until the next bound is below the k-th score."""
-        _, high = self.bracket(q, to, self.low, self.high)
+    def top(self, q: np.ndarray, to: np.ndarray, label: int, ids: np.ndarray, k: int, without: int) -> list[tuple[int, int]]:
+        """(score, row) of the k best rows of the label but one: runs by falling upper bound, until the next bound is below the k-th score."""
+        start, stop = np.searchsorted(self.labels, [label, label + 1])
+        runs = np.arange(start // RUN, -(-stop // RUN)) if stop > start else np.zeros(0, np.int64)
+        _, high = self.bracket(q, to, self.low[runs], self.high[runs])
         best: list[tuple[int, int, int]] = []
         bar = -np.inf
-        runs = np.argsort(-high, kind="stable")
-        for at in range(0, len(runs), 32):
-            some = runs[at : at + 32]
-            some = some[high[some] >= bar]
+        by = np.argsort(-high, kind="stable")
+        for at in range(0, len(by), 8):
+            some = by[at : at + 8]
+            some = runs[some[high[some] >= bar]]
             if not len(some):
                 break
             rows = (some[:, None] * RUN + np.arange(RUN)).ravel()
-            rows = rows[rows < len(self.x)]
-            rows = rows[allowed[rows]]
+            rows = rows[(rows >= start) & (rows < stop) & (rows != without)]
             rows = rows[self.bracket(q, to, self.to[rows], self.to[rows])[1] >= bar]
             got = self.scores(q, rows)
             best = sorted([*best, *zip((-got).tolist(), ids[rows].tolist(), rows.tolist(), strict=True)])[:k]
@@ -162,17 +164,17 @@ def _mine(rows: DataFrame, n: int, largest: float, low: int, positives: int, neg
         asked = anchors.select("*", at)
         return asked.groupBy("block", "chunk").cogroup(points.groupBy("block", "chunk")).applyInArrow(work, schema)
 
-    def opened(a: pa.Table, p: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Chunk, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors' vectors, pivot distances and label numbers; the chunk; its ids (null last), labels and rows in run order."""
+    def opened(a: pa.Table, p: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Chunk, np.ndarray, np.ndarray]:
+        """Anchors' vectors, pivot distances and label numbers; the chunk; its ids (null last) and rows in run order."""
         labels = pa.chunked_array([*a.column("label").chunks, *p.column("p_label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
-        c = Chunk(_matrix(p.column("p_x"), "<i4"), _matrix(p.column("p_far"), "<f8"), largest)
+        c = Chunk(_matrix(p.column("p_x"), "<i4"), _matrix(p.column("p_far"), "<f8"), largest, labels[len(a) :])
         ids = p.column("p_id").to_pylist()
         if None in ids:
             rank = np.empty(len(ids), np.int64)
             rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
         else:
             rank = np.array(ids, np.int64)
-        return _matrix(a.column("x"), "<i4"), _matrix(a.column("far"), "<f8"), labels[: len(a)], c, rank[c.order], labels[len(a) :][c.order], np.array(p.column("p_row").to_pylist(), np.int64)[c.order]
+        return _matrix(a.column("x"), "<i4"), _matrix(a.column("far"), "<f8"), labels[: len(a)], c, rank[c.order], np.array(p.column("p_row").to_pylist(), np.int64)[c.order]
 
     found = pa.schema([("row", pa.int64()), ("wanted", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
@@ -184,21 +186,21 @@ def _mine(rows: DataFrame, n: int, largest: float, low: int, positives: int, neg
     def alike(a: pa.Table, p: pa.Table) -> pa.Table:
         if not len(a) or not len(p):
             return found.empty_table()
-        q, to, own, c, ids, labels, numbers = opened(a, p)
-        out = []
+        q, to, own, c, ids, numbers = opened(a, p)
+        out, places = [], {n: i for i, n in enumerate(numbers.tolist())}
         for i, row in enumerate(a.column("row").to_pylist()):
-            out += [(row, None, r, s) for s, r in c.top(q[i], to[i], (labels == own[i]) & (numbers != row), ids, positives)]
+            out += [(row, None, r, s) for s, r in c.top(q[i], to[i], own[i], ids, positives, places.get(row, -1))]
         return result(out, p, c)
 
     def unlike(a: pa.Table, p: pa.Table) -> pa.Table:
         if not len(a) or not len(p):
             return found.empty_table()
-        q, to, own, c, ids, labels, _ = opened(a, p)
+        q, to, own, c, ids, _ = opened(a, p)
         out = []
         for i, (row, wanted) in enumerate(zip(a.column("row").to_pylist(), a.column("wanted").to_pylist(), strict=True)):
             least = min(-(-low * w // 100) for w in wanted)
             rows = c.survivors(q[i], to[i], least, max(wanted))
-            rows = rows[labels[rows] != own[i]]
+            rows = rows[c.labels[rows] != own[i]]
             score = c.scores(q[i], rows)
             order = np.lexsort((ids[rows], -score))
             rows, score = rows[order], score[order]

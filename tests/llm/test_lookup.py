@@ -147,7 +147,7 @@ def test_brackets_hold():
     x, q = r.integers(-300, 300, (500, 8)), r.integers(-300, 300, 8)
     square = float((x * x).sum(1).max())
     pivots = H.choose_pivots(H.lift(x[:100].astype(float), square))
-    c = H.Chunk(x, H.distances(H.lift(x.astype(float), square), pivots), square)
+    c = H.Chunk(x, H.distances(H.lift(x.astype(float), square), pivots), square, np.arange(500) % 3)
     to = H.distances(np.append(q, 0).astype(float)[None], pivots)[0]
     low, high = c.bracket(q.astype(float), to, c.to, c.to)
     score = c.x @ q
@@ -192,7 +192,7 @@ def test_each_distinct_word_is_encoded_once(spark, tokenizer):
     df = spark.createDataFrame([(i, "one two, one\ntwo (one)") for i in range(20)], "doc_id long, text string").repartition(4)
     table = W.word_table(df, path("byte_bpe_50k.json"), W.new_folder(spark, "test-words"))
     rows = table.collect()
-    assert {r.word: r.n for r in rows} == {"one": 40, " two": 20, ",": 20, " one": 20, "\ntwo": 20, " (": 20, ")": 20}
+    assert {r.word: r.n for r in rows} == {"one": 20, " two": 20, ",": 20, " one": 20, "\ntwo": 20, " (one)": 20} and len(rows) == 6
     assert all(np.frombuffer(r.ids, "<u4").tolist() == tokenizer.encode(r.word, add_special_tokens=False).ids for r in rows)
 
 
