@@ -73,14 +73,20 @@ def preview_pages(places: DataFrame, sizes: DataFrame) -> DataFrame:
 
     A paragraph's page is the first whose running count of the section exceeds it, past the end the section's last; a heading's the
     section's first; with no place it is page 1. File names have at least four digits.
+
+    Pages and blocks are one sorted stream of a section: a page opens at the count of paragraphs before it, and each block
+    takes the page opened last. So a section of any number of pages is sorted (and spilled), never held in one row.
     """
-    w = Window.partitionBy("doc_id", "section").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = sizes.withColumn("_to", F.sum("paragraphs").over(w))
-    cuts = upto.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("_to", "page_no"))).alias("_cuts"), F.min("page_no").alias("_first"), F.max("page_no").alias("_last"))
-    j = places.join(cuts, ["doc_id", "section"], "left")
-    hit = F.get(F.filter("_cuts", lambda c: c["_to"] > F.col("paragraph")), 0)["page_no"]
-    page = F.coalesce(F.when(F.col("paragraph").isNull(), F.col("_first")).otherwise(F.coalesce(hit, F.col("_last"))), F.lit(1)).cast("long")
-    return j.withColumn("page_no", page).withColumn("file", page_file(F.col("page_no"))).drop("_cuts", "_first", "_last")
+    by = ["doc_id", "section"]
+    pages = Window.partitionBy(*by).orderBy("page_no")
+    before = F.coalesce(F.sum("paragraphs").over(pages.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = F.when(F.row_number().over(pages) == 1, -1).otherwise(before).cast("long")  # the first one, before headings
+    cuts = sizes.select(*by, opens.alias("_at"), F.lit(0).alias("_block"), F.col("page_no").alias("_page"))
+    asked = places.withColumn("_at", F.coalesce("paragraph", F.lit(-1)).cast("long")).withColumn("_block", F.lit(1))
+    stream = Window.partitionBy(*by).orderBy("_at", "_block", "_page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = F.coalesce(F.last("_page", ignorenulls=True).over(stream), F.lit(1)).cast("long")
+    both = asked.unionByName(cuts, allowMissingColumns=True).withColumn("page_no", page).where("_block = 1")
+    return both.withColumn("file", page_file(F.col("page_no"))).drop("_at", "_block", "_page")
 
 
 def page_file(n):
@@ -109,10 +115,6 @@ def neighbours(sections_: DataFrame) -> DataFrame:
     return sections_.select("doc_id", "section", F.lag("section").over(w).alias("previous"), F.lead("section").over(w).alias("next"))
 
 
-def range_pick(anchor, target):
-    return F.sequence(F.least(anchor, target), F.greatest(anchor, target))
-
-
 def styled_runs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Runs of text with their italic and bold state; only <i> </i> <b> </b> count, empty runs go. (key, run, text, italic, bold)
 

@@ -73,14 +73,17 @@ def recent_order() -> list[Column]:
     return [F.desc("ts"), F.desc("event_id")]
 
 
-def title_order(books: DataFrame, locale: bool = True) -> DataFrame:
-    title = F.collate("title", "UNICODE") if locale else F.col("title")
-    return books.orderBy(title, *ORDER)
+def title_order(locale: bool = True) -> list[Column | str]:
+    """By title in the root collation (letters before case, accents between them; any script), then as the library; without locale by code points.
+
+    The order is of collation keys, so it holds across range partitions as well (places) and for a sort of the whole (orderBy).
+    """
+    return [F.collate("title", "UNICODE") if locale else F.col("title"), *ORDER]
 
 
-def author_order(books: DataFrame, locale: bool = True) -> DataFrame:
-    put = (lambda c: F.collate(c, "UNICODE")) if locale else F.col
-    return books.orderBy(put("author"), put("title"), *ORDER)
+def author_order(locale: bool = True) -> list[Column | str]:
+    """By author, then title; see title_order."""
+    return [F.collate("author", "UNICODE") if locale else F.col("author"), *title_order(locale)]
 
 
 def first(books: DataFrame, n: int = 4) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.storage import hold
+
 AWAY, GRACE, HOUR = "15 minutes", "1 minute", "1 hour"
 
 
@@ -73,20 +75,39 @@ def progress(events: DataFrame, steps: list[str], order: str = "event_id") -> Da
 def throttle(calls: DataFrame, every: float, key: str = "user_id", order: str = "event_id") -> DataFrame:
     """The calls (key, order, ts) that run: the first, then each that comes `every` seconds or more after the last that ran, for each key.
 
-    Each run depends on the one before, so a key's calls are read in order, one task a key (a process, in the use that this has).
+    Each call points to its successor, the first call of its key `every` seconds or more after it; those that run are the chain from a key's first
+    call. Successors come from one range sort of calls and of the times that they wait for, so a key's calls lie in many tasks.
+    The chain is walked by doubling: a round joins the marked calls with pointers 1, 2, 4, ... successors ahead, so the rounds grow with
+    the logarithm of the runs. Calls without a time never run; rows of equal time and order are calls of their own.
     """
-    import pandas as pd
-
-    def pick(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["ts", order])
-        keep, last = [], None
-        for x in t["ts"]:
-            keep.append(last is None or (x - last).total_seconds() >= every)
-            last = x if keep[-1] else last
-        return t[keep]
-
-    kinds = dict(calls.dtypes)
-    return calls.select(key, order, "ts").groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {order} {kinds[order]}, ts {kinds['ts']}")
+    spark = calls.sparkSession
+    rows = calls.where("ts is not null").select(key, order, "ts", F.monotonically_increasing_id().alias("_id"))
+    if every <= 0:
+        return rows.drop("_id")
+    rows = hold(rows)
+    waits = rows.withColumn("_at", F.col("ts") + F.make_dt_interval(secs=F.lit(every).cast("decimal(18,6)"))).withColumn("_call", F.lit(0))  # before a call at that time
+    line = [F.col(key).asc_nulls_first(), F.col("_at"), F.col("_call"), F.col(order), F.col("_id")]
+    both = rows.withColumn("_at", F.col("ts")).withColumn("_call", F.lit(1)).unionByName(waits)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hold(both.repartitionByRange(n, *line).withColumn("_range", F.spark_partition_id()))
+    call = F.when(F.col("_call") == 1, F.struct(F.col(key).alias("key"), F.col("_id").alias("id")))
+    # backwards, the last call seen is the next one; the first call of a later range stands in where a range has no more
+    back = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), F.desc("_at"), F.desc("_call"), F.desc(order), F.desc("_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = dealt.groupBy(F.col("_range").alias("_r")).agg(F.min(F.when(F.col("_call") == 1, F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), "_at", F.col(order).alias("order"), F.col("_id").alias("id")))).alias("_first"))
+    later = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    firsts = firsts.select("_r", F.last(F.when(F.col("_first").isNotNull(), F.struct("_first.key", "_first.id")), ignorenulls=True).over(later).alias("_later"))
+    near = dealt.withColumn("_next", F.last(call, ignorenulls=True).over(back)).where("_call = 0").join(firsts, F.col("_range") == F.col("_r"))
+    near = near.withColumn("_next", F.coalesce("_next", "_later"))
+    pointers = hold(near.where(F.col("_next.key").eqNullSafe(F.col(key))).select(F.col("_id").alias("id"), F.col("_next.id").alias("next")))
+    marks = hold(rows.groupBy(key).agg(F.min(F.struct("ts", order, "_id")).alias("_first")).select(F.col("_first._id").alias("id")))
+    while True:
+        more = hold(marks.join(pointers, "id").select(F.col("next").alias("id")))
+        if more.isEmpty():
+            break
+        marks = hold(marks.unionByName(more))
+        further = pointers.select(F.col("id").alias("next"), F.col("next").alias("_further"))
+        pointers = hold(pointers.join(further, "next").select("id", F.col("_further").alias("next")))
+    return rows.join(marks, F.col("_id") == F.col("id"), "left_semi").drop("_id")
 
 
 def latest(events: DataFrame, key: str, status: str, order: str = "event_id") -> DataFrame:

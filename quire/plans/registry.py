@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalar as fn
 from quire.operators import blocks as bl
+from quire.operators import counter as ct
 from quire.operators import edits as ed
 from quire.operators import intake as it
 from quire.operators import library as li
+from quire.operators import picking as pk
 from quire.operators import presence as pr
 from quire.operators import tables as tb
 from quire.plans.base import ORACLES, QUERIES, cols, on, query
+from quire.sources import books as bk
 from quire.sources import files, views
+from quire.sources.storage import new_folder
 from quire.sources.views import sql, table
 
 # ---- minimum slice and sources ----
@@ -32,7 +36,36 @@ def first_four_books(spark, d):
 
 
 on("books", "src_table", "SELECT uid, title, ord FROM books", lambda b: li.library_order(b).select("uid", "title", "ord"))
-on("events", "src_book_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
+
+
+def _book_texts(spark, d) -> DataFrame:
+    """A book as JSON for each document, its lines as blocks; spoilt in one of eight ways unless doc_id mod 9 is 8."""
+    block = lambda x, i: F.struct(F.when(F.length(x) <= 40, "heading").otherwise("text").alias("type"), (i % 7 != 6).alias("include"), x.alias("text"), F.lit(1.5).alias("width"))
+    meta = F.struct(F.substring("text", 1, 60).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"))
+    whole = F.struct(F.lit(1).alias("version"), meta.alias("metadata"), F.transform(F.split("text", "\n"), block).alias("blocks"), F.array(F.lit("a"), F.lit("b")).alias("notes"), (F.col("doc_id") % 2 == 0).alias("include_notes"))
+    json, case = F.to_json(whole), F.col("doc_id") % 9
+    spoilt = F.when(case == 0, F.substring(json, 1, F.length(json) - 1)).when(case == 1, F.concat(F.lit("["), json, F.lit("]"))).when(case == 2, "null")
+    spoilt = spoilt.when(case == 3, F.regexp_replace(json, '^\\{"version":1,"metadata":', '{"version":1,"meta":')).when(case == 4, F.regexp_replace(json, '"notes":\\["a","b"\\]', '"notes":"a"'))
+    spoilt = spoilt.when(case == 5, F.replace(json, F.lit('],"notes":["a"'), F.lit(',7],"notes":["a"'))).when(case == 6, F.regexp_replace(json, '^\\{"version":1', '{"version":1,"version":1'))
+    spoilt = spoilt.when(case == 7, F.regexp_replace(json, '(?s)"blocks":\\[.*\\],"notes":\\["a"', '"blocks":"none","notes":["a"'))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(spoilt, json).alias("json"))
+
+
+LINES = "string_split(text, chr(10))"
+
+
+@query("src_book_json", f"""SELECT doc_id, error, "at", title, CASE WHEN error IS NULL THEN len(list_filter(l, lambda x, i: length(x) <= 40 AND (i - 1) % 7 <> 6)) END AS headings,
+  CASE WHEN error IS NULL THEN len(list_filter(l, lambda x, i: length(x) > 40 AND (i - 1) % 7 <> 6)) END AS paragraphs, CASE WHEN error IS NULL THEN CAST(2 - 2 * (doc_id % 2) AS BIGINT) END AS notes, error IS NOT NULL AS kept
+  FROM (SELECT doc_id, {LINES} AS l, CASE WHEN doc_id % 9 = 8 THEN substring(text, 1, 60) END AS title, CASE WHEN doc_id % 9 = 5 THEN len({LINES}) END AS "at",
+    list_extract(['not_json', 'not_object', 'not_object', 'no_metadata', 'no_notes', 'bad_block', 'not_json', 'no_blocks', NULL], doc_id % 9 + 1) AS error FROM documents)""")
+def _(spark, d):
+    got = bk.counts(bk.read_books(_book_texts(spark, d), "json"))
+    kept = (F.col("refused") == F.col("json")) & F.col("error").isNotNull()
+    return got.select("doc_id", "error", "at", F.col("metadata.title").alias("title"), "headings", "paragraphs", F.col("n_notes").alias("notes"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+on("events", "src_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
+
 cols("src_form", "conversations", "conv_id turn", lambda: {"text": fn.strip(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")))}, {"text": r"regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^\s+', ''), '\s+$', '')"})
 
 JSON = """CAST(to_json({'title': title, 'id': CAST(uid AS VARCHAR), 'author': author, 'language': language, 'description': '', 'cover_url': cover_url,
@@ -70,6 +103,19 @@ on("contact_posts", "snk_email", f"SELECT 'team@example.org' AS recipient, {SUBJ
 on("contact_posts", "prj_message_row", "SELECT conv_id, turn, CASE WHEN kind = 'message' THEN '' ELSE link END AS link FROM contact_posts", lambda c: it.message_row(c).select("conv_id", "turn", "link"))
 cols("snk_admin_url", "documents", "doc_id", lambda: {"url": it.admin_url("https://s", "library", "book", F.col("doc_id"))}, {"url": "'https://s/admin/library/book/' || doc_id || '/change/'"})
 on("events", "snk_info", "SELECT '1.0' AS engine, 'abcdef1234' AS commit, count(*) AS converted FROM events WHERE event_type <> 'error'", lambda e: files.info("1.0", "abcdef1234", it.total(e, F.col("event_type") != "error")))
+
+
+@query("agg_counter_log", "SELECT event_type AS name, count(*) AS count FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def _(spark, d):
+    """Counts from a log of three appends, two of them folded into a snapshot, one given twice."""
+    done = table(spark, d, "events").where("event_type <> 'error'")
+    folder, part = new_folder(spark, "counters"), lambda k: done.where(F.pmod("event_id", F.lit(3)) == k)
+    ct.append(part(0), folder, 0, "event_type")
+    ct.append(part(1), folder, 1, "event_type")
+    ct.compact(spark, folder)
+    ct.append(part(1), folder, 1, "event_type")
+    ct.append(part(2), folder, 2, "event_type")
+    return ct.totals(spark, folder)
 cols("snk_preview", "events", "event_id", lambda: {"stale": files.stale(F.when(F.col("user_id") % 4 != 0, F.expr("timestamp'2024-01-15 00:00:00'")), F.col("ts"))}, {"stale": "(user_id % 4 = 0 OR TIMESTAMP '2024-01-15 00:00:00' < ts)"})
 clamp = "CAST(least({w}, greatest(1, floor(sqrt(8000000.0 * {a} / {b})))) AS BIGINT)"
 cols("snk_page_png", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(1600), F.col("doc_id") + 1, F.col("n_chars")).cast("long")}, {"width": clamp.format(w=1600, a="(doc_id + 1)", b="n_chars")})
@@ -225,8 +271,10 @@ on("blocks", "agg_problems_set", PROBLEMS, lambda b: bl.problems(_with_pictures(
 
 on("books", "ord_library", "SELECT uid, row_number() OVER (ORDER BY ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.ORDER).select("uid", "place"))
 on("events", "ord_recent", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events", lambda e: li.places(e.select("event_id", "ts"), *li.recent_order()).select("event_id", "place"))
-on("books", "ord_title", "SELECT uid, row_number() OVER (ORDER BY title, ord, uid) AS place FROM books", lambda b: li.places(b, "title", *li.ORDER).select("uid", "place"))
-on("books", "ord_author", "SELECT uid, row_number() OVER (ORDER BY author, title, ord, uid) AS place FROM books", lambda b: li.places(b, "author", "title", *li.ORDER).select("uid", "place"))
+# the sort key is of the root collation in both, ICU's
+on("books", "ord_title", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.title_order()).select("uid", "place"))
+on("books", "ord_title_bytes", "SELECT uid, row_number() OVER (ORDER BY title, ord, uid) AS place FROM books", lambda b: li.places(b, *li.title_order(locale=False)).select("uid", "place"))
+on("books", "ord_author", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(author, 'root'), icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.author_order()).select("uid", "place"))
 on("books", "top_more", "SELECT uid FROM books WHERE uid <> 3 ORDER BY ord, title, uid LIMIT 4", lambda b: li.others(b, 3).select("uid"))
 on("books", "top_shelf", ", top AS (SELECT uid, row_number() OVER (ORDER BY ord, title, uid) - 1 AS slot FROM books WHERE cover_url IS NOT NULL ORDER BY slot LIMIT 4) SELECT s.slot, uid FROM (SELECT unnest(range(4)) AS slot) s LEFT JOIN top ON s.slot = top.slot", lambda b: li.shelf(b).select("slot", "uid"))
 on("books", "top_random_pick", None, lambda b: li.random_pick(b, 7).select("uid"))
@@ -256,10 +304,21 @@ def _(spark, d):
 on("blocks", "seq_open_section", f", {SECTION} SELECT doc_id, CAST(coalesce(min(section) FILTER (include), 0) AS BIGINT) AS open_section FROM secs GROUP BY doc_id", bl.open_section)
 on("blocks", "seq_open_page", "SELECT doc_id, coalesce(arg_min(page, pos) FILTER (include AND page > 0), 1) AS open_page FROM blocks GROUP BY doc_id", bl.open_page)
 on("blocks", "seq_section_page", f", {SECTION} SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(min(page) FILTER (page > 0), 9) AS page FROM secs GROUP BY doc_id, section", lambda b: bl.section_page(b, 9))
-on("documents", "seq_range_pick", "SELECT doc_id, unnest(generate_series(least(doc_id % 7, 3), greatest(doc_id % 7, 3))) AS at FROM documents", lambda d: d.select("doc_id", F.explode(bl.range_pick(F.col("doc_id") % 7, F.lit(3).cast("long"))).alias("at")))
+CLICKS = """clicks AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (event_id * 7919) % 40 AS "at", event_type IN ('click', 'error') AS shift FROM events)"""
+# each block by itself: its last range, then the parity of the toggles after it
+on("events", "seq_range_pick", f"""WITH {CLICKS}, a AS (SELECT *, lag("at") OVER (PARTITION BY session ORDER BY n) AS anchor FROM clicks),
+  o AS (SELECT session, n, unnest(generate_series(least(anchor, "at"), greatest(anchor, "at"))) AS "at", true AS range FROM a WHERE shift AND anchor IS NOT NULL UNION ALL SELECT session, n, "at", false FROM a WHERE NOT shift OR anchor IS NULL),
+  l AS (SELECT *, max(n) FILTER (range) OVER (PARTITION BY session, "at") AS last FROM o)
+  SELECT session, "at" FROM l GROUP BY session, "at", last HAVING ((last IS NOT NULL)::INT + count(*) FILTER (NOT range AND n > coalesce(last, 0))) % 2 = 1""", lambda e: pk.picked(_clicks(e)))
 on("blocks", "seq_can_join", "SELECT doc_id, pos, type = 'text' AND coalesce(lead(type) OVER (PARTITION BY doc_id ORDER BY pos) = 'text', false) AS can_join FROM blocks", lambda b: bl.can_join(b).select("doc_id", "pos", "can_join"))
 on("blocks", "seq_prev_next", f", {SECTION}, s AS (SELECT DISTINCT doc_id, CAST(section AS BIGINT) AS section FROM secs) SELECT doc_id, section, lag(section) OVER w AS previous, lead(section) OVER w AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY section)", lambda b: bl.neighbours(bl.sections(b)))
 
+
+def _clicks(events: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.select(F.col("user_id").alias("session"), n.alias("n"), ((F.col("event_id") * 7919) % 40).alias("at"), F.col("event_type").isin("click", "error").alias("shift"))
+
+
 # ---- edits of nested blocks ----
 
 def in_order(struct: str):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalar import MEDIA_TYPES, strip
 from quire.sources.schemas import BOOK
+from quire.sources.storage import file_system, put_file
 
 
 def table(spark: SparkSession, path: str, *order: str) -> DataFrame:
@@ -72,11 +73,13 @@ def images(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), code.alias("error"), F.when(code.isNull(), F.col("content")).alias("content"))
 
 
-def _fs(uri: str):
-    """(pyarrow file system, path) of an address or a local path."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    return (LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith(("/", "file:///")) else FileSystem.from_uri(uri)
+def zipped(members: dict[str, str]) -> bytes:
+    """A zip file of the members, in order of their names."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for k, v in sorted(members.items()):
+            z.writestr(k, v)
+    return data.getvalue()
 
 
 def write_zips(books: DataFrame, folder: str) -> DataFrame:
@@ -89,26 +92,17 @@ def write_zips(books: DataFrame, folder: str) -> DataFrame:
     schema = "name string, file string, error string"
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
         from urllib.parse import quote
 
-        fs, top = _fs(folder)
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
                 if len(r.problems):
                     out.append((r.name, None, "; ".join(r.problems)))
                     continue
-                side, file = f"{top}/.{uuid.uuid4().hex}", f"{quote(r.name or 'book', safe=' ')}.epub"
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w") as z:
-                    for k, v in sorted(dict(r.members).items()):
-                        z.writestr(k, v)
-                fs.create_dir(top, recursive=True)
-                with fs.open_output_stream(side) as f:
-                    f.write(data.getvalue())
-                fs.move(side, f"{top}/{file}")
-                out.append((r.name, f"{folder}/{file}", None))
+                file = f"{folder}/{quote(r.name or 'book', safe=' ')}.epub"
+                put_file(file, zipped(dict(r.members)))
+                out.append((r.name, file, None))
             yield pd.DataFrame(out, columns=["name", "file", "error"])
 
     return books.select("name", "problems", "members").mapInPandas(write, schema)
@@ -122,7 +116,7 @@ def delete_dirs(rows: DataFrame, column: str) -> DataFrame:
             done = []
             for folder in part["folder"]:
                 try:
-                    fs, path = _fs(folder)
+                    fs, path = file_system(folder)
                     fs.delete_dir(path)
                     done.append(True)
                 except OSError:
