@@ -8,9 +8,9 @@ equal chunks wherever they stand. A chunk's address is its 128-bit digest. Folde
   manifest/           Parquet: for each recipe range its ids, rows, tokens and Merkle root
   top                 number of ranges and the Merkle root of their roots
 
-A document's root is the Merkle root of its chunk digests, a range's that of its documents' places and roots. read() first checks
-the manifest against the top and that the recipes have its ranges and rows, then each chunk, document and range as it is
-rebuilt: a lost or changed file or byte is an error, not another id.
+A document's root is the Merkle root of its chunk digests, a range's that of its documents' places and roots in order. read() first checks
+the manifest against the top, and the roots of all recipes, grouped by range, against the manifest; then each chunk and
+document as it is rebuilt. So a lost or changed file or byte is an error, not another id, however Spark splits the files.
 
 Writing: encoding and cutting happen once and are staged in the shared folder; owners of chunks are chosen from the
 digests alone (no ids are shuffled); each staged file then becomes one pack with the chunks it owns, so every
@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_folder, join_by_key, n_ranges, new_folder, open_fs, prefix_starts, put_file
+from quire.llm.common import drop_folder, join_by_key, n_ranges, new_folder, open_fs, prefix_starts, put_file, slices
 from quire.llm.substring_dedup import _rolling
 from quire.llm.tokens import encoder
 
@@ -79,7 +79,7 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
         end = np.array([end_id], e.kind).tobytes()
         kinds = {"n_tokens": pa.int64(), "ids": pa.binary(), "root": pa.binary(), "chunks": pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("n", pa.int64())]))}
         for whole in batches:
-            for at, rows in _slices(pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist(), 1 << 20):  # texts may be long
+            for at, rows in slices(pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist(), 1 << 20):  # texts may be long
                 b = whole.slice(at, rows)
                 streams = [e.ids(t or "") + end for t in b.column(1).to_pylist()]
                 wide = e.kind.itemsize
@@ -97,9 +97,11 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     staged.write.option("compression", "zstd").parquet(folder)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 50_000) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 50_000, range_parts: int = 1_000_000) -> None:
     """Write the store of the documents' ids, each with end_id appended, to folder (in storage that executors share).
 
+    A range of recipes has about range_rows documents, or fewer, so that it has about range_parts chunks on average; a chunk takes some 70 bytes there.
+
     Null or empty text: the end id alone. Null ids come first; rows of equal id stand side by side, in an order that
     does not change between reruns on the same input. Other columns are not read. An empty table gives an empty store.
     """
@@ -145,7 +147,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
     n_docs, n_parts = rows.count(), found.agg(F.sum("copies")).first()[0] or 0
     where = join_by_key(parts.select("file", "row", "k", "digest", "n"), found, "digest", "copies", n_parts)
     recipe = where.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("k", "pack", "offset", "n", "digest"))).alias("parts"))
-    ranges = n_ranges(spark, n_docs, range_rows)
+    ranges = max(n_ranges(spark, n_docs, range_rows), n_parts // range_parts)
     # ranges of the running sum become the files, without another sample of the rows
     sizes = prefix_starts(rows.select("doc_id", "n_tokens", "root", "file", "row"), "doc_id", "n_tokens", ranges, keep="range")
     out = sizes.join(recipe, ["file", "row"]).drop("file", "row").repartitionById(ranges, F.col("range")).sortWithinPartitions("start")
@@ -160,36 +162,18 @@ _RANGE = "range int, first_id long, last_id long, rows long, n_tokens long, root
 
 
 def _roots(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a range of recipes, from the recipes without their parts; a range is one file, whose rows are read in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("range", pa.int32()), *((k, pa.int64()) for k in ("first_id", "last_id", "rows", "n_tokens")), ("root", pa.binary())])
-        now = _Range()
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("range", "doc_id", "start", "n_tokens", "root")), strict=True):
-                if r[0] != now.range:
-                    yield pa.RecordBatch.from_pylist(now.rows(), kinds)
-                    now = _Range(r[0])
-                now.add(*r[1:])
-        yield pa.RecordBatch.from_pylist(now.rows(), kinds)
-
-    return spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root").mapInArrow(run, _RANGE)
-
-
-class _Range:
-    """The documents of a range so far."""
+    """One row a range, from the recipes without their parts; a range's rows, a bounded number, are put in order here, wherever they were read."""
 
-    def __init__(self, number: int | None = None):
-        self.range, self.leaves, self.tokens, self.first, self.last = number, [], 0, None, None
+    def run(key, table):
+        rows = sorted(zip(*(table.column(k).to_pylist() for k in ("start", "doc_id", "n_tokens", "root")), strict=True), key=lambda r: r[0])
+        ids = [r[1] for r in rows if r[1] is not None]  # ascending
+        leaves = [f"{doc} {start} {n} ".encode() + root for start, doc, n, root in rows]
+        out = (key[0].as_py(), ids[0] if ids else None, ids[-1] if ids else None, len(rows), sum(r[2] for r in rows), merkle(leaves))
+        kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary())
+        return pa.table([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=["range", "first_id", "last_id", "rows", "n_tokens", "root"])
 
-    def add(self, doc_id: int | None, start: int, n_tokens: int, root: bytes) -> None:
-        self.leaves.append(f"{doc_id} {start} {n_tokens} ".encode() + root)
-        self.tokens += n_tokens
-        if doc_id is not None:  # ascending
-            self.first, self.last = doc_id if self.first is None else self.first, doc_id
-
-    def rows(self) -> list[dict]:
-        return [{"range": self.range, "first_id": self.first, "last_id": self.last, "rows": len(self.leaves), "n_tokens": self.tokens, "root": merkle(self.leaves)}] if self.leaves else []
+    thin = spark.read.parquet(f"{folder}/recipes").select("range", "doc_id", "start", "n_tokens", "root")
+    return thin.groupBy("range").applyInArrow(run, _RANGE)
 
 
 def _top(spark: SparkSession, folder: str) -> dict:
@@ -197,18 +181,18 @@ def _top(spark: SparkSession, folder: str) -> dict:
     return {"ranges": len(rows), "root": merkle([str(r["range"]).encode() + r["root"] for r in rows]).hex()}
 
 
-def verify(spark: SparkSession, folder: str) -> dict[int, bytes]:
-    """Roots of the ranges. ValueError if the manifest does not match the top, or ranges of recipes or rows of them are missing."""
+def verify(spark: SparkSession, folder: str) -> None:
+    """ValueError if the manifest does not match the top, or the recipes do not match the manifest, range by range."""
     fs, path = open_fs(f"{folder}/top")
     with fs.open_input_stream(path) as f:
         top = json.loads(f.read())
     if _top(spark, folder) != top:
         raise ValueError(f"{folder}: the manifest does not match its root")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    there = spark.read.parquet(f"{folder}/recipes").groupBy(F.col("range").alias("r")).agg(F.count("*").alias("n"))
-    if not manifest.join(there, F.col("range") == F.col("r"), "full").where(~F.col("rows").eqNullSafe(F.col("n"))).isEmpty():
+    names = ["range", *(c.split()[0] for c in _RANGE.split(", ")[1:])]
+    said = spark.read.parquet(f"{folder}/manifest").select("range", F.struct(*names[1:]).alias("said"))
+    there = _roots(spark, folder).select(F.col("range").alias("r"), F.struct(*names[1:]).alias("there"))
+    if not said.join(there, F.col("range") == F.col("r"), "full").where(~F.col("said").eqNullSafe(F.col("there"))).isEmpty():
         raise ValueError(f"{folder}: recipes are lost or changed")
-    return {r["range"]: r["root"] for r in manifest.select("range", "root").collect()}
 
 
 class _Packs:
@@ -241,38 +225,17 @@ class _Packs:
         return got
 
 
-def _slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of rows whose lengths sum up to `most` or less, or of one row."""
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        if held and held + n > most:
-            yield start, i - start
-            start, held = i, 0
-        held += n
-    yield start, len(lengths) - start
-
-
 def read(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
     """Rows (doc_id, start, n_tokens, root, ids): ids as little-endian unsigned 32-bit numbers, checked against the digests.
 
-    verify() runs at once; chunks, documents and ranges are checked as they are read.
+    verify() runs at once, over all recipes but their parts; chunks and documents are checked as they are read.
     """
-    roots = spark.sparkContext.broadcast(verify(spark, folder))  # 16 bytes a range
+    verify(spark, folder)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packs = _Range(), _Packs(folder)
-
-        def ended() -> None:
-            if now.leaves and merkle(now.leaves) != roots.value.get(now.range):
-                raise ValueError(f"range {now.range}: its recipes do not match the manifest")
-
+        packs = _Packs(folder)
         for whole in batches:
-            for r in zip(*(whole.column(k).to_pylist() for k in ("range", "doc_id", "start", "n_tokens", "root")), strict=True):
-                if r[0] != now.range:
-                    ended()
-                    now = _Range(r[0])
-                now.add(*r[1:])
-            for at, rows in _slices(whole.column("n_tokens").to_pylist()):
+            for at, rows in slices(whole.column("n_tokens").to_pylist()):
                 b = whole.slice(at, rows)
                 ends = np.cumsum(pa.compute.list_value_length(b.column("parts")).to_numpy()).tolist()
                 flat = b.column("parts").flatten()
@@ -286,9 +249,8 @@ def read(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
                     out.append(np.frombuffer(b"".join(pieces), f"<u{id_bytes}").astype("<u4").tobytes())
                     i = end
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens", "root")), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "root", "ids"])
-        ended()
 
-    recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root", "parts", "range")
+    recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root", "parts")
     return recipes.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, root binary, ids binary")
 
 
