@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, join_by_key
 from quire.llm.graph import connected_components
 
 PROJECTIONS, GRID, MOST_AXES = 32, 1.5, 24
@@ -142,8 +142,9 @@ def near_groups(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id"
     same = F.transform(e, lambda x: x + F.lit(0).cast("float"))
     valid = valid.select("_id", "label", "embedding", F.size(e).alias("dim"), F.xxhash64(same).alias("h1"), F.hash(same).alias("h2"))
     group = ["label", "dim", "h1", "h2"]
-    # classes: the smallest id stands for its equals
-    classes = cut(valid.groupBy(*group).agg(F.min("_id").alias("rep"), F.count("*").alias("n"), F.min_by("embedding", "_id").alias("embedding")))
+    # a class of equal vectors has a number of its own, as one id may stand for several vectors
+    classes = valid.groupBy(*group).agg(F.min("_id").cast("long").alias("id"), F.count("*").alias("n"), F.min_by("embedding", "_id").alias("embedding"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("total"))
     width, least = calibrate(cosine)
 
@@ -161,7 +162,7 @@ def near_groups(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id"
 
     kinds = dict(classes.dtypes)
     head = f"label string, dim int, rep long, n long, embedding {kinds['embedding']}, cells array<long>"
-    named = classes.join(sizes, ["label", "dim"]).withColumn("rep", F.col("rep").cast("long"))
+    named = classes.join(sizes, ["label", "dim"])
     placed = named.select("label", "dim", "rep", "n", "embedding", "total").mapInArrow(spread, head)
     dealt = placed.select("*", F.posexplode("cells").alias("table", "cell"))
     place = ["label", "dim", "table", "cell"]
@@ -184,8 +185,10 @@ def near_groups(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id"
     found = cut(tasks.groupBy(*place, "i", "j").applyInArrow(work, "a long, b long, links long"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     parts = connected_components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
-    thin = classes.select(*group, F.col("rep").cast("long").alias("rep"), "n").join(links, "rep", "left").join(parts, "rep", "left")
-    thin = thin.select(*group, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    thin = classes.select(*group, "rep", "id", "n").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tops = thin.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("_copies"))
+    thin = join_by_key(thin, tops, "component", "_copies", classes.count(), deal=F.xxhash64("rep"))
+    thin = thin.select(*group, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = valid.select("_id", *group).join(thin, group).select("_id", "n_links", "component_id")
     bad = F.col("_id").isNull() | F.col("label").isNull() | e.isNull() | ~F.coalesce(sound, F.lit(False)) | ~F.coalesce(square > 0, F.lit(False))
     alone = rows.where(bad).select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"))
