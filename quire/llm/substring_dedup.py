@@ -17,6 +17,7 @@ The documents are shuffled once, by chunk; the three passes reread that exchange
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ _ASK = "bucket int, chunk long, kind int, blob binary"
 _TOLD = "chunk long, kind int, bucket int, blob binary"
 _LAST = np.iinfo(np.int64).max
 MOST_CHUNKS = 400_000  # their bounds, 8 bytes each, are in the plan
+ROW = 16  # bytes that a row counts besides its text
 
 
 class _WordHash(dict):
@@ -239,28 +241,43 @@ def _answer(table):
     return _rows(out, _TOLD)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def without(text: bytes, spans: list[list[int]]) -> bytes:
+    """The text without the words of the spans (start, end), each with the white space before it; other white space stays, but for any that would then stand first."""
+    if not spans:
+        return text
+    ends = [0, *(m.end() for m in re.finditer(rb"[^\x20\t-\r]+", text))]
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at : ends[start]])
+        at = ends[end]
+    left = b"".join([*out, text[at:]])
+    return left.lstrip() if spans[0][0] == 0 else left
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """Words of each document that lie in a window of `window` words which also starts in a document of smaller id.
 
     Result, one row a document: id_col, n_words long, n_removed long, spans array<struct<start int, end int>> (maximal
-    runs of removed words), kept_text string (kept words joined by one space). window must be odd.
+    runs of removed words), kept_text string (kept words joined by one space; with layout the text as it is, without the
+    removed words and the white space before each). window must be odd.
 
     Null text: no words. Null id: the row stays whole and is no reference. Rows of equal id are no reference for each
     other, and stay in one chunk. Fewer than `window` words: nothing is removed. An empty table gives an empty result. Columns named in
     carry follow in the result, each row's own also where ids repeat; others are not read.
-    chunk_bytes bounds the text that a task holds (about 23 bytes of memory for each byte), but for one long document; raise it and bucket_bytes
-    with the square root of the input, so that a chunk's entry for a bucket stays worth its header. There are at most MOST_CHUNKS.
+    chunk_bytes bounds the text that a task holds (about 23 bytes of memory for each byte; a row counts ROW bytes besides its text), but for one long
+    document. There are at most MOST_CHUNKS: beyond that chunks grow with the input, and buckets with them, so their number stays bounded too.
     """
     if window % 2 == 0:
         raise ValueError("window must be odd")
     block, id_type = (window + 1) // 2, dict(docs.dtypes)[id_col]
-    total = text_bytes(docs, text_col)
+    total = text_bytes(docs, text_col, ROW)
+    # beyond MOST_CHUNKS both grow, so a chunk's entry for a bucket stays worth its header
+    chunk_bytes, bucket_bytes = (max(x, total // MOST_CHUNKS) for x in (chunk_bytes, bucket_bytes))
     buckets = max(1, -(-total // bucket_bytes))
     from_docs = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
     more = [F.col(c).alias(x) for c, x in from_docs.items() if x != "_text"]
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
-    chunk_bytes = max(chunk_bytes, total // MOST_CHUNKS)
-    bounds = byte_bounds(docs.select(id_col, F.octet_length(text_col).alias("_size")), id_col, "_size", chunk_bytes)
+    bounds = byte_bounds(docs.select(id_col, (F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW).alias("_size")), id_col, "_size", chunk_bytes)
     n_chunks = max(len(bounds) + 1, -(-total // chunk_bytes))
     spread = F.pmod(F.xxhash64("_text"), F.lit(n_chunks)).cast("long")  # rows without id are no reference: any chunk serves
     chunk = F.when(F.col("_id").isNull(), spread).otherwise(range_of(F.col("_id"), bounds)).cast("long")
@@ -286,7 +303,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             g = gone[i : i + len(words)]
             i += len(words)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-            kept = b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x]) if len(edge) else b" ".join(words)
+            if layout:
+                kept = without(text, edge.reshape(-1, 2).tolist())
+            else:
+                kept = b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x]) if len(edge) else b" ".join(words)
             for name, v in zip(out, (ids[k], len(words), int(g.sum()), [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)], kept.decode()), strict=True):
                 out[name].append(v)
         kinds = {"_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "kept_text": pa.string()}
