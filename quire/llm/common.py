@@ -114,8 +114,9 @@ def slices(lengths: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int
         yield start, len(lengths) - start
 
 
-def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def text_bytes(docs: DataFrame, text_col: str = "text", row: int = 0) -> int:
+    """Bytes of all texts; each row, also one without a text, counts `row` besides."""
+    return docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + row)).first()[0] or 0
 
 
 def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:

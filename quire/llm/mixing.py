@@ -56,7 +56,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     that tells rows apart where ids do not; it follows in the result. Other columns are not read.
     """
     own = [F.col(row_col).alias("_own")] if row_col else []
-    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key")
+    # null ids are told apart by their texts, so that many of them lie in many cells
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\u0001"), F.col(text_col)), F.lit(""))
+    key = F.md5(F.concat(F.lit(SEED), name)).alias("_key")
     rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key, *own))
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()))

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_bytes
+from quire.llm.common import slices, text_bytes
 from quire.llm.tokens import encoder
 
 
@@ -46,16 +47,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
     and at most `length` ids. Null or empty text: the end id alone. Null ids and repeated rows are packed like any
     other, each row once. An empty table gives an empty result. Other columns are not read.
     """
-    # about 2.5 bytes a token in these vocabularies; the estimate only sets the group size
-    groups = max(1, -(-text_bytes(docs, text_col) // int(2.5 * group_tokens)))
+    # about 2.5 bytes a token in these vocabularies, and an end id a row; the estimate only sets the group size
+    groups = max(1, -(-text_bytes(docs, text_col, 3) // int(2.5 * group_tokens)))
     id_type = dict(docs.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         end, wide = np.array([end_id], e.kind).tobytes(), e.kind.itemsize
         for whole in batches:
-            for k in range(0, len(whole), 500):
-                b = whole.slice(k, 500)
+            for k, n_rows in slices(pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()):
+                b = whole.slice(k, n_rows)
                 rows = []
                 for i, t in enumerate(b.column(1).to_pylist()):
                     data = e.ids(t or "") + end

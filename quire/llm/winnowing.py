@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     more, which goes after it has been seen. `add` may add the columns `ahead`; it runs between the shuffle and the windows. Rows of equal
     id are ordered by their text. Null text counts as empty.
     """
-    total = text_bytes(docs, text_col)
+    total = text_bytes(docs, text_col, 64)  # empty and short texts fill ranges too
     bounds = id_bounds(docs, id_col, min(MOST_RANGES, max(1, -(-total // range_bytes))))
     keyed = docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))).withColumn("_range", range_of(F.col(id_col).cast("long"), bounds))
     # first row of each range, found by its id: one row a range, so no more than MOST_RANGES are broadcast
