@@ -43,10 +43,10 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated words. Texts without repeats stay as they are; documents of which nothing is left go."""
-    found = remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
+    """Removes repeated words; what is left of a text keeps its lines and paragraphs, and a text without repeats stays as it is. Documents of which nothing is left go."""
+    found = remove_repeats(docs, carry=("text", "lang", "source", "n_chars"), layout=True)
     less = F.col("n_removed") > 0
-    out = found.where(~less | (F.col("kept_text") != "")).withColumn("text", F.when(less, F.col("kept_text")).otherwise(F.col("text")))
+    out = found.where(~less | (F.col("n_removed") < F.col("n_words"))).withColumn("text", F.when(less, F.col("kept_text")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(less, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
