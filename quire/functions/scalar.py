@@ -149,6 +149,25 @@ def percent_decoded(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def epub_name(title: Column, upload: Column) -> Column:
+    """The e-book's name: its title, else the upload's name, without white space at the ends, else `book`."""
+    return F.coalesce(filled(strip(F.coalesce(filled(title), upload))), F.lit("book"))
+
+
+def attachment(name: Column) -> Column:
+    """The header that offers a download under this name."""
+    return F.concat(F.lit("attachment; filename*=UTF-8''"), url_quote(name))
+
+
+def utf16_place(text: Column, units: Column) -> Column:
+    """How many code points of the text stand before an offset in UTF-16 units, as a browser counts; a cut inside a pair falls before it."""
+    wide = r"[\x{10000}-\x{10FFFF}]"
+    marks = F.regexp_replace(F.regexp_replace(text, wide.replace("[", "[^", 1), "a"), wide, "bc")  # a letter a unit
+    head = F.substring(marks, F.lit(1), F.greatest(units.cast("int"), F.lit(0)))
+    pairs = F.length(head) - F.length(F.replace(head, F.lit("c"), F.lit("")))
+    return F.length(head) - pairs - F.endswith(head, F.lit("b")).cast("int")
+
+
 def header_filename(header: Column, default: str) -> Column:
     """The file name that a download's header gives, or the default; also for a name that cannot be decoded."""
     name = F.regexp_extract(header, r"filename\*=UTF-8''([^;]+)", 1)
@@ -200,10 +219,14 @@ def has_file(name: Column) -> Column:
     return F.coalesce(name != "", F.lit(False))
 
 
+#: Fixed value: what an e-book without book data says of itself.
+NO_DATA = "No book data: the EPUB is the uploaded file."
+
+
 def contents_line(headings: Column, paragraphs: Column, notes: Column) -> Column:
     """What goes into the e-book, or that there is no book data (null counts)."""
     line = F.concat(headings.cast("string"), F.lit(" headings, "), paragraphs.cast("string"), F.lit(" paragraphs, "), notes.cast("string"), F.lit(" notes"))
-    return F.coalesce(line, F.lit("No book data: the EPUB is the uploaded file."))
+    return F.coalesce(line, F.lit(NO_DATA))
 
 
 def page_title(title: Column, site: str) -> Column:

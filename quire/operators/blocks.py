@@ -158,6 +158,10 @@ def non_body(blocks: DataFrame) -> DataFrame:
     return blocks.where("role <> 'body'")
 
 
+#: Reasons why a book cannot be written.
+NOTHING, NO_PICTURE = "nothing to write", "a picture must be a JPEG image with its width and height"
+
+
 def problems(blocks: DataFrame) -> DataFrame:
     """Reasons why a book cannot be written, in the order of its blocks; an empty list means it can. (doc_id, problems)
 
@@ -165,7 +169,7 @@ def problems(blocks: DataFrame) -> DataFrame:
     """
     jpeg = F.hex(F.substring(F.try_to_binary(F.coalesce("data", F.lit("")), F.lit("base64")), 1, 2)) == "FFD8"
     sound = F.coalesce(jpeg & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
-    bad = F.when((F.col("type") == "picture") & ~sound, F.struct("pos", F.concat(F.lit("block '"), F.col("id"), F.lit("': a picture must be a JPEG image with its width and height")).alias("text")))
+    bad = F.when((F.col("type") == "picture") & ~sound, F.struct("pos", F.concat(F.lit("block '"), F.col("id"), F.lit(f"': {NO_PICTURE}")).alias("text")))
     b = blocks.groupBy("doc_id").agg(F.count_if(F.col("include")).alias("n"), F.sort_array(F.collect_list(bad)).alias("bad"))
-    nothing = F.array_compact(F.array(F.when(F.col("n") == 0, "nothing to write")))
+    nothing = F.array_compact(F.array(F.when(F.col("n") == 0, NOTHING)))
     return b.select("doc_id", F.concat(nothing, F.transform("bad", lambda x: x["text"])).alias("problems"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scalar import filled, heading_text, notes_in, trim
+from quire.functions.scalar import filled, heading_text, notes_in, trim, utf16_place
 from quire.sources.schemas import BLOCK
 
 EMPTY_NOTES = "cast(map() as map<string,string>)"
@@ -98,8 +98,13 @@ def split(b: Column, offset: Column | int, new_id: str) -> Column:
     return F.when((b["type"] == "text") & whole, parts)
 
 
-def split_at(blocks: Column, at: int, offset: int, new_id: str) -> Column:
-    parts = split(F.get(blocks, at), offset, new_id)
+def split_at(blocks: Column, at: int, offset: Column | int, new_id: str, utf16: bool = False) -> Column:
+    """utf16: the offset is in UTF-16 units, as a browser counts; else in code points."""
+    b = F.get(blocks, at)
+    if utf16:
+        verse = F.coalesce(b["verse"] & (F.size(b["lines"]) > 0), F.lit(False))
+        offset = utf16_place(F.when(verse, F.array_join(b["lines"], "\n")).otherwise(b["text"]), offset if isinstance(offset, Column) else F.lit(offset))
+    parts = split(b, offset, new_id)
     return F.when(parts.isNotNull(), splice(blocks, at, at + 1, parts)).otherwise(blocks)
 
 
@@ -133,17 +138,25 @@ def strip_pictures(blocks: Column) -> Column:
     return F.transform(blocks, lambda b: F.when(b["type"] == "picture", _with(b, data="")).otherwise(b))
 
 
-def restore_pictures(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Picture data of incoming books from the stored ones, by (doc_id, block id); none or a null id: empty, several: the last.
+def picture_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """The blocks of incoming books, one a row (doc_id, pos, b), with picture data from the stored ones, joined on (doc_id, block id).
 
-    Both: (doc_id, blocks). Stored pictures become a map of each book; only these, not all blocks, meet the incoming rows.
+    No picture of that id, or a null id: empty; several: the last. Both: (doc_id, blocks). Only stored pictures meet the incoming rows, each by itself.
     """
     pics = stored.select("doc_id", F.posexplode("blocks").alias("pos", "b")).where("b.type = 'picture' and b.id is not null")
-    pics = pics.groupBy("doc_id", F.col("b.id").alias("id")).agg(F.max_by("b.data", "pos").alias("data"))
-    maps = pics.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "data"))).alias("_pics"))
-    j = incoming.join(maps, "doc_id", "left")
-    data = lambda b: F.coalesce(F.element_at("_pics", b["id"]), F.lit(""))
-    return j.withColumn("blocks", F.transform("blocks", lambda b: F.when(b["type"] == "picture", _with(b, data=data(b))).otherwise(b))).drop("_pics")
+    pics = pics.groupBy("doc_id", F.col("b.id").alias("_id")).agg(F.max_by("b.data", "pos").alias("_data"))
+    rows = incoming.select("doc_id", F.posexplode("blocks").alias("pos", "b"))
+    picture = F.col("b.type") == "picture"
+    rows = rows.withColumn("_id", F.when(picture, F.col("b.id"))).join(pics, ["doc_id", "_id"], "left")
+    return rows.select("doc_id", "pos", F.when(picture, F.col("b").withField("data", F.coalesce("_data", F.lit("")))).otherwise(F.col("b")).alias("b"))
+
+
+def restore_pictures(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """incoming with the picture data of the stored books in its blocks, one row a book; see picture_rows."""
+    by_place = lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1)
+    books = picture_rows(incoming, stored).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "b")), by_place).alias("_rows"))
+    joined = incoming.join(books, "doc_id", "left")
+    return joined.withColumn("blocks", F.coalesce(F.transform("_rows", lambda r: r["b"]), "blocks")).drop("_rows").select(*incoming.columns)
 
 
 def save_merge(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def field_limits(fields: DataFrame, columns: DataFrame, overrides: dict[str, int
 
 
 #: Subjects of the messages, and how a claim of rights reads.
-SUBJECTS = {"message": "Message from {sender}", "problem": "Problem reported by {sender}", "copyright": "Copyright concern from {sender}"}
+SUBJECTS = {"book": "Book suggested: {title}", "message": "Message from {sender}", "problem": "Problem reported by {sender}", "copyright": "Copyright concern from {sender}"}
 CLAIMS = {"public_domain": "Public domain", "permission": "Has the rights or permission", "unsure": "Not sure"}
 
 
@@ -134,10 +134,14 @@ def sender(name: Column, email: Column) -> Column:
 
 def message_subject(kind: Column, name: Column, email: Column) -> Column:
     """The subject by kind; null for a kind without one."""
-    subject = F.element_at(F.create_map(*[F.lit(x) for kv in SUBJECTS.items() for x in kv]), kind)
+    subject = F.element_at(F.create_map(*[F.lit(x) for k, v in SUBJECTS.items() if k != "book" for x in (k, v)]), kind)
     return F.replace(subject, F.lit("{sender}"), sender(name, email))
 
 
+def suggestion_subject(title: Column) -> Column:
+    return F.replace(F.lit(SUBJECTS["book"]), F.lit("{title}"), title)
+
+
 def message_body(text: Column, link: Column, name: Column, email: Column, url: Column) -> Column:
     about = F.when(filled(link).isNotNull(), F.concat(F.lit("About: "), link, F.lit("\n\n"))).otherwise("")
     return F.concat(about, text, F.lit("\n\n— "), sender(name, email), F.lit(" "), F.coalesce(email, F.lit("")), F.lit("\n"), url)
@@ -153,9 +157,13 @@ def admin_url(site: str, app: str, model: str, key: Column) -> Column:
     return F.concat(F.lit(f"{site}/admin/{app}/{model}/"), key.cast("string"), F.lit("/change/"))
 
 
-def outbox(rows: DataFrame, recipient: str, subject: Column, body: Column, reply_to: Column) -> DataFrame:
-    """Rows to send; without a recipient there are none. Delivery is the caller's."""
-    out = rows.select(F.lit(recipient).alias("recipient"), subject.alias("subject"), body.alias("body"), reply_to.alias("reply_to"))
+def outbox(rows: DataFrame, recipient: str, subject: Column, body: Column, reply_to: Column, site: str = "", *keys: str) -> DataFrame:
+    """Rows to send; without a recipient there are none. An empty address to answer to is null; site: a name in brackets before each subject; keys: columns to keep.
+
+    Delivery: streaming.mail.
+    """
+    named = F.concat(F.lit(f"[{site}] "), subject) if site else subject
+    out = rows.select(*keys, F.lit(recipient).alias("recipient"), named.alias("subject"), body.alias("body"), filled(reply_to).alias("reply_to"))
     return out if recipient else out.limit(0)
 
 
@@ -190,10 +198,17 @@ def total(rows: DataFrame, test: Column) -> DataFrame:
     return rows.where(test).agg(F.count("*").alias("count"))
 
 
-def waiting(**sets: tuple[DataFrame, str]) -> DataFrame:
-    """(what, n, url) for each set with rows; each set: (rows, url)."""
-    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n", F.lit(url).alias("url")) for what, (rows, url) in sets.items()]
+def waiting(sets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(place, what, n, url) for each set with rows, place by the order of the sets; each set: (rows, url)."""
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(i).alias("place"), F.lit(what).alias("what"), "n", F.lit(url).alias("url")) for i, (what, (rows, url)) in enumerate(sets.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where("n > 0")
+
+
+def review(waiting_: DataFrame) -> DataFrame:
+    """One message about all that waits, (total, subject, body), its lines in order; no row where nothing waits."""
+    line = F.concat(F.col("n").cast("string"), F.lit(" "), F.col("what"), F.lit(":\n"), F.col("url"))
+    every = waiting_.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("_lines"))  # a row a set
+    return every.where("total > 0").select("total", F.concat(F.col("total").cast("string"), F.lit(" waiting for review")).alias("subject"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n\n").alias("body"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.sources.storage import hold
 
+#: Fixed value: the text of a reading that failed for no known reason.
+BROKEN = "Something went wrong while reading the book."
 AWAY, GRACE, HOUR = "15 minutes", "1 minute", "1 hour"
 
 
@@ -68,7 +70,7 @@ def progress(events: DataFrame, steps: list[str], order: str = "event_id") -> Da
     last = events.groupBy("id").agg(F.max_by("kind", F.when(ends, at)).alias("_end"), F.max_by("text", F.when(ends, at)).alias("_text"), F.max_by(place, F.when(place.isNotNull(), at)).alias("_step"))
     status = F.coalesce("_end", F.lit("reading"))
     step = F.when(status == "ready", len(steps) - 1).otherwise(F.coalesce("_step", F.lit(0)))
-    text = F.coalesce(F.nullif("_text", F.lit("")), F.lit("Something went wrong while reading the book."))
+    text = F.coalesce(F.nullif("_text", F.lit("")), F.lit(BROKEN))
     return last.select("id", status.alias("status"), step.cast("long").alias("step"), F.when(status == "failed", text).otherwise("").alias("error"))
 
 

@@ -38,16 +38,19 @@ def list_edit(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 
 
 def promote(conversions: DataFrame) -> DataFrame:
-    """Library rows of ready conversions, unpublished; the title falls back to the upload's name."""
+    """Library rows of ready conversions, unpublished; the title falls back to the upload's name. Book data and cover go with it where the columns are there."""
     from quire.functions.scalar import filled
 
     ready = conversions.where("status = 'ready'")
-    return ready.select(F.col("id").alias("uid"), F.coalesce(filled(F.col("title")), F.col("name")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("language", F.lit("")).alias("language"), F.lit(False).alias("is_published"))
+    return ready.select(F.col("id").alias("uid"), F.coalesce(filled(F.col("title")), F.col("name")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("language", F.lit("")).alias("language"), F.lit(False).alias("is_published"), *[c for c in ("data", "cover") if c in conversions.columns])
 
 
 def convert_suggestions(rows: DataFrame) -> DataFrame:
-    """A suggestion with a PDF becomes a kept conversion, one without an error row."""
-    return rows.select("doc_id", F.when(F.col("has_pdf"), "reading").alias("status"), F.when(F.col("has_pdf"), F.lit(True)).alias("keep"), F.when(~F.col("has_pdf"), "no_pdf").alias("error"))
+    """A suggestion with a PDF becomes a conversion that is kept, named after its title; one without gives an error row."""
+    pdf = lambda c: F.when(F.col("has_pdf"), c)
+    title = F.col("title")
+    made = [pdf(title).alias("name"), pdf(F.concat(title, F.lit(".pdf"))).alias("file"), pdf(F.col("size")).alias("size"), pdf(F.col("pages")).alias("pages"), pdf(F.lit("reading")).alias("status"), pdf(F.lit(True)).alias("keep")]
+    return rows.select("doc_id", *made, F.when(~F.col("has_pdf"), "no_pdf").alias("error"))
 
 
 def backfill_uid(rows: DataFrame, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalar as fn
 from quire.operators import blocks as bl
+from quire.operators import conversions as cv
 from quire.operators import counter as ct
 from quire.operators import edits as ed
 from quire.operators import intake as it
@@ -72,10 +73,12 @@ JSON = """CAST(to_json({'title': title, 'id': CAST(uid AS VARCHAR), 'author': au
   'epub_url': CASE WHEN uid % 2 = 0 THEN '/media/' || uid || '/book.epub' END, 'epub_size': CASE WHEN uid % 2 = 0 THEN epub_size END, 'chapters': CASE WHEN uid % 3 <> 1 THEN headings END}) AS VARCHAR)"""
 
 
-def _serialized(spark, d) -> DataFrame:
-    """Published books with the fields that the view lacks: an e-book for even ids, data kept for two of three."""
+def _serialized(spark, d, key: int | None = None) -> DataFrame:
+    """Published books, or one of them, with the fields that the view lacks: an e-book for even ids, data kept for two of three."""
     uid = F.col("uid")
-    b = li.published(views.books(spark, d)).join(bl.counts(views.blocks(spark, d)), F.col("doc_id") == uid, "left")
+    b = li.published(views.books(spark, d))
+    b = b if key is None else li.by_key(b, "uid", key)  # on the stored column, so that the scan is pruned
+    b = b.join(bl.counts(views.blocks(spark, d)), F.col("doc_id") == uid, "left")
     b = bl.chapters(b, uid % 3 != 1).withColumns({"description": F.lit(""), "epub_url": F.when(uid % 2 == 0, F.concat(F.lit("/media/"), uid.cast("string"), F.lit("/book.epub")))})
     return li.serialize(b)
 
@@ -87,19 +90,38 @@ def _(spark, d):
 
 @query("snk_json_row", sql("blocks books", f", {NO_BLOCKS} SELECT {JSON} AS json FROM books LEFT JOIN counts ON uid = doc_id WHERE is_published AND uid = 3"))
 def _(spark, d):
-    return files.json_list(li.by_key(_serialized(spark, d), "id", "3"), "*")
+    return files.json_list(_serialized(spark, d, 3), "*")
+
+
+CONVERSIONS = "SELECT doc_id, 'upload ' || doc_id AS name, n_chars * 4000 AS size, n_chars // 10 AS pages, doc_id % 3 AS step, substring(text, 1, 60) AS title, source AS author, lang AS language FROM documents"
+
+
+@query("snk_json_conversion", sql("blocks book_notes", f""", {WITH_NOTES}, c AS ({CONVERSIONS})
+  SELECT CAST(to_json({{'id': CAST(c.doc_id AS VARCHAR), 'name': name, 'size': size, 'pages': pages, 'status': list_extract(['reading', 'ready', 'failed'], step + 1), 'step': step, 'steps': CAST(3 AS BIGINT), 'error': CASE WHEN step = 2 THEN 'broken' ELSE '' END,
+  'cover_url': CASE WHEN c.doc_id % 2 = 0 THEN '/media/' || c.doc_id END, 'book': CASE WHEN step = 1 THEN {{'title': title, 'author': author, 'language': language, 'headings': headings, 'paragraphs': paragraphs, 'notes': notes}} END,
+  'created_at': strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c.doc_id), '%Y-%m-%dT%H:%M:%S') || CASE WHEN c.doc_id % 2 = 1 THEN '.500000' ELSE '' END || '+00:00'}}) AS VARCHAR) AS json FROM c LEFT JOIN summary s ON c.doc_id = s.doc_id"""))
+def _(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "concat('upload ', doc_id) AS name", "n_chars * 4000 AS size", "floor(n_chars / 10) AS pages", "doc_id % 3 AS step", "substring(text, 1, 60) AS title", "source AS author", "lang AS language")
+    rows = rows.join(bl.counts(views.blocks(spark, d), views.book_notes(spark, d)).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").drop("id")
+    status = F.element_at(F.array(*map(F.lit, ("reading", "ready", "failed"))), (F.col("step") + 1).cast("int"))
+    ready = {c: F.when(F.col("step") == 1, F.col(c)) for c in ("headings", "paragraphs", "notes")}
+    made = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("doc_id") * 1000 + F.col("doc_id") % 2 * 500)
+    rows = rows.withColumns(ready | {"status": status, "error": F.when(F.col("step") == 2, "broken").otherwise(""), "cover_url": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/media/"), F.col("doc_id").cast("string"))).otherwise(""), "created_at": made})
+    return files.json_list(cv.records(rows.withColumnRenamed("doc_id", "id"), 3), "*")
 
 
 CLAIM = "CASE rights WHEN 'public_domain' THEN 'Public domain' WHEN 'permission' THEN 'Has the rights or permission' WHEN 'unsure' THEN 'Not sure' ELSE rights END"
 SUGGESTED = f"""SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(CASE WHEN author <> '' THEN title || ' — ' || author ELSE title END, ''), nullif(note, ''),
   CASE WHEN has_pdf THEN 'PDF: ' || {CLAIM} || CASE WHEN holder <> '' THEN ' (' || holder || ')' ELSE '' END ELSE 'No PDF' END, 'https://s/admin/library/suggestion/' || doc_id || '/change/') AS body FROM suggestions"""
-on("suggestions", "snk_notice_body", SUGGESTED, lambda s: s.select("doc_id", it.suggestion_body(*map(F.col, ("title", "author", "note", "has_pdf", "rights", "holder")), it.admin_url("https://s", "library", "suggestion", F.col("doc_id"))).alias("body")))
+suggested = lambda: it.suggestion_body(*map(F.col, ("title", "author", "note", "has_pdf", "rights", "holder")), it.admin_url("https://s", "library", "suggestion", F.col("doc_id")))
+on("suggestions", "snk_notice_body", SUGGESTED, lambda s: s.select("doc_id", suggested().alias("body")))
 SENDER = "coalesce(nullif(name, ''), nullif(email, ''), 'Someone')"
 NOTICE = f"""CASE WHEN link <> '' THEN 'About: ' || link || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10) || '— ' || {SENDER} || ' ' || email || chr(10) || 'https://s/admin/contact/message/' || conv_id || '/change/'"""
 notice = lambda: it.message_body(*map(F.col, ("text", "link", "name", "email")), it.admin_url("https://s", "contact", "message", F.col("conv_id")))
 cols("snk_notice_message", "contact_posts", "conv_id turn", lambda: {"body": notice()}, {"body": NOTICE})
 SUBJECT = f"CASE kind WHEN 'message' THEN 'Message from ' || {SENDER} WHEN 'problem' THEN 'Problem reported by ' || {SENDER} WHEN 'copyright' THEN 'Copyright concern from ' || {SENDER} END"
-on("contact_posts", "snk_email", f"SELECT 'team@example.org' AS recipient, {SUBJECT} AS subject, {NOTICE} AS body, email AS reply_to FROM contact_posts WHERE kind <> 'book'", lambda c: it.outbox(c.where("kind <> 'book'"), "team@example.org", it.message_subject(*map(F.col, ("kind", "name", "email"))), notice(), F.col("email")))
+on("contact_posts", "snk_email", f"SELECT 'team@example.org' AS recipient, '[Books] ' || {SUBJECT} AS subject, {NOTICE} AS body, nullif(email, '') AS reply_to FROM contact_posts WHERE kind <> 'book'", lambda c: it.outbox(c.where("kind <> 'book'"), "team@example.org", it.message_subject(*map(F.col, ("kind", "name", "email"))), notice(), F.col("email"), "Books"))
+on("suggestions", "snk_email_suggestion", f", s AS ({SUGGESTED}) SELECT doc_id, 'team@example.org' AS recipient, '[Books] Book suggested: ' || title AS subject, s.body, nullif(email, '') AS reply_to FROM suggestions JOIN s USING (doc_id)", lambda s: it.outbox(s, "team@example.org", it.suggestion_subject(F.col("title")), suggested(), F.col("email"), "Books", "doc_id"))
 on("contact_posts", "prj_message_row", "SELECT conv_id, turn, CASE WHEN kind = 'message' THEN '' ELSE link END AS link FROM contact_posts", lambda c: it.message_row(c).select("conv_id", "turn", "link"))
 cols("snk_admin_url", "documents", "doc_id", lambda: {"url": it.admin_url("https://s", "library", "book", F.col("doc_id"))}, {"url": "'https://s/admin/library/book/' || doc_id || '/change/'"})
 on("events", "snk_info", "SELECT '1.0' AS engine, 'abcdef1234' AS commit, count(*) AS converted FROM events WHERE event_type <> 'error'", lambda e: files.info("1.0", "abcdef1234", it.total(e, F.col("event_type") != "error")))
@@ -173,6 +195,8 @@ cols("fn_base_href", "pages", "page_id", lambda: {"html": fn.base_href(F.col("ht
 cols("fn_before_head_end", "pages", "page_id", lambda: {"html": fn.before_head_end(F.col("html"), "<style>p{}</style>")}, {"html": r"regexp_replace(html, '(</head>)', '<style>p{}</style>\1', 'i')"})
 cols("fn_notes_in", "documents", "doc_id", lambda: {"notes": F.array_join(F.sort_array(F.map_keys(fn.notes_in(F.create_map(F.lit("1"), F.lit("a"), F.lit("2"), F.lit("b"), F.col("lang"), F.lit("c")), F.concat(F.lit("see [1] and ["), F.col("lang"), F.lit("]"))))), ",")}, {"notes": "'1,' || lang"})
 disposition = lambda: F.concat(F.lit("attachment; filename"), F.element_at(F.array(F.concat(F.lit("*=UTF-8''C++%20"), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))), F.lit("=plain.epub"), F.lit("*=UTF-8''%zz"), F.concat(F.lit("*=UTF-8''"), F.col("source"), F.lit(".epub; x=1"))), (F.col("doc_id") % 4 + 1).cast("int")))
+NAMES = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' ELSE concat(' ', source, ' ') END"
+cols("fn_epub_name", "documents", "doc_id", lambda: {"name": fn.epub_name(F.expr(NAMES), F.expr("CASE WHEN doc_id % 8 > 3 THEN lang ELSE ' ' END")), "header": fn.attachment(F.concat(F.col("source"), F.lit(" é.epub")))}, {"name": "CASE WHEN doc_id % 4 = 3 THEN source WHEN doc_id % 4 = 2 OR doc_id % 8 <= 3 THEN 'book' ELSE lang END", "header": "'attachment; filename*=UTF-8' || chr(39) || chr(39) || url_encode(source || ' é.epub')"})
 cols("fn_filename_header", "documents", "doc_id", lambda: {"name": fn.header_filename(disposition(), "book.epub")}, {"name": "CASE doc_id % 4 WHEN 0 THEN 'C++ ' || text WHEN 3 THEN source || '.epub' ELSE 'book.epub' END"})
 cookies = lambda: F.element_at(F.array(F.concat(F.lit("a=1;  token="), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+; z=2")), F.concat(F.lit("token="), F.col("lang"), F.lit("; token=second")), F.lit("mytoken=1; token2=2"), F.lit("token=%zz"), F.lit("a=1; token=")), (F.col("doc_id") % 5 + 1).cast("int"))
 cols("fn_cookie", "documents", "doc_id", lambda: {"token": fn.cookie(cookies(), "token")}, {"token": "CASE doc_id % 5 WHEN 0 THEN text || '+' WHEN 1 THEN lang ELSE '' END"})
@@ -214,11 +238,13 @@ on("blocks", "join_section_of_block", f", {SECTION} SELECT doc_id, pos, CAST(sec
 on("books", "join_self_exclude", "SELECT uid FROM books WHERE uid <> 5", lambda b: li.without(b, "uid", 5).select("uid"))
 
 
-@query("join_field_limits", "SELECT * FROM (VALUES ('title', 300), ('note', 2000), ('holder', 200)) t(field, most)")
+@query("join_field_limits", """SELECT field, CASE WHEN field = 'click' THEN 2000 ELSE max_length END AS most FROM (SELECT DISTINCT event_type AS field FROM events)
+  LEFT JOIN (SELECT event_type AS field, CAST(max(length(props)) AS INTEGER) AS max_length FROM events WHERE event_type <> 'error' GROUP BY event_type) USING (field)""")
 def _(spark, d):
-    fields = spark.createDataFrame([("title",), ("note",), ("holder",)], "field string")
-    columns = spark.createDataFrame([("title", 300), ("holder", 200)], "field string, max_length int")
-    return it.field_limits(fields, columns, {"note": 2000})
+    """Kinds of events as fields; a field's limit is its call's, else the longest value that its column has."""
+    e = table(spark, d, "events")
+    columns = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("field")).agg(F.max(F.length("props")).alias("max_length"))
+    return it.field_limits(e.select(F.col("event_type").alias("field")).distinct(), columns, {"click": 2000})
 
 
 # ---- aggregates ----
@@ -244,10 +270,17 @@ on("blocks", "agg_page_range", "SELECT doc_id, min(page) FILTER (page > 0) AS fi
 on("blocks", "agg_contents_count", "SELECT doc_id, count(*) FILTER (type = 'heading') AS n FROM blocks GROUP BY doc_id", bl.contents_count)
 
 
-@query("agg_waiting", sql("contact_posts suggestions books", "SELECT what, n, url FROM (SELECT 'messages' AS what, count(*) AS n, '/m' AS url FROM contact_posts WHERE turn % 2 = 0 UNION ALL SELECT 'suggestions', count(*), '/s' FROM suggestions WHERE status = 'new' UNION ALL SELECT 'books', count(*), '/b' FROM books WHERE NOT is_published UNION ALL SELECT 'none', count(*), '/n' FROM books WHERE uid < 0) WHERE n > 0"))
-def _(spark, d):
+WAITING = """waiting AS (SELECT * FROM (SELECT 1 AS place, 'unread messages' AS what, count(*) AS n, '/m' AS url FROM contact_posts WHERE turn % 2 = 0 UNION ALL SELECT 2, 'new suggestions', count(*), '/s' FROM suggestions WHERE status = 'new'
+  UNION ALL SELECT 3, 'books to check', count(*), '/b' FROM books WHERE NOT is_published UNION ALL SELECT 4, 'none', count(*), '/n' FROM books WHERE uid < 0) WHERE n > 0)"""
+
+
+def _waiting(spark, d) -> DataFrame:
     b = views.books(spark, d)
-    return it.waiting(messages=(it.unread(views.contact_posts(spark, d), F.col("turn") % 2 != 0), "/m"), suggestions=(it.new_suggestions(views.suggestions(spark, d)), "/s"), books=(it.unpublished(b), "/b"), none=(b.where("uid < 0"), "/n"))
+    return it.waiting({"unread messages": (it.unread(views.contact_posts(spark, d), F.col("turn") % 2 != 0), "/m"), "new suggestions": (it.new_suggestions(views.suggestions(spark, d)), "/s"), "books to check": (it.unpublished(b), "/b"), "none": (b.where("uid < 0"), "/n")})
+
+
+query("agg_waiting", sql("contact_posts suggestions books", f", {WAITING} SELECT what, n, url FROM waiting"))(lambda s, d: _waiting(s, d).select("what", "n", "url"))
+query("agg_review", sql("contact_posts suggestions books", f", {WAITING} SELECT CAST(sum(n) AS BIGINT) AS total, sum(n) || ' waiting for review' AS subject, string_agg(n || ' ' || what || ':' || chr(10) || url, chr(10) || chr(10) ORDER BY place) AS body FROM waiting HAVING sum(n) > 0"))(lambda s, d: it.review(_waiting(s, d)))
 
 
 on("books", "agg_distinct_languages", "SELECT language, row_number() OVER (ORDER BY o, t, u) AS rank FROM (SELECT language, f.o AS o, f.t AS t, f.u AS u FROM (SELECT language, min({'o': ord, 't': title, 'u': uid}) AS f FROM books GROUP BY language))", li.languages)
@@ -274,6 +307,7 @@ on("events", "ord_recent", "SELECT event_id, row_number() OVER (ORDER BY ts DESC
 # the sort key is of the root collation in both, ICU's
 on("books", "ord_title", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.title_order()).select("uid", "place"))
 on("books", "ord_title_bytes", "SELECT uid, row_number() OVER (ORDER BY title, ord, uid) AS place FROM books", lambda b: li.places(b, *li.title_order(locale=False)).select("uid", "place"))
+on("books", "ord_author_bytes", "SELECT uid, row_number() OVER (ORDER BY author, title, ord, uid) AS place FROM books", lambda b: li.places(b, *li.author_order(locale=False)).select("uid", "place"))
 on("books", "ord_author", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(author, 'root'), icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.author_order()).select("uid", "place"))
 on("books", "top_more", "SELECT uid FROM books WHERE uid <> 3 ORDER BY ord, title, uid LIMIT 4", lambda b: li.others(b, 3).select("uid"))
 on("books", "top_shelf", ", top AS (SELECT uid, row_number() OVER (ORDER BY ord, title, uid) - 1 AS slot FROM books WHERE cover_url IS NOT NULL ORDER BY slot LIMIT 4) SELECT s.slot, uid FROM (SELECT unnest(range(4)) AS slot) s LEFT JOIN top ON s.slot = top.slot", lambda b: li.shelf(b).select("slot", "uid"))
@@ -304,6 +338,7 @@ def _(spark, d):
 on("blocks", "seq_open_section", f", {SECTION} SELECT doc_id, CAST(coalesce(min(section) FILTER (include), 0) AS BIGINT) AS open_section FROM secs GROUP BY doc_id", bl.open_section)
 on("blocks", "seq_open_page", "SELECT doc_id, coalesce(arg_min(page, pos) FILTER (include AND page > 0), 1) AS open_page FROM blocks GROUP BY doc_id", bl.open_page)
 on("blocks", "seq_section_page", f", {SECTION} SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(min(page) FILTER (page > 0), 9) AS page FROM secs GROUP BY doc_id, section", lambda b: bl.section_page(b, 9))
+on("documents", "seq_range", "SELECT doc_id, unnest(generate_series(least(doc_id % 7, 3), greatest(doc_id % 7, 3))) AS at FROM documents", lambda d: d.select("doc_id", F.explode(pk.range_pick(F.col("doc_id") % 7, F.lit(3).cast("long"))).alias("at")))
 CLICKS = """clicks AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (event_id * 7919) % 40 AS "at", event_type IN ('click', 'error') AS shift FROM events)"""
 # each block by itself: its last range, then the parity of the toggles after it
 on("events", "seq_range_pick", f"""WITH {CLICKS}, a AS (SELECT *, lag("at") OVER (PARTITION BY session ORDER BY n) AS anchor FROM clicks),
@@ -389,7 +424,7 @@ def _(spark, d):
 @query("join_picture_restore", sql("blocks", PICS.format(more="")))
 def _(spark, d):
     incoming, stored = _pictures(spark, d)
-    return ed.restore_pictures(incoming, stored).select("doc_id", F.posexplode("blocks").alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), "b.data")
+    return ed.picture_rows(incoming, stored).select("doc_id", F.col("pos").cast("long").alias("pos"), "b.data")
 
 
 @query("edit_save_merge", sql("blocks", PICS.format(more=", CAST(NULL AS VARCHAR) AS cover, 'found' AS cover_source")))
@@ -474,6 +509,6 @@ cols("chk_library_add", "orders", "o_orderkey", lambda: {"result": it.library_ad
 on("documents", "mut_insert", "SELECT doc_id, 'old' AS status FROM documents UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents", lambda d: tb.insert(d.select("doc_id", F.lit("old").alias("status")), d.select((F.col("doc_id") + 1_000_000_000).alias("doc_id")), status="new"))
 on("events", "mut_upsert_add", "SELECT event_type AS name, count(*) + CASE WHEN event_type = 'click' THEN 5 ELSE 0 END AS count FROM events GROUP BY event_type UNION ALL SELECT 'absent', 3", lambda e: tb.upsert_add(e.sparkSession.createDataFrame([("click", 5), ("absent", 3)], "name string, count long"), e.select(F.col("event_type").alias("name"), F.lit(1).alias("delta"))))
 on("suggestions", "mut_update_where", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'accepted' ELSE status END AS status FROM suggestions", lambda s: tb.update_where(s, F.col("doc_id") % 4 == 0, status="accepted").select("doc_id", "status"))
-on("orders", "mut_promote", "SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'upload' END AS title, '' AS author, 'en' AS language, false AS is_published FROM orders WHERE o_orderstatus = 'F'", lambda o: tb.promote(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("reading").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("title"), F.lit("upload").alias("name"), F.lit(None).cast("string").alias("author"), F.lit("en").alias("language"))))
-on("suggestions", "mut_convert_suggestion", "SELECT doc_id, CASE WHEN has_pdf THEN 'reading' END AS status, CASE WHEN has_pdf THEN true END AS keep, CASE WHEN NOT has_pdf THEN 'no_pdf' END AS error FROM suggestions", tb.convert_suggestions)
+on("orders", "mut_promote", "SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'upload' END AS title, '' AS author, 'en' AS language, false AS is_published, o_orderpriority || '!' AS data, CASE WHEN o_orderkey % 3 = 0 THEN 'cover.jpg' END AS cover FROM orders WHERE o_orderstatus = 'F'", lambda o: tb.promote(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("reading").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("title"), F.lit("upload").alias("name"), F.lit(None).cast("string").alias("author"), F.lit("en").alias("language"), F.concat("o_orderpriority", F.lit("!")).alias("data"), F.when(F.col("o_orderkey") % 3 == 0, "cover.jpg").alias("cover"))))
+on("suggestions", "mut_convert_suggestion", "SELECT doc_id, CASE WHEN has_pdf THEN title END AS name, CASE WHEN has_pdf THEN title || '.pdf' END AS file, CASE WHEN has_pdf THEN size END AS size, CASE WHEN has_pdf THEN pages END AS pages, CASE WHEN has_pdf THEN 'reading' END AS status, CASE WHEN has_pdf THEN true END AS keep, CASE WHEN NOT has_pdf THEN 'no_pdf' END AS error FROM suggestions", tb.convert_suggestions)
 on("books", "mut_list_edit", "SELECT uid, CASE WHEN uid % 10 = 0 THEN 77 ELSE ord END AS ord FROM books", lambda b: tb.list_edit(b.select("uid", "ord"), b.where("uid % 10 = 0").select("uid", F.lit(77).cast("long").alias("ord")), "uid"))

@@ -22,7 +22,10 @@ def table(spark: SparkSession, path: str, *order: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, head): length and first five bytes. Page counts need a PDF library, which is not here."""
+    """(path, size, head): length and first five bytes. Page counts need a PDF library, which is not here.
+
+    Spark's reader passes over files without a byte; an upload that has no row here is such a file (not_pdf) or none at all (no_file).
+    """
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("size"), F.substring("content", 1, 5).alias("head"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import blocks as bl
 from quire.operators import counter as ct
+from quire.operators import edits as ed
+from quire.operators import intake as it
 from quire.operators import library as li
 from quire.operators import picking as pk
 from quire.operators import presence as pr
@@ -215,3 +217,91 @@ def test_locale_orders(spark):
     assert [r.title for r in b.orderBy(*li.title_order(locale=False)).collect()] == sorted(titles)
     assert [r.author for r in li.places(b, *li.author_order()).orderBy("place").collect()] == ["éa"] * 7 + ["ez"] * 7
     assert [r.title for r in li.places(b, *li.author_order()).where("author = 'ez'").orderBy("place").collect()] == [t for t in want if titles.index(t) % 2 == 0]
+
+
+def test_offsets_of_a_browser(spark):
+    from quire.functions import scalar as fn
+
+    text = "a\U0001f600b\nc\U00010000"
+    place = lambda n: fn.utf16_place(F.lit(text), F.lit(n))
+    got = tuple(spark.range(1).select(*[place(n).alias(f"c{n}") for n in range(-1, 10)], fn.utf16_place(F.lit(""), F.lit(3)).alias("e")).first())
+    assert got == (0, 0, 1, 1, 2, 3, 4, 5, 5, 6, 6, 0)  # a cut inside a pair falls before it
+
+
+def _block(**fields):
+    base = {"type": "text", "id": "t", "page": 1, "role": "body", "include": True, "text": "", "lines": F.expr("cast(array() as array<string>)"), "verse": False, "notes": F.expr(ed.EMPTY_NOTES)}
+    return ed.block(**(base | fields))
+
+
+def test_splits_at_offsets_of_a_browser(spark):
+    prose, verse = F.array(_block(text="\U0001f600 one two")), F.array(_block(verse=True, lines=F.array(F.lit("\U0001f600\U0001f600"), F.lit("two"))))
+    parts = lambda blocks, at, utf16: F.transform(ed.split_at(blocks, 0, at, "new", utf16), lambda b: b["text"])
+    columns = [parts(prose, 7, True), parts(prose, 7, False), parts(verse, 5, True), parts(verse, 4, True)]
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    assert tuple(got)[:2] == (["\U0001f600 one", "two"], ["\U0001f600 one t", "wo"])
+    assert got[2] == ["\U0001f600\U0001f600", "two"] and len(got[3]) == 1  # offset 4 is still on the first line
+
+
+def test_pictures_meet_by_book_and_id(spark):
+    pic = lambda i, data, kind="picture": _block(type=kind, id=F.lit(i).cast("string"), data=data)
+    row = lambda doc, *blocks: spark.range(1).select(F.lit(doc).alias("doc_id"), F.array(*blocks).alias("blocks"), F.lit("x").alias("cover"))
+    incoming = row(1, pic("a", "sent"), pic("b", "sent"), pic(None, "sent"), pic("a", "kept", "text"), pic("a", None)).unionByName(row(2, pic("a", "sent")))
+    incoming = incoming.unionByName(spark.range(1).select(F.lit(3).alias("doc_id"), F.expr(f"cast(array() as array<{ed.BLOCK}>)").alias("blocks"), F.lit("x").alias("cover")))
+    stored = row(1, pic("a", "first"), pic("a", "last"), pic(None, "none"), pic("b", "text", "text")).unionByName(row(9, pic("a", "other")))
+    got = {r.doc_id: [b.data for b in r.blocks] for r in ed.restore_pictures(incoming, stored).collect()}
+    assert got == {1: ["last", "", "", "kept", "last"], 2: [""], 3: []}
+    assert {(r.doc_id, r.pos): r.b.data for r in ed.picture_rows(incoming, stored).collect()} == {(d, i): x for d, xs in got.items() for i, x in enumerate(xs)}
+    assert ed.restore_pictures(incoming, stored).columns == ["doc_id", "blocks", "cover"]
+
+
+def test_messages_for_the_owner(spark):
+    rows = spark.createDataFrame([(1, "T", "a@example.org"), (2, "U", "")], "doc_id int, title string, email string")
+    mail = lambda to, site: it.outbox(rows, to, it.suggestion_subject(F.col("title")), F.lit("b"), F.col("email"), site, "doc_id")
+    got = [tuple(r) for r in mail("team@example.org", "Site").orderBy("doc_id").collect()]
+    assert got == [(1, "team@example.org", "[Site] Book suggested: T", "b", "a@example.org"), (2, "team@example.org", "[Site] Book suggested: U", "b", None)]
+    assert mail("", "Site").count() == 0 and mail("x", "").first().subject == "Book suggested: T"
+    none = rows.limit(0)
+    waiting = it.waiting({"messages": (rows, "/m"), "nothing": (none, "/n"), "books": (rows.limit(1), "/b")})
+    assert tuple(it.review(waiting).first()) == (3, "3 waiting for review", "2 messages:\n/m\n\n1 books:\n/b")
+    assert it.review(it.waiting({"nothing": (none, "/n")})).count() == 0
+
+
+def test_conversions_of_suggestions_and_promotion(spark):
+    rows = spark.createDataFrame([(1, "T", True, 9, 2), (2, "U", False, None, None)], "doc_id int, title string, has_pdf boolean, size long, pages int")
+    assert [tuple(r) for r in tb.convert_suggestions(rows).orderBy("doc_id").collect()] == [(1, "T", "T.pdf", 9, 2, "reading", True, None), (2, None, None, None, None, None, None, "no_pdf")]
+    done = spark.createDataFrame([(1, "ready", "", "up", None, "ka", "{}", "c.jpg"), (2, "failed", "t", "up", None, None, None, None)], "id int, status string, title string, name string, author string, language string, data string, cover string")
+    assert [r.asDict() for r in tb.promote(done).collect()] == [{"uid": 1, "title": "up", "author": "", "language": "ka", "is_published": False, "data": "{}", "cover": "c.jpg"}]
+    assert tb.promote(done.drop("data", "cover")).columns == ["uid", "title", "author", "language", "is_published"]
+
+
+def test_uids_stay(spark, tmp_path):
+    rows = tb.backfill_uid(spark.range(20), f"{tmp_path}/uids")
+    first, again = ({r.id: r.uid for r in rows.collect()} for _ in range(2))
+    assert first == again and len(set(first.values())) == 20 and all(len(u) == 36 for u in first.values())
+
+
+def test_uploads_forms_and_members(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up/a.pdf").write_bytes(b"%PDF-1.7 rest")
+    (tmp_path / "up/b.pdf").write_bytes(b"abc")
+    (tmp_path / "up/empty.pdf").write_bytes(b"")  # no row
+    got = {os.path.basename(r.path): (r["size"], bytes(r["head"])) for r in files.uploads(spark, f"{tmp_path}/up").collect()}
+    assert got == {"a.pdf": (13, b"%PDF-"), "b.pdf": (3, b"abc")}
+    form = F.create_map(F.lit("name"), F.lit("\u00a0 A b \n"))
+    assert tuple(spark.range(1).select(files.form_field(form, "name"), files.form_field(form, "none")).first()) == ("A b", "")
+    with zipfile.ZipFile(tmp_path / "x.epub", "w") as z:
+        z.writestr("a.css", "p{}")
+        z.writestr("b.xhtml", "<p>")
+    assert [(r.name, r.type, bytes(r.content)) for r in files.zip_member(spark, f"{tmp_path}/x.epub", "b.xhtml").collect()] == [("b.xhtml", "application/xhtml+xml", b"<p>")]
+
+
+def test_conversion_records(spark):
+    from quire.operators import conversions as cv
+
+    rows = spark.createDataFrame([(7, "n", 1, 2, "ready", 2, "", "", datetime(2024, 1, 2, 3, 4, 5, 60), "T", None, "ka", 1, 2, 3), (8, "m", 1, 2, "reading", 0, "", "/c", datetime(2024, 1, 2), None, None, None, None, None, None)], "id int, name string, size int, pages int, status string, step int, error string, cover_url string, created_at timestamp, title string, author string, language string, headings int, paragraphs int, notes int")
+    a, b = cv.records(rows, 3).orderBy("id").collect()
+    assert a.__fields__ == ["id", "name", "size", "pages", "status", "step", "steps", "error", "cover_url", "book", "created_at"]
+    assert (a.id, a.steps, a.cover_url, a.book.asDict(), a.created_at) == ("7", 3, None, {"title": "T", "author": None, "language": "ka", "headings": 1, "paragraphs": 2, "notes": 3}, "2024-01-02T03:04:05.000060+00:00")
+    assert (b.book, b.cover_url, b.created_at) == (None, "/c", "2024-01-02T00:00:00+00:00")
