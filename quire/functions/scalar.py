@@ -146,7 +146,9 @@ def notes_in(notes: Column, text: Column) -> Column:
 
 def percent_decoded(text: Column) -> Column:
     """Percent-encoded text as a browser's decodeURIComponent reads it: a plus stays a plus. Null where an escape is no byte of UTF-8."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    decoded, mark = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), chr(0xFFFD)  # the mark stands for broken bytes
+    meant = F.upper(text).contains("%EF%BF%BD") | text.contains(mark)
+    return F.when(~decoded.contains(mark) | meant, decoded)
 
 
 def epub_name(title: Column, upload: Column) -> Column:
