@@ -56,7 +56,10 @@ def test_cookies_and_file_names_as_a_browser_reads_them(spark):
 
 
 def test_blank_fields_are_missing(spark):
-    code = lambda kind, title="t", **more: one(spark.createDataFrame([({"kind": kind, "link": "l", "text": "t", "email": "e"} | more)]), it.contact_client_code(F.lit(title), F.lit(True), F.lit("permission"), F.lit("\u3000")))[0]
+    def code(kind, title="t", **more):
+        row = {"kind": kind, "link": "l", "text": "t", "email": "e"} | more
+        return spark.createDataFrame([tuple(row.values())], "kind string, link string, text string, email string").select(it.contact_client_code(F.lit(title), F.lit(True), F.lit("permission"), F.lit("\u3000"))).first()[0]
+
     assert [code("book", "  "), code("book"), code("copyright", link=" \t"), code("message", text="\ufeff"), code("copyright", email=" "), code("message", email="")] == ["no_title", "no_holder", "no_link", "no_text", "no_email", None]
 
 
