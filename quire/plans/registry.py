@@ -1,514 +1,6 @@
-"""Every registered query over the driver's tables, with its DuckDB SQL."""
+"""Every registered query over the driver's tables, with its DuckDB SQL, by kind."""
 
-from __future__ import annotations
+from quire.plans import aggregates, changes, columns, edits, filters, lookups, moments, orders, rules, sequences, sources  # noqa: F401  each registers its queries
+from quire.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from quire.functions import scalar as fn
-from quire.operators import blocks as bl
-from quire.operators import conversions as cv
-from quire.operators import counter as ct
-from quire.operators import edits as ed
-from quire.operators import intake as it
-from quire.operators import library as li
-from quire.operators import picking as pk
-from quire.operators import presence as pr
-from quire.operators import tables as tb
-from quire.plans.base import ORACLES, QUERIES, cols, on, query
-from quire.sources import books as bk
-from quire.sources import files, views
-from quire.sources.storage import new_folder
-from quire.sources.views import sql, table
-
-# ---- minimum slice and sources ----
-
-NO_BLOCKS = "counts AS (SELECT doc_id, count(*) FILTER (include AND type = 'heading') AS headings, count(*) FILTER (include AND type = 'text') AS paragraphs FROM blocks GROUP BY doc_id)"
-
-
-WITH_NOTES = NO_BLOCKS + ", summary AS (SELECT counts.*, CASE WHEN include_notes THEN n ELSE 0 END AS notes FROM counts JOIN book_notes ON counts.doc_id = book_notes.doc_id)"
-
-
-@query("first_four_books", sql("blocks books", f", {NO_BLOCKS} SELECT uid, title, ord, headings, paragraphs FROM books JOIN counts ON uid = doc_id WHERE is_published ORDER BY ord, title, uid LIMIT 4"))
-def first_four_books(spark, d):
-    """Top four first, then counts of these four books only."""
-    top = li.first(li.published(views.books(spark, d)))
-    return bl.counts(views.blocks(spark, d).join(F.broadcast(top), F.col("doc_id") == F.col("uid"), "left_semi")).join(top, F.col("doc_id") == F.col("uid")).select("uid", "title", "ord", "headings", "paragraphs")
-
-
-on("books", "src_table", "SELECT uid, title, ord FROM books", lambda b: li.library_order(b).select("uid", "title", "ord"))
-
-
-def _book_texts(spark, d) -> DataFrame:
-    """A book as JSON for each document, its lines as blocks; spoilt in one of eight ways unless doc_id mod 9 is 8."""
-    block = lambda x, i: F.struct(F.when(F.length(x) <= 40, "heading").otherwise("text").alias("type"), (i % 7 != 6).alias("include"), x.alias("text"), F.lit(1.5).alias("width"))
-    meta = F.struct(F.substring("text", 1, 60).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"))
-    whole = F.struct(F.lit(1).alias("version"), meta.alias("metadata"), F.transform(F.split("text", "\n"), block).alias("blocks"), F.array(F.lit("a"), F.lit("b")).alias("notes"), (F.col("doc_id") % 2 == 0).alias("include_notes"))
-    json, case = F.to_json(whole), F.col("doc_id") % 9
-    spoilt = F.when(case == 0, F.substring(json, 1, F.length(json) - 1)).when(case == 1, F.concat(F.lit("["), json, F.lit("]"))).when(case == 2, "null")
-    spoilt = spoilt.when(case == 3, F.regexp_replace(json, '^\\{"version":1,"metadata":', '{"version":1,"meta":')).when(case == 4, F.regexp_replace(json, '"notes":\\["a","b"\\]', '"notes":"a"'))
-    spoilt = spoilt.when(case == 5, F.replace(json, F.lit('],"notes":["a"'), F.lit(',7],"notes":["a"'))).when(case == 6, F.regexp_replace(json, '^\\{"version":1', '{"version":1,"version":1'))
-    spoilt = spoilt.when(case == 7, F.regexp_replace(json, '(?s)"blocks":\\[.*\\],"notes":\\["a"', '"blocks":"none","notes":["a"'))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(spoilt, json).alias("json"))
-
-
-LINES = "string_split(text, chr(10))"
-
-
-@query("src_book_json", f"""SELECT doc_id, error, "at", title, CASE WHEN error IS NULL THEN len(list_filter(l, lambda x, i: length(x) <= 40 AND (i - 1) % 7 <> 6)) END AS headings,
-  CASE WHEN error IS NULL THEN len(list_filter(l, lambda x, i: length(x) > 40 AND (i - 1) % 7 <> 6)) END AS paragraphs, CASE WHEN error IS NULL THEN CAST(2 - 2 * (doc_id % 2) AS BIGINT) END AS notes, error IS NOT NULL AS kept
-  FROM (SELECT doc_id, {LINES} AS l, CASE WHEN doc_id % 9 = 8 THEN substring(text, 1, 60) END AS title, CASE WHEN doc_id % 9 = 5 THEN len({LINES}) END AS "at",
-    list_extract(['not_json', 'not_object', 'not_object', 'no_metadata', 'no_notes', 'bad_block', 'not_json', 'no_blocks', NULL], doc_id % 9 + 1) AS error FROM documents)""")
-def _(spark, d):
-    got = bk.counts(bk.read_books(_book_texts(spark, d), "json"))
-    kept = (F.col("refused") == F.col("json")) & F.col("error").isNotNull()
-    return got.select("doc_id", "error", "at", F.col("metadata.title").alias("title"), "headings", "paragraphs", F.col("n_notes").alias("notes"), F.coalesce(kept, F.lit(False)).alias("kept"))
-
-
-on("events", "src_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
-
-cols("src_form", "conversations", "conv_id turn", lambda: {"text": fn.strip(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")))}, {"text": r"regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^\s+', ''), '\s+$', '')"})
-
-JSON = """CAST(to_json({'title': title, 'id': CAST(uid AS VARCHAR), 'author': author, 'language': language, 'description': '', 'cover_url': cover_url,
-  'epub_url': CASE WHEN uid % 2 = 0 THEN '/media/' || uid || '/book.epub' END, 'epub_size': CASE WHEN uid % 2 = 0 THEN epub_size END, 'chapters': CASE WHEN uid % 3 <> 1 THEN headings END}) AS VARCHAR)"""
-
-
-def _serialized(spark, d, key: int | None = None) -> DataFrame:
-    """Published books, or one of them, with the fields that the view lacks: an e-book for even ids, data kept for two of three."""
-    uid = F.col("uid")
-    b = li.published(views.books(spark, d))
-    b = b if key is None else li.by_key(b, "uid", key)  # on the stored column, so that the scan is pruned
-    b = b.join(bl.counts(views.blocks(spark, d)), F.col("doc_id") == uid, "left")
-    b = bl.chapters(b, uid % 3 != 1).withColumns({"description": F.lit(""), "epub_url": F.when(uid % 2 == 0, F.concat(F.lit("/media/"), uid.cast("string"), F.lit("/book.epub")))})
-    return li.serialize(b)
-
-
-@query("snk_json_list", sql("blocks books", f", {NO_BLOCKS} SELECT {JSON} AS json FROM books LEFT JOIN counts ON uid = doc_id WHERE is_published"))
-def _(spark, d):
-    return files.json_list(_serialized(spark, d), "*")
-
-
-@query("snk_json_row", sql("blocks books", f", {NO_BLOCKS} SELECT {JSON} AS json FROM books LEFT JOIN counts ON uid = doc_id WHERE is_published AND uid = 3"))
-def _(spark, d):
-    return files.json_list(_serialized(spark, d, 3), "*")
-
-
-CONVERSIONS = "SELECT doc_id, 'upload ' || doc_id AS name, n_chars * 4000 AS size, n_chars // 10 AS pages, doc_id % 3 AS step, substring(text, 1, 60) AS title, source AS author, lang AS language FROM documents"
-
-
-@query("snk_json_conversion", sql("blocks book_notes", f""", {WITH_NOTES}, c AS ({CONVERSIONS})
-  SELECT CAST(to_json({{'id': CAST(c.doc_id AS VARCHAR), 'name': name, 'size': size, 'pages': pages, 'status': list_extract(['reading', 'ready', 'failed'], step + 1), 'step': step, 'steps': CAST(3 AS BIGINT), 'error': CASE WHEN step = 2 THEN 'broken' ELSE '' END,
-  'cover_url': CASE WHEN c.doc_id % 2 = 0 THEN '/media/' || c.doc_id END, 'book': CASE WHEN step = 1 THEN {{'title': title, 'author': author, 'language': language, 'headings': headings, 'paragraphs': paragraphs, 'notes': notes}} END,
-  'created_at': strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c.doc_id), '%Y-%m-%dT%H:%M:%S') || CASE WHEN c.doc_id % 2 = 1 THEN '.500000' ELSE '' END || '+00:00'}}) AS VARCHAR) AS json FROM c LEFT JOIN summary s ON c.doc_id = s.doc_id"""))
-def _(spark, d):
-    rows = table(spark, d, "documents").selectExpr("doc_id", "concat('upload ', doc_id) AS name", "n_chars * 4000 AS size", "floor(n_chars / 10) AS pages", "doc_id % 3 AS step", "substring(text, 1, 60) AS title", "source AS author", "lang AS language")
-    rows = rows.join(bl.counts(views.blocks(spark, d), views.book_notes(spark, d)).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").drop("id")
-    status = F.element_at(F.array(*map(F.lit, ("reading", "ready", "failed"))), (F.col("step") + 1).cast("int"))
-    ready = {c: F.when(F.col("step") == 1, F.col(c)) for c in ("headings", "paragraphs", "notes")}
-    made = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("doc_id") * 1000 + F.col("doc_id") % 2 * 500)
-    rows = rows.withColumns(ready | {"status": status, "error": F.when(F.col("step") == 2, "broken").otherwise(""), "cover_url": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/media/"), F.col("doc_id").cast("string"))).otherwise(""), "created_at": made})
-    return files.json_list(cv.records(rows.withColumnRenamed("doc_id", "id"), 3), "*")
-
-
-CLAIM = "CASE rights WHEN 'public_domain' THEN 'Public domain' WHEN 'permission' THEN 'Has the rights or permission' WHEN 'unsure' THEN 'Not sure' ELSE rights END"
-SUGGESTED = f"""SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(CASE WHEN author <> '' THEN title || ' — ' || author ELSE title END, ''), nullif(note, ''),
-  CASE WHEN has_pdf THEN 'PDF: ' || {CLAIM} || CASE WHEN holder <> '' THEN ' (' || holder || ')' ELSE '' END ELSE 'No PDF' END, 'https://s/admin/library/suggestion/' || doc_id || '/change/') AS body FROM suggestions"""
-suggested = lambda: it.suggestion_body(*map(F.col, ("title", "author", "note", "has_pdf", "rights", "holder")), it.admin_url("https://s", "library", "suggestion", F.col("doc_id")))
-on("suggestions", "snk_notice_body", SUGGESTED, lambda s: s.select("doc_id", suggested().alias("body")))
-SENDER = "coalesce(nullif(name, ''), nullif(email, ''), 'Someone')"
-NOTICE = f"""CASE WHEN link <> '' THEN 'About: ' || link || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10) || '— ' || {SENDER} || ' ' || email || chr(10) || 'https://s/admin/contact/message/' || conv_id || '/change/'"""
-notice = lambda: it.message_body(*map(F.col, ("text", "link", "name", "email")), it.admin_url("https://s", "contact", "message", F.col("conv_id")))
-cols("snk_notice_message", "contact_posts", "conv_id turn", lambda: {"body": notice()}, {"body": NOTICE})
-SUBJECT = f"CASE kind WHEN 'message' THEN 'Message from ' || {SENDER} WHEN 'problem' THEN 'Problem reported by ' || {SENDER} WHEN 'copyright' THEN 'Copyright concern from ' || {SENDER} END"
-on("contact_posts", "snk_email", f"SELECT 'team@example.org' AS recipient, '[Books] ' || {SUBJECT} AS subject, {NOTICE} AS body, nullif(email, '') AS reply_to FROM contact_posts WHERE kind <> 'book'", lambda c: it.outbox(c.where("kind <> 'book'"), "team@example.org", it.message_subject(*map(F.col, ("kind", "name", "email"))), notice(), F.col("email"), "Books"))
-on("suggestions", "snk_email_suggestion", f", s AS ({SUGGESTED}) SELECT doc_id, 'team@example.org' AS recipient, '[Books] Book suggested: ' || title AS subject, s.body, nullif(email, '') AS reply_to FROM suggestions JOIN s USING (doc_id)", lambda s: it.outbox(s, "team@example.org", it.suggestion_subject(F.col("title")), suggested(), F.col("email"), "Books", "doc_id"))
-on("contact_posts", "prj_message_row", "SELECT conv_id, turn, CASE WHEN kind = 'message' THEN '' ELSE link END AS link FROM contact_posts", lambda c: it.message_row(c).select("conv_id", "turn", "link"))
-cols("snk_admin_url", "documents", "doc_id", lambda: {"url": it.admin_url("https://s", "library", "book", F.col("doc_id"))}, {"url": "'https://s/admin/library/book/' || doc_id || '/change/'"})
-on("events", "snk_info", "SELECT '1.0' AS engine, 'abcdef1234' AS commit, count(*) AS converted FROM events WHERE event_type <> 'error'", lambda e: files.info("1.0", "abcdef1234", it.total(e, F.col("event_type") != "error")))
-
-
-@query("agg_counter_log", "SELECT event_type AS name, count(*) AS count FROM events WHERE event_type <> 'error' GROUP BY event_type")
-def _(spark, d):
-    """Counts from a log of three appends, two of them folded into a snapshot, one given twice."""
-    done = table(spark, d, "events").where("event_type <> 'error'")
-    folder, part = new_folder(spark, "counters"), lambda k: done.where(F.pmod("event_id", F.lit(3)) == k)
-    ct.append(part(0), folder, 0, "event_type")
-    ct.append(part(1), folder, 1, "event_type")
-    ct.compact(spark, folder)
-    ct.append(part(1), folder, 1, "event_type")
-    ct.append(part(2), folder, 2, "event_type")
-    return ct.totals(spark, folder)
-cols("snk_preview", "events", "event_id", lambda: {"stale": files.stale(F.when(F.col("user_id") % 4 != 0, F.expr("timestamp'2024-01-15 00:00:00'")), F.col("ts"))}, {"stale": "(user_id % 4 = 0 OR TIMESTAMP '2024-01-15 00:00:00' < ts)"})
-clamp = "CAST(least({w}, greatest(1, floor(sqrt(8000000.0 * {a} / {b})))) AS BIGINT)"
-cols("snk_page_png", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(1600), F.col("doc_id") + 1, F.col("n_chars")).cast("long")}, {"width": clamp.format(w=1600, a="(doc_id + 1)", b="n_chars")})
-
-# ---- filters and lookups ----
-
-on("books", "flt_published", "SELECT uid FROM books WHERE is_published", lambda b: li.published(b).select("uid"))
-on("books", "flt_pk", "SELECT uid, title FROM books WHERE uid = 7", lambda b: li.by_key(b, "uid", 7).select("uid", "title"))
-cols("flt_ready", "orders", "o_orderkey", lambda: {"code": li.not_ready(F.col("o_orderstatus"), "F")}, {"code": "CASE WHEN o_orderstatus <> 'F' THEN 'not_ready' END"})
-on("books", "flt_language", "SELECT uid FROM books WHERE language = 'fr'", lambda b: li.of_language(b, "fr").select("uid"))
-on("books", "flt_search", "SELECT uid FROM books WHERE contains(lower(title || ' ' || author), 'the s')", lambda b: li.search(b, " The S").select("uid"))
-on("books", "flt_admin_search", "SELECT uid FROM books WHERE (contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'an') OR contains(translate(author, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'an')) AND (contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'src1') OR contains(translate(author, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'src1'))", lambda b: li.admin_search(b, "AN  src1", ["title", "author"]).select("uid"))
-on("books", "flt_admin_facet", "SELECT uid FROM books WHERE language = 'en' AND is_published", lambda b: li.facet(b, language="en", is_published=True).select("uid"))
-on("books", "flt_admin_facet_values", "SELECT 'language' AS facet, language AS value, count(*) AS n FROM books GROUP BY language UNION ALL SELECT 'is_published', CAST(is_published AS VARCHAR), count(*) FROM books GROUP BY is_published", lambda b: li.facet_values(b, "language", "is_published"))
-on("contact_posts", "flt_waiting", "SELECT conv_id, turn FROM contact_posts WHERE turn % 2 = 0", lambda c: it.unread(c, F.col("turn") % 2 != 0).select("conv_id", "turn"))
-on("suggestions", "flt_waiting_suggestions", "SELECT doc_id FROM suggestions WHERE status = 'new'", lambda s: it.new_suggestions(s).select("doc_id"))
-on("books", "flt_waiting_books", "SELECT uid FROM books WHERE NOT is_published", lambda b: it.unpublished(b).select("uid"))
-on("contact_posts", "flt_has_email", "SELECT conv_id, turn FROM contact_posts WHERE email <> ''", lambda c: it.with_email(c).select("conv_id", "turn"))
-on("blocks", "flt_included", "SELECT doc_id, pos FROM blocks WHERE include", lambda b: bl.included(b).select("doc_id", "pos"))
-on("blocks", "flt_page_known", "SELECT doc_id, pos, page FROM blocks WHERE page > 0", lambda b: bl.page_known(b).select("doc_id", "pos", "page"))
-on("blocks", "flt_non_body", "SELECT doc_id, pos, role FROM blocks WHERE role <> 'body'", lambda b: bl.non_body(b).select("doc_id", "pos", "role"))
-on("books", "flt_has_cover", "SELECT uid, cover_url FROM books WHERE cover_url IS NOT NULL ORDER BY ord, title, uid LIMIT 4", lambda b: li.first(b.where("cover_url is not null")).select("uid", "cover_url"))
-media_path = lambda: F.concat(F.lit("/media/"), F.element_at(F.array(*map(F.lit, ("conversions/", "conversions/x/", "suggestions/", "conversions/x/y/"))), (F.col("doc_id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("cover.jpg", "source.pdf", "book.json"))), (F.col("n_chars") % 3 + 1).cast("int")))
-path = "('/media/' || list_extract(['conversions/', 'conversions/x/', 'suggestions/', 'conversions/x/y/'], doc_id % 4 + 1) || list_extract(['cover.jpg', 'source.pdf', 'book.json'], n_chars % 3 + 1))"
-cols("flt_media_deny", "documents", "doc_id", lambda: {"rule": li.media_rule(media_path())}, {"rule": f"CASE WHEN regexp_matches({path}, '^/media/conversions/[^/]+/') AND NOT regexp_matches({path}, '^/media/conversions/[^/]+/cover[.]jpg$') THEN 'deny' WHEN {path} LIKE '%.pdf' THEN 'attachment' ELSE 'serve' END"})
-route = lambda: F.element_at(F.array(*map(F.lit, ("api/x", "library", "admin/", "about/us", "static/a", "media/b", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
-route_sql = "list_extract(['api/x', 'library', 'admin/', 'about/us', 'static/a', 'media/b', ''], doc_id % 7 + 1)"
-cols("flt_route", "documents", "doc_id", lambda: {"page": li.is_page(route())}, {"page": f"NOT (starts_with({route_sql}, 'api/') OR starts_with({route_sql}, 'admin/') OR starts_with({route_sql}, 'media/') OR starts_with({route_sql}, 'static/'))"})
-cols("flt_is_pdf_client", "pages", "page_id", lambda: {"is_pdf": it.is_pdf_client(F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"), F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".txt")))}, {"is_pdf": "(page_id % 5 = 0 OR page_id % 3 = 0)"})
-
-# ---- scalar functions ----
-
-cols("fn_file_size", "documents", "doc_id", lambda: {"size": fn.file_size(F.col("n_chars") * 997)}, {"size": "CASE WHEN n_chars * 997 < 1048576 THEN greatest(1, (n_chars * 997 * 2 + 1024) // 2048) || ' KB' ELSE ((n_chars * 997 * 20 + 1048576) // 2097152) // 10 || '.' || ((n_chars * 997 * 20 + 1048576) // 2097152) % 10 || ' MB' END"})
-cols("fn_fill", "documents", "doc_id", lambda: {"text": fn.fill(F.lit("{source} has {n} and {other} {"), F.create_map(F.lit("source"), F.col("source"), F.lit("n"), F.col("n_chars").cast("string")))}, {"text": "source || ' has ' || n_chars || ' and {other} {'"})
-cols("fn_heading_text", "books", "uid", lambda: {"text": fn.heading_text(F.col("author"), F.when(F.col("uid") % 3 == 0, F.col("title")).when(F.col("uid") % 3 == 1, ""))}, {"text": "CASE WHEN uid % 3 = 0 AND title <> '' THEN author || ': ' || title ELSE author END"})
-cols("fn_str_book", "books", "uid", lambda: {"text": fn.book_name(F.col("title"), F.when(F.col("uid") % 4 == 0, "").otherwise(F.col("author")))}, {"text": "CASE WHEN uid % 4 = 0 THEN title ELSE title || ' — ' || author END"})
-cols("fn_str_message", "contact_posts", "conv_id turn", lambda: {"text": fn.message_name(F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("name")), F.col("email"), F.col("text"))}, {"text": "coalesce(CASE WHEN turn % 2 = 0 THEN NULL ELSE nullif(name, '') END, nullif(email, ''), 'Someone') || ': ' || substring(text, 1, 60)"})
-cols("fn_str_conversion", "orders", "o_orderkey", lambda: {"text": fn.conversion_name("Order", F.col("o_orderkey"), F.col("o_orderstatus"))}, {"text": "'Order ' || o_orderkey || ' (' || o_orderstatus || ')'"})
-cols("fn_coalesce_title", "books", "uid", lambda: {"title": fn.either(F.when(F.col("uid") % 2 == 0, F.col("title")), F.col("author"))}, {"title": "CASE WHEN uid % 2 = 0 AND title <> '' THEN title ELSE author END"})
-cols("fn_visitor", "events", "event_id", lambda: {"visitor": fn.either(F.when(F.col("user_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")), F.when(F.col("user_id") % 3 == 0, F.col("event_type")))}, {"visitor": "coalesce(CASE WHEN user_id % 2 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END, CASE WHEN user_id % 3 = 0 THEN event_type END, '')"})
-cols("fn_stem", "pages", "page_id", lambda: {"stem": fn.stem(F.col("url"))}, {"stem": r"regexp_replace(url, '^(.+)\.[^.]*$', '\1')"})
-cols("fn_url_quote", "documents", "doc_id", lambda: {"quoted": fn.url_quote(F.col("text"))}, {"quoted": "replace(url_encode(text), '%2F', '/')"})
-cols("fn_media_type", "documents", "doc_id", lambda: {"type": fn.media_type(F.concat(F.lit("a/b."), F.element_at(F.array(*map(F.lit, ("CSS", "jpg", "css", "html"))), (F.col("doc_id") % 4 + 1).cast("int"))))}, {"type": "list_extract(['application/octet-stream', 'image/jpeg', 'text/css', 'application/octet-stream'], doc_id % 4 + 1)"})
-cols("fn_label_or_code", "books", "uid", lambda: {"label": fn.label_or_code(F.col("language"), {"en": "English", "fr": "French"})}, {"label": "CASE language WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE language END"})
-cols("fn_error_code", "events", "event_id", lambda: {"code": fn.error_code(F.col("event_type"), ["error", "signup"])}, {"code": "CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'server' END"})
-cols("fn_plural", "documents", "doc_id", lambda: {"text": fn.plural(F.col("doc_id") % 3, "one book", "{n} books")}, {"text": "CASE WHEN doc_id % 3 = 1 THEN 'one book' ELSE (doc_id % 3) || ' books' END"})
-cols("fn_percent", "lineitem", "l_orderkey l_linenumber l_partkey", lambda: {"percent": fn.percent(F.col("l_discount"))}, {"percent": "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)"})
-cols("fn_clamp_width", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(700), F.lit(600), F.col("n_chars")).cast("long")}, {"width": clamp.format(w=700, a="600", b="n_chars")})
-WIDTHS = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x1' WHEN 3 THEN CAST(n_chars AS VARCHAR) END"
-cols("fn_width_ok", "documents", "doc_id", lambda: {"width": fn.width_ok(F.expr(WIDTHS.replace("VARCHAR", "STRING")))}, {"width": "CASE WHEN doc_id % 4 = 2 THEN 700 WHEN doc_id % 4 = 3 AND n_chars BETWEEN 100 AND 1600 THEN CAST(n_chars AS INTEGER) END"})
-cols("fn_cover_version", "events", "event_id", lambda: {"url": fn.cover_version(F.when(F.col("user_id") % 2 == 0, "/c.jpg"), F.col("ts"))}, {"url": "CASE WHEN user_id % 2 = 0 THEN '/c.jpg?v=' || CAST(floor(epoch(ts)) AS BIGINT) END"})
-cols("fn_is_email", "suggestions", "doc_id", lambda: {"ok": fn.is_email(F.col("email"))}, {"ok": "email = 'r@example.org'"})
-cols("fn_too_long", "suggestions", "doc_id", lambda: {"long": fn.too_long({"note": 2000, "title": 300})}, {"long": "(length(note) > 2000 OR length(title) > 300)"})
-cols("fn_base_href", "pages", "page_id", lambda: {"html": fn.base_href(F.col("html"), F.col("url"))}, {"html": r"""regexp_replace(html, '^(.*?<head(\s[^>]*)?>)', '\1<base href="' || regexp_extract(url, '^(.*/)', 1) || '">', 'is')"""})
-cols("fn_before_head_end", "pages", "page_id", lambda: {"html": fn.before_head_end(F.col("html"), "<style>p{}</style>")}, {"html": r"regexp_replace(html, '(</head>)', '<style>p{}</style>\1', 'i')"})
-cols("fn_notes_in", "documents", "doc_id", lambda: {"notes": F.array_join(F.sort_array(F.map_keys(fn.notes_in(F.create_map(F.lit("1"), F.lit("a"), F.lit("2"), F.lit("b"), F.col("lang"), F.lit("c")), F.concat(F.lit("see [1] and ["), F.col("lang"), F.lit("]"))))), ",")}, {"notes": "'1,' || lang"})
-disposition = lambda: F.concat(F.lit("attachment; filename"), F.element_at(F.array(F.concat(F.lit("*=UTF-8''C++%20"), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))), F.lit("=plain.epub"), F.lit("*=UTF-8''%zz"), F.concat(F.lit("*=UTF-8''"), F.col("source"), F.lit(".epub; x=1"))), (F.col("doc_id") % 4 + 1).cast("int")))
-NAMES = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' ELSE concat(' ', source, ' ') END"
-cols("fn_epub_name", "documents", "doc_id", lambda: {"name": fn.epub_name(F.expr(NAMES), F.expr("CASE WHEN doc_id % 8 > 3 THEN lang ELSE ' ' END")), "header": fn.attachment(F.concat(F.col("source"), F.lit(" é.epub")))}, {"name": "CASE WHEN doc_id % 4 = 3 THEN source WHEN doc_id % 4 = 2 OR doc_id % 8 <= 3 THEN 'book' ELSE lang END", "header": "'attachment; filename*=UTF-8' || chr(39) || chr(39) || url_encode(source || ' é.epub')"})
-cols("fn_filename_header", "documents", "doc_id", lambda: {"name": fn.header_filename(disposition(), "book.epub")}, {"name": "CASE doc_id % 4 WHEN 0 THEN 'C++ ' || text WHEN 3 THEN source || '.epub' ELSE 'book.epub' END"})
-cookies = lambda: F.element_at(F.array(F.concat(F.lit("a=1;  token="), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+; z=2")), F.concat(F.lit("token="), F.col("lang"), F.lit("; token=second")), F.lit("mytoken=1; token2=2"), F.lit("token=%zz"), F.lit("a=1; token=")), (F.col("doc_id") % 5 + 1).cast("int"))
-cols("fn_cookie", "documents", "doc_id", lambda: {"token": fn.cookie(cookies(), "token")}, {"token": "CASE doc_id % 5 WHEN 0 THEN text || '+' WHEN 1 THEN lang ELSE '' END"})
-cols("fn_rows", "documents", "doc_id", lambda: {"rows": fn.rows_for(F.col("text")).cast("long")}, {"rows": "CAST(least(12, greatest(3, ceil(length(text) / 70.0))) AS BIGINT)"})
-cols("fn_thousands", "documents", "doc_id", lambda: {"text": fn.thousands(F.col("n_chars"))}, {"text": "format('{:,}', n_chars)"})
-cols("fn_text_links", "documents", "doc_id", lambda: {"links": F.array_join(F.transform(fn.text_links(F.concat(F.lit("go ["), F.col("lang"), F.lit("](/x) or [b](http://y)."))), lambda x: F.concat_ws("|", x["text"], x["label"], x["target"], x["internal"].cast("string"))), ";")}, {"links": "'go |' || lang || '|/x|true; or |b|http://y|false;.'"})
-commit = lambda: F.when(F.col("doc_id") % 3 != 0, F.md5(F.col("doc_id").cast("string")))
-COMMIT = "CASE WHEN doc_id % 3 <> 0 THEN md5(CAST(doc_id AS VARCHAR)) END"
-cols("fn_version", "documents", "doc_id", lambda: {"version": fn.version_label(F.concat(F.lit("1."), F.col("doc_id").cast("string"), F.lit("+abc+d"))), "commit": fn.commit_label(commit()), "link": fn.code_link(commit(), "https://c")}, {"version": "'1.' || doc_id", "commit": f"substring(coalesce({COMMIT}, ''), 1, 7)", "link": f"coalesce('https://c/tree/' || {COMMIT}, 'https://c')"})
-cols("fn_page_title", "documents", "doc_id", lambda: {"title": fn.page_title(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(""), "Site")}, {"title": "CASE WHEN doc_id % 2 = 0 THEN source || ' · Site' ELSE 'Site' END"})
-cols("fn_facts", "books", "uid", lambda: {"facts": F.array_join(F.transform(fn.facts(("language", F.col("language")), ("chapters", F.col("ord")), ("size", fn.file_size(F.col("epub_size")))), lambda x: F.concat(x["label"], F.lit("="), x["value"])), ";")}, {"facts": "'language=' || language || CASE WHEN ord = 0 THEN '' ELSE ';chapters=' || ord END || ';size=' || CASE WHEN epub_size < 1048576 THEN greatest(1, (epub_size * 2 + 1024) // 2048) || ' KB' ELSE ((epub_size * 20 + 1048576) // 2097152) // 10 || '.' || ((epub_size * 20 + 1048576) // 2097152) % 10 || ' MB' END"})
-
-
-@query("fn_contents_line", sql("blocks book_notes", f", {WITH_NOTES} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'No book data: the EPUB is the uploaded file.' ELSE headings || ' headings, ' || paragraphs || ' paragraphs, ' || notes || ' notes' END AS line FROM summary"))
-def _(spark, d):
-    kept = F.col("doc_id") % 5 != 0
-    return bl.counts(views.blocks(spark, d), views.book_notes(spark, d)).select("doc_id", fn.contents_line(*[F.when(kept, F.col(c)) for c in ("headings", "paragraphs", "notes")]).alias("line"))
-
-
-cols("fn_has_pdf", "pages", "page_id", lambda: {"has_pdf": fn.has_file(F.col("url"))}, {"has_pdf": "url <> ''"})
-on("documents", "fn_slug", None, lambda d: d.select("doc_id", fn.slug(F.col("text")).alias("slug")))
-RUNS = r"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS run, piece AS text, italic, bold FROM (
- SELECT page_id, n, piece, coalesce(last_value(CASE WHEN n % 2 = 1 AND piece IN ('i>', '/i>') THEN piece = 'i>' END IGNORE NULLS) OVER w, false) AS italic,
-  coalesce(last_value(CASE WHEN n % 2 = 1 AND piece IN ('b>', '/b>') THEN piece = 'b>' END IGNORE NULLS) OVER w, false) AS bold, n % 2 = 1 AND regexp_matches(piece, '^/?[ib]>$') AS tag
- FROM (SELECT page_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS piece FROM (SELECT page_id, string_split(regexp_replace(html, '<(/?)([ib])>', chr(1) || '\1\2>' || chr(1), 'g'), chr(1)) AS l FROM pages))
- WINDOW w AS (PARTITION BY page_id ORDER BY n ROWS UNBOUNDED PRECEDING)) WHERE NOT tag AND piece <> ''"""
-on("pages", "fn_styled_runs", RUNS, lambda p: bl.styled_runs(p, "page_id", "html"))
-
-# ---- lookups between tables ----
-
-@query("join_language_text", "SELECT doc_id, CASE lang WHEN 'fr' THEN 'Bonjour' ELSE 'Hello' END AS subject FROM documents")
-def _(spark, d):
-    t = spark.createDataFrame([("en", "Hello", "..."), ("fr", "Bonjour", "...")], "lang string, subject string, text string")
-    return it.accepted_mail(table(spark, d, "documents").select("doc_id", "lang"), t).select("doc_id", "subject")
-
-
-SECTION = "secs AS (SELECT *, sum(CAST(type = 'heading' AS INT)) OVER w - 1 + CAST(first_value(type) OVER w <> 'heading' AS INT) AS section FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"
-on("blocks", "join_section_of_block", f", {SECTION} SELECT doc_id, pos, CAST(section AS BIGINT) AS section FROM secs", lambda b: bl.with_section(b).select("doc_id", "pos", "section"))
-on("books", "join_self_exclude", "SELECT uid FROM books WHERE uid <> 5", lambda b: li.without(b, "uid", 5).select("uid"))
-
-
-@query("join_field_limits", """SELECT field, CASE WHEN field = 'click' THEN 2000 ELSE max_length END AS most FROM (SELECT DISTINCT event_type AS field FROM events)
-  LEFT JOIN (SELECT event_type AS field, CAST(max(length(props)) AS INTEGER) AS max_length FROM events WHERE event_type <> 'error' GROUP BY event_type) USING (field)""")
-def _(spark, d):
-    """Kinds of events as fields; a field's limit is its call's, else the longest value that its column has."""
-    e = table(spark, d, "events")
-    columns = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("field")).agg(F.max(F.length("props")).alias("max_length"))
-    return it.field_limits(e.select(F.col("event_type").alias("field")).distinct(), columns, {"click": 2000})
-
-
-# ---- aggregates ----
-
-@query("agg_block_counts", sql("blocks book_notes", f", {WITH_NOTES} SELECT * FROM summary"))
-def _(spark, d):
-    return bl.counts(views.blocks(spark, d), views.book_notes(spark, d))
-
-
-@query("agg_summary", sql("blocks book_notes books", f", {WITH_NOTES} SELECT uid, title, author, language, headings, paragraphs, notes FROM books JOIN summary ON uid = doc_id"))
-def _(spark, d):
-    return bl.counts(views.blocks(spark, d), views.book_notes(spark, d)).join(views.books(spark, d), F.col("doc_id") == F.col("uid")).select("uid", "title", "author", "language", "headings", "paragraphs", "notes")
-
-
-@query("agg_chapters", sql("blocks books", f", {NO_BLOCKS} SELECT uid, CASE WHEN uid % 2 = 0 THEN headings END AS chapters FROM books LEFT JOIN counts ON uid = doc_id"))
-def _(spark, d):
-    b = views.books(spark, d).join(bl.counts(views.blocks(spark, d)), F.col("doc_id") == F.col("uid"), "left")
-    return bl.chapters(b, F.col("uid") % 2 == 0).select("uid", "chapters")
-
-
-on("blocks", "agg_role_counts", "SELECT doc_id, role, count(*) AS n, bool_and(include) AS all_included FROM blocks WHERE role <> 'body' GROUP BY doc_id, role", bl.role_counts)
-on("blocks", "agg_page_range", "SELECT doc_id, min(page) FILTER (page > 0) AS first_page, max(page) FILTER (page > 0) AS last_page FROM blocks GROUP BY doc_id", bl.page_range)
-on("blocks", "agg_contents_count", "SELECT doc_id, count(*) FILTER (type = 'heading') AS n FROM blocks GROUP BY doc_id", bl.contents_count)
-
-
-WAITING = """waiting AS (SELECT * FROM (SELECT 1 AS place, 'unread messages' AS what, count(*) AS n, '/m' AS url FROM contact_posts WHERE turn % 2 = 0 UNION ALL SELECT 2, 'new suggestions', count(*), '/s' FROM suggestions WHERE status = 'new'
-  UNION ALL SELECT 3, 'books to check', count(*), '/b' FROM books WHERE NOT is_published UNION ALL SELECT 4, 'none', count(*), '/n' FROM books WHERE uid < 0) WHERE n > 0)"""
-
-
-def _waiting(spark, d) -> DataFrame:
-    b = views.books(spark, d)
-    return it.waiting({"unread messages": (it.unread(views.contact_posts(spark, d), F.col("turn") % 2 != 0), "/m"), "new suggestions": (it.new_suggestions(views.suggestions(spark, d)), "/s"), "books to check": (it.unpublished(b), "/b"), "none": (b.where("uid < 0"), "/n")})
-
-
-query("agg_waiting", sql("contact_posts suggestions books", f", {WAITING} SELECT what, n, url FROM waiting"))(lambda s, d: _waiting(s, d).select("what", "n", "url"))
-query("agg_review", sql("contact_posts suggestions books", f", {WAITING} SELECT CAST(sum(n) AS BIGINT) AS total, sum(n) || ' waiting for review' AS subject, string_agg(n || ' ' || what || ':' || chr(10) || url, chr(10) || chr(10) ORDER BY place) AS body FROM waiting HAVING sum(n) > 0"))(lambda s, d: it.review(_waiting(s, d)))
-
-
-on("books", "agg_distinct_languages", "SELECT language, row_number() OVER (ORDER BY o, t, u) AS rank FROM (SELECT language, f.o AS o, f.t AS t, f.u AS u FROM (SELECT language, min({'o': ord, 't': title, 'u': uid}) AS f FROM books GROUP BY language))", li.languages)
-on("blocks", "agg_any_included", f", {SECTION} SELECT doc_id, CAST(section AS BIGINT) AS section, bool_or(include) AS any_included FROM secs GROUP BY doc_id, section", lambda b: bl.sections(b).select("doc_id", "section", "any_included"))
-on("events", "agg_total_counter", "SELECT count(*) AS count FROM events WHERE event_type = 'purchase'", lambda e: it.total(e, F.col("event_type") == "purchase"))
-on("suggestions", "agg_affected", "SELECT count(*) AS n, count(*) FILTER (email <> '') AS told FROM suggestions WHERE status = 'new'", lambda s: it.affected(it.new_suggestions(s)))
-PICTURE = "pos % 5 = 3"
-PROBLEMS = f"""SELECT doc_id, concat_ws(';', CASE WHEN count(*) FILTER (include) = 0 THEN 'nothing to write' END,
-  string_agg('block ' || chr(39) || 'b' || pos || chr(39) || ': a picture must be a JPEG image with its width and height', ';' ORDER BY pos) FILTER ({PICTURE} AND NOT (pos % 2 = 1 AND pos % 3 > 0))) AS problems FROM blocks GROUP BY doc_id"""
-
-
-def _with_pictures(b: DataFrame) -> DataFrame:
-    """Every fifth line a picture: a JPEG or none, with a height of 0 to 2."""
-    pos, is_picture = F.col("pos"), F.expr(PICTURE)
-    return b.withColumns({"id": F.concat(F.lit("b"), pos.cast("string")), "type": F.when(is_picture, "picture").otherwise(F.col("type")), "data": F.when(is_picture & (pos % 2 == 1), "/9ggcGljdHVyZQ==").otherwise("cGljdHVyZQ=="), "width": F.lit(3), "height": pos % 3})
-
-
-on("blocks", "agg_problems_set", PROBLEMS, lambda b: bl.problems(_with_pictures(b)).select("doc_id", F.array_join("problems", ";").alias("problems")))
-
-# ---- orders and top rows ----
-
-on("books", "ord_library", "SELECT uid, row_number() OVER (ORDER BY ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.ORDER).select("uid", "place"))
-on("events", "ord_recent", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events", lambda e: li.places(e.select("event_id", "ts"), *li.recent_order()).select("event_id", "place"))
-# the sort key is of the root collation in both, ICU's
-on("books", "ord_title", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.title_order()).select("uid", "place"))
-on("books", "ord_title_bytes", "SELECT uid, row_number() OVER (ORDER BY title, ord, uid) AS place FROM books", lambda b: li.places(b, *li.title_order(locale=False)).select("uid", "place"))
-on("books", "ord_author_bytes", "SELECT uid, row_number() OVER (ORDER BY author, title, ord, uid) AS place FROM books", lambda b: li.places(b, *li.author_order(locale=False)).select("uid", "place"))
-on("books", "ord_author", "SELECT uid, row_number() OVER (ORDER BY icu_sort_key(author, 'root'), icu_sort_key(title, 'root'), ord, title, uid) AS place FROM books", lambda b: li.places(b, *li.author_order()).select("uid", "place"))
-on("books", "top_more", "SELECT uid FROM books WHERE uid <> 3 ORDER BY ord, title, uid LIMIT 4", lambda b: li.others(b, 3).select("uid"))
-on("books", "top_shelf", ", top AS (SELECT uid, row_number() OVER (ORDER BY ord, title, uid) - 1 AS slot FROM books WHERE cover_url IS NOT NULL ORDER BY slot LIMIT 4) SELECT s.slot, uid FROM (SELECT unnest(range(4)) AS slot) s LEFT JOIN top ON s.slot = top.slot", lambda b: li.shelf(b).select("slot", "uid"))
-on("books", "top_random_pick", None, lambda b: li.random_pick(b, 7).select("uid"))
-on("books", "top_first_value", "SELECT coalesce((SELECT title FROM books WHERE language = 'fr' ORDER BY uid LIMIT 1), 'none') AS title", lambda b: li.first_or(li.of_language(b, "fr"), "uid", "title", "none"))
-
-
-# ---- ordered sequences ----
-
-on("blocks", "seq_sections", f", {SECTION} SELECT doc_id, CAST(section AS BIGINT) AS section, min(pos) AS start, max(pos) + 1 AS stop FROM secs GROUP BY doc_id, section", lambda b: bl.sections(b).select("doc_id", "section", "start", "stop"))
-on("blocks", "seq_level_at", "SELECT doc_id, pos, coalesce(last_value(CASE WHEN type = 'heading' THEN level END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS level_at FROM blocks", lambda b: bl.level_at(b).select("doc_id", "pos", "level_at"))
-PLACES = """k1 AS (SELECT *, sum(CAST(include AS INT)) OVER w AS k, sum(CAST(include AND type = 'heading' AS INT)) OVER w AS hs FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-k2 AS (SELECT *, hs - 1 + max(CAST(k = 1 AND include AND type <> 'heading' AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec FROM k1),
-k3 AS (SELECT *, CASE WHEN k > 0 THEN sec END AS section FROM k2), k4 AS (SELECT *, sum(CAST(include AND type <> 'heading' AS INT)) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS p FROM k3),
-places AS (SELECT doc_id, pos, CAST(section AS BIGINT) AS section, CAST(CASE WHEN k > 0 AND p >= 0 THEN p END AS BIGINT) AS paragraph FROM k4)"""
-on("blocks", "seq_preview_page", f", {PLACES} SELECT * FROM places", lambda b: bl.preview_places(b).select("doc_id", "pos", "section", "paragraph"))
-SIZES = "sizes AS (SELECT doc_id, section, section * 3 + j AS page_no, 2 AS paragraphs FROM (SELECT DISTINCT doc_id, section FROM places WHERE section IS NOT NULL), (SELECT unnest([1, 2, 3]) AS j))"
-
-
-@query("join_page_of_paragraph", sql("blocks", f", {PLACES}, {SIZES} SELECT doc_id, pos, page_no, lpad(CAST(page_no AS VARCHAR), CAST(greatest(4, length(CAST(page_no AS VARCHAR))) AS INTEGER), '0') || '.xhtml' AS file FROM (SELECT doc_id, pos, CAST(CASE WHEN section IS NULL THEN 1 WHEN paragraph IS NULL THEN section * 3 + 1 ELSE section * 3 + least(3, paragraph // 2 + 1) END AS BIGINT) AS page_no FROM places)"))
-def _(spark, d):
-    places = bl.preview_places(views.blocks(spark, d))
-    sizes = places.where("section is not null").select("doc_id", "section").distinct().select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("j"))
-    sizes = sizes.select("doc_id", "section", (F.col("section") * 3 + F.col("j")).alias("page_no"), F.lit(2).alias("paragraphs"))
-    return bl.preview_pages(places.select("doc_id", "pos", "section", "paragraph"), sizes).select("doc_id", "pos", "page_no", "file")
-
-
-on("blocks", "seq_open_section", f", {SECTION} SELECT doc_id, CAST(coalesce(min(section) FILTER (include), 0) AS BIGINT) AS open_section FROM secs GROUP BY doc_id", bl.open_section)
-on("blocks", "seq_open_page", "SELECT doc_id, coalesce(arg_min(page, pos) FILTER (include AND page > 0), 1) AS open_page FROM blocks GROUP BY doc_id", bl.open_page)
-on("blocks", "seq_section_page", f", {SECTION} SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(min(page) FILTER (page > 0), 9) AS page FROM secs GROUP BY doc_id, section", lambda b: bl.section_page(b, 9))
-on("documents", "seq_range", "SELECT doc_id, unnest(generate_series(least(doc_id % 7, 3), greatest(doc_id % 7, 3))) AS at FROM documents", lambda d: d.select("doc_id", F.explode(pk.range_pick(F.col("doc_id") % 7, F.lit(3).cast("long"))).alias("at")))
-CLICKS = """clicks AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (event_id * 7919) % 40 AS "at", event_type IN ('click', 'error') AS shift FROM events)"""
-# each block by itself: its last range, then the parity of the toggles after it
-on("events", "seq_range_pick", f"""WITH {CLICKS}, a AS (SELECT *, lag("at") OVER (PARTITION BY session ORDER BY n) AS anchor FROM clicks),
-  o AS (SELECT session, n, unnest(generate_series(least(anchor, "at"), greatest(anchor, "at"))) AS "at", true AS range FROM a WHERE shift AND anchor IS NOT NULL UNION ALL SELECT session, n, "at", false FROM a WHERE NOT shift OR anchor IS NULL),
-  l AS (SELECT *, max(n) FILTER (range) OVER (PARTITION BY session, "at") AS last FROM o)
-  SELECT session, "at" FROM l GROUP BY session, "at", last HAVING ((last IS NOT NULL)::INT + count(*) FILTER (NOT range AND n > coalesce(last, 0))) % 2 = 1""", lambda e: pk.picked(_clicks(e)))
-on("blocks", "seq_can_join", "SELECT doc_id, pos, type = 'text' AND coalesce(lead(type) OVER (PARTITION BY doc_id ORDER BY pos) = 'text', false) AS can_join FROM blocks", lambda b: bl.can_join(b).select("doc_id", "pos", "can_join"))
-on("blocks", "seq_prev_next", f", {SECTION}, s AS (SELECT DISTINCT doc_id, CAST(section AS BIGINT) AS section FROM secs) SELECT doc_id, section, lag(section) OVER w AS previous, lead(section) OVER w AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY section)", lambda b: bl.neighbours(bl.sections(b)))
-
-
-def _clicks(events: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select(F.col("user_id").alias("session"), n.alias("n"), ((F.col("event_id") * 7919) % 40).alias("at"), F.col("event_type").isin("click", "error").alias("shift"))
-
-
-# ---- edits of nested blocks ----
-
-def in_order(struct: str):
-    """The group's structs as an array by their pos. (Blocks hold maps, which have no order of their own.)"""
-    return F.array_sort(F.collect_list(struct), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
-
-
-def nested(blocks: DataFrame) -> DataFrame:
-    """One row a book: the blocks as an ordered array."""
-    head = F.col("type") == "heading"
-    none = F.expr("cast(array() as array<string>)")
-    b = ed.block(type=F.col("type"), id=F.concat(F.lit("b"), F.col("pos").cast("string")), page=F.col("page").cast("int"), role=F.col("role"), include=F.col("include"), level=F.when(head, F.col("level").cast("int")), label=F.when(head, F.col("line")), text=F.when(~head, F.col("line")), lines=F.when(~head, none), verse=F.when(~head, F.lit(False)), notes=F.when(~head, F.expr(ed.EMPTY_NOTES)))
-    rows = blocks.select("doc_id", F.struct("pos", b.alias("b")).alias("p")).groupBy("doc_id").agg(in_order("p").alias("p"))
-    return rows.select("doc_id", F.transform("p", lambda p: p["b"]).alias("blocks"))
-
-
-def edited(name: str, change, body: str) -> None:
-    """A query that edits every book and lists its blocks; body: SQL for rows (doc_id, pos, type, id, page, include, level, words)."""
-    def make(b: DataFrame) -> DataFrame:
-        out = nested(b).select("doc_id", change(F.col("blocks")).alias("blocks")).select("doc_id", F.posexplode("blocks").alias("pos", "b"))
-        return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "b.type", "b.id", F.col("b.page").cast("long").alias("page"), "b.include", F.col("b.level").cast("long").alias("level"), F.coalesce("b.label", "b.text").alias("words"))
-
-    on("blocks", name, f", n AS (SELECT doc_id, pos, type, 'b' || pos AS id, page, role, include, CASE WHEN type = 'heading' THEN level END AS level, line AS words FROM blocks) {body}", make)
-
-
-def case(**new: str) -> str:
-    return "SELECT " + ", ".join(f"{new[c]} AS {c}" if c in new else c for c in ("doc_id", "pos", "type", "id", "page", "include", "level", "words")) + " FROM n"
-
-
-edited("edit_block", lambda b: ed.edit_block(b, 2, page=99, include=True), case(page="CASE WHEN pos = 2 THEN 99 ELSE page END", include="pos = 2 OR include"))
-edited("edit_splice", lambda b: ed.splice(b, 1, 3, F.slice(b, F.lit(1), F.lit(1))), "SELECT doc_id, CASE WHEN pos >= 3 THEN pos - 1 ELSE pos END AS pos, type, id, page, include, level, words FROM n WHERE pos = 0 OR pos >= 3 UNION ALL SELECT doc_id, 1, type, id, page, include, level, words FROM n WHERE pos = 0")
-edited("edit_include_set", lambda b: ed.include_set(b, F.array(F.lit(1), F.lit(4)), False), case(include="include AND pos NOT IN (1, 4)"))
-edited("edit_include_role", lambda b: ed.include_role(b, "back", False), case(include="include AND role <> 'back'"))
-WS = r"[\t\n\x0B\f\r\p{Zs}\x{2028}\x{2029}\x{FEFF}]+"
-trimmed = lambda x: f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
-edited("edit_to_heading", lambda b: ed.set_type(b, 1, "heading", 2), case(type="CASE WHEN pos = 1 THEN 'heading' ELSE type END", level="CASE WHEN pos = 1 THEN 2 ELSE level END", words=f"CASE WHEN pos = 1 AND type = 'text' THEN coalesce(nullif({trimmed('words')}, ''), '…') ELSE words END"))
-edited("edit_to_text", lambda b: ed.set_type(b, 1, "text"), case(type="CASE WHEN pos = 1 THEN 'text' ELSE type END", level="CASE WHEN pos <> 1 THEN level END"))
-edited("edit_set_type", lambda b: ed.set_type(b, 0, "heading", 3), case(type="CASE WHEN pos = 0 THEN 'heading' ELSE type END", level="CASE WHEN pos = 0 THEN 3 ELSE level END", words=f"CASE WHEN pos = 0 AND type = 'text' THEN coalesce(nullif({trimmed('words')}, ''), '…') ELSE words END"))
-edited("edit_heading_above", lambda b: ed.heading_above(b, 2, "new"), """, big AS (SELECT doc_id, max(pos) AS m, coalesce(arg_max(level, pos) FILTER (pos < 2 AND type = 'heading'), 1) AS l, max(page) FILTER (pos = 2) AS p FROM n GROUP BY doc_id)
-  SELECT doc_id, CASE WHEN pos >= 2 THEN pos + 1 ELSE pos END AS pos, type, id, page, include, level, words FROM n UNION ALL SELECT doc_id, least(2, m + 1), 'heading', 'new', p, true, l, '…' FROM big""")
-edited("edit_split", lambda b: ed.split_at(b, 0, 30, "new"), f""", c AS (SELECT doc_id FROM n WHERE pos = 0 AND type = 'text' AND {trimmed('substring(words, 1, 30)')} <> '' AND {trimmed('substring(words, 31)')} <> '')
-  SELECT n.doc_id, CASE WHEN c.doc_id IS NOT NULL AND pos > 0 THEN pos + 1 ELSE pos END AS pos, type, id, page, include, level, CASE WHEN c.doc_id IS NOT NULL AND pos = 0 THEN {trimmed('substring(words, 1, 30)')} ELSE words END AS words FROM n LEFT JOIN c ON n.doc_id = c.doc_id
-  UNION ALL SELECT n.doc_id, 1, type, 'new', page, include, level, {trimmed('substring(words, 31)')} FROM n JOIN c ON n.doc_id = c.doc_id WHERE pos = 0""")
-edited("edit_join", lambda b: ed.join_at(b, 1), """, j AS (SELECT a.doc_id, a.words || ' ' || b.words AS words FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.pos = 1 AND b.pos = 2 AND a.type = 'text' AND b.type = 'text')
-  SELECT n.doc_id, CASE WHEN j.doc_id IS NOT NULL AND pos > 2 THEN pos - 1 ELSE pos END AS pos, type, id, page, include, level, CASE WHEN j.doc_id IS NOT NULL AND pos = 1 THEN j.words ELSE n.words END AS words FROM n LEFT JOIN j ON n.doc_id = j.doc_id WHERE NOT (j.doc_id IS NOT NULL AND pos = 2)""")
-edited("edit_verse_text", lambda b: ed.verse_text(b, 0, F.lit("one\ntwo")), "SELECT doc_id, pos, type, id, page, include, level, CASE WHEN pos = 0 AND type = 'text' THEN 'one two' ELSE words END AS words FROM n")
-on("books", "edit_metadata", "SELECT uid, title || '!' AS title, CASE WHEN uid % 2 = 0 THEN NULL ELSE author END AS author FROM books", lambda b: b.select("uid", ed.metadata(F.struct("title", "author"), title=F.concat(F.col("title"), F.lit("!")), author=F.when(F.col("uid") % 2 == 0, "").otherwise(F.col("author"))).alias("m")).select("uid", "m.title", "m.author"))
-on("books", "edit_cover", "SELECT uid, '' AS cover, 'none' AS cover_source FROM books", lambda b: ed.set_cover(b, None).select("uid", "cover", "cover_source"))
-
-
-def _pictures(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Stored and incoming books where each third line is a picture; of the stored ones every second is known."""
-    base = views.blocks(spark, d)
-    pic = lambda keep: ed.block(type=F.when(F.col("pos") % 3 == 0, "picture").otherwise("text"), id=F.concat(F.lit("b"), F.col("pos").cast("string")), text="t", data=F.when(F.col("pos") % 3 == 0, keep))
-    make = lambda rows, data: rows.select("doc_id", F.struct("pos", pic(data).alias("b")).alias("p")).groupBy("doc_id").agg(in_order("p").alias("p")).select("doc_id", F.transform("p", lambda p: p["b"]).alias("blocks"))
-    return make(base, F.lit("sent")), make(base.where("pos % 2 = 0"), F.concat(F.lit("jpeg"), F.col("pos").cast("string")))
-
-
-PICS = "SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN CASE WHEN pos % 2 = 0 THEN 'jpeg' || pos ELSE '' END END AS data{more} FROM blocks"
-
-
-@query("edit_strip_pictures", sql("blocks", "SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '' END AS data FROM blocks"))
-def _(spark, d):
-    incoming, _ = _pictures(spark, d)
-    return incoming.select("doc_id", F.posexplode(ed.strip_pictures(F.col("blocks"))).alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), "b.data")
-
-
-@query("join_picture_restore", sql("blocks", PICS.format(more="")))
-def _(spark, d):
-    incoming, stored = _pictures(spark, d)
-    return ed.picture_rows(incoming, stored).select("doc_id", F.col("pos").cast("long").alias("pos"), "b.data")
-
-
-@query("edit_save_merge", sql("blocks", PICS.format(more=", CAST(NULL AS VARCHAR) AS cover, 'found' AS cover_source")))
-def _(spark, d):
-    incoming, stored = _pictures(spark, d)
-    merged = ed.save_merge(incoming.withColumn("cover", F.lit("x")).withColumn("cover_source", F.lit("sent")), stored.withColumn("cover", F.lit("y")).withColumn("cover_source", F.lit("found")))
-    return merged.select("doc_id", F.posexplode("blocks").alias("pos", "b"), "cover", "cover_source").select("doc_id", F.col("pos").cast("long").alias("pos"), "b.data", "cover", "cover_source")
-
-
-# ---- time ----
-
-SEEN = "seen AS (SELECT id, arg_max(CASE WHEN kind = 'left' THEN ts - INTERVAL 14 MINUTE ELSE ts END, {'t': ts, 'e': event_id}) AS last_seen, min(ts) AS created_at FROM visits GROUP BY id)"
-EXPIRED = "(id % 10 <> 0 AND last_seen < now - INTERVAL 15 MINUTE AND (id % 7 <> 0 OR created_at < now - INTERVAL 1 HOUR))"
-on("visits", "st_seen", f", {SEEN} SELECT id, last_seen FROM seen", lambda v: pr.last_seen(v).select("id", "last_seen"))
-cols("st_left", "visits", "event_id", lambda: {"seen": pr.effective_seen(F.col("kind"), F.col("ts"))}, {"seen": "CASE WHEN kind = 'left' THEN ts - INTERVAL 14 MINUTE ELSE ts END"})
-
-
-def _expired(v: DataFrame) -> DataFrame:
-    now = F.broadcast(v.agg(F.max("ts").alias("now")))
-    s = pr.last_seen(v).crossJoin(now)  # one row
-    return s.withColumn("gone", pr.expired(F.col("id") % 10 == 0, F.col("last_seen"), F.when(F.col("id") % 7 == 0, "reading").otherwise("ready"), F.col("created_at"), F.col("now")))
-
-
-on("visits", "st_retention", f", {SEEN}, t AS (SELECT max(ts) AS now FROM visits) SELECT id, {EXPIRED} AS gone FROM seen, t", lambda v: _expired(v).select("id", "gone"))
-on("visits", "flt_retention", f", {SEEN}, t AS (SELECT max(ts) AS now FROM visits) SELECT id FROM seen, t WHERE {EXPIRED}", lambda v: _expired(v).where("gone").select("id"))
-on("visits", "mut_delete", f", {SEEN}, t AS (SELECT max(ts) AS now FROM visits) SELECT id FROM seen, t WHERE NOT {EXPIRED}", lambda v: tb.delete_where(_expired(v), F.col("gone")).select("id"))
-NTH = "CASE WHEN website = '' THEN CAST(sum(CAST(website = '' AS INT)) OVER (PARTITION BY form, visitor, floor(epoch(ts) / 3600) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END"
-on("posts", "st_rate_limit", f"SELECT event_id, {NTH} AS nth, coalesce({NTH} > 2, false) AS refused FROM posts", lambda p: pr.rate_limit(p, 2, trap="website").select("event_id", "nth", "refused"))
-on("posts", "st_rate_totals", "SELECT form, visitor, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, least(count(*), 2) AS accepted, greatest(count(*) - 2, 0) AS refused FROM posts WHERE website = '' GROUP BY ALL", lambda p: pr.hourly_totals(p, 2, trap="website"))
-on("events", "st_debounce", "WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS saved, count(*) AS changes FROM s GROUP BY user_id, n", lambda e: pr.debounce(e, "6 hours"))
-STEPS = {"click": "pages", "view": "blocks", "signup": "notes", "purchase": "ready", "error": "failed"}
-on("events", "st_progress", """SELECT id, status, CASE WHEN status = 'ready' THEN 2 ELSE coalesce(step, 0) END AS step, CASE WHEN status <> 'failed' THEN '' WHEN event_id % 2 = 0 THEN 'broken' ELSE 'Something went wrong while reading the book.' END AS error
-  FROM (SELECT user_id AS id, coalesce(arg_max(CASE event_type WHEN 'purchase' THEN 'ready' ELSE 'failed' END, {'t': ts, 'e': event_id}) FILTER (event_type IN ('purchase', 'error')), 'reading') AS status, arg_max(event_id, {'t': ts, 'e': event_id}) FILTER (event_type IN ('purchase', 'error')) AS event_id,
-    CAST(arg_max(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, {'t': ts, 'e': event_id}) FILTER (event_type IN ('click', 'view', 'signup')) AS BIGINT) AS step FROM events GROUP BY user_id)""",
-    lambda e: pr.progress(e.select(F.col("user_id").alias("id"), "ts", "event_id", fn.label_or_code(F.col("event_type"), STEPS).alias("kind"), F.when(F.col("event_id") % 2 == 0, "broken").otherwise("").alias("text")), ["pages", "blocks", "notes"]))
-on("events", "st_throttle", """WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-  r AS (SELECT user_id, event_id, ts, k, ts AS last, true AS runs FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.ts, o.k, CASE WHEN o.ts >= r.last + INTERVAL 6 HOUR THEN o.ts ELSE r.last END, o.ts >= r.last + INTERVAL 6 HOUR FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
-  SELECT user_id, event_id, ts FROM r WHERE runs""", lambda e: pr.throttle(e, 6 * 3600))
-on("events", "st_latest", "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status, count(*) AS events FROM events GROUP BY user_id", lambda e: pr.latest(e, "user_id", "event_type"))
-
-# ---- rule chains ----
-
-PDF = "CASE WHEN size > 104857600 THEN 'too_big' WHEN head <> '%PDF-' THEN 'not_pdf' WHEN pages = 0 THEN 'unreadable' WHEN pages > 2000 THEN 'too_many_pages' END"
-pdf = lambda: it.pdf_code(F.col("size"), F.col("head"), F.col("pages"))
-cols("chk_pdf", "pdf_heads", "doc_id", lambda: {"code": pdf()}, {"code": PDF})
-cols("chk_upload", "pdf_heads", "doc_id", lambda: {"code": it.upload_code(F.col("doc_id") % 5 != 0, F.col("size"), F.col("head"), F.col("pages"))}, {"code": f"CASE WHEN doc_id % 5 = 0 THEN 'no_file' ELSE {PDF} END"})
-cols("chk_pdf_client", "pdf_heads", "doc_id", lambda: {"code": it.pdf_client_code(F.when(F.col("head") == "%PDF-", "application/pdf").otherwise("text/html"), F.lit("a.txt"), F.col("size"))}, {"code": "CASE WHEN head <> '%PDF-' THEN 'not_pdf' WHEN size > 104857600 THEN 'too_big' END"})
-MESSAGE = "CASE WHEN website <> '' THEN 'trap' WHEN turn > 8 THEN 'too_many' WHEN text = '' THEN 'no_text' WHEN length(text) > 1000 OR length(name) > 200 OR length(email) > 254 OR length(link) > 500 THEN 'too_long' WHEN kind = 'copyright' AND link = '' THEN 'no_link' WHEN kind = 'copyright' AND email = '' THEN 'no_email' END"
-cols("chk_message", "contact_posts", "conv_id turn", lambda: {"code": it.message_code(F.col("turn") > 8, 1000)}, {"code": MESSAGE})
-KIND = "CASE WHEN turn % 7 = 6 THEN '' WHEN turn % 7 = 5 THEN 'other' WHEN turn % 7 <> 4 THEN kind END"
-BOOKED = "CASE WHEN website <> '' THEN 'trap' WHEN turn > 8 THEN 'too_many' WHEN text = '' THEN 'no_title' WHEN length(text) > 300 THEN 'too_long' END"
-
-
-def _any_kind(c: DataFrame) -> DataFrame:
-    """Posts of every kind, of none and of an unknown one, with the fields of a suggested book."""
-    turn, empty = F.col("turn") % 7, F.lit("")
-    kind = F.when(turn == 6, "").when(turn == 5, "other").when(turn != 4, F.col("kind"))
-    return c.withColumns({"kind": kind, "title": F.col("text"), "author": empty, "note": empty, "holder": empty, "rights": empty, "has_pdf": F.lit(False), "size": F.lit(0), "head": empty, "pages": F.lit(0)})
-
-
-on("contact_posts", "chk_contact", f"SELECT conv_id, turn, CASE WHEN {KIND} = 'book' THEN {BOOKED} WHEN coalesce({KIND}, 'message') NOT IN ('message', 'problem', 'copyright') THEN 'bad_kind' ELSE {MESSAGE.replace('kind =', f'{KIND} =')} END AS code FROM contact_posts", lambda c: _any_kind(c).select("conv_id", "turn", it.contact_code(F.col("turn") > 8, 1000).alias("code")))
-SUGGEST = "CASE WHEN website <> '' THEN 'trap' WHEN doc_id % 50 = 49 THEN 'too_many' WHEN title = '' THEN 'no_title' WHEN length(note) > 2000 THEN 'too_long' WHEN email = 'not an address' THEN 'bad_email' WHEN NOT has_pdf THEN NULL WHEN size > 104857600 THEN 'too_big' WHEN head <> '%PDF-' THEN 'not_pdf' WHEN pages = 0 THEN 'unreadable' WHEN pages > 2000 THEN 'too_many_pages' WHEN rights = 'other' THEN 'no_rights' WHEN rights = 'permission' AND holder = '' THEN 'no_holder' END"
-cols("chk_suggestion", "suggestions", "doc_id", lambda: {"code": it.suggestion_code(F.col("doc_id") % 50 == 49)}, {"code": SUGGEST})
-on("suggestions", "prj_suggestion_row", "SELECT doc_id, CASE WHEN has_pdf THEN rights ELSE '' END AS rights, CASE WHEN has_pdf AND rights = 'permission' THEN holder ELSE '' END AS holder, CASE WHEN lang IN ('en', 'ka') THEN lang ELSE 'en' END AS lang FROM suggestions", lambda s: it.suggestion_row(s).select("doc_id", "rights", "holder", "lang"))
-on("contact_posts", "chk_contact_client", "SELECT conv_id, turn, CASE WHEN kind = 'book' AND turn % 3 <> 2 THEN 'no_title' WHEN kind = 'book' AND turn % 4 < 2 AND turn % 5 = 0 THEN 'no_rights' WHEN kind = 'book' AND turn % 4 < 2 AND turn % 5 <> 1 THEN 'no_holder' WHEN kind = 'copyright' AND link = '' THEN 'no_link' WHEN kind <> 'book' AND (text = '' OR conv_id % 3 = 0) THEN 'no_text' WHEN kind = 'copyright' AND email = '' THEN 'no_email' END AS code FROM contact_posts",
-    lambda c: c.withColumn("text", F.when(F.col("conv_id") % 3 == 0, "\t \ufeff\n").otherwise(F.col("text"))).withColumn("link", F.when(F.col("link") == "", " ").otherwise(F.col("link"))).select("conv_id", "turn", it.contact_client_code(F.expr("element_at(array('', '  ', 'title'), cast(turn % 3 + 1 as int))"), F.col("turn") % 4 < 2, F.expr("element_at(array('', 'unsure', 'permission', 'permission', 'permission'), cast(turn % 5 + 1 as int))"), F.lit("  ")).alias("code")))
-sent_fields = lambda: it.client_fields({"message": ["name", "email"], "problem": ["name", "link"], "copyright": ["name", "link", "email"], "book": ["name"]})
-cols("prj_contact_client", "contact_posts", "conv_id turn", lambda: {"sent": F.array_join(F.sort_array(F.map_keys(sent_fields())), ",")}, {"sent": "concat_ws(',', CASE WHEN kind IN ('message', 'copyright') AND email <> '' THEN 'email' END, CASE WHEN kind IN ('problem', 'copyright') AND link <> '' THEN 'link' END, 'name')"})
-cols("chk_cover", "pdf_heads", "doc_id", lambda: {"code": it.cover_code(F.col("doc_id") % 6 != 0, F.col("size"), F.col("head") != "%PDF-")}, {"code": "CASE WHEN doc_id % 6 = 0 THEN 'no_file' WHEN size > 10485760 THEN 'too_big' WHEN head = '%PDF-' THEN 'not_image' END"})
-put_book = lambda: files.parse_book(F.element_at(F.array(*map(F.lit, ('{"blocks":[]}', "[1,2]", '{"blocks":"no"}', "text"))), (F.col("doc_id") % 4 + 1).cast("int")))
-cols("chk_book_put", "documents", "doc_id", lambda: {"code": it.book_code(put_book(), put_book()["blocks"])}, {"code": "CASE WHEN doc_id % 4 <> 0 THEN 'bad_book' END"})
-flag = lambda n: F.col("doc_id") % n == 0
-book_form = lambda: it.book_form(flag(3), flag(2), flag(4), flag(5), flag(10), flag(11), F.when(flag(7), "").otherwise("t"), F.when(flag(14), "").otherwise("from data"))
-DATA = "(doc_id % 3 = 0 OR doc_id % 4 = 0)"
-TITLE = f"CASE WHEN doc_id % 7 <> 0 THEN 't' WHEN {DATA} AND doc_id % 14 <> 0 THEN 'from data' ELSE '' END"
-ERR = f"CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'data_file' WHEN NOT {DATA} AND doc_id % 5 <> 0 THEN 'epub' WHEN {TITLE} = '' THEN 'title' END"
-cols("chk_book_form", "documents", "doc_id", lambda: {x: book_form()[x] for x in ("error", "title", "rewrite")}, {"error": ERR, "title": TITLE, "rewrite": f"({ERR}) IS NULL AND {DATA} AND (doc_id % 3 = 0 OR doc_id % 11 = 0 OR doc_id % 10 <> 0)"})
-cols("chk_library_add", "orders", "o_orderkey", lambda: {"result": it.library_add(F.when(F.col("o_orderstatus") == "F", "ready").otherwise("reading"), F.col("o_orderkey") % 3)}, {"result": "CASE WHEN o_orderstatus <> 'F' THEN 'not_ready' WHEN o_orderkey % 3 > 0 THEN 'unwritable' ELSE 'added' END"})
-
-# ---- table changes ----
-
-on("documents", "mut_insert", "SELECT doc_id, 'old' AS status FROM documents UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents", lambda d: tb.insert(d.select("doc_id", F.lit("old").alias("status")), d.select((F.col("doc_id") + 1_000_000_000).alias("doc_id")), status="new"))
-on("events", "mut_upsert_add", "SELECT event_type AS name, count(*) + CASE WHEN event_type = 'click' THEN 5 ELSE 0 END AS count FROM events GROUP BY event_type UNION ALL SELECT 'absent', 3", lambda e: tb.upsert_add(e.sparkSession.createDataFrame([("click", 5), ("absent", 3)], "name string, count long"), e.select(F.col("event_type").alias("name"), F.lit(1).alias("delta"))))
-on("suggestions", "mut_update_where", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'accepted' ELSE status END AS status FROM suggestions", lambda s: tb.update_where(s, F.col("doc_id") % 4 == 0, status="accepted").select("doc_id", "status"))
-on("orders", "mut_promote", "SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'upload' END AS title, '' AS author, 'en' AS language, false AS is_published, o_orderpriority || '!' AS data, CASE WHEN o_orderkey % 3 = 0 THEN 'cover.jpg' END AS cover FROM orders WHERE o_orderstatus = 'F'", lambda o: tb.promote(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("reading").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("title"), F.lit("upload").alias("name"), F.lit(None).cast("string").alias("author"), F.lit("en").alias("language"), F.concat("o_orderpriority", F.lit("!")).alias("data"), F.when(F.col("o_orderkey") % 3 == 0, "cover.jpg").alias("cover"))))
-on("suggestions", "mut_convert_suggestion", "SELECT doc_id, CASE WHEN has_pdf THEN title END AS name, CASE WHEN has_pdf THEN title || '.pdf' END AS file, CASE WHEN has_pdf THEN size END AS size, CASE WHEN has_pdf THEN pages END AS pages, CASE WHEN has_pdf THEN 'reading' END AS status, CASE WHEN has_pdf THEN true END AS keep, CASE WHEN NOT has_pdf THEN 'no_pdf' END AS error FROM suggestions", tb.convert_suggestions)
-on("books", "mut_list_edit", "SELECT uid, CASE WHEN uid % 10 = 0 THEN 77 ELSE ord END AS ord FROM books", lambda b: tb.list_edit(b.select("uid", "ord"), b.where("uid % 10 = 0").select("uid", F.lit(77).cast("long").alias("ord")), "uid"))
+__all__ = ["ORACLES", "QUERIES"]
