@@ -13,11 +13,11 @@ from quire.operators import intake as it
 from quire.operators import library as li
 from quire.plans.base import cols, on, query
 from quire.plans.parts import CLAMP, NO_BLOCKS, WITH_NOTES
-from quire.sources.storage import new_folder
-from quire.sources.views import sql, table
 from quire.sources import books as bk
-from quire.sources import files
-from quire.sources import views
+from quire.sources import files, previews, views
+from quire.sources.storage import hold, new_folder
+from quire.sources.views import sql, table
+
 
 @query("first_four_books", sql("blocks books", f", {NO_BLOCKS} SELECT uid, title, ord, headings, paragraphs FROM books JOIN counts ON uid = doc_id WHERE is_published ORDER BY ord, title, uid LIMIT 4"))
 def first_four_books(spark, d):
@@ -130,3 +130,54 @@ def _(spark, d):
     return ct.totals(spark, folder)
 cols("snk_preview", "events", "event_id", lambda: {"stale": files.stale(F.when(F.col("user_id") % 4 != 0, F.expr("timestamp'2024-01-15 00:00:00'")), F.col("ts"))}, {"stale": "(user_id % 4 = 0 OR TIMESTAMP '2024-01-15 00:00:00' < ts)"})
 cols("snk_page_png", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(1600), F.col("doc_id") + 1, F.col("n_chars")).cast("long")}, {"width": CLAMP.format(w=1600, a="(doc_id + 1)", b="n_chars")})
+
+
+def _epubs(spark, d) -> tuple[DataFrame, str]:
+    """Each document as a zip file of three members, one in seven refused; (name, file, error) and the folder."""
+    id_, folder = F.col("doc_id"), new_folder(spark, "epubs")
+    members = F.create_map(F.lit("mimetype"), F.lit("application/epub+zip"), F.lit("text.xhtml"), F.col("text"), F.lit("style.css"), F.col("source"))
+    problems = F.when(id_ % 7 == 0, F.array(F.lit("nothing to write"))).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = table(spark, d, "documents").select(id_.cast("string").alias("name"), problems.alias("problems"), members.alias("members"))
+    return hold(files.write_zips(rows, folder)), folder
+
+
+@query("snk_epub", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 <> 0 THEN doc_id || '.epub' END AS file, CASE WHEN doc_id % 7 = 0 THEN 'nothing to write' END AS error FROM documents")
+def _(spark, d):
+    return _epubs(spark, d)[0].select("name", F.substring_index("file", "/", -1).alias("file"), "error")
+
+
+@query("src_zip_member", """SELECT doc_id || '.epub' AS file, name, type, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS md5 FROM (SELECT doc_id,
+  unnest(['mimetype', 'text.xhtml', 'style.css']) AS name, unnest(['application/octet-stream', 'application/xhtml+xml', 'text/css']) AS type, unnest(['application/epub+zip', coalesce(text, ''), coalesce(source, '')]) AS content FROM documents WHERE doc_id % 7 <> 0)""")
+def _(spark, d):
+    """The members of the files that snk_epub writes, read back."""
+    members = files.zip_members(spark, _epubs(spark, d)[1])
+    return members.select(F.substring_index("path", "/", -1).alias("file"), "name", "type", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("md5"))
+
+
+def _plain(members: dict) -> bytes:
+    return (members["data"] or "").encode()
+
+
+def _uploads(spark, d) -> DataFrame:
+    """A file a document: one in nine no PDF."""
+    data = F.concat(F.when(F.col("doc_id") % 9 == 0, "<html").otherwise("%PDF-"), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.create_map(F.lit("data"), data).alias("members"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+
+
+@query("src_pdf", "SELECT doc_id, 5 + strlen(coalesce(text, '')) AS size, CASE WHEN doc_id % 9 = 0 THEN 'not_pdf' END AS code FROM documents")
+def _(spark, d):
+    """Uploads written as files, then read: their size, and the code of the first rule that they break (page counts are not read here)."""
+    folder = new_folder(spark, "uploads")
+    hold(previews.refresh(_uploads(spark, d), folder, "doc_id", make=_plain, ending="pdf"))
+    got = files.uploads(spark, folder)
+    key = F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")
+    return got.select(key.alias("doc_id"), "size", it.pdf_code(F.col("size"), F.col("head").cast("string"), F.lit(1)).alias("code"))
+
+
+@query("snk_preview_files", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 5 = 0")
+def _(spark, d):
+    """What a second run writes, when one book in five has changed since the first."""
+    books, folder = _uploads(spark, d), new_folder(spark, "previews")
+    hold(previews.refresh(books, folder, "doc_id", make=_plain))
+    changed = books.withColumn("updated_at", F.when(F.col("doc_id") % 5 == 0, F.lit("2999-01-01").cast("timestamp")).otherwise(F.col("updated_at")))
+    return hold(previews.refresh(changed, folder, "doc_id", make=_plain)).select("id")

@@ -77,11 +77,11 @@ def images(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
 
 
 def zipped(members: dict[str, str]) -> bytes:
-    """A zip file of the members, in order of their names."""
+    """A zip file of the members, in order of their names; a null one is empty."""
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         for k, v in sorted(members.items()):
-            z.writestr(k, v)
+            z.writestr(k, v or "")
     return data.getvalue()
 
 
