@@ -24,7 +24,7 @@ cols("fn_url_quote", "documents", "doc_id", lambda: {"quoted": fn.url_quote(F.co
 cols("fn_media_type", "documents", "doc_id", lambda: {"type": fn.media_type(F.concat(F.lit("a/b."), F.element_at(F.array(*map(F.lit, ("CSS", "jpg", "css", "html"))), (F.col("doc_id") % 4 + 1).cast("int"))))}, {"type": "list_extract(['application/octet-stream', 'image/jpeg', 'text/css', 'application/octet-stream'], doc_id % 4 + 1)"})
 cols("fn_label_or_code", "books", "uid", lambda: {"label": fn.label_or_code(F.col("language"), {"en": "English", "fr": "French"})}, {"label": "CASE language WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE language END"})
 cols("fn_error_code", "events", "event_id", lambda: {"code": fn.error_code(F.col("event_type"), ["error", "signup"])}, {"code": "CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'server' END"})
-cols("fn_plural", "documents", "doc_id", lambda: {"text": fn.plural(F.col("doc_id") % 3, "one book", "{n} books")}, {"text": "CASE WHEN doc_id % 3 = 1 THEN 'one book' ELSE (doc_id % 3) || ' books' END"})
+cols("fn_plural", "documents", "doc_id", lambda: {"text": fn.plural(F.col("n_chars"), "one character", "{n} characters")}, {"text": "CASE WHEN n_chars = 1 THEN 'one character' ELSE n_chars || ' characters' END"})
 cols("fn_percent", "lineitem", "l_orderkey l_linenumber l_partkey", lambda: {"percent": fn.percent(F.col("l_discount"))}, {"percent": "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)"})
 cols("fn_clamp_width", "documents", "doc_id", lambda: {"width": fn.clamp_width(F.lit(700), F.lit(600), F.col("n_chars")).cast("long")}, {"width": CLAMP.format(w=700, a="600", b="n_chars")})
 WIDTHS = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x1' WHEN 3 THEN CAST(n_chars AS VARCHAR) END"

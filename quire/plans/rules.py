@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import intake as it
-from quire.plans.base import cols, on
-from quire.sources import files
+from quire.plans.base import cols, on, query
+from quire.sources import books as bk
+from quire.sources import views
 
 PDF = "CASE WHEN size > 104857600 THEN 'too_big' WHEN head <> '%PDF-' THEN 'not_pdf' WHEN pages = 0 THEN 'unreadable' WHEN pages > 2000 THEN 'too_many_pages' END"
 pdf = lambda: it.pdf_code(F.col("size"), F.col("head"), F.col("pages"))
@@ -36,8 +37,8 @@ on("contact_posts", "chk_contact_client", "SELECT conv_id, turn, CASE WHEN kind
 sent_fields = lambda: it.client_fields({"message": ["name", "email"], "problem": ["name", "link"], "copyright": ["name", "link", "email"], "book": ["name"]})
 cols("prj_contact_client", "contact_posts", "conv_id turn", lambda: {"sent": F.array_join(F.sort_array(F.map_keys(sent_fields())), ",")}, {"sent": "concat_ws(',', CASE WHEN kind IN ('message', 'copyright') AND email <> '' THEN 'email' END, CASE WHEN kind IN ('problem', 'copyright') AND link <> '' THEN 'link' END, 'name')"})
 cols("chk_cover", "pdf_heads", "doc_id", lambda: {"code": it.cover_code(F.col("doc_id") % 6 != 0, F.col("size"), F.col("head") != "%PDF-")}, {"code": "CASE WHEN doc_id % 6 = 0 THEN 'no_file' WHEN size > 10485760 THEN 'too_big' WHEN head = '%PDF-' THEN 'not_image' END"})
-put_book = lambda: files.parse_book(F.element_at(F.array(*map(F.lit, ('{"blocks":[]}', "[1,2]", '{"blocks":"no"}', "text"))), (F.col("doc_id") % 4 + 1).cast("int")))
-cols("chk_book_put", "documents", "doc_id", lambda: {"code": it.book_code(put_book(), put_book()["blocks"])}, {"code": "CASE WHEN doc_id % 4 <> 0 THEN 'bad_book' END"})
+query("chk_book_put", "SELECT doc_id, CASE WHEN doc_id % 9 <> 8 THEN 'bad_book' END AS code FROM documents")(
+    lambda s, d: bk.read_books(views.book_texts(s, d), "json").select("doc_id", it.book_code(F.col("metadata"), F.col("blocks")).alias("code")))
 flag = lambda n: F.col("doc_id") % n == 0
 book_form = lambda: it.book_form(flag(3), flag(2), flag(4), flag(5), flag(10), flag(11), F.when(flag(7), "").otherwise("t"), F.when(flag(14), "").otherwise("from data"))
 DATA = "(doc_id % 3 = 0 OR doc_id % 4 = 0)"

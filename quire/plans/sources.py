@@ -29,19 +29,6 @@ def first_four_books(spark, d):
 on("books", "src_table", "SELECT uid, title, ord FROM books", lambda b: li.library_order(b).select("uid", "title", "ord"))
 
 
-def _book_texts(spark, d) -> DataFrame:
-    """A book as JSON for each document, its lines as blocks; spoilt in one of eight ways unless doc_id mod 9 is 8."""
-    block = lambda x, i: F.struct(F.when(F.length(x) <= 40, "heading").otherwise("text").alias("type"), (i % 7 != 6).alias("include"), x.alias("text"), F.lit(1.5).alias("width"))
-    meta = F.struct(F.substring("text", 1, 60).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"))
-    whole = F.struct(F.lit(1).alias("version"), meta.alias("metadata"), F.transform(F.split("text", "\n"), block).alias("blocks"), F.array(F.lit("a"), F.lit("b")).alias("notes"), (F.col("doc_id") % 2 == 0).alias("include_notes"))
-    json, case = F.to_json(whole), F.col("doc_id") % 9
-    spoilt = F.when(case == 0, F.substring(json, 1, F.length(json) - 1)).when(case == 1, F.concat(F.lit("["), json, F.lit("]"))).when(case == 2, "null")
-    spoilt = spoilt.when(case == 3, F.regexp_replace(json, '^\\{"version":1,"metadata":', '{"version":1,"meta":')).when(case == 4, F.regexp_replace(json, '"notes":\\["a","b"\\]', '"notes":"a"'))
-    spoilt = spoilt.when(case == 5, F.replace(json, F.lit('],"notes":["a"'), F.lit(',7],"notes":["a"'))).when(case == 6, F.regexp_replace(json, '^\\{"version":1', '{"version":1,"version":1'))
-    spoilt = spoilt.when(case == 7, F.regexp_replace(json, '(?s)"blocks":\\[.*\\],"notes":\\["a"', '"blocks":"none","notes":["a"'))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(spoilt, json).alias("json"))
-
-
 LINES = "string_split(text, chr(10))"
 
 
@@ -50,7 +37,7 @@ LINES = "string_split(text, chr(10))"
   FROM (SELECT doc_id, {LINES} AS l, CASE WHEN doc_id % 9 = 8 THEN substring(text, 1, 60) END AS title, CASE WHEN doc_id % 9 = 5 THEN len({LINES}) END AS "at",
     list_extract(['not_json', 'not_object', 'not_object', 'no_metadata', 'no_notes', 'bad_block', 'not_json', 'no_blocks', NULL], doc_id % 9 + 1) AS error FROM documents)""")
 def _(spark, d):
-    got = bk.counts(bk.read_books(_book_texts(spark, d), "json"))
+    got = bk.counts(bk.read_books(views.book_texts(spark, d), "json"))
     kept = (F.col("refused") == F.col("json")) & F.col("error").isNotNull()
     return got.select("doc_id", "error", "at", F.col("metadata.title").alias("title"), "headings", "paragraphs", F.col("n_notes").alias("notes"), F.coalesce(kept, F.lit(False)).alias("kept"))
 

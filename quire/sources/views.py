@@ -116,6 +116,19 @@ SUGGESTIONS = """suggestions AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '
   CASE WHEN doc_id % 7 = 0 THEN 'not an address' WHEN doc_id % 4 = 0 THEN '' ELSE 'r@example.org' END AS email, list_extract(['en', 'ka', 'fr'], doc_id % 3 + 1) AS lang,
   CASE WHEN doc_id % 17 = 0 THEN 'spam' ELSE '' END AS website, list_extract(['new', 'accepted', 'declined'], doc_id % 3 + 1) AS status FROM documents)"""
 
+def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book as JSON for each document, its lines as blocks; spoilt in one of eight ways unless doc_id mod 9 is 8."""
+    block = lambda x, i: F.struct(F.when(F.length(x) <= 40, "heading").otherwise("text").alias("type"), (i % 7 != 6).alias("include"), x.alias("text"), F.lit(1.5).alias("width"))
+    meta = F.struct(F.substring("text", 1, 60).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"))
+    whole = F.struct(F.lit(1).alias("version"), meta.alias("metadata"), F.transform(F.split("text", "\n"), block).alias("blocks"), F.array(F.lit("a"), F.lit("b")).alias("notes"), (F.col("doc_id") % 2 == 0).alias("include_notes"))
+    json, case = F.to_json(whole), F.col("doc_id") % 9
+    spoilt = F.when(case == 0, F.substring(json, 1, F.length(json) - 1)).when(case == 1, F.concat(F.lit("["), json, F.lit("]"))).when(case == 2, "null")
+    spoilt = spoilt.when(case == 3, F.regexp_replace(json, '^\\{"version":1,"metadata":', '{"version":1,"meta":')).when(case == 4, F.regexp_replace(json, '"notes":\\["a","b"\\]', '"notes":"a"'))
+    spoilt = spoilt.when(case == 5, F.replace(json, F.lit('],"notes":["a"'), F.lit(',7],"notes":["a"'))).when(case == 6, F.regexp_replace(json, '^\\{"version":1', '{"version":1,"version":1'))
+    spoilt = spoilt.when(case == 7, F.regexp_replace(json, '(?s)"blocks":\\[.*\\],"notes":\\["a"', '"blocks":"none","notes":["a"'))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(spoilt, json).alias("json"))
+
+
 ALL = {"blocks": BLOCKS, "book_notes": BOOK_NOTES, "books": BOOKS, "visits": VISITS, "posts": POSTS, "contact_posts": CONTACT, "pdf_heads": PDFS, "suggestions": SUGGESTIONS}
 
 
