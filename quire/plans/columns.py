@@ -21,7 +21,9 @@ cols("fn_coalesce_title", "books", "uid", lambda: {"title": fn.either(F.when(F.c
 cols("fn_visitor", "events", "event_id", lambda: {"visitor": fn.either(F.when(F.col("user_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string")), F.when(F.col("user_id") % 3 == 0, F.col("event_type")))}, {"visitor": "coalesce(CASE WHEN user_id % 2 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END, CASE WHEN user_id % 3 = 0 THEN event_type END, '')"})
 cols("fn_stem", "pages", "page_id", lambda: {"stem": fn.stem(F.col("url"))}, {"stem": r"regexp_replace(url, '^(.+)\.[^.]*$', '\1')"})
 cols("fn_url_quote", "documents", "doc_id", lambda: {"quoted": fn.url_quote(F.col("text"))}, {"quoted": "replace(url_encode(text), '%2F', '/')"})
-cols("fn_media_type", "documents", "doc_id", lambda: {"type": fn.media_type(F.concat(F.lit("a/b."), F.element_at(F.array(*map(F.lit, ("CSS", "jpg", "css", "html"))), (F.col("doc_id") % 4 + 1).cast("int"))))}, {"type": "list_extract(['application/octet-stream', 'image/jpeg', 'text/css', 'application/octet-stream'], doc_id % 4 + 1)"})
+FILE = "concat(url, CASE page_id % 5 WHEN 1 THEN '.css' WHEN 2 THEN '.CSS' WHEN 3 THEN '/.jpg' WHEN 4 THEN '.x.xhtml' ELSE '' END)"
+TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fn.MEDIA_TYPES.items())
+cols("fn_media_type", "pages", "page_id", lambda: {"type": fn.media_type(F.expr(FILE))}, {"type": rf"CASE regexp_extract({FILE}, '[^/]\.([^./]+)$', 1) {TYPES} ELSE 'application/octet-stream' END"})
 cols("fn_label_or_code", "books", "uid", lambda: {"label": fn.label_or_code(F.col("language"), {"en": "English", "fr": "French"})}, {"label": "CASE language WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE language END"})
 cols("fn_error_code", "events", "event_id", lambda: {"code": fn.error_code(F.col("event_type"), ["error", "signup"])}, {"code": "CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'server' END"})
 cols("fn_plural", "documents", "doc_id", lambda: {"text": fn.plural(F.col("n_chars"), "one character", "{n} characters")}, {"text": "CASE WHEN n_chars = 1 THEN 'one character' ELSE n_chars || ' characters' END"})

@@ -28,7 +28,7 @@ on("books", "flt_has_cover", "SELECT uid, cover_url FROM books WHERE cover_url I
 media_path = lambda: F.concat(F.lit("/media/"), F.element_at(F.array(*map(F.lit, ("conversions/", "conversions/x/", "suggestions/", "conversions/x/y/"))), (F.col("doc_id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("cover.jpg", "source.pdf", "book.json"))), (F.col("n_chars") % 3 + 1).cast("int")))
 path = "('/media/' || list_extract(['conversions/', 'conversions/x/', 'suggestions/', 'conversions/x/y/'], doc_id % 4 + 1) || list_extract(['cover.jpg', 'source.pdf', 'book.json'], n_chars % 3 + 1))"
 cols("flt_media_deny", "documents", "doc_id", lambda: {"rule": li.media_rule(media_path())}, {"rule": f"CASE WHEN regexp_matches({path}, '^/media/conversions/[^/]+/') AND NOT regexp_matches({path}, '^/media/conversions/[^/]+/cover[.]jpg$') THEN 'deny' WHEN {path} LIKE '%.pdf' THEN 'attachment' ELSE 'serve' END"})
-route = lambda: F.element_at(F.array(*map(F.lit, ("api/x", "library", "admin/", "about/us", "static/a", "media/b", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
-route_sql = "list_extract(['api/x', 'library', 'admin/', 'about/us', 'static/a', 'media/b', ''], doc_id % 7 + 1)"
-cols("flt_route", "documents", "doc_id", lambda: {"page": li.is_page(route())}, {"page": f"NOT (starts_with({route_sql}, 'api/') OR starts_with({route_sql}, 'admin/') OR starts_with({route_sql}, 'media/') OR starts_with({route_sql}, 'static/'))"})
+ROUTE = "concat(CASE page_id % 6 WHEN 1 THEN 'api/' WHEN 2 THEN 'admin/' WHEN 3 THEN 'media' WHEN 4 THEN 'static/' WHEN 5 THEN 'media/' ELSE '' END, {path})"
+URL_PATH = "regexp_extract(url, '^https?://[^/]+/(.*)$', 1)"
+cols("flt_route", "pages", "page_id", lambda: {"page": li.is_page(F.expr(ROUTE.format(path=URL_PATH)))}, {"page": f"NOT regexp_matches({ROUTE.format(path=URL_PATH)}, '^(api|admin|media|static)/')"})
 cols("flt_is_pdf_client", "pages", "page_id", lambda: {"is_pdf": it.is_pdf_client(F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html"), F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".txt")))}, {"is_pdf": "(page_id % 5 = 0 OR page_id % 3 = 0)"})
