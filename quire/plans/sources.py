@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +170,24 @@ def _(spark, d):
     hold(previews.refresh(books, folder, "doc_id", make=_plain))
     changed = books.withColumn("updated_at", F.when(F.col("doc_id") % 5 == 0, F.lit("2999-01-01").cast("timestamp")).otherwise(F.col("updated_at")))
     return hold(previews.refresh(changed, folder, "doc_id", make=_plain)).select("id")
+
+
+def _picture(members: dict) -> bytes:
+    """The head of a PNG or JPEG image of this width and height, or a text."""
+    kind, width, height = members["data"].split(" ")
+    w, h = int(width), int(height)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + bytes(5)
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF" + bytes(10) + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, h, w) + bytes(10) + b"\xff\xd9"
+    return {"png": png, "jpeg": jpeg, "cut": jpeg[:12]}.get(kind, b"no image")
+
+
+@query("src_image", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'not_image' END AS error, CASE doc_id % 5 WHEN 1 THEN 'png' WHEN 0 THEN NULL ELSE 'jpeg' END AS kind,
+  CASE WHEN doc_id % 5 IN (1, 2, 3) THEN CAST(n_chars % 3000 + 1 AS INTEGER) END AS width, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN CAST(doc_id % 2000 + 1 AS INTEGER) END AS height FROM documents""")
+def _(spark, d):
+    """Covers of a size by document, written as files and read back; one in five is no image, one is cut off in its header."""
+    kind = F.element_at(F.array(*map(F.lit, ("text", "png", "jpeg", "jpeg", "cut"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    data = F.concat_ws(" ", kind, F.col("n_chars") % 3000 + 1, F.col("doc_id") % 2000 + 1)
+    folder = new_folder(spark, "covers")
+    hold(previews.refresh(table(spark, d, "documents").select("doc_id", F.create_map(F.lit("data"), data).alias("members"), F.lit("2024-01-01").cast("timestamp").alias("updated_at")), folder, "doc_id", make=_picture, ending="img"))
+    key = F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long")
+    return files.images(spark, folder).select(key.alias("doc_id"), "error", "kind", "width", "height")

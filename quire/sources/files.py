@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -70,10 +71,46 @@ def image_kind(content: Column) -> Column:
     return F.when(head.startswith("FFD8FF"), "jpeg").when(head == "89504E470D0A1A0A", "png")
 
 
+def _image_size(data: bytes | None) -> tuple[int, int] | None:
+    """(width, height) of a PNG or JPEG image from its header, else None. A JPEG's size stands in the first frame segment."""
+    if data is None:
+        return None
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return struct.unpack(">II", data[16:24]) if data[12:16] == b"IHDR" and len(data) >= 24 else None
+    at = 2 if data[:3] == b"\xff\xd8\xff" else len(data)
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        if kind == 0xFF:  # a fill byte
+            at += 1
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD8:  # without a length
+            at += 2
+        else:
+            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return None
+
+
+def image_size(content: Column) -> Column:
+    """struct<width int, height int> from an image's header; null where none can be read. A pandas UDF, as a JPEG is a chain of segments."""
+
+    def run(contents: pd.Series) -> pd.DataFrame:
+        sizes = [_image_size(None if c is None else bytes(c)) or (None, None) for c in contents]
+        return pd.DataFrame({k: pd.array([x[i] for x in sizes], "Int32") for i, k in enumerate(("width", "height"))})
+
+    run.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}  # as objects: names of this scope cannot be resolved later
+    size = F.pandas_udf(run, "width int, height int")(content)
+    return F.when(size["width"].isNotNull(), size)
+
+
 def images(spark: SparkSession, path: str, most: int = 10 << 20) -> DataFrame:
+    """(path, size, error, content, kind, width, height): error is too_big, or not_image by the first bytes; the rest is null then, width and height also where the header is damaged."""
     files = spark.read.format("binaryFile").load(path)
-    code = F.when(F.col("length") > most, "too_big").when(image_kind(F.col("content")).isNull(), "not_image")
-    return files.select("path", F.col("length").alias("size"), code.alias("error"), F.when(code.isNull(), F.col("content")).alias("content"))
+    kind = image_kind(F.col("content"))
+    code = F.when(F.col("length") > most, "too_big").when(kind.isNull(), "not_image")
+    good = files.select("path", F.col("length").alias("size"), code.alias("error"), F.when(code.isNull(), F.col("content")).alias("content"), F.when(code.isNull(), kind).alias("kind"))
+    return good.withColumn("_px", image_size(F.col("content"))).select("*", "_px.width", "_px.height").drop("_px")
 
 
 def zipped(members: dict[str, str]) -> bytes:

@@ -305,3 +305,13 @@ def test_conversion_records(spark):
     assert a.__fields__ == ["id", "name", "size", "pages", "status", "step", "steps", "error", "cover_url", "book", "created_at"]
     assert (a.id, a.steps, a.cover_url, a.book.asDict(), a.created_at) == ("7", 3, None, {"title": "T", "author": None, "language": "ka", "headings": 1, "paragraphs": 2, "notes": 3}, "2024-01-02T03:04:05.000060+00:00")
     assert (b.book, b.cover_url, b.created_at) == (None, "/c", "2024-01-02T00:00:00+00:00")
+
+
+def test_sizes_of_images():
+    from quire.plans.sources import _picture
+    from quire.sources.files import _image_size
+
+    assert _image_size(_picture({"data": "png 640 480"})) == _image_size(_picture({"data": "jpeg 640 480"})) == (640, 480)
+    jpeg = _picture({"data": "jpeg 7 9"})
+    assert _image_size(jpeg[:2] + b"\xff\xff" + jpeg[2:]) == (7, 9)  # fill bytes before a marker
+    assert [_image_size(x) for x in (None, b"", b"\xff\xd8\xff", jpeg[:24], _picture({"data": "png 1 1"})[:20], b"\x89PNG\r\n\x1a\n" + bytes(30))] == [None] * 6
