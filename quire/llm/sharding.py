@@ -15,7 +15,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, join_by_key
 
 
 class _Tree:
@@ -72,6 +72,9 @@ def best_fit_decreasing(sizes: list[int], capacity: int, n_bins: int | None = No
     return out
 
 
+MOST_BROADCAST = 200_000  # rows, about 20 MB
+
+
 def shards(docs: DataFrame, n_shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", grain: int = 128, cell_rows: int = 100_000, most_bundles: int = 1 << 20) -> DataFrame:
     """Rows (id_col, size, text_crc32, shard, slot): size = UTF-8 bytes + 1; equal texts share a shard.
 
@@ -94,26 +97,29 @@ def shards(docs: DataFrame, n_shards: int | None = 16, capacity: int | None = No
     grain = max(1, min(grain, most_bundles // expected))
     bundles, large = expected * grain, max(1, room // (16 * grain))
     group = ["_hash", "text_crc32", "size"]
-    groups = rows.groupBy(*group).agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("_copies"))
     name = F.concat(F.lit("g"), F.hex("_hash"), F.lit("_"), F.hex("text_crc32"), F.lit("_"), F.col("size").cast("string"))
-    big = groups.where(F.col("bytes") >= large).select(*group, name.alias("_own"))
-    big = _small(big, 16 * grain * expected)
+    big = groups.where(F.col("bytes") >= large).select(name.alias("_name"), "_copies", F.lit(True).alias("_large"))
     pooled = F.concat(F.lit("b"), F.pmod("_hash", F.lit(bundles)).cast("string"))
-    keyed = rows.join(big, group, "left").withColumn("_item", F.coalesce("_own", pooled)).drop("_own")
+    named = _meet(rows.withColumn("_name", name), big, "_name", "_copies", 16 * grain * expected, n_rows)
+    keyed = named.withColumn("_item", F.when(F.col("_large"), F.col("_name")).otherwise(pooled)).drop("_name", "_large")
     items = sorted(keyed.groupBy("_item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
     shard_of = best_fit_decreasing([r["bytes"] for r in items], room, n_shards)
-    placed = [(r["_item"], s, -(-r["n"] // cell_rows)) for r, s in zip(items, shard_of, strict=True)]
-    table = _small(spark.createDataFrame(placed, "_item string, shard int, _cells long"), len(placed))
-    keyed = keyed.join(table, "_item").withColumn("_cell", F.pmod(F.xxhash64("_row"), F.col("_cells")))
+    placed = [(r["_item"], s, -(-r["n"] // cell_rows), r["n"]) for r, s in zip(items, shard_of, strict=True)]
+    table = spark.createDataFrame(placed, "_item string, shard int, _cells long, _copies long")
+    keyed = _meet(keyed, table, "_item", "_copies", len(placed), n_rows).withColumn("_cell", F.pmod(F.xxhash64("_row"), F.col("_cells")))
     cell = ["shard", "_item", "_cell"]
     before = Window.partitionBy("shard").orderBy("_item", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
-    cells = _small(cells.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), len(placed) + n_rows // cell_rows)
+    cells = cells.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    cells = F.broadcast(cells) if len(placed) + n_rows // cell_rows <= MOST_BROADCAST else cells  # a cell has a bounded number of rows
     inside = Window.partitionBy(*cell).orderBy(F.col("_id").asc_nulls_first(), *group, "_row")
     numbered = keyed.withColumn("_k", F.row_number().over(inside) - 1).join(cells, cell)
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_base") + F.col("_k")).cast("long").alias("slot"))
 
 
-def _small(rows: DataFrame, most: int) -> DataFrame:
-    """A side of a join that has at most `most` rows: broadcast if that is no more than 200,000 (about 20 MB), else left to the planner."""
-    return F.broadcast(rows) if most <= 200_000 else rows
+def _meet(left: DataFrame, right: DataFrame, key: str, copies: str, most: int, rows: int) -> DataFrame:
+    """left join with a table of one row a key, of `most` rows at most: broadcast if these are no more than MOST_BROADCAST, else by key, a frequent key's rows in many tasks."""
+    if most <= MOST_BROADCAST:
+        return left.join(F.broadcast(right.drop(copies)), key, "left")
+    return join_by_key(left, right, key, copies, rows, deal=F.xxhash64("_row"))

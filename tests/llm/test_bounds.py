@@ -187,3 +187,23 @@ def test_repeats_across_chunks_of_grown_size(spark, monkeypatch):
     want = get()
     monkeypatch.setattr(S, "MOST_CHUNKS", 5)
     assert get() == want and sum(n for _, n, _ in want) > 500 and all(len(WORD.findall(t)) + n in (60, 40) for _, n, t in want)
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_shards_of_a_capacity_without_broadcasts(spark, monkeypatch, most):
+    """Many shards, and a text with a third of all rows: the same shards whether the tables of groups are broadcast or not."""
+    from quire.llm import sharding as S
+
+    r = random.Random(6)
+    texts = ["copied " * 5] * 400 + ["x" * r.randint(0, 300) + str(i) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "MOST_BROADCAST", most)
+    got = S.shards(docs, n_shards=None, capacity=2000).collect()
+    assert sorted(x.doc_id for x in got) == list(range(1200)) and {x["size"] == len(texts[x.doc_id]) + 1 for x in got} == {True}
+    by: dict = {}
+    for x in got:
+        by.setdefault(x.shard, []).append(x)
+    assert all(sorted(x.slot for x in s) == list(range(len(s))) for s in by.values())
+    copied = {x.shard for x in got if x.doc_id < 400}
+    assert len(copied) == 1 and all(sum(x["size"] for x in s) <= 2000 for k, s in by.items() if k not in copied)
+    assert len(by) <= 1.1 * (1 + -(-sum(len(t) + 1 for t in texts[400:]) // 2000))
