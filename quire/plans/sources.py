@@ -46,7 +46,7 @@ def _(spark, d):
 
 on("events", "src_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda e: e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
 
-cols("src_form", "conversations", "conv_id turn", lambda: {"text": fn.strip(F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")))}, {"text": r"regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^\s+', ''), '\s+$', '')"})
+cols("src_form", "conversations", "conv_id turn", lambda: {"text": files.form_field(F.create_map(F.lit("text"), F.concat(F.lit("\t "), F.col("text"), F.lit(" \n")), F.lit("name"), F.col("role")), "text")}, {"text": r"regexp_replace(regexp_replace(chr(9) || ' ' || text || ' ' || chr(10), '^\s+', ''), '\s+$', '')"})
 
 JSON = """CAST(to_json({'title': title, 'id': CAST(uid AS VARCHAR), 'author': author, 'language': language, 'description': '', 'cover_url': cover_url,
   'epub_url': CASE WHEN uid % 2 = 0 THEN '/media/' || uid || '/book.epub' END, 'epub_size': CASE WHEN uid % 2 = 0 THEN epub_size END, 'chapters': CASE WHEN uid % 3 <> 1 THEN headings END}) AS VARCHAR)"""

@@ -26,6 +26,7 @@ class OrderedLimit(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts timestamp, event_id long")
         self.decided = handle.getValueState("decided", "n long")
+        self.done = handle.getValueState("done", "watermark long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [(r.ts, int(r.event_id)) for part in rows for r in part.itertuples(index=False)]
@@ -40,24 +41,27 @@ class OrderedLimit(StatefulProcessor):
         return -((_EPOCH - pd.Timestamp(t).tz_localize(None).to_pydatetime()) // _MILLI)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        every = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (pd.Timestamp(x[0]), x[1])) if self.waiting.exists() else []
-        ready = [x for x in every if self._ms(x[0]) <= mark]
-        over = (int(key[2]) + 1) * 3_600_000
-        if not ready:  # another timer of this batch has released them, or the hour is over
-            if mark >= over and not every:
-                self.decided.clear()
+        mark, over = timerValues.getCurrentWatermarkInMs(), (int(key[2]) + 1) * 3_600_000
+        if self.done.exists() and self.done.get()[0] == mark:  # the first timer of a batch releases all that are due
             return
-        rest = every[len(ready) :]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        waiting = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (pd.Timestamp(x[0]), x[1])) if self.waiting.exists() else []
+        ready = [x for x in waiting if self._ms(x[0]) <= mark]
         n = self.decided.get()[0] if self.decided.exists() else 0
+        if mark >= over:  # no post of this hour can come any more
+            for state in (self.waiting, self.decided, self.done):
+                state.clear()
+        else:
+            rest = waiting[len(ready) :]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            self.decided.update((n + len(ready),))
+            self.done.update((mark,))
+            self.handle.registerTimer(over)
         nth = range(n + 1, n + len(ready) + 1)
-        self.decided.update((n + len(ready),))
-        self.handle.registerTimer(over)
-        yield pd.DataFrame({"form": key[0], "visitor": key[1], "event_id": [i for _, i in ready], "nth": nth, "refused": [x > self.limit for x in nth]})
+        if ready:
+            yield pd.DataFrame({"form": key[0], "visitor": key[1], "event_id": [i for _, i in ready], "nth": nth, "refused": [x > self.limit for x in nth]})
 
 
 def rate_limit(posts: DataFrame, limit: int, late: str = "1 hour", trap: str | None = None) -> DataFrame:
