@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, heapreplace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ _INDEX = "shard long, term binary, df long, tokens long, with_terms long, postin
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def terms(text: str | None) -> list[bytes]:
-    """The terms of a text in order, as UTF-8: runs of ASCII letters (in lower case), ASCII digits and characters beyond ASCII."""
-    return (text or "").encode().translate(_FOLD).split()
+def terms(text: bytes | None) -> list[bytes]:
+    """The terms of a text in order, all as UTF-8: runs of ASCII letters (in lower case), ASCII digits and characters beyond ASCII."""
+    return (text or b"").translate(_FOLD).split()
 
 
 def pack_numbers(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ class _Shard:
         self.numbers: dict[bytes, int] = {}
         self.ids, self.lengths, self.sizes, self.codes, self.counts, self.held = [], array("q"), array("q"), array("I"), array("I"), 0
 
-    def add(self, i: int | None, text: str) -> None:
+    def add(self, i: int | None, text: bytes) -> None:
         words = terms(text)
         c, numbers = Counter(words), self.numbers
         self.codes.extend([numbers.setdefault(t, len(numbers)) for t in c])
@@ -83,40 +84,48 @@ class _Shard:
         self.sizes.append(len(c))
         self.held += len(text) + 16
 
-    def rows(self, number: int) -> pa.RecordBatch:
-        """The index rows of the shard."""
-        docs = len(self.ids)
+    def memory(self) -> int:
+        """Bytes that the shard takes about: an entry of 150 bytes and the bytes of a term, 12 bytes a posting and its place."""
+        return self.held + 150 * len(self.numbers) + 12 * len(self.codes)
+
+    def rows(self, number: int, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+        """The index rows of the shard: that of its documents, then those of its terms, about `most` postings at a time, so that no copy of all is made."""
+        docs, names = len(self.ids), list(self.numbers)
         order = sorted(range(docs), key=lambda k: (self.ids[k] is None, self.ids[k] or 0))
-        place = np.empty(docs, np.int64)
-        place[order] = np.arange(docs)
-        code, doc, tf = np.array(self.codes, np.int64), np.repeat(place, np.array(self.sizes, np.int64)), np.array(self.counts, np.int64)
-        by = np.argsort(code * docs + doc)
-        code, doc, tf = code[by], doc[by], tf[by]
-        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        gap = np.diff(doc, prepend=0)
-        gap[start] = doc[start]
-        numbers = np.empty(2 * len(doc), np.int64)
-        numbers[::2], numbers[1::2] = gap, tf
-        data, ends = pack_numbers(numbers)
-        df, n, flat = np.diff(np.append(start, len(code))), len(start), data.tobytes()
-        bounds = np.concatenate([[0], ends[2 * (start + df) - 1]]).astype(np.int64)
-        packed = [flat[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        none, lengths = [None] * n, np.array(self.lengths, np.int64)[order]
+        lengths = np.array(self.lengths, np.int64)[order]
         ids = np.array([self.ids[k] or 0 for k in order], "<i8").tobytes() + np.array([self.ids[k] is None for k in order], np.uint8).tobytes()
-        columns = [
-            pa.array([number] * (n + 1), pa.int64()),
-            pa.array([*self.numbers, None], pa.binary()),
-            pa.array([*df.tolist(), docs], pa.int64()),
-            pa.array([*none, int(lengths.sum())], pa.int64()),
-            pa.array([*none, int((lengths > 0).sum())], pa.int64()),
-            pa.array([*packed, pack_numbers(lengths)[0].tobytes()], pa.binary()),
-            pa.array([*none, ids], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "df", "tokens", "with_terms", "postings", "ids"])
+        packed = pack_numbers(lengths)[0].tobytes()
+        yield _rows(number, [None], [docs], [packed], [int(lengths.sum())], [int((lengths > 0).sum())], [ids])
+        place = np.empty(docs, np.int32)
+        place[order] = np.arange(docs)
+        code, tf, doc = np.asarray(self.codes), np.asarray(self.counts), np.repeat(place, self.sizes)
+        df = np.bincount(code, minlength=len(names))
+        ends, a = np.cumsum(df), 0
+        while a < len(names):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            mine = np.flatnonzero((code >= a) & (code < z))
+            mine = mine[np.argsort(code[mine].astype(np.int64) * docs + doc[mine])]
+            last = np.cumsum(df[a:z])
+            start, at = last - df[a:z], doc[mine].astype(np.int64)
+            values = np.empty(2 * len(mine), np.int64)
+            values[::2], values[1::2] = np.diff(at, prepend=0), tf[mine]
+            values[2 * start] = at[start]
+            data, bounds = pack_numbers(values)
+            flat, bounds = data.tobytes(), [0, *bounds[2 * last - 1].tolist()]
+            yield _rows(number, names[a:z], df[a:z].tolist(), [flat[x:y] for x, y in pairwise(bounds)])
+            a = z
+
+
+def _rows(number: int, names: list, df: list[int], packed: list[bytes], *of_docs: list) -> pa.RecordBatch:
+    """Index rows; of_docs: tokens, with_terms, ids, which rows of terms lack."""
+    columns = [[number] * len(names), names, df, *(of_docs[:2] or [[None] * len(names)] * 2), packed, of_docs[2] if of_docs else [None] * len(names)]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "term", "df", "tokens", "with_terms", "postings", "ids"])
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
-    """Write the index of all documents to folder and open it. shard_bytes bounds a shard's texts and so the memory of one task; a longer text is a shard of its own.
+    """Write the index of all documents to folder and open it. shard_bytes bounds a shard's texts, and four times it what the shard takes in memory, and
+    so the memory of one task; a longer text is a shard of its own.
 
     Null texts have no terms. Null ids rank after all others of equal score; rows of equal id are documents of their own.
     """
@@ -125,14 +134,16 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         only()
         part, k, shard = TaskContext.get().partitionId(), 0, _Shard()
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py() or ""
-                if shard.held and shard.held + len(text) > shard_bytes:
-                    yield shard.rows((part << 32) + k)
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                text = t.as_py() or b""
+                if shard.held and (shard.held + len(text) > shard_bytes or shard.memory() > 4 * shard_bytes):
+                    yield from shard.rows((part << 32) + k)
                     k, shard = k + 1, _Shard()
+                    release()
                 shard.add(i, text)
         if shard.held:
-            yield shard.rows((part << 32) + k)
+            yield from shard.rows((part << 32) + k)
+        del shard
         release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)).mapInArrow(shards, _INDEX)
@@ -219,7 +230,7 @@ def _blocks(queries: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sorted(set(terms(t))) for t in b.column(2).to_pylist()]
+            got = [sorted(set(terms(t))) for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.binary()))], names=["q", "id", "terms"])
 
     rows = queries.select(F.monotonically_increasing_id().alias("q"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,6 +79,53 @@ def test_search_of_empty_tables(spark, shelf):
     assert {r["item_id"] for r in X.search_all(docs, items).collect()} == {"a"}
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 17])
+def test_rows_of_a_shard_in_parts(shelf, most):
+    shard, want = X._Shard(), {}
+    for i, t in shelf:
+        shard.add(i, (t or "").encode())
+    order = sorted(range(len(shelf)), key=lambda k: (shelf[k][0] is None, shelf[k][0] or 0))
+    for place, k in enumerate(order):
+        words = [w.encode() for w in terms_of(shelf[k][1])]
+        for w in sorted(set(words)):
+            want.setdefault(w, []).append((place, words.count(w)))
+    rows = [r for b in shard.rows(3, most) for r in b.to_pylist()]
+    assert [r["df"] for r in rows if r["term"] is None] == [len(shelf)] and {r["shard"] for r in rows} == {3}
+    rows = [r for r in rows if r["term"] is not None]
+    got = {}
+    for r in rows:
+        v = X.unpack_numbers(r["postings"])
+        got[r["term"]] = list(zip(np.cumsum(v[::2]).tolist(), v[1::2].tolist(), strict=True))
+    assert got == want and len(rows) == len(want) and all(r["df"] == len(want[r["term"]]) for r in rows)
+
+
+def test_rows_of_a_shard_take_little_memory():
+    shard, r = X._Shard(), random.Random(3)
+    for i in range(1000):
+        shard.add(i, " ".join(f"w{r.randrange(50_000)}" for _ in range(1000)).encode())
+    tracemalloc.start()
+    for _ in shard.rows(0):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(shard.codes)
+
+
+def test_shards_of_distinct_terms_are_smaller(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"a{i * 50 + j}" for j in range(50))) for i in range(100)], "doc_id long, text string").coalesce(1)
+    index = X.build(docs, X.new_folder(spark, "test-index"), shard_bytes=10_000)
+    terms = {r["shard"]: r["count"] for r in index.where("term is not null").groupBy("shard").count().collect()}
+    assert sum(terms.values()) == 5000 and max(terms.values()) <= 40_000 // 150 + 50
+
+
+def test_shards_are_cut_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "ж" * 500) for i in range(40)], "doc_id long, text string").coalesce(1)
+    index = X.build(docs, X.new_folder(spark, "test-index"), shard_bytes=10_000)
+    assert max(r["df"] for r in index.where("term is null").collect()) * 1000 <= 10_000
+    found = X.search(index, spark.createDataFrame([(1, "Ж" * 500), (2, "ж" * 500)], "item_id long, text string")).collect()
+    assert [r["item_id"] for r in found] == [2] * 40
+
+
 def test_merge_equals_plain_sums():
     r = random.Random(8)
     for _ in range(300):
